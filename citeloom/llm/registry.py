@@ -5,21 +5,65 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import language_id, media, ngram_join, packing, quality_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the verdict of a decision list learned from ``labels``."""
+    judged = quality_rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", *quality_rules.COUNTS[:4], "base_failed", "kept")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those whose crc32(doc_id) is not 2 modulo 4."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~language_id.held_out()))
+    return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents that share 90 % of their 3-word shingles."""
     return ngram_join.ngram_jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to Zstandard archives and read back."""
+    records = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as an image, read back and hashed."""
+    docs = table(spark, sf_dir, "documents")
+    return media.media_features(media.to_media(docs))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document tokenised, cut into pieces of at most 1024 tokens and packed."""
+    return packing.pack(table(spark, sf_dir, "documents")).withColumn("piece", F.col("piece").cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_warc_archives": op4_warc_archives,
+    "op6_media_columns": op6_media_columns,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc_archives": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT d, min(page_id) AS least FROM p WHERE n >= 100 GROUP BY d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+               CASE WHEN least IS NOT NULL AND least <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN least <> page_id THEN least END AS refers_to
+        FROM p LEFT JOIN f USING (d)""",
+}
