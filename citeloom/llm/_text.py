@@ -123,3 +123,43 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
             yield mix((h[a:b] * _PLACE[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a))
         else:
             yield np.zeros(0, np.uint64)
+
+
+class Lookup:
+    """A map from distinct 64-bit keys to their positions, found for whole arrays through an open hash table."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.astype(np.uint64)
+        bits = max(8, int(len(keys)).bit_length() + 2)
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), self._home(self.keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & self.last
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The position of each key, -1 if it is none of the keys."""
+        at = self._home(keys)
+        out = self.slots[at]
+        if not len(self.keys):
+            return out
+        todo = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.last
+            out[todo] = self.slots[at[todo]]
+            found = out[todo]
+            todo = todo[(found >= 0) & (self.keys[found] != keys[todo])]
+        return out
+
+
+def ragged(values: np.ndarray, first: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``values[first[i]:first[i + 1]]`` for i in ``pick``, joined, and where each begins (one more at the end)."""
+    size = (first[1:] - first[:-1])[pick]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return values[np.repeat(first[:-1][pick] - ends[:-1], size) + np.arange(ends[-1])], ends

@@ -13,7 +13,7 @@ Spark deals the work out so that no task holds an unbounded group:
    to the first itself, so a shingle held by a third of all sets still meets in few rows.
 3. ``candidates``: within a bucket an R-tree join links points whose bound reaches the threshold; only a spanning
    forest leaves it. Large buckets are dealt as pairs of blocks.
-4. ``verify``: candidate components are dealt as pairs of blocks of at most ``BLOCK`` sets, where the R-tree join runs
+4. ``verify``: candidate components are dealt as pairs of blocks of about ``BLOCK`` texts, where the R-tree join runs
    again and surviving pairs are compared shingle by shingle. A spanning forest of the true links leaves each block.
 5. ``components`` of those links give the classes.
 
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from ._shared import components, materialise, shared_dir
 from ._text import mix, shingle_sets, slices
 
-#: Sets in a block of a bucket or of a candidate component; a task holds two blocks at a time.
-BLOCK = 512
+#: Sets in a block of a bucket or of a candidate component, and their shingles; a task holds two blocks at a time.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
 #: Points in a leaf and children of an inner node of the R-tree.
 FANOUT = 16
 #: Documents in the sample that says which shingles are frequent, and the most shingles it may name.
@@ -56,8 +56,8 @@ def required(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def groups_for(n: int) -> int:
-    """Coordinates of the point of a set of ``n`` shingles: a power of two near ``n / 6``, 16 to 1024."""
-    return 1 << min(10, max(4, (max(n, 1) // 6).bit_length()))
+    """Coordinates of the point of a set of ``n`` shingles: a power of two near ``n / 12``, 16 to 1024."""
+    return 1 << min(10, max(4, (n // 12).bit_length()))
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
@@ -284,10 +284,10 @@ def _linked(pairs: Callable, batches: Iterator[pa.RecordBatch], column: str) ->
     u: list[int] = []
     v: list[int] = []
     for (_, i, j), rows in _grouped(batches, ("cell", "i", "j"), ("side", "sid", column)):
-        rows = sorted(set(rows))
+        rows = sorted({(side, sid): (side, sid, payload) for side, sid, payload in rows}.values(), key=lambda r: r[:2])
         side = np.array([r[0] for r in rows])
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        for p, q in pairs([r[2] for r in rows], left, left if i == j else right):
+        for p, q in pairs([r[2] for r in rows], left, left if i == j else right) if len(left) and (i == j or len(right)) else ():
             u.append(rows[p][1])
             v.append(rows[q][1])
         if len(u) >= 10_000:
@@ -297,34 +297,28 @@ def _linked(pairs: Callable, batches: Iterator[pa.RecordBatch], column: str) ->
 
 
 def _candidates(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def pairs(points: list[bytes], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
-        if not len(left) or not len(right):
-            return
-        raw = [np.frombuffer(p, np.uint8) for p in points]
-        sizes = np.array([int.from_bytes(p[:8].tobytes(), "little") for p in raw], np.int64)
-        yield from forest_links(sizes, fold([p[8:] for p in raw], sizes), left, right, num, den)
+    def pairs(points: list[dict], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+        sizes = np.array([p["n"] for p in points], np.int64)
+        yield from forest_links(sizes, fold([np.frombuffer(p["point"], np.uint8) for p in points], sizes), left, right, num, den)
 
     return _linked(pairs, batches, "point")
 
 
-def _verify(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def pairs(blobs: list[bytes], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
-        if not len(left) or not len(right):
-            return
-        sets = [np.frombuffer(b, np.uint64) for b in blobs]
+def _verify(n: int, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(texts: list[str], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+        sets = [s for batch in slices(pa.record_batch([pa.array(texts, pa.string())], names=["text"]), "text") for s in shingle_sets(batch.column("text"), n)]
         sizes = np.array([len(s) for s in sets], np.int64)
         yield from forest_links(sizes, fold([point(s) for s in sets], sizes), left, right, num, den, sets)
 
-    return _linked(pairs, batches, "shingles")
+    return _linked(pairs, batches, "text")
 
 
-def _sets(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of each text that really has the digest it was joined to; ids may repeat with other texts."""
+def _own_texts(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose text really has the digest it was joined to; ids may repeat with other texts."""
     for whole in batches:
         for batch in slices(whole, "text"):
-            sids, found = batch.column("sid").to_pylist(), list(shingle_sets(batch.column("text"), n))
-            own = [(sid, s.tobytes()) for sid, s in zip(sids, found, strict=True) if len(s) and _digest(s) == sid]
-            yield pa.record_batch([pa.array([x for x, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())], names=["sid", "shingles"])
+            own = [len(s) > 0 and _digest(s) == sid for sid, s in zip(batch.column("sid").to_pylist(), shingle_sets(batch.column("text"), n), strict=True)]
+            yield batch.filter(pa.array(own, pa.bool_()))
 
 
 def _count_shingles(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,18 +336,20 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
     return np.sort(rows.to_numpy().astype(np.uint64))
 
 
-def _block_pairs(members: DataFrame, cell: str, payload: str) -> DataFrame:
-    """``members`` (``cell``, ``sid``, ``payload``) dealt as pairs of blocks, in order of cell and pair.
+def _blocks(members: DataFrame, cell: str) -> DataFrame:
+    """``members`` (with ``cell``, ``sid``, ``n``) and the block of its cell that each is in.
 
-    A cell of k sets has ceil(k / BLOCK) blocks; a set goes to every pair that its block is in.
+    A cell has so many blocks that each holds about ``BLOCK`` sets and ``BLOCK_SHINGLES`` shingles at most.
     """
-    sizes = members.groupBy(cell).agg(F.count("*").alias("k"))
-    blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
-    dealt = members.join(sizes, cell).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = spread.select(
-        F.col(cell).alias("cell"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sid", payload
-    )
+    many = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
+    sizes = members.groupBy(cell).agg(many.alias("blocks"))
+    return members.join(sizes, cell).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumnRenamed(cell, "cell")
+
+
+def _block_pairs(members: DataFrame, payload: str) -> DataFrame:
+    """``members`` with their blocks sent to every pair of blocks that theirs is in, in order of cell and pair."""
+    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = spread.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sid", payload)
     return pairs.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
 
 
@@ -374,19 +370,17 @@ def ngram_jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_colum
 
     packed = described.where("part is not null").select("part", "keys", "owners").repartition("part").sortWithinPartitions("part")
     buckets = materialise(packed.mapInArrow(_bucketed, "bucket long, sid long").distinct(), folder, "buckets")
-    size = F.concat(*(F.unhex(F.lpad(F.hex(F.shiftright(F.col("n"), 8 * b).bitwiseAND(255)), 2, "0")) for b in range(8)))
     held = buckets.select("sid").distinct()
-    points = rows.where("sid is not null").join(held, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id"), F.min(F.concat(size, "point")).alias("point"))
+    points = rows.where("sid is not null").join(held, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("point").alias("point"))
     points = materialise(points, folder, "points")
-    dealt = _block_pairs(buckets.join(points.select("sid", "point"), "sid"), "bucket", "point")
+    dealt = _block_pairs(_blocks(buckets.join(points.select("sid", "n", "point"), "sid"), "bucket").withColumn("point", F.struct("n", "point")), "point")
     near = components(dealt.mapInArrow(partial(_candidates, num, den), "u long, v long"), folder, "near")
 
-    chosen = near.join(points.select(F.col("sid").alias("node"), "id"), "node").select("id", F.col("node").alias("sid"), "label")
-    chosen = materialise(chosen, folder, "chosen")
-    texts = docs.join(chosen.select("id", "sid"), docs["id"].eqNullSafe(chosen["id"])).select("sid", "text")
-    sets = texts.mapInArrow(partial(_sets, n), "sid long, shingles binary")
-    cells = _block_pairs(sets.join(chosen.select("sid", "label"), "sid"), "label", "shingles")
-    links = components(cells.mapInArrow(partial(_verify, num, den), "u long, v long"), folder, "links")
+    chosen = _blocks(near.join(points.select(F.col("sid").alias("node"), "id", "n"), "node").select("id", F.col("node").alias("sid"), "label", "n"), "label")
+    chosen = materialise(chosen.select(F.col("id").alias("of"), "sid", "cell", "blocks", "own"), folder, "chosen")
+    texts = docs.join(chosen, docs["id"].eqNullSafe(chosen["of"])).select("sid", "cell", "blocks", "own", "text")
+    texts = texts.mapInArrow(partial(_own_texts, n), "sid long, cell long, blocks int, own int, text string")
+    links = components(_block_pairs(texts, "text").mapInArrow(partial(_verify, n, num, den), "u long, v long"), folder, "links")
 
     own = rows.where("sid is not null").groupBy("sid").agg(F.min("id").alias("least"))
     found = own.join(links, own["sid"] == links["node"], "left").select("sid", "least", F.coalesce("label", "sid").alias("label"))

@@ -226,9 +226,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     return sequential_covering(values, bad, held)
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample_rows: int = 8000) -> DataFrame:
+def judge(docs: DataFrame, rules: list[Rule], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``text_statistics`` with ``base_failed`` (under 20 words, or over 30 % repeated words) and ``kept``."""
-    rules = learn(docs, labels, id_column, text_column, label_column, sample_rows)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     judged = text_statistics(docs, id_column, text_column).withColumn("base_failed", base)
     return judged.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def quality_verdicts(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample_rows: int = 8000) -> DataFrame:
+    """``judge`` by rules that are learned from ``labels``."""
+    return judge(docs, learn(docs, labels, id_column, text_column, label_column, sample_rows), id_column, text_column)
