@@ -67,13 +67,11 @@ def point(shingles: np.ndarray) -> np.ndarray:
     return np.minimum(counts, 255).astype(np.uint8)
 
 
-def fold(points: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-    """Points of unlike dimension as one matrix of the least dimension, by adding up groups that share low bits."""
-    g = min(map(len, points))
+def fold(points: list[np.ndarray], sizes: np.ndarray, g: int) -> np.ndarray:
+    """Points of ``g`` or more coordinates as a matrix of ``g``, by adding up groups that share low bits."""
     out = np.empty((len(points), g), np.int32)
     for i, p in enumerate(points):
-        wide = np.where(p == 255, sizes[i], p.astype(np.int32))
-        out[i] = wide.reshape(-1, g).sum(axis=0)
+        out[i] = np.where(p == 255, sizes[i], p.astype(np.int32)).reshape(-1, g).sum(axis=0)
     return out
 
 
@@ -150,24 +148,36 @@ def similar(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
     return int((t[at] == s).sum()) * (num + den) >= num * (len(s) + len(t))
 
 
-def forest_links(sizes: np.ndarray, points: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
+def forest_links(sizes: np.ndarray, points: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
     """A spanning forest of the pairs (one of ``left``, one of ``right``) that the bound lets pass.
 
-    With ``sets``, of those pairs only the ones whose sets reach the threshold.
+    With ``sets``, of those pairs only the ones whose sets reach the threshold. Points of one dimension are joined in
+    it, and with those of twice that in the lower one; sizes further apart never reach a threshold over one half.
     """
-    forest = Forest(len(sizes))
-    a = RTree(sizes[left], points[left])
-    b = a if left is right else RTree(sizes[right], points[right])
-    for x, y in a.joined(b, num, den):
-        x, y = forest.apart(left[a.order[x]], right[b.order[y]])
-        while len(x):
-            p, q = int(x[0]), int(y[0])
-            if sets is None or similar(sets[p], sets[q], num, den):
-                forest.join(p, q)
-                yield p, q
-                x, y = forest.apart(x[1:], y[1:])
-            else:
-                x, y = x[1:], y[1:]
+    forest, dims = Forest(len(sizes)), np.array([len(p) for p in points])
+
+    def tree(of: np.ndarray, g: int) -> RTree:
+        return RTree(sizes[of], fold([points[k] for k in of], sizes[of], g))
+
+    for g in np.unique(dims).tolist():
+        low, low2 = left[dims[left] == g], right[dims[right] == g]
+        high, high2 = left[dims[left] == 2 * g], right[dims[right] == 2 * g]
+        sides = [(low, low), (low, high)] if left is right else [(low, low2), (low, high2), (high, low2)]
+        for one, other in sides:
+            if not len(one) or not len(other):
+                continue
+            a = tree(one, g)
+            b = a if one is other else tree(other, g)
+            for x, y in a.joined(b, num, den):
+                x, y = forest.apart(one[a.order[x]], other[b.order[y]])
+                while len(x):
+                    p, q = int(x[0]), int(y[0])
+                    if sets is None or similar(sets[p], sets[q], num, den):
+                        forest.join(p, q)
+                        yield p, q
+                        x, y = forest.apart(x[1:], y[1:])
+                    else:
+                        x, y = x[1:], y[1:]
 
 
 def _digest(s: np.ndarray) -> int:
@@ -299,7 +309,7 @@ def _linked(pairs: Callable, batches: Iterator[pa.RecordBatch], column: str) ->
 def _candidates(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs(points: list[dict], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
         sizes = np.array([p["n"] for p in points], np.int64)
-        yield from forest_links(sizes, fold([np.frombuffer(p["point"], np.uint8) for p in points], sizes), left, right, num, den)
+        yield from forest_links(sizes, [np.frombuffer(p["point"], np.uint8) for p in points], left, right, num, den)
 
     return _linked(pairs, batches, "point")
 
@@ -308,7 +318,7 @@ def _verify(n: int, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> It
     def pairs(texts: list[str], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
         sets = [s for batch in slices(pa.record_batch([pa.array(texts, pa.string())], names=["text"]), "text") for s in shingle_sets(batch.column("text"), n)]
         sizes = np.array([len(s) for s in sets], np.int64)
-        yield from forest_links(sizes, fold([point(s) for s in sets], sizes), left, right, num, den, sets)
+        yield from forest_links(sizes, [point(s) for s in sets], left, right, num, den, sets)
 
     return _linked(pairs, batches, "text")
 
@@ -356,9 +366,11 @@ def _block_pairs(members: DataFrame, payload: str) -> DataFrame:
 def ngram_jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per input row: ``id_column``, ``n_shingles``, ``component_id`` (smallest id reachable by links).
 
-    Two rows link when ``den * |A & B| >= num * |A | B|`` over their sets of ``n``-word shingles.
-    See the module for the method and for nulls, empties, ties and repeats.
+    Two rows link when ``den * |A & B| >= num * |A | B|`` over their sets of ``n``-word shingles; ``num / den`` is over
+    one half. See the module for the method and for nulls, empties, ties and repeats.
     """
+    if not den < 2 * num <= 2 * den:
+        raise ValueError("the threshold lies over 1/2 and at most at 1")
     spark = docs.sparkSession
     folder = shared_dir(spark)
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
