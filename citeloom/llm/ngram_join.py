@@ -42,7 +42,11 @@ FANOUT = 16
 #: Documents in the sample that says which shingles are frequent, and the most shingles it may name.
 SAMPLE, FREQUENT = 4096, 1 << 18
 #: Shingles that a task gathers before it sends them.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Digests of sets that a task remembers, so as not to send the shingles of a copy again.
+SEEN = 1 << 18
+#: Bits of the table of chosen ids by which texts are passed over before the join; of fixed size, broadcast.
+BITS = 1 << 24
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -184,24 +188,29 @@ def _digest(s: np.ndarray) -> int:
     return int(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0].astype(np.int64))
 
 
+NAMES = ["id", "n", "sid", "point", "part", "keys", "owners", "sizes"]
+
+
 def _describe(n: int, num: int, den: int, frequent: np.ndarray, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of two kinds: one for each document, and packed prefix shingles with the sets that hold them."""
-    gathered: list[tuple[np.ndarray, int]] = []
+    gathered: list[tuple[np.ndarray, int, int]] = []
     seen: set[int] = set()
     held = 0
 
     def packed() -> pa.RecordBatch:
-        keys = np.concatenate([k for k, _ in gathered])
-        owners = np.repeat(np.array([s for _, s in gathered], np.int64), [len(k) for k, _ in gathered])
+        keys = np.concatenate([k for k, *_ in gathered])
+        many = [len(k) for k, *_ in gathered]
+        owners = np.repeat(np.array([s for _, s, _ in gathered], np.int64), many)
+        sizes = np.repeat(np.array([n for *_, n in gathered], np.int32), many)
         part = (keys >> np.uint64(40)).astype(np.int64) % parts
         order = np.lexsort((owners, keys, part))
-        keys, owners, part = keys[order], owners[order], part[order]
+        keys, owners, sizes, part = keys[order], owners[order], sizes[order], part[order]
         cut = np.flatnonzero(np.diff(part)) + 1
-        rows = [(int(p[0]), k.tobytes(), o.tobytes()) for p, k, o in zip(np.split(part, cut), np.split(keys, cut), np.split(owners, cut), strict=True)]
+        rows = [(int(p[0]), k.tobytes(), o.tobytes(), z.tobytes()) for p, k, o, z in zip(*(np.split(x, cut) for x in (part, keys, owners, sizes)), strict=True)]
         size = len(rows)
         return pa.record_batch(
-            [pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-            names=["id", "n", "sid", "point", "part", "keys", "owners"],
+            [pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))],
+            names=NAMES,
         )
 
     for whole in batches:
@@ -218,7 +227,7 @@ def _describe(n: int, num: int, den: int, frequent: np.ndarray, parts: int, batc
                 points.append(point(s).tobytes())
                 if sid in seen:
                     continue
-                if len(seen) < CHUNK:
+                if len(seen) < SEEN:
                     seen.add(sid)
                 at = np.searchsorted(frequent, s)
                 at[at == len(frequent)] = 0
@@ -227,10 +236,10 @@ def _describe(n: int, num: int, den: int, frequent: np.ndarray, parts: int, batc
                 first = s[~common][:length]
                 if len(first) < length:
                     first = np.concatenate([first, s[common][: length - len(first)]])
-                gathered.append((first, sid))
+                gathered.append((first, sid, len(s)))
                 held += length
             size = len(sizes)
-            yield pa.record_batch([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(points, pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary())], names=["id", "n", "sid", "point", "part", "keys", "owners"])
+            yield pa.record_batch([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(points, pa.binary()), pa.nulls(size, pa.int64()), *(pa.nulls(size, pa.binary()) for _ in range(3))], names=NAMES)
             if held >= CHUNK:
                 yield packed()
                 gathered, held = [], 0
@@ -238,38 +247,54 @@ def _describe(n: int, num: int, den: int, frequent: np.ndarray, parts: int, batc
         yield packed()
 
 
-def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the packed shingles of a part, the sets of each shingle that two or more hold: rows (bucket, sid).
+def _bucketed(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the packed shingles of a part, the sets of each shingle that two or more of like size hold: (bucket, sid).
 
-    Rows of a part arrive together. Buckets with the same sets have the same number, so that they cost one.
+    A shingle's sets in order of size are cut where the next is too large for any similarity at the threshold. Rows of a
+    part arrive together. Buckets with the same sets have the same number, so that they cost one.
     """
 
-    def closed(keys: list[bytes], owners: list[bytes]) -> pa.RecordBatch:
-        k, o = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(owners), np.int64)
-        order = np.lexsort((o, k))
-        k, o = k[order], o[order]
+    def closed(packed: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        k, o, n = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*packed, strict=True), (np.uint64, np.int64, np.int32), strict=True))
+        order = np.lexsort((o, n, k))
+        k, o, n = k[order], o[order], n[order].astype(np.int64)
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
-        k, o = k[new], o[new]
-        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+        k, o, n = k[new], o[new], n[new]
+        start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (num * n[1:] > den * n[:-1])]))
         size = np.diff(np.append(start, len(k)))
-        number = mix(np.add.reduceat(mix(o.astype(np.uint64)), start) + size.astype(np.uint64)) if len(k) else k
+        number = mix(np.add.reduceat(mix(o.astype(np.uint64)), start) + size.astype(np.uint64))
         keep = np.repeat(size > 1, size)
-        pairs = np.stack([np.repeat(number, size)[keep].astype(np.int64), o[keep]], axis=1)
-        pairs = np.unique(pairs, axis=0)
+        pairs = np.unique(np.stack([np.repeat(number, size)[keep].astype(np.int64), o[keep]], axis=1), axis=0)
         return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["bucket", "sid"])
 
-    part, keys, owners = None, [], []
+    part, packed = None, []
     for batch in batches:
-        for p, k, o in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "owners")), strict=True):
-            if p != part and keys:
-                yield closed(keys, owners)
-                keys, owners = [], []
+        for p, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "owners", "sizes")), strict=True):
+            if p != part and packed:
+                yield closed(packed)
+                packed = []
             part = p
-            keys.append(k)
-            owners.append(o)
-    if keys:
-        yield closed(keys, owners)
+            packed.append(tuple(row))
+    if packed:
+        yield closed(packed)
+
+
+def _chosen_bits(ids: DataFrame) -> np.ndarray:
+    """A table of ``BITS`` bits with those of the hashed ids set; at most BITS / 64 rows come to the driver."""
+    at = F.pmod(F.xxhash64("of"), F.lit(BITS))
+    words = ids.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, int(pmod(xxhash64(of), {BITS}) % 64))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(BITS // 64, np.int64)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return table.view(np.uint64)
+
+
+def _maybe_chosen(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose hashed id has its bit set: all chosen ones and few others."""
+    for batch in batches:
+        at = batch.column("at").to_numpy().astype(np.uint64)
+        on = (shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+        yield batch.select(["id", "text"]).filter(pa.array(on.astype(bool)))
 
 
 Rows = list[tuple]
@@ -376,12 +401,12 @@ def ngram_jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_colum
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     frequent = _frequent(docs, n)
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    described = docs.mapInArrow(partial(_describe, n, num, den, frequent, parts), "id long, n long, sid long, point binary, part long, keys binary, owners binary")
+    described = docs.mapInArrow(partial(_describe, n, num, den, frequent, parts), "id long, n long, sid long, point binary, part long, keys binary, owners binary, sizes binary")
     described = materialise(described, folder, "described")
     rows = described.where("part is null").select("id", "n", "sid", "point")
 
-    packed = described.where("part is not null").select("part", "keys", "owners").repartition("part").sortWithinPartitions("part")
-    buckets = materialise(packed.mapInArrow(_bucketed, "bucket long, sid long").distinct(), folder, "buckets")
+    packed = described.where("part is not null").select("part", "keys", "owners", "sizes").repartition("part").sortWithinPartitions("part")
+    buckets = materialise(packed.mapInArrow(partial(_bucketed, num, den), "bucket long, sid long").distinct(), folder, "buckets")
     held = buckets.select("sid").distinct()
     points = rows.where("sid is not null").join(held, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("point").alias("point"))
     points = materialise(points, folder, "points")
@@ -390,7 +415,9 @@ def ngram_jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_colum
 
     chosen = _blocks(near.join(points.select(F.col("sid").alias("node"), "id", "n"), "node").select("id", F.col("node").alias("sid"), "label", "n"), "label")
     chosen = materialise(chosen.select(F.col("id").alias("of"), "sid", "cell", "blocks", "own"), folder, "chosen")
-    texts = docs.join(chosen, docs["id"].eqNullSafe(chosen["of"])).select("sid", "cell", "blocks", "own", "text")
+    bits = spark.sparkContext.broadcast(_chosen_bits(chosen))
+    likely = docs.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(BITS))).mapInArrow(partial(_maybe_chosen, bits), "id long, text string")
+    texts = likely.join(chosen, likely["id"].eqNullSafe(chosen["of"])).select("sid", "cell", "blocks", "own", "text")
     texts = texts.mapInArrow(partial(_own_texts, n), "sid long, cell long, blocks int, own int, text string")
     links = components(_block_pairs(texts, "text").mapInArrow(partial(_verify, n, num, den), "u long, v long"), folder, "links")
 
