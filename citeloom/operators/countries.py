@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .descriptive import weighted
 from .primitives import clamp, concentration, growth, pair_counts, pair_similarity, ratio, trend
 
-_ALL = Window.partitionBy()
+
 
 
 def panel(countries: DataFrame, records: DataFrame, fractional: bool = False) -> DataFrame:
@@ -25,7 +25,7 @@ def summary(panel_: DataFrame) -> DataFrame:
     """Per country totals, share, rank and cumulative share by descending articles (ties by name)."""
     totals = panel_.groupBy("country").agg(F.sum("articles").alias("articles"), F.sum("citations").alias("citations"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
     order = Window.orderBy(F.desc("articles"), "country")
-    every = F.sum("articles").over(_ALL)
+    every = F.sum("articles").over(Window.partitionBy())
     return totals.withColumns(
         {
             "share": ratio(F.col("articles"), every),
@@ -39,7 +39,7 @@ def summary(panel_: DataFrame) -> DataFrame:
 def inequality(totals: DataFrame, value: str) -> DataFrame:
     """Gini, HHI, entropy, evenness and Theil of a total over countries, with top-5, top-10 and Palma shares."""
     down = Window.orderBy(F.desc(value), "country")
-    n = F.count("*").over(_ALL)
+    n = F.count("*").over(Window.partitionBy())
     placed = totals.select(value, F.row_number().over(down).alias("_r"), n.alias("_n"))
     x = F.col(value)
     tenth, forty = F.ceil(F.round(F.col("_n") * 0.1, 9)), F.floor(F.round(F.col("_n") * 0.4, 9))
@@ -86,10 +86,10 @@ def momentum(panel_: DataFrame, recent: int = 3) -> DataFrame:
 def regional(totals: DataFrame, regions: DataFrame) -> DataFrame:
     """Totals by region with share, and chi-square of articles against equal shares (the same in every row)."""
     rolled = totals.join(regions, "country").groupBy("region").agg(F.count("*").alias("countries"), F.sum("articles").alias("articles"), F.sum("citations").alias("citations"))
-    every, n = F.sum("articles").over(_ALL), F.count("*").over(_ALL)
+    every, n = F.sum("articles").over(Window.partitionBy()), F.count("*").over(Window.partitionBy())
     expected = every / n
     deviation = (F.col("articles") - expected) * (F.col("articles") - expected) / expected
-    return rolled.withColumns({"share": ratio(F.col("articles"), every), "chi_square": F.sum(deviation).over(_ALL)})
+    return rolled.withColumns({"share": ratio(F.col("articles"), every), "chi_square": F.sum(deviation).over(Window.partitionBy())})
 
 
 def yearly_ranks(panel_: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def share_windows(panel_: DataFrame) -> DataFrame:
     placed = panel_.crossJoin(F.broadcast(span))
     first, last = F.col("year") < F.col("_a") + width, F.col("year") > F.col("_b") - width
     sums = placed.groupBy("country").agg(F.sum(F.when(first, F.col("articles")).otherwise(0)).alias("_f"), F.sum(F.when(last, F.col("articles")).otherwise(0)).alias("_l"))
-    shared = sums.select("country", ratio(F.col("_f"), F.sum("_f").over(_ALL), 0.0).alias("first_share"), ratio(F.col("_l"), F.sum("_l").over(_ALL), 0.0).alias("last_share"))
+    shared = sums.select("country", ratio(F.col("_f"), F.sum("_f").over(Window.partitionBy()), 0.0).alias("first_share"), ratio(F.col("_l"), F.sum("_l").over(Window.partitionBy()), 0.0).alias("last_share"))
     change = F.col("last_share") - F.col("first_share")
     status = F.when((F.col("first_share") == 0) & (F.col("last_share") > 0), "entrant").when((F.col("first_share") > 0) & (F.col("last_share") == 0), "exit").when(change > 0, "rising").when(change < 0, "falling").otherwise("stable")
     return shared.withColumn("change", change).withColumn("status", status)
@@ -203,7 +203,7 @@ def outliers(totals: DataFrame, least_z: float = 2.0) -> DataFrame:
     logs = totals.select("country", F.log1p(F.col("articles").cast("double")).alias("x"), F.log1p(F.col("citations").cast("double")).alias("y"))
     line = trend(logs, [], "x", "y")
     residual = logs.crossJoin(F.broadcast(line)).withColumn("residual", F.col("y") - F.col("intercept") - F.col("slope") * F.col("x"))
-    z = ratio(F.col("residual") - F.avg("residual").over(_ALL), F.stddev_samp("residual").over(_ALL), 0.0)
+    z = ratio(F.col("residual") - F.avg("residual").over(Window.partitionBy()), F.stddev_samp("residual").over(Window.partitionBy()), 0.0)
     return residual.withColumn("z", z).withColumn("outlier", F.abs("z") >= least_z).select("country", "residual", "z", "outlier")
 
 
@@ -237,7 +237,7 @@ def haversine(lat1, lon1, lat2, lon2):
 
 def morans_i(values: DataFrame, weights: DataFrame) -> DataFrame:
     """Moran's I and Geary's C of ``values`` (country, x) under ``weights`` (a, b, w), and I's expectation."""
-    centred = values.withColumn("d", F.col("x") - F.avg("x").over(_ALL)).select("country", "x", "d")
+    centred = values.withColumn("d", F.col("x") - F.avg("x").over(Window.partitionBy())).select("country", "x", "d")
     base = centred.agg(F.count("*").alias("n"), F.sum(F.col("d") * F.col("d")).alias("ss"))
     a = centred.select(F.col("country").alias("a"), F.col("d").alias("da"), F.col("x").alias("xa"))
     b = centred.select(F.col("country").alias("b"), F.col("d").alias("db"), F.col("x").alias("xb"))

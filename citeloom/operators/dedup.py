@@ -56,7 +56,7 @@ def collapse(keyed: DataFrame, key: str, method: str) -> DataFrame:
     ``conflicts`` lists the fields in which rows differ; ``merged_by`` is ``method`` for groups of two or more.
     """
     helpers = {"doi_key", "title_key", "rank", "filled", "order", "sources", "n_merged", "conflicts", "merged_by"}
-    fields = [c for c in keyed.columns if c not in helpers]
+    fields = [c for c in keyed.columns if c not in helpers and c != key]
     kinds = {c: keyed.schema[c].dataType.simpleString() for c in fields}
     plain = [c for c in fields if c not in UNION and c not in LARGEST]
     conflicts = F.filter(F.array(*(F.when(F.col(f"_d_{c}") > 1, F.lit(c)) for c in plain)), lambda c: c.isNotNull())

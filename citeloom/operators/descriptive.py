@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .primitives import citation_indices, histogram, ranked, ratio, trend
 
-_ALL = Window.partitionBy()
+
 
 
 def overview(records: DataFrame, authors: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def annual(records: DataFrame) -> DataFrame:
     before = F.lag("articles").over(order)
     return years.withColumns(
         {
-            "share": ratio(F.col("articles"), F.sum("articles").over(_ALL)),
+            "share": ratio(F.col("articles"), F.sum("articles").over(Window.partitionBy())),
             "cumulative": F.sum("articles").over(order.rowsBetween(Window.unboundedPreceding, 0)),
             "change": ratio(F.col("articles") - before, before),
         }
@@ -155,7 +155,7 @@ def fit_lotka(counted: DataFrame) -> DataFrame:
     run = Window.orderBy("papers").rowsBetween(Window.unboundedPreceding, 0)
     fitted = counted.crossJoin(F.broadcast(best)).select("papers", "authors", ratio(F.col("authors"), F.col("best.n")).alias("observed"), (F.pow(F.col("papers").cast("double"), -F.col("best.alpha")) / F.col("best.zeta")).alias("expected"), F.col("best.alpha").alias("alpha"))
     gap = F.abs(F.sum("observed").over(run) - F.sum("expected").over(run))
-    return fitted.withColumn("_gap", gap).withColumn("ks", F.max("_gap").over(_ALL)).drop("_gap")
+    return fitted.withColumn("_gap", gap).withColumn("ks", F.max("_gap").over(Window.partitionBy())).drop("_gap")
 
 
 def country_table(countries: DataFrame, records: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def citation_age(records: DataFrame) -> DataFrame:
     last = records.agg(F.max("year").alias("_last"))
     ages = records.crossJoin(F.broadcast(last)).where(F.col("year").isNotNull()).groupBy((F.col("_last") - F.col("year")).alias("age")).agg(F.count("*").alias("documents"), F.sum("citations").alias("citations"))
     run = Window.orderBy("age").rowsBetween(Window.unboundedPreceding, 0)
-    return ages.withColumn("cumulative_share", ratio(F.sum("citations").over(run), F.sum("citations").over(_ALL)))
+    return ages.withColumn("cumulative_share", ratio(F.sum("citations").over(run), F.sum("citations").over(Window.partitionBy())))
 
 
 def half_life(ages: DataFrame) -> DataFrame:

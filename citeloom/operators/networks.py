@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.storage import materialise, shared_dir
 from .primitives import pair_counts, ratio
 
-_ALL = Window.partitionBy()
+
 
 
 def cooccurrence(items: DataFrame, item: str, top: int | None = None) -> DataFrame:

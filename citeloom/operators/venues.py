@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .primitives import citation_indices, concentration, growth, pair_counts, ratio, trend
 
-_ALL = Window.partitionBy()
+
 
 
 def panel(records: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def summary(records: DataFrame) -> DataFrame:
     indexed = totals.join(citation_indices(known, ["source"], "citations").select("source", "h_index", "g_index"), "source")
     cpp = ratio(F.col("tc"), F.col("tp"))
     by = lambda c: F.rank().over(Window.orderBy(F.desc(c)))
-    return indexed.withColumn("cpp", cpp).withColumns({"share": ratio(F.col("tp"), F.sum("tp").over(_ALL)), "rank_tp": by("tp"), "rank_tc": by("tc"), "rank_cpp": by("cpp")})
+    return indexed.withColumn("cpp", cpp).withColumns({"share": ratio(F.col("tp"), F.sum("tp").over(Window.partitionBy())), "rank_tp": by("tp"), "rank_tc": by("tc"), "rank_cpp": by("cpp")})
 
 
 def growth_table(panel_: DataFrame, recent: int = 3) -> DataFrame:
@@ -89,7 +89,7 @@ def archetypes(summary_: DataFrame) -> DataFrame:
 
     An outlier is at or over the 90th percentile of the length of (z of output, z of impact).
     """
-    z = lambda c: ratio(F.col(c) - F.avg(c).over(_ALL), F.stddev_samp(c).over(_ALL), 0.0)
+    z = lambda c: ratio(F.col(c) - F.avg(c).over(Window.partitionBy()), F.stddev_samp(c).over(Window.partitionBy()), 0.0)
     cuts = summary_.agg(F.median("tp").alias("_p"), F.median("cpp").alias("_c"))
     big, cited = F.col("tp") >= F.col("_p"), F.col("cpp") >= F.col("_c")
     label = F.when(big & cited, "flagship").when(big, "volume").when(cited, "niche").otherwise("peripheral")
