@@ -247,3 +247,43 @@ def test_stream_drops_repeats(spark, tmp_path):
     stream = spark.readStream.schema("doi string, ts timestamp").parquet(f"{tmp_path}/in")
     ingest.append_to(ingest.first_seen(stream, "ts"), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+    return Roles(spark, "/root/testdata/sf0.001")
+
+
+def test_topics(spark):
+    from citeloom.operators import topics
+
+    words = spark.createDataFrame([(d, w) for d in range(20) for w in (("alpha", "beta", "gamma") if d % 2 else ("delta", "epsilon", "zeta"))], "doc long, keyword string")
+    records = spark.createDataFrame([(d, 2000 + d // 5) for d in range(20)], "doc long, year int")
+    listed, weights = topics.lda(words, topics=2, terms=3)
+    assert listed.count() == 6 and one(weights.groupBy("doc").agg(F.sum("weight").alias("s")).agg(F.min("s").alias("s")))["s"] == pytest.approx(1)
+    vocabulary = topics.yearly_vocabulary(words, records)
+    assert all(r["retention"] == 1 for r in topics.retention(vocabulary).where("year > 2000").collect())
+    assert topics.topic_trends(vocabulary).count() == 6 and topics.coherence(listed, words).count() == 2 and topics.topic_prevalence(weights, records).count() == 8
+
+
+def test_hypotheses_and_claims(spark):
+    from citeloom.operators import hypotheses
+
+    up = line_series(spark, list(range(0, 40, 2)))
+    rows = {r["id"]: r for r in hypotheses.growth(up, ["g"]).collect()}
+    assert rows["monotone_trend"]["supported"] and rows["linear_growth"]["statistic"] == pytest.approx(1)
+    assert {r["strength"] for r in hypotheses.claims(hypotheses.growth(up, ["g"])).where("id = 'monotone_trend'").collect()} == {"strong"}
+
+
+def test_run_from_files_to_tables(spark, tmp_path):
+    from citeloom.plans.run import Settings, run
+
+    head = "Authors,Title,Year,Source title,Cited by,DOI,Affiliations,Author Keywords,Index Keywords,Document Type,References\n"
+    rows = [f'"A{i % 3} B;C{i % 2} D",Title number {i} of it,{2010 + i % 6},J{i % 2},{i},10.1/a{i},"U, Boston, USA; V, Paris, France",alpha; w{i % 4},,Article,' for i in range(18)]
+    (tmp_path / "a.csv").write_text(head + "\n".join(rows) + "\n" + rows[0] + "\n")
+    settings = Settings(sources=[{"format": "csv", "paths": f"{tmp_path}/a.csv", "kind": "scopus"}], modules=("documents", "description", "countries", "hypotheses"))
+    assert Settings.from_json(settings.to_json()) == settings
+    manifest = run(spark, settings, f"{tmp_path}/out")
+    assert one(spark.read.parquet(f"{tmp_path}/out/merge_summary"))["removed"] == 1
+    assert one(spark.read.parquet(f"{tmp_path}/out/overview"))["documents"] == 18
+    assert spark.read.parquet(f"{tmp_path}/out/corpus_hypotheses").count() == 10 and "country_summary" in manifest["tables"]
+    with pytest.raises(ValueError):
+        Settings(modules=("nothing",)).check()
