@@ -183,7 +183,7 @@ def train(rows: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 def _predict(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     for whole in batches:
-        for batch in slices(whole, "text", 1 << 20):
+        for batch in slices(whole, "text", 1 << 19):
             data, rows = utf8(batch.column("text"))
             texts = batch.column("text").to_pylist()
             named = np.array([t is not None and _LETTER.search(t) is not None for t in texts], bool) & bool(model.languages)
