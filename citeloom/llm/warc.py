@@ -192,7 +192,7 @@ def train_dictionary(pages: DataFrame, payload_column: str = "html", sample_rows
         return b""
 
 
-def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", most: int = 64 << 20) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", most: int = 16 << 20) -> DataFrame:
     """Write a record per row into archives under ``folder``; their paths as the column ``path``."""
     chosen = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), F.coalesce(payload_column, F.lit("")).alias("text"))
     payload = F.encode("text", "UTF-8")
