@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import components, materialise, shared_dir
+from ._shared import components, materialise, sampled, shared_dir
 from ._text import mix, shingle_sets, slices
 
 #: Sets in a block of a bucket or of a candidate component, and their shingles; a task holds two blocks at a time.
@@ -365,7 +365,7 @@ def _count_shingles(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 
 def _frequent(docs: DataFrame, n: int) -> np.ndarray:
     """Shingles in two or more documents of a sample of at most ``SAMPLE``, at most ``FREQUENT``: for the order only."""
-    sample = docs.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    sample = sampled(docs, F.col("id"), SAMPLE)
     counts = sample.mapInArrow(partial(_count_shingles, n), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     rows = counts.where("n > 1").orderBy(F.desc("n"), "key").limit(FREQUENT).select("key").toArrow().column("key")
     return np.sort(rows.to_numpy().astype(np.uint64))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import sampled
 from ._text import mix, slices, words
 
 WINDOW = 8
@@ -213,11 +214,10 @@ def verdict(rules: list[Rule]) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample_rows: int = 8000) -> list[Rule]:
     """Rules learned from at most ``sample_rows`` labelled documents (label 0: bad)."""
     known = labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("label")).dropna().groupBy("id").agg(F.min("label").alias("label"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    known = sampled(known, F.col("id"), sample_rows)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(known), "id")
     measured = text_statistics(rows, "id", "text").join(F.broadcast(known), "id")
-    chosen = measured.select("id", "label", *(c.alias(n) for n, c in features().items())).orderBy(F.xxhash64("id")).limit(sample_rows)
-    sample = chosen.toArrow()
+    sample = measured.select("id", "label", *(c.alias(n) for n, c in features().items())).dropDuplicates(["id"]).orderBy("id").toArrow()
     bad = sample.column("label").to_numpy() == 0
     if bad.all() or not bad.any():
         return []

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialise, shared_dir
+from ._shared import materialise, sampled, shared_dir
 
 LEAST = 100
 #: Fixed by the .warc.zst convention and the Zstandard format.
@@ -185,7 +185,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def train_dictionary(pages: DataFrame, payload_column: str = "html", sample_rows: int = 200, size: int = 32 << 10) -> bytes:
     """A Zstandard dictionary trained on at most ``sample_rows`` payloads; empty if they are too few to train on."""
-    rows = pages.where(F.length(payload_column) > 0).orderBy(F.xxhash64(payload_column)).select(payload_column).limit(sample_rows).collect()
+    filled = pages.where(F.length(payload_column) > 0).select(payload_column)
+    rows = sampled(filled, F.col(payload_column), sample_rows).collect()
     try:
         return zstandard.train_dictionary(size, [r[0].encode() for r in rows]).as_bytes()
     except zstandard.ZstdError:
