@@ -42,7 +42,7 @@ FANOUT = 16
 #: Documents in the sample that says which shingles are frequent, and the most shingles it may name.
 SAMPLE, FREQUENT = 4096, 1 << 18
 #: Shingles that a task gathers before it sends them.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Digests of sets that a task remembers, so as not to send the shingles of a copy again.
 SEEN = 1 << 18
 #: Bits of the table of chosen ids by which texts are passed over before the join; of fixed size, broadcast.
