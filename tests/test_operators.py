@@ -116,7 +116,9 @@ def test_titles_merge_without_doi_only(spark):
     base = {"title": "Deep learning for cats", "authors": ["A"], "year": 2020, "source": "S", "citations": 1, "doi": "", "source_db": "WOS"}
     raw = records_of(spark, [base, {**base, "title": "Deep Learning for Cats!"}, {**base, "doi": "10.2/a"}, {**base, "title": "Deep learning for cat"}])
     assert dedup.deduplicate(raw).count() == 3
-    assert dedup.deduplicate(raw, fuzzy=0.8).count() == 1
+    # "...cats" and "...cat": Jaccard 3/5 and edit similarity 21/22 give 0.777
+    assert dedup.deduplicate(raw, fuzzy=0.8).count() == 2
+    assert dedup.deduplicate(raw, fuzzy=0.75).count() == 1
     assert one(dedup.summary(raw, dedup.deduplicate(raw)))["removed"] == 1
 
 
