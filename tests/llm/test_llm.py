@@ -448,6 +448,42 @@ def test_scores_are_loss_differences(spark):
     assert lm_score.score(frame, lm_score.train(empty_like(frame), labels)).count() == len(rows)
 
 
+def test_scores_know_every_word(spark, monkeypatch):
+    rows = [(i, text_of(i)) for i in range(40)] + [(100, None), (101, " "), (102, "the"), (102, "the"), (None, "lone")] + [(200 + i, f"the rare{i} fox of{i % 3} the") for i in range(30)]
+    unseen = [(1, "the unseen fox rare1 words"), (2, None), (2, "rare2 rare3 the"), (3, text_of(900))]
+    frame, other = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(unseen, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 20 or 200 <= i < 210), 0) for i, _ in rows if i is not None] + [(3, 1, 1)], "doc_id long, quality int, toxic int")
+    good = [t for i, t in rows if i is not None and (i < 20 or 200 <= i < 210) and i != 3]
+    split = lambda t: WORD.findall((t or "").translate(LOWER))
+    links = lambda t: list(zip([None, *split(t)], split(t), strict=False))
+    models, known = [], {w for _, t in rows for w in split(t)}
+    for texts in (good, [t for _, t in rows]):
+        n, pairs, after = Counter(w for t in texts for w in split(t)), Counter(p for t in texts for p in links(t)), Counter(a for t in texts for a, _ in links(t))
+        models.append((n, pairs, after, sum(n.values())))
+    scale = models[0][3] / models[1][3]
+
+    def mean_loss(text, k):
+        n, pairs, after, total = models[k]
+        by = scale if k else 1.0
+        losses = [-math.log2((pairs[a, b] * by + 4 * (n[b] * by + 1) / (total * by + len(known) + 2)) / (after[a] * by + 4)) for a, b in links(text)]
+        return np.mean(losses) if losses else None
+
+    for listed, paired in ((1 << 16, 1 << 10), (6, 3)):
+        monkeypatch.setattr(lm_score, "LISTED", listed)
+        monkeypatch.setattr(lm_score, "PAIRED", paired)
+        trained = lm_score.train(frame, labels, strength=4.0)
+        for scored, texts in ((frame, rows), (other, unseen)):
+            out = [(r["doc_id"], r["n_words"], r["target_loss"], r["background_loss"], r["score"]) for r in lm_score.score(scored, trained).collect()]
+            expected = [(i, len(split(t)), mean_loss(t, 0), mean_loss(t, 1)) for i, t in texts]
+            order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+            assert len(out) == len(expected)
+            for got, want in zip(sorted(out, key=order), sorted(expected, key=order), strict=True):
+                assert got[:2] == want[:2] and (got[2] is None) == (want[2] is None)
+                if want[2] is not None:
+                    assert got[2:4] == pytest.approx(want[2:4], rel=1e-5) and got[4] == pytest.approx(want[2] - want[3], abs=1e-5)
+    assert lm_score.score(frame, lm_score.train(empty_like(frame), labels)).count() == len(rows)
+
+
 def test_pipeline_stages(spark, tmp_path):
     clean = [(i, text_of(i), "en", "s", 1) for i in range(30)]
     rows = clean + [(100, text_of(0) + " x", "en", "s", 1), (101, text_of(1), "en", "s", 1), (102, "1 2 3", "en", "s", 1), (103, None, None, None, None), (104, "same words again and more " * 40, "en", "s", 1), (0, text_of(0), "en", "s", 1)]
