@@ -771,7 +771,7 @@ def citations_bootstrap(r: Roles) -> DataFrame:
 
 @query("SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(lower(translate(substr(text, 1, 200), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝß', 'aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUYs')), '&amp;|&', ' and ', 'g'), '[^a-z0-9]+', ' ', 'g')), '') AS title_key FROM documents")
 def title_keys(r: Roles) -> DataFrame:
-    return r.table("documents").select("doc_id", T.title_key(F.substring("text", 1, 200)).alias("title_key"))
+    return r.table("documents").select("doc_id", T.title_key(F.col("text")).alias("title_key"))
 
 
 @query()

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from citeloom import catalog
 from citeloom.functions import stats
 from citeloom.functions import text as T
 from citeloom.operators import countries, dedup, descriptive, networks, organise, primitives, screening, series
@@ -63,6 +64,14 @@ def test_single_and_multi_country_papers_add_up(spark):
     assert {(r["a"], r["b"]): r["weight"] for r in links} == {("CHINA", "UNITED STATES"): 1, ("BRAZIL", "CHINA"): 1}
 
 
+def test_title_keys_are_of_whole_texts(spark, tmp_path):
+    opening = "A shared opening, " * 20
+    spark.createDataFrame([(1, opening + "then École"), (2, opening + "then R&D"), (3, None), (4, " -- ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    keys = {r["doc_id"]: r["title_key"] for r in catalog.QUERIES["title_keys"](spark, str(tmp_path)).collect()}
+    start = "a shared opening " * 20
+    assert keys == {1: start + "then ecole", 2: start + "then r and d", 3: None, 4: None}
+
+
 def test_normalisers(spark):
     row = one(
         spark.range(1).select(
