@@ -6,25 +6,32 @@ sum of the minima of their upper corners, so one traversal prunes most pairs; wh
 
 Spark deals the work out so that no task holds an unbounded group:
 
-1. ``shingles``: equal sets become one (by a 64-bit digest of the set), so copies cost one point.
-2. ``buckets``: two sets over the threshold share a shingle among the first ``n - ceil(threshold * n) + 1`` of any
-   common order (prefix filter). The order puts shingles that a bounded sample calls frequent last, which affects
-   speed only. Sets that share no such shingle are finished. Each task sends a shingle once and links further holders
-   to the first itself, so a shingle held by a third of all sets still meets in few rows.
-3. ``candidates``: within a bucket an R-tree join links points whose bound reaches the threshold; only a spanning
-   forest leaves it. Large buckets are dealt as pairs of blocks.
-4. ``verify``: candidate components are dealt as pairs of blocks of about ``BLOCK`` texts, where the R-tree join runs
-   again and surviving pairs are compared shingle by shingle. A spanning forest of the true links leaves each block.
-5. ``components`` of those links give the classes.
-
-Nulls and texts without a word: empty set, linked with nothing. Null ids are kept, each linked by its text as any other
-row; a component's id is the smallest non-null id in it. Repeated rows give repeated result rows. Other input columns
-are ignored, whatever their names. Distinct sets agree in their 64-bit digest with probability 2**-64 a pair.
+1. ``described``: equal sets become one (by a 64-bit digest of the set), so copies cost one point.
+2. ``members``: sets that can be similar meet in buckets. Two sets at the threshold differ in ``h`` shingles at most, so
+   of ``h + 1 + s`` parts that a hash cuts all shingles into, they agree in ``s + 1`` at least. A set's keys are its
+   parts, several shingles each, so that unrelated sets hardly ever meet; parts without a rare shingle are passed over
+   where the set has ``s`` of them at most (so that one of the ``s + 1`` remains). ``h`` follows from the larger set's
+   size; sizes up to ``SHORT`` use the prefix filter instead. Which shingles are rare, and which keys so many sets hold
+   that they skip the exchange, comes from a bounded sample and affects speed only.
+3. ``stars``: each bucket's smallest member is compared with the others, first by the bound of their points, then, one
+   partner for each set, shingle by shingle. A group of copies ends here, in work linear in its size.
+4. ``candidates``: buckets that are not of one class by then go through the R-tree join, which links points whose bound
+   reaches the threshold. Large buckets are dealt as pairs of blocks, without those inside the largest class.
+5. ``verify``: the classes that such links connect are dealt alike, and what survives the R-tree there is compared
+   shingle by shingle. A spanning forest of the true links leaves each block.
+6. ``components`` of the links of 3 and 5 give the classes.
+
+Nulls and texts without a word: empty set, linked with nothing. Ids may be of any type that has an order; null ids are
+kept, each linked by its text as any other row; a component's id is the smallest non-null id in it. Repeated rows give
+repeated result rows. Other input columns are ignored, whatever their names. Distinct sets agree in their 64-bit digest
+with probability 2**-64 a pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -41,12 +48,14 @@ BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
 FANOUT = 16
 #: Documents in the sample that says which shingles are frequent, and the most shingles it may name.
 SAMPLE, FREQUENT = 4096, 1 << 18
-#: Shingles that a task gathers before it sends them.
-CHUNK = 1 << 18
-#: Digests of sets that a task remembers, so as not to send the shingles of a copy again.
+#: Sets of the sample that hold a key at which it skips the exchange, with its smallest holder there as the star.
+HEAVY = 8
+#: Digests of sets that a task remembers, so as not to send the keys of a copy again.
 SEEN = 1 << 18
-#: Bits of the table of chosen ids by which texts are passed over before the join; of fixed size, broadcast.
-BITS = 1 << 24
+#: Bits for each chosen id, and at most, of the table by which texts are passed over before the join; broadcast.
+BITS_EACH, MOST_BITS = 16, 1 << 28
+#: Up to this size sets meet by shared shingles of their prefix; beyond, levels of parts grow by half.
+SHORT = 64
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -82,8 +91,8 @@ def fold(points: list[np.ndarray], sizes: np.ndarray, g: int) -> np.ndarray:
 class Forest:
     """Components of 0..n-1 under joins, as a label for each."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, n: int, label: np.ndarray | None = None):
+        self.label = np.arange(n) if label is None else label.copy()
 
     def join(self, x: int, y: int) -> None:
         self.label[self.label == self.label[y]] = self.label[x]
@@ -152,13 +161,13 @@ def similar(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
     return int((t[at] == s).sum()) * (num + den) >= num * (len(s) + len(t))
 
 
-def forest_links(sizes: np.ndarray, points: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
+def forest_links(sizes: np.ndarray, points: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None, labels: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """A spanning forest of the pairs (one of ``left``, one of ``right``) that the bound lets pass.
 
-    With ``sets``, of those pairs only the ones whose sets reach the threshold. Points of one dimension are joined in
+    With ``sets``, of those pairs only the ones whose sets reach the threshold; with ``labels``, none between equal ones. Points of one dimension are joined in
     it, and with those of twice that in the lower one; sizes further apart never reach a threshold over one half.
     """
-    forest, dims = Forest(len(sizes)), np.array([len(p) for p in points])
+    forest, dims = Forest(len(sizes), labels), np.array([len(p) for p in points])
 
     def tree(of: np.ndarray, g: int) -> RTree:
         return RTree(sizes[of], fold([points[k] for k in of], sizes[of], g))
@@ -188,111 +197,205 @@ def _digest(s: np.ndarray) -> int:
     return int(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0].astype(np.int64))
 
 
-NAMES = ["id", "n", "sid", "point", "part", "keys", "owners", "sizes"]
+@dataclass(frozen=True)
+class Level:
+    """Pairs whose larger set has over ``under`` and at most ``upto`` shingles agree in ``spare + 1`` of ``parts`` parts."""
+
+    number: int
+    under: int
+    upto: int
+    parts: int
+    spare: int
+
+
+def levels(num: int, den: int, most: int = 1 << 40) -> list[Level]:
+    """Levels for sizes up to ``most``; ``spare`` is what the smallest sets of a level have of empty parts, and a margin."""
+    out, under = [], SHORT
+    while under < most:
+        upto = under + under // 2
+        apart, least = (den - num) * 2 * upto // (num + den), -(-num * (under + 1) // den)
+        parts, spare = apart + 1, 0
+        for _ in range(8):
+            empty = parts * math.exp(-least / parts)
+            spare = math.ceil(empty + 4 * math.sqrt(empty)) + 1
+            parts = apart + 1 + spare
+        out.append(Level(len(out) + 1, under, upto, parts, spare))
+        under = upto
+    return out
 
 
-def _describe(n: int, num: int, den: int, frequent: np.ndarray, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds: one for each document, and packed prefix shingles with the sets that hold them."""
-    gathered: list[tuple[np.ndarray, int, int]] = []
-    seen: set[int] = set()
-    held = 0
-
-    def packed() -> pa.RecordBatch:
-        keys = np.concatenate([k for k, *_ in gathered])
-        many = [len(k) for k, *_ in gathered]
-        owners = np.repeat(np.array([s for _, s, _ in gathered], np.int64), many)
-        sizes = np.repeat(np.array([n for *_, n in gathered], np.int32), many)
-        part = (keys >> np.uint64(40)).astype(np.int64) % parts
-        order = np.lexsort((owners, keys, part))
-        keys, owners, sizes, part = keys[order], owners[order], sizes[order], part[order]
-        cut = np.flatnonzero(np.diff(part)) + 1
-        rows = [(int(p[0]), k.tobytes(), o.tobytes(), z.tobytes()) for p, k, o, z in zip(*(np.split(x, cut) for x in (part, keys, owners, sizes)), strict=True)]
-        size = len(rows)
-        return pa.record_batch(
-            [pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))],
-            names=NAMES,
-        )
+def keys_of(s: np.ndarray, num: int, den: int, frequent: np.ndarray, steps: list[Level]) -> np.ndarray:
+    """Keys of a sorted set: any two sets at the threshold share one."""
+    n, found = len(s), []
+    at = np.searchsorted(frequent, s)
+    at[at == len(frequent)] = 0
+    rare = frequent[at] != s if len(frequent) else np.ones(n, bool)
+    if n <= SHORT:
+        length = prefix_length(n, num, den)
+        found.append(mix(np.concatenate([s[rare], s[~rare]])[:length] + np.uint64(0x51ED270B)))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(s), out=total[1:])
+    for level in steps:
+        if den * n < num * (level.under + 1):
+            break
+        if n > level.upto:
+            continue
+        part = ((s >> np.uint64(32)) * np.uint64(level.parts)) >> np.uint64(32)
+        start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        held, sums = part[start], np.diff(total[np.append(start, n)])
+        strong = np.add.reduceat(rare, start, dtype=np.int64) > 0
+        if level.parts - int(strong.sum()) <= level.spare:
+            held, sums = held[strong], sums[strong]
+        else:
+            every = np.zeros(level.parts, np.uint64)
+            every[held.astype(np.int64)] = sums
+            held, sums = np.arange(level.parts, dtype=np.uint64), every
+        found.append(mix(sums + mix(held * np.uint64(0x2545F4914F6CDD1D) + np.uint64(level.number))))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def _lists(values: list[np.ndarray | None]) -> pa.Array:
+    sizes = np.cumsum([0, *(0 if v is None else len(v) for v in values)])
+    held = [v for v in values if v is not None]
+    flat = np.concatenate(held).astype(np.int64) if held else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int64()), mask=pa.array([v is None for v in values], pa.bool_()))
+
+
+def _sample_sets(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            sets = [s for s in shingle_sets(batch.column("text"), n) if len(s)]
+            yield pa.record_batch([pa.array([_digest(s) for s in sets], pa.int64()), _lists(sets)], names=["sid", "shingles"])
+
 
+def _sample_keys(num: int, den: int, frequent: np.ndarray, steps: list[Level], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = (s.values.to_numpy(zero_copy_only=False).astype(np.uint64) for s in batch.column("shingles"))
+        yield pa.record_batch([batch.column("sid"), _lists([keys_of(s, num, den, frequent, steps) for s in sets])], names=["sid", "keys"])
+
+
+def _describe(n: int, num: int, den: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document: size, digest and point of its set, and its keys unless the task has sent them before."""
+    frequent, heavy, steps = shared.value
+    seen: set[int] = set()
     for whole in batches:
         for batch in slices(whole, "text"):
-            sizes, digests, points = [], [], []
+            sizes, digests, points, keys, stars = [], [], [], [], []
             for s in shingle_sets(batch.column("text"), n):
                 sizes.append(len(s))
-                if not len(s):
-                    digests.append(None)
-                    points.append(None)
-                    continue
-                sid = _digest(s)
+                sid = _digest(s) if len(s) else None
                 digests.append(sid)
-                points.append(point(s).tobytes())
-                if sid in seen:
+                points.append(point(s).tobytes() if len(s) else None)
+                if sid is None or sid in seen:
+                    keys.append(None)
+                    stars.append(None)
                     continue
                 if len(seen) < SEEN:
                     seen.add(sid)
-                at = np.searchsorted(frequent, s)
-                at[at == len(frequent)] = 0
-                common = frequent[at] == s if len(frequent) else np.zeros(len(s), bool)
-                length = prefix_length(len(s), num, den)
-                first = s[~common][:length]
-                if len(first) < length:
-                    first = np.concatenate([first, s[common][: length - len(first)]])
-                gathered.append((first, sid, len(s)))
-                held += length
-            size = len(sizes)
-            yield pa.record_batch([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(points, pa.binary()), pa.nulls(size, pa.int64()), *(pa.nulls(size, pa.binary()) for _ in range(3))], names=NAMES)
-            if held >= CHUNK:
-                yield packed()
-                gathered, held = [], 0
-    if gathered:
-        yield packed()
-
-
-def _bucketed(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the packed shingles of a part, the sets of each shingle that two or more of like size hold: (bucket, sid).
-
-    A shingle's sets in order of size are cut where the next is too large for any similarity at the threshold. Rows of a
-    part arrive together. Buckets with the same sets have the same number, so that they cost one.
+                own = keys_of(s, num, den, frequent, steps)
+                at = np.searchsorted(heavy, own)
+                at[at == len(heavy)] = 0
+                often = heavy[at] == own if len(heavy) else np.zeros(len(own), bool)
+                keys.append(own[~often])
+                stars.append(own[often])
+            yield pa.record_batch([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(points, pa.binary()), _lists(keys), _lists(stars)], names=["id", "n", "sid", "point", "keys", "stars"])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (key, sid) in order, rows (bucket, rep, sid, pair) of the sets of each key that two or more hold.
+
+    ``rep`` is the smallest of them. Buckets of the same sets have the same number, so that they cost one; ``pair`` says
+    that there are two. A key is held in memory as one array of digests.
     """
+    key, held = None, []
+
+    def closed(keys: np.ndarray, sids: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1])
+        keys, sids = keys[new], sids[new]
+        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(keys)))
+        number = mix(np.add.reduceat(mix(sids.astype(np.uint64)), start) + size.astype(np.uint64)) if len(keys) else np.zeros(0, np.uint64)
+        others = np.ones(len(keys), bool)
+        others[start] = False
+        rows = np.stack([np.repeat(number, size).astype(np.int64), np.repeat(sids[start], size), sids, np.repeat(size == 2, size)], axis=1)[others]
+        rows = np.unique(rows, axis=0)
+        return pa.record_batch([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(rows[:, 3] > 0)], names=["bucket", "rep", "sid", "pair"])
 
-    def closed(packed: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        k, o, n = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*packed, strict=True), (np.uint64, np.int64, np.int32), strict=True))
-        order = np.lexsort((o, n, k))
-        k, o, n = k[order], o[order], n[order].astype(np.int64)
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
-        k, o, n = k[new], o[new], n[new]
-        start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (num * n[1:] > den * n[:-1])]))
-        size = np.diff(np.append(start, len(k)))
-        number = mix(np.add.reduceat(mix(o.astype(np.uint64)), start) + size.astype(np.uint64))
-        keep = np.repeat(size > 1, size)
-        pairs = np.unique(np.stack([np.repeat(number, size)[keep].astype(np.int64), o[keep]], axis=1), axis=0)
-        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["bucket", "sid"])
-
-    part, packed = None, []
     for batch in batches:
-        for p, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "owners", "sizes")), strict=True):
-            if p != part and packed:
-                yield closed(packed)
-                packed = []
-            part = p
-            packed.append(tuple(row))
-    if packed:
-        yield closed(packed)
+        keys, sids = batch.column("key").to_numpy(), batch.column("sid").to_numpy()
+        if not len(keys):
+            continue
+        last = int(np.searchsorted(keys, keys[-1], "left"))
+        if last or keys[0] != key:
+            parts = [*held, (keys[:last], sids[:last])]
+            yield closed(np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts]))
+            held = []
+        key = keys[-1]
+        held.append((keys[last:], sids[last:]))
+    if held:
+        yield closed(np.concatenate([k for k, _ in held]), np.concatenate([x for _, x in held]))
+
+
+def _bounded(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets whose sizes and points let them reach the threshold."""
+    for batch in batches:
+        keep = []
+        for n, m, p, q in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "point", "other")), strict=True):
+            fits = num * max(n, m) <= den * min(n, m)
+            if fits:
+                p, q, sizes = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8), np.array([n, m])
+                both = fold([p, q], sizes, min(len(p), len(q)))
+                fits = int(both.min(axis=0).sum()) >= int(required(sizes[:1], sizes[1:], num, den)[0])
+            keep.append(fits)
+        yield batch.select(["rep", "sid"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _sets_of(n: int, batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple]:
+    """Rows (values of ``names``, set) of a table with ``sid`` and ``text``; only texts that have the digest ``sid``, as ids
+    may repeat with other texts."""
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            sets = shingle_sets(batch.column("text"), n)
+            for sid, s, *row in zip(batch.column("sid").to_pylist(), sets, *(batch.column(c).to_pylist() for c in names), strict=True):
+                if len(s) and _digest(s) == sid:
+                    yield (*row, sid, s)
+
+
+def _star_links(n: int, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """True links between the star of a block (``side`` 0, first in order) and its members."""
+    star, links = None, []
+    for cell, i, side, sid, s in _sets_of(n, batches, ("cell", "i", "side")):
+        if side == 0:
+            star = (cell, i, s)
+        elif star is not None and star[:2] == (cell, i) and similar(star[2], s, num, den):
+            links.append((sid, cell))
+        if len(links) >= 10_000:
+            yield _edges(links)
+            links = []
+    yield _edges(links)
+
+
+def _edges(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], names=["u", "v"])
 
 
 def _chosen_bits(ids: DataFrame) -> np.ndarray:
-    """A table of ``BITS`` bits with those of the hashed ids set; at most BITS / 64 rows come to the driver."""
-    at = F.pmod(F.xxhash64("of"), F.lit(BITS))
-    words = ids.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, int(pmod(xxhash64(of), {BITS}) % 64))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    table = np.zeros(BITS // 64, np.int64)
+    """A table with the bits of the hashed ids set, of some bits an id up to a fixed most; comes to the driver as words."""
+    many = ids.count()
+    bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * many).bit_length()))
+    at = F.pmod(F.xxhash64("of"), F.lit(bits))
+    words = ids.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, int(pmod(xxhash64(of), {bits}) % 64))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
     table[words.column("w").to_numpy()] = words.column("b").to_numpy()
     return table.view(np.uint64)
 
 
 def _maybe_chosen(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose hashed id has its bit set: all chosen ones and few others."""
+    last = np.uint64(64 * len(shared.value) - 1)
     for batch in batches:
-        at = batch.column("at").to_numpy().astype(np.uint64)
+        at = batch.column("at").to_numpy().astype(np.uint64) & last
         on = (shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
         yield batch.select(["id", "text"]).filter(pa.array(on.astype(bool)))
 
@@ -314,78 +417,93 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns:
         yield now, rows
 
 
-def _linked(pairs: Callable, batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Links of each group of block pairs (columns ``cell, i, j, side, sid`` and ``column``), in order of the first three."""
-    u: list[int] = []
-    v: list[int] = []
-    for (_, i, j), rows in _grouped(batches, ("cell", "i", "j"), ("side", "sid", column)):
-        rows = sorted({(side, sid): (side, sid, payload) for side, sid, payload in rows}.values(), key=lambda r: r[:2])
+def _linked(pairs: Callable, groups: Iterator[tuple[tuple, Rows]]) -> Iterator[pa.RecordBatch]:
+    """Links of each group of block pairs: rows ``side, sid, label, payload`` under ``cell, i, j``."""
+    links: list[tuple[int, int]] = []
+    for (_, i, j), rows in groups:
+        rows = sorted({(side, sid): (side, sid, label, payload) for side, sid, label, payload in rows}.values(), key=lambda r: r[:2])
         side = np.array([r[0] for r in rows])
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        for p, q in pairs([r[2] for r in rows], left, left if i == j else right) if len(left) and (i == j or len(right)) else ():
-            u.append(rows[p][1])
-            v.append(rows[q][1])
-        if len(u) >= 10_000:
-            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-            u, v = [], []
-    yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        labels = np.unique([r[2] for r in rows], return_inverse=True)[1]
+        if labels.max() == 0 or not len(left) or (i != j and not len(right)):
+            continue
+        links += [(rows[p][1], rows[q][1]) for p, q in pairs([r[3] for r in rows], left, left if i == j else right, labels)]
+        if len(links) >= 10_000:
+            yield _edges(links)
+            links = []
+    yield _edges(links)
 
 
 def _candidates(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def pairs(points: list[dict], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+    def pairs(points: list[dict], left: np.ndarray, right: np.ndarray, labels: np.ndarray) -> Iterator[tuple[int, int]]:
         sizes = np.array([p["n"] for p in points], np.int64)
-        yield from forest_links(sizes, [np.frombuffer(p["point"], np.uint8) for p in points], left, right, num, den)
+        yield from forest_links(sizes, [np.frombuffer(p["point"], np.uint8) for p in points], left, right, num, den, labels=labels)
 
-    return _linked(pairs, batches, "point")
+    return _linked(pairs, _grouped(batches, ("cell", "i", "j"), ("side", "sid", "label", "point")))
 
 
 def _verify(n: int, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def pairs(texts: list[str], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
-        sets = [s for batch in slices(pa.record_batch([pa.array(texts, pa.string())], names=["text"]), "text") for s in shingle_sets(batch.column("text"), n)]
+    def pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, labels: np.ndarray) -> Iterator[tuple[int, int]]:
         sizes = np.array([len(s) for s in sets], np.int64)
-        yield from forest_links(sizes, [point(s) for s in sets], left, right, num, den, sets)
-
-    return _linked(pairs, batches, "text")
-
-
-def _own_texts(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose text really has the digest it was joined to; ids may repeat with other texts."""
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            own = [len(s) > 0 and _digest(s) == sid for sid, s in zip(batch.column("sid").to_pylist(), shingle_sets(batch.column("text"), n), strict=True)]
-            yield batch.filter(pa.array(own, pa.bool_()))
+        yield from forest_links(sizes, [point(s) for s in sets], left, right, num, den, sets, labels)
 
+    def groups() -> Iterator[tuple[tuple, Rows]]:
+        now, rows = None, []
+        for cell, i, j, side, label, sid, s in _sets_of(n, batches, ("cell", "i", "j", "side", "label")):
+            if (cell, i, j) != now:
+                if rows:
+                    yield now, rows
+                now, rows = (cell, i, j), []
+            rows.append((side, sid, label, s))
+        if rows:
+            yield now, rows
 
-def _count_shingles(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        sets = [s for batch in slices(whole, "text") for s in shingle_sets(batch.column("text"), n)]
-        keys, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        yield pa.record_batch([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
+    return _linked(pairs, groups())
 
 
-def _frequent(docs: DataFrame, n: int) -> np.ndarray:
-    """Shingles in two or more documents of a sample of at most ``SAMPLE``, at most ``FREQUENT``: for the order only."""
-    sample = sampled(docs, F.col("id"), SAMPLE)
-    counts = sample.mapInArrow(partial(_count_shingles, n), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def _sampled_order(docs: DataFrame, folder: str, n: int, num: int, den: int) -> tuple[np.ndarray, DataFrame, list[Level]]:
+    """From the distinct sets of a sample of at most ``SAMPLE`` documents: shingles that two or more hold (``FREQUENT`` at
+    most), keys that ``HEAVY`` or more hold with the smallest of them, and the levels. For speed only."""
+    sample = sampled(docs, F.col("id"), SAMPLE).mapInArrow(partial(_sample_sets, n), "sid long, shingles array<long>")
+    sample = materialise(sample.repartition("sid").dropDuplicates(["sid"]), folder, "sample")
+    counts = sample.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     rows = counts.where("n > 1").orderBy(F.desc("n"), "key").limit(FREQUENT).select("key").toArrow().column("key")
-    return np.sort(rows.to_numpy().astype(np.uint64))
+    frequent, steps = np.sort(rows.to_numpy().astype(np.uint64)), levels(num, den)
+    keys = sample.mapInArrow(partial(_sample_keys, num, den, frequent, steps), "sid long, keys array<long>")
+    heavy = keys.select("sid", F.explode("keys").alias("key")).groupBy("key").agg(F.min("sid").alias("rep"), F.count("*").alias("n")).where(F.col("n") >= HEAVY)
+    return frequent, materialise(heavy.select("key", "rep"), folder, "heavy"), steps
 
 
-def _blocks(members: DataFrame, cell: str) -> DataFrame:
-    """``members`` (with ``cell``, ``sid``, ``n``) and the block of its cell that each is in.
+def _block_pairs(members: DataFrame, payload: str) -> DataFrame:
+    """``members`` (with ``cell``, ``sid``, ``n``, ``label``) sent to the pairs of blocks that theirs is in, in order of them.
 
-    A cell has so many blocks that each holds about ``BLOCK`` sets and ``BLOCK_SHINGLES`` shingles at most.
+    A cell has so many blocks that each holds about ``BLOCK`` sets and ``BLOCK_SHINGLES`` shingles at most. The class with
+    the most members of a cell of several blocks has blocks of its own, which meet those of the other classes only.
     """
-    many = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
-    sizes = members.groupBy(cell).agg(many.alias("blocks"))
-    return members.join(sizes, cell).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumnRenamed(cell, "cell")
+    classes = members.groupBy("cell", "label").agg(F.count("*").alias("many"), F.sum("n").alias("weight"))
+
+    def blocks(many: str, weight: str):
+        return F.greatest(F.ceil(F.col(many) / F.lit(BLOCK)), F.ceil(F.col(weight) / F.lit(BLOCK_SHINGLES))).cast("int")
+
+    cells = classes.groupBy("cell").agg(F.max(F.struct("many", "label", "weight")).alias("top"), F.sum("many").alias("all"), F.sum("weight").alias("total"))
+    cells = cells.select("cell", "top.label", (F.col("all") - F.col("top.many")).alias("rest"), (F.col("total") - F.col("top.weight")).alias("rest_weight"), F.col("top.many").alias("many"), F.col("top.weight").alias("weight"), blocks("all", "total").alias("blocks"))
+    cells = cells.where("rest > 0").select("cell", F.col("label").alias("top"), "blocks", blocks("many", "weight").alias("tops"), blocks("rest", "rest_weight").alias("rests"))
+    held, on = members.join(cells, "cell"), F.col("label") == F.col("top")
+    hashed = F.xxhash64("sid")
+    own = F.when(F.col("blocks") == 1, 0).when(on, F.pmod(hashed, F.col("tops"))).otherwise(F.col("tops") + F.pmod(hashed, F.col("rests"))).cast("int")
+    first = F.when(F.col("blocks") == 1, 0).when(on, F.col("tops")).otherwise(0)
+    last = F.when(F.col("blocks") == 1, 0).otherwise(F.col("tops") + F.col("rests") - 1)
+    spread = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(first, last)))
+    pairs = spread.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sid", "label", payload)
+    return pairs.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
 
 
-def _block_pairs(members: DataFrame, payload: str) -> DataFrame:
-    """``members`` with their blocks sent to every pair of blocks that theirs is in, in order of cell and pair."""
-    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = spread.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sid", payload)
-    return pairs.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The texts of ``chosen`` (written already; id ``of`` and what else it has)."""
+    bits = docs.sparkSession.sparkContext.broadcast(_chosen_bits(chosen.select("of")))
+    kind = docs.schema["id"].dataType.simpleString()
+    likely = docs.withColumn("at", F.xxhash64("id")).mapInArrow(partial(_maybe_chosen, bits), f"id {kind}, text string")
+    return likely.join(chosen, likely["id"].eqNullSafe(chosen["of"])).drop("id", "of")
 
 
 def ngram_jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -398,31 +516,59 @@ def ngram_jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_colum
         raise ValueError("the threshold lies over 1/2 and at most at 1")
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    frequent = _frequent(docs, n)
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    described = docs.mapInArrow(partial(_describe, n, num, den, frequent, parts), "id long, n long, sid long, point binary, part long, keys binary, owners binary, sizes binary")
+    docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    kind = docs.schema["id"].dataType.simpleString()
+    frequent, heavy, steps = _sampled_order(docs, folder, n, num, den)
+    heaviest = np.sort(heavy.select("key").toArrow().column("key").to_numpy().astype(np.uint64))  # bounded: keys of the sample
+    shared = spark.sparkContext.broadcast((frequent, heaviest, steps))
+    described = docs.mapInArrow(partial(_describe, n, num, den, shared), f"id {kind}, n long, sid long, point binary, keys array<long>, stars array<long>")
     described = materialise(described, folder, "described")
-    rows = described.where("part is null").select("id", "n", "sid", "point")
-
-    packed = described.where("part is not null").select("part", "keys", "owners", "sizes").repartition("part").sortWithinPartitions("part")
-    buckets = materialise(packed.mapInArrow(partial(_bucketed, num, den), "bucket long, sid long").distinct(), folder, "buckets")
-    held = buckets.select("sid").distinct()
+    rows = described.select("id", "n", "sid", "point")
+
+    keys = described.select("sid", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "sid")
+    met = keys.mapInArrow(_met, "bucket long, rep long, sid long, pair boolean")
+    often = described.select("sid", F.explode("stars").alias("key")).join(F.broadcast(heavy), "key").where("sid <> rep")
+    members = met.unionByName(often.select(F.col("key").alias("bucket"), "rep", "sid", F.lit(False).alias("pair"))).distinct()
+    members = materialise(members, folder, "members")
+    held = members.select("sid").union(members.select("rep")).distinct()
     points = rows.where("sid is not null").join(held, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("point").alias("point"))
     points = materialise(points, folder, "points")
-    dealt = _block_pairs(_blocks(buckets.join(points.select("sid", "n", "point"), "sid"), "bucket").withColumn("point", F.struct("n", "point")), "point")
-    near = components(dealt.mapInArrow(partial(_candidates, num, den), "u long, v long"), folder, "near")
 
-    chosen = _blocks(near.join(points.select(F.col("sid").alias("node"), "id", "n"), "node").select("id", F.col("node").alias("sid"), "label", "n"), "label")
-    chosen = materialise(chosen.select(F.col("id").alias("of"), "sid", "cell", "blocks", "own"), folder, "chosen")
-    bits = spark.sparkContext.broadcast(_chosen_bits(chosen))
-    likely = docs.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(BITS))).mapInArrow(partial(_maybe_chosen, bits), "id long, text string")
-    texts = likely.join(chosen, likely["id"].eqNullSafe(chosen["of"])).select("sid", "cell", "blocks", "own", "text")
-    texts = texts.mapInArrow(partial(_own_texts, n), "sid long, cell long, blocks int, own int, text string")
-    links = components(_block_pairs(texts, "text").mapInArrow(partial(_verify, n, num, den), "u long, v long"), folder, "links")
+    stars = points.select(F.col("sid").alias("rep"), F.col("n").alias("m"), F.col("point").alias("other"))
+    pairs = members.select("rep", "sid").distinct().join(points.select("sid", "n", "point"), "sid").join(stars, "rep")
+    close = materialise(pairs.mapInArrow(partial(_bounded, num, den), "rep long, sid long"), folder, "close")
+    star = close.groupBy("sid").agg(F.min("rep").alias("cell"))
+    star = star.join(points.select("sid", F.col("id").alias("of"), "n"), "sid")
+    cells = star.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    ends = star.join(cells, "cell").select("of", "sid", "cell", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("i"), F.lit(1).alias("many"))
+    heads = cells.join(points.select(F.col("sid").alias("cell"), F.col("id").alias("of")), "cell").select("of", F.col("cell").alias("sid"), "cell", F.lit(-1).alias("i"), F.col("blocks").alias("many"))
+    chosen = materialise(ends.unionByName(heads), folder, "stars")
+    spread = _texts(docs, chosen).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    dealt = spread.select("sid", "cell", F.when(F.col("i") < 0, F.col("k")).otherwise(F.col("i")).alias("i"), (F.col("i") >= 0).cast("int").alias("side"), "text")
+    dealt = dealt.repartition("cell", "i").sortWithinPartitions("cell", "i", "side")
+    true = materialise(dealt.mapInArrow(partial(_star_links, n, num, den), "u long, v long"), folder, "true")
+    classes = components(true, folder, "classes")
+
+    labelled = classes.select(F.col("node").alias("sid"), "label")
+    open_pairs = members.where("pair").join(close, ["rep", "sid"], "left_semi")
+    still = members.where("not pair").unionByName(open_pairs)
+    still = still.select("bucket", "sid").union(still.select("bucket", "rep")).distinct().join(labelled, "sid", "left")
+    still = still.select("sid", F.col("bucket").alias("cell"), F.coalesce("label", "sid").alias("label"))
+    mixed = still.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    still = materialise(still.join(mixed.select("cell"), "cell", "left_semi").join(points, "sid"), folder, "still")
+    dealt = _block_pairs(still.withColumn("point", F.struct("n", "point")), "point")
+    near = materialise(dealt.mapInArrow(partial(_candidates, num, den), "u long, v long"), folder, "near")
+    if not near.isEmpty():
+        classed = still.select(F.col("sid").alias("u"), F.col("label").alias("a")).distinct()
+        across = near.join(classed, "u").join(classed.withColumnsRenamed({"u": "v", "a": "b"}), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        united = components(across, folder, "united").select(F.col("node").alias("label"), F.col("label").alias("cell"))
+        chosen = still.select("sid", F.col("id").alias("of"), "n", "label").distinct().join(united, "label")
+        chosen = materialise(chosen, folder, "chosen")
+        links = _block_pairs(_texts(docs, chosen), "text").mapInArrow(partial(_verify, n, num, den), "u long, v long")
+        classes = components(true.unionByName(materialise(links, folder, "links")), folder, "all")
 
     own = rows.where("sid is not null").groupBy("sid").agg(F.min("id").alias("least"))
-    found = own.join(links, own["sid"] == links["node"], "left").select("sid", "least", F.coalesce("label", "sid").alias("label"))
+    found = own.join(classes, own["sid"] == classes["node"], "left").select("sid", "least", F.coalesce("label", "sid").alias("label"))
     least = found.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = found.join(least, "label").select("sid", "component_id")
-    return rows.join(classes, "sid", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    found = found.join(least, "label").select("sid", "component_id")
+    return rows.join(found, "sid", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
