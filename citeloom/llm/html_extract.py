@@ -1,16 +1,20 @@
 """Main text of web pages by minimum-cut labelling of their text blocks.
 
-A page is cut into blocks: runs of text between block-level tags, each with the elements it stands in. A fixed
-log-linear classifier gives each block a cost for either label, from its ancestors (article, nav, footer, form ...),
-class and id words, share of linked text, length and punctuation. These costs are the capacities of its edges to the
-terminals; neighbours in page order and blocks of one parent are joined by smoothness edges, which cost when their
-labels differ. The maximum flow from source to sink gives the cheapest labelling; the blocks on the source side are the
-main text. Neighbours that share parent and ancestor features are labelled together, as one node with
-summed costs, which keeps the graph small.
-
-Text inside script, style, template, form and the like is no block at all, as it is never main text. Character
-references are decoded, white space inside a block becomes one space, empty blocks vanish, and blocks are joined by one
-line feed. Nothing else is dropped and pages of any length are read whole, in linear time up to the flow.
+A page is cut into blocks: runs of text between block-level tags, each with what encloses it. A logistic classifier,
+fitted here on generated pages whose blocks are labelled (``html_pages``), gives each block its log odds for main text:
+the capacity of its edge to one terminal or the other. Smoothness edges, which cost when their ends differ, join
+neighbours in page order, weaker the more elements lie between them in the tree, and blocks of one element or of
+sibling elements; across the border of an aside, notice or the like they are weak. The minimum cut is the cheapest labelling; blocks on the source side are the main text. So a short line
+between paragraphs follows them, and a long teaser between menus follows those. Blocks whose own capacity is at least
+that of all their other edges keep their side in a minimum cut and are settled beforehand; the flow runs over the rest.
+
+Names of classes and ids that tell of menus, adverts, notices and the like count for what they enclose, but not for an
+``article`` or ``main`` inside them, nor for the holder of the page's heading and most of its text: themes put such
+names on wrappers of whole pages. Names of reader comments, and nav, aside and footer elements, count for all they
+enclose. Only text inside script, style, title, textarea, select, template, iframe and the like is no block at all.
+Character references are decoded, white space inside a block becomes one space, empty blocks vanish, and blocks are
+joined by one line feed. Nothing else is dropped. Malformed pages are read in one pass: every step is linear in the
+page, up to the flow among unsettled blocks.
 
 Null and empty pages, and pages without main text, give an empty text. Repeated rows are treated alike, null ids kept,
 an empty table gives no rows; other columns are passed over, whatever their names. The work is per page inside
@@ -23,194 +27,290 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache, partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import html_pages
 from ._text import slices
 
 #: Elements of HTML by role; fixed values of the language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg math iframe object canvas select".split())
+RAW = frozenset("script style textarea title template iframe noembed noframes select xmp".split())
 BLOCK = frozenset(
-    "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form"
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table"
     " tbody td tfoot th thead title tr ul".split()
 )
-#: Of those, br ends a line but stays in its block, as white space.
-BLOCK -= {"br"}
-#: A start tag of the second kind ends an open element of the first.
-CLOSED_BY = {
-    "p": BLOCK,
-    "li": frozenset({"li"}),
-    "dt": frozenset({"dt", "dd"}),
-    "dd": frozenset({"dt", "dd"}),
-    "tr": frozenset({"tr", "tbody", "thead", "tfoot"}),
-    "td": frozenset({"td", "th", "tr", "tbody", "tfoot"}),
-    "th": frozenset({"td", "th", "tr", "tbody", "tfoot"}),
-    "option": frozenset({"option", "optgroup"}),
+#: A start tag of the first kind ends an open element of the second, up to the nearest of the third.
+ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr",), ("table",)),
+    "tbody": (("tbody", "thead", "tfoot"), ("table",)),
+    "thead": (("tbody", "thead", "tfoot"), ("table",)),
+    "tfoot": (("tbody", "thead", "tfoot"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
 }
-#: Elements that hold no main text whatever stands in them, and those that frame it.
-NEVER = frozenset("nav footer aside form menu header button dialog fieldset label search".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements that hold no main text whatever encloses it; those that do so up to an article; those that frame main text.
+ASIDE = frozenset("nav footer aside menu button search".split())
+NOTICE = frozenset("form header dialog fieldset label noscript".split())
 FRAME = frozenset("article main".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-_NAMES = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_END = re.compile(r">|=\s*+([\"'])")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_NAMES = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.IGNORECASE)
+#: Words of names; a name that begins with a qualifier tells of the page, not of the element.
+_QUALIFIED = re.compile(r"(?:no|not|non|has|have|with|without|is|can|show|hide|open|closed|js)(?![a-z])", re.IGNORECASE)
 _JUNK = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|banner|breadcrumbs?|byline|comments?|commentlist|cookies?|consent|copyright|disclaimer|disqus|footer|foot|gdpr|header"
-    r"|login|masthead|menu\w*|modal|nav\w*|newsletter|notices?|notification|pager|pagination|popup|promo\w*|recommend\w*|related|replies|reply|respond"
+    r"(?<![a-z])(?:ads?|advert\w*|banner|breadcrumbs?|byline|cookies?|consent|copyright|disclaimer|footer|foot|gdpr|header"
+    r"|login|masthead|menu\w*|modal|nav\w*|newsletter|notices?|notification|pager|pagination|popup|promo\w*|recommend\w*|related"
     r"|search|share\w*|sharing|sidebar|signup|social|sponsor\w*|subscribe|tags|toolbar|widget\w*)(?![a-z])",
     re.IGNORECASE,
 )
+_COMMENT = re.compile(r"(?<![a-z])(?:comments?|commentlist|disqus|replies|reply|respond|discussion)(?![a-z])", re.IGNORECASE)
 _BODY = re.compile(r"(?<![a-z])(?:article|body|content|entry|main|post|story|text)(?![a-z])", re.IGNORECASE)
+_HIDDEN = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _MARKS = re.compile(r"[.!?,;:]")
-#: Weights of the classifier, in log odds for main text.
-WEIGHTS = {"bias": 0.2, "frame": 4.0, "body_name": 1.5, "never": -9.0, "junk_name": -7.0, "hidden": -9.0, "linked": -4.0, "long": 1.5, "marks": 0.8, "heading": 0.4}
-#: Smoothness: neighbours in page order; the same for a shared parent.
-NEXT, SIBLING = 0.25, 0.75
+#: Capacities of smoothness edges: neighbours in page order, by DECAY for each element more than siblings have between
+#: them; blocks of one element; blocks of sibling elements. BORDER: what is left of them where one end is inside an
+#: aside, notice, comment or hidden element and the other is not.
+NEXT, DECAY, SIBLING, COUSIN, BORDER = 1.2, 0.45, 0.6, 0.2, 0.2
+FEATURES = ("bias", "frame", "aside", "notice", "comment", "hidden", "named", "linked", "long", "marks", "heading", "outside")
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     tag: str
     number: int
-    never: bool = False
-    junk: bool = False
+    #: Block-level elements around it, itself included; numbers of the two innermost.
+    depth: int
+    parent: int
+    grandparent: int
+    aside: bool = False
+    #: Number of the innermost element that names a notice, 0: none.
+    notice: int = 0
+    comment: bool = False
     frame: bool = False
     named: bool = False
     hidden: bool = False
     heading: bool = False
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
     linked: int
-    parent: int
-    features: tuple[bool, ...]
+    at: Element
+    #: Elements between the block before and this one.
+    apart: int
     odds: float = 0.0
 
 
-@dataclass
 class _Reader:
-    """Blocks of one page, from its tags in order."""
-
-    stack: list[Element] = field(default_factory=lambda: [Element("", 0)])
-    blocks: list[Block] = field(default_factory=list)
-    parts: list[str] = field(default_factory=list)
-    links: int = 0
-    made: int = 0
-    linked: int = 0
+    """Blocks of one page, from its tags in order. Each step is of constant cost but for what it takes off the stack."""
+
+    def __init__(self) -> None:
+        self.stack = [Element("", 0, 0, 0, 0)]
+        self.places: dict[str, list[int]] = {}
+        self.inner = [0]
+        self.blocks: list[Block] = []
+        self.parts: list[str] = []
+        self.made = self.linked = 0
+        self.from_depth = self.low = 0
+        self.headed: set[int] = set()
 
     def end_block(self) -> None:
-        text = _SPACE.sub(" ", "".join(self.parts)).strip()
-        if text:
-            top = next((e for e in reversed(self.stack) if e.tag in BLOCK or not e.tag), self.stack[0])
-            group = self.stack[max(self.stack.index(top) - 1, 0)]
-            self.blocks.append(Block(text, self.linked, group.number, (top.never, top.junk, top.frame, top.named, top.hidden, top.heading)))
-        self.parts, self.linked = [], 0
+        if self.parts:
+            text = _SPACE.sub(" ", "".join(self.parts)).strip()
+            if text:
+                at = self.stack[-1]
+                self.blocks.append(Block(text, self.linked, at, self.from_depth + at.depth - 2 * min(self.low, at.depth)))
+                self.from_depth = self.low = at.depth
+                if at.heading and at.notice:
+                    self.headed.add(at.notice)
+            self.parts, self.linked = [], 0
 
     def text(self, raw: str) -> None:
         if raw:
             plain = html.unescape(raw) if "&" in raw else raw
             self.parts.append(plain)
-            if self.links:
+            if self.places.get("a"):
                 self.linked += len(plain.strip())
 
+    def last(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def drop(self, k: int) -> None:
+        while len(self.stack) > k:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.inner.pop()
+        self.low = min(self.low, self.stack[-1].depth)
+
     def start(self, tag: str, rest: str) -> None:
-        if tag in BLOCK:
+        block = tag in BLOCK
+        if block:
             self.end_block()
-            for k in range(len(self.stack) - 1, 0, -1):
-                open_tag = self.stack[k].tag
-                if tag in CLOSED_BY.get(open_tag, ()):
+            if (k := self.inner[-1]) and self.stack[k].tag == "p":
+                self.drop(k)
+            if tag in ENDS:
+                closes, upto = ENDS[tag]
+                if (k := self.last(closes)) > self.last(upto):
                     self.drop(k)
-                    break
-                if open_tag in BLOCK and open_tag != "p":
-                    break
         elif tag == "br":
             self.parts.append("\n")
         if tag in VOID:
             return
         above = self.stack[-1]
         self.made += 1
-        named = junk = hidden = False
-        if rest.strip():
+        named = junk = comment = hidden = False
+        if rest and not rest.isspace():
             for name, value in _NAMES.findall(rest):
                 name, value = name.lower(), value.strip("\"'").replace("_", "-")
                 if name in ("class", "id", "role"):
-                    junk |= _JUNK.search(value) is not None
-                    named |= _BODY.search(value) is not None
+                    for word in value.split():
+                        if not _QUALIFIED.match(word):
+                            junk |= _JUNK.search(word) is not None
+                            comment |= _COMMENT.search(word) is not None
+                            named |= _BODY.search(word) is not None
                 elif name == "style":
-                    hidden |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE) is not None
+                    hidden |= _HIDDEN.search(value) is not None
                 else:
                     hidden |= name == "hidden" or value.lower() == "true"
-        own_header = tag == "header" and above.frame
-        self.stack.append(
-            Element(
-                tag,
-                self.made,
-                above.never or (tag in NEVER and not own_header),
-                above.junk or junk and tag not in ("html", "body", *FRAME),
-                above.frame or tag in FRAME,
-                above.named or named,
-                above.hidden or hidden,
-                above.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"),
-            )
+        frame = tag in FRAME
+        whole = tag in ("html", "body")
+        named &= not (junk or comment)
+        notice = self.made if (junk and not whole and not frame) or (tag in NOTICE and not (tag == "header" and above.frame)) else 0 if frame else above.notice
+        clean = not notice and not (above.aside or tag in ASIDE) and not (above.comment or comment and not whole)
+        element = Element(
+            tag,
+            self.made,
+            above.depth + block,
+            self.made if block else above.parent,
+            above.parent if block else above.grandparent,
+            above.aside or tag in ASIDE,
+            notice,
+            above.comment or comment and not whole,
+            clean and (above.frame or frame),
+            clean and (above.named or named),
+            above.hidden or hidden,
+            above.heading or tag in HEADINGS,
         )
-        self.links += tag == "a"
-
-    def drop(self, k: int) -> None:
-        self.links -= sum(e.tag == "a" for e in self.stack[k:])
-        del self.stack[k:]
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if block:
+            self.inner.append(len(self.stack))
+        self.stack.append(element)
 
     def end(self, tag: str) -> None:
         if tag in BLOCK:
             self.end_block()
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                self.drop(k)
-                return
-            if tag not in BLOCK and self.stack[k].tag in BLOCK:
-                return
+        k = self.last((tag,))
+        if k and (tag in BLOCK or k > self.inner[-1]):
+            self.drop(k)
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks of a page in order."""
-    reader, at = _Reader(), 0
+def _tag_end(page: str, at: int, closed: dict[str, bool]) -> int:
+    """Where the tag whose name ends at ``at`` ends. Quotes of attribute values hide a ``>``, if they are closed."""
+    while (found := _END.search(page, at)) is not None:
+        at = found.end()
+        quote = found[1]
+        if quote is None:
+            return at
+        if closed.get(quote, True):
+            end = page.find(quote, at)
+            closed[quote] = end >= 0
+            at = end + 1 if end >= 0 else at
+    return len(page)
+
+
+def blocks(page: str) -> tuple[list[Block], set[int]]:
+    """Text blocks of a page in order, and the elements named as notices that hold a heading."""
+    reader, at, closed = _Reader(), 0, {}
     while at < len(page):
-        found = _TAG.search(page, at)
-        if found is None:
+        begin = page.find("<", at)
+        if begin < 0:
             reader.text(page[at:])
             break
-        reader.text(page[at : found.start()])
-        at = found.end()
-        tag = (found[2] or "").lower()
-        if not tag:
+        follows = page[begin + 1 : begin + 3]
+        if not follows or not (follows[0] in "!?/" or follows[0].isascii() and follows[0].isalpha()):
+            reader.text(page[at : begin + 1])
+            at = begin + 1
+            continue
+        reader.text(page[at:begin])
+        if follows[0] in "!?" or follows[0] == "/" and not (follows[1:].isascii() and follows[1:].isalpha()):
+            stop = "-->" if page.startswith("<!--", begin) else ">"
+            end = page.find(stop, begin + 2)
+            at = end + len(stop) if end >= 0 else len(page)
             continue
-        if found[1]:
+        name = _NAME.match(page, begin + 1 + (follows[0] == "/"))
+        at = _tag_end(page, name.end(), closed)
+        tag, rest = name[0].lower(), page[name.end() : at - 1]
+        if follows[0] == "/":
             reader.end(tag)
-        elif tag in RAW and not found[3].rstrip().endswith("/"):
+        elif tag in RAW and not rest.endswith("/"):
             if tag in BLOCK:
                 reader.end_block()
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>?", re.IGNORECASE).search(page, at)
             at = close.end() if close else len(page)
         else:
-            reader.start(tag, found[3])
+            reader.start(tag, rest)
     reader.end_block()
-    return reader.blocks
+    return reader.blocks, reader.headed
+
+
+def features(found: list[Block], headed: set[int]) -> np.ndarray:
+    """A row of ``FEATURES`` for each block; length and punctuation speak only where no enclosing element does."""
+    total, under, framed = 0, {}, False
+    for block in found:
+        at = block.at
+        framed |= at.frame and not at.hidden
+        if not (at.aside or at.comment or at.hidden):
+            total += len(block.text)
+            under[at.notice] = under.get(at.notice, 0) + len(block.text)
+    wrapper = {k for k in headed if 2 * under.get(k, 0) > total}
+    rows = []
+    for block in found:
+        at, size = block.at, len(block.text)
+        notice = at.notice > 0 and at.notice not in wrapper
+        linked, plain = min(block.linked / size, 1.0) * (not at.frame), not (at.aside or notice or at.comment or at.hidden)
+        marked = plain and _MARKS.search(block.text) is not None
+        rows.append((1.0, at.frame, at.aside, notice, at.comment, at.hidden, at.named, linked, plain * min(size / 200, 1.0), marked, at.heading, framed and not at.frame))
+    return np.array(rows, np.float64).reshape(-1, len(FEATURES))
+
+
+def fit(pages: list[tuple[str, list[str]]], penalty: float = 1.0) -> np.ndarray:
+    """Weights of ``FEATURES`` (log odds for main text) from pages with the texts of their main blocks, by ridge-penalised
+    logistic regression with Newton steps."""
+    x, y = [], []
+    for page, main in pages:
+        found, headed = blocks(page)
+        x.append(features(found, headed))
+        wanted = set(main)
+        y += [block.text in wanted for block in found]
+    x, y = np.concatenate(x), np.array(y, np.float64)
+    weights, ridge = np.zeros(x.shape[1]), penalty * np.eye(x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - penalty * weights)
+        weights += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return weights
 
 
-def odds(block: Block) -> float:
-    """Log odds that a block is main text."""
-    never, junk, frame, named, hidden, heading = block.features
-    size = len(block.text)
-    score = WEIGHTS["bias"] + WEIGHTS["long"] * min(size / 200, 1.0) + WEIGHTS["marks"] * bool(_MARKS.search(block.text))
-    score += WEIGHTS["linked"] * min(block.linked / size, 1.0) * (not frame)
-    for on, name in ((never, "never"), (junk, "junk_name"), (frame, "frame"), (named, "body_name"), (hidden, "hidden"), (heading, "heading")):
-        score += WEIGHTS[name] * on
-    return score
+@lru_cache(maxsize=4)
+def default_weights(pages: int = 300, seed: int = 1) -> tuple[float, ...]:
+    """Weights fitted to ``pages`` generated pages."""
+    return tuple(fit(html_pages.labelled_pages(pages, seed)).tolist())
 
 
 class FlowGraph:
@@ -269,43 +369,86 @@ class FlowGraph:
         return [x >= 0 for x in level]
 
 
-def main_text(page: str | None) -> str:
-    """Main text of a page."""
-    found = blocks(page or "")
-    nodes: list[tuple[int, tuple[bool, ...]]] = []
-    cost: list[float] = []
-    of: list[int] = []
-    for block in found:
-        key = (block.parent, block.features)
-        if not nodes or nodes[-1] != key:
-            nodes.append(key)
-            cost.append(0.0)
-        cost[-1] += odds(block)
-        of.append(len(nodes) - 1)
-    n = len(nodes)
-    graph, last = FlowGraph(n + 2), {}
-    for k, (parent, _) in enumerate(nodes):
-        graph.add(n, k, max(cost[k], 0.0))
-        graph.add(k, n + 1, max(-cost[k], 0.0))
+def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
+    """Edges between blocks and their capacities."""
+    edges: list[tuple[int, int, float]] = []
+    parents: dict[int, int] = {}
+    above: dict[int, int] = {}
+    inside = [(b.at.aside, b.at.notice, b.at.comment, b.at.hidden) for b in found]
+
+    def join(near: int, k: int, weight: float) -> None:
+        edges.append((near, k, weight if inside[near] == inside[k] else BORDER * weight))
+
+    for k, block in enumerate(found):
         if k:
-            graph.add(k - 1, k, NEXT, NEXT)
-        if parent in last:
-            graph.add(last[parent], k, SIBLING, SIBLING)
-        last[parent] = k
-    side = graph.source_side(n, n + 1) if n else []
-    return "\n".join(block.text for block, k in zip(found, of, strict=True) if side[k])
+            join(k - 1, k, NEXT * DECAY ** max(block.apart - 2, 0))
+        if (near := parents.get(block.at.parent)) is not None:
+            join(near, k, SIBLING)
+        elif (near := above.get(block.at.grandparent)) is not None:
+            join(near, k, COUSIN)
+        parents[block.at.parent] = above[block.at.grandparent] = k
+    return edges
+
+
+def cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """Which nodes a minimum cut leaves on the source side."""
+    n, odds = len(odds), list(odds)
+    around: list[dict[int, float]] = [{} for _ in range(n)]
+    for u, v, w in edges:
+        around[u][v] = around[u].get(v, 0.0) + w
+        around[v][u] = around[v].get(u, 0.0) + w
+    pull = [sum(a.values()) for a in around]
+    side: list[bool | None] = [None] * n
+    queue = deque(range(n))
+    while queue:
+        k = queue.popleft()
+        if side[k] is not None or abs(odds[k]) < pull[k] or odds[k] == 0:
+            continue
+        side[k] = odds[k] > 0
+        for v, w in around[k].items():
+            if side[v] is None:
+                odds[v] += w if side[k] else -w
+                pull[v] -= w
+                queue.append(v)
+    left = [k for k in range(n) if side[k] is None]
+    if left:
+        number = {k: i for i, k in enumerate(left)}
+        graph, source = FlowGraph(len(left) + 2), len(left)
+        for i, k in enumerate(left):
+            graph.add(source, i, max(odds[k], 0.0))
+            graph.add(i, source + 1, max(-odds[k], 0.0))
+            for v, w in around[k].items():
+                if v > k and side[v] is None:
+                    graph.add(i, number[v], w, w)
+        reached = graph.source_side(source, source + 1)
+        for i, k in enumerate(left):
+            side[k] = reached[i]
+    return side
+
+
+def main_text(page: str | None, weights: tuple[float, ...] | None = None) -> str:
+    """Main text of a page."""
+    found, headed = blocks(page or "")
+    if not found:
+        return ""
+    odds = features(found, headed) @ np.array(default_weights() if weights is None else weights)
+    side = cut(odds.tolist(), smoothness(found))
+    return "\n".join(block.text for block, kept in zip(found, side, strict=True) if kept)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract(weights: tuple[float, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "html"):
-            texts = [main_text(page) for page in batch.column("html").to_pylist()]
+            texts = [main_text(page, weights) for page in batch.column("html").to_pylist()]
             yield pa.record_batch([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """``id_column``, ``url_column``, ``text`` and ``n_chars`` (code points of ``text``) for every row."""
+def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", weights: tuple[float, ...] | None = None) -> DataFrame:
+    """``id_column``, ``url_column``, ``text`` and ``n_chars`` (code points of ``text``) for every row.
+
+    ``weights``: of a classifier by ``fit``; by default of the one for generated pages.
+    """
     chosen = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"))
     kind = chosen.schema["id"].dataType.simpleString()
-    out = chosen.mapInArrow(_extract, f"id {kind}, url string, text string, n_chars long")
+    out = chosen.mapInArrow(partial(_extract, default_weights() if weights is None else weights), f"id {kind}, url string, text string, n_chars long")
     return out.withColumnsRenamed({"id": id_column, "url": url_column})
