@@ -1,23 +1,24 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The best segmentation of a text maximises the sum of its pieces' scores. ``Stream`` takes a text bit by bit and keeps
-scores and backpointers only since the last boundary that every surviving path shares: a position can still matter
-while it lies within the longest piece of the end, so whenever the paths from all those positions meet in one boundary,
-the ids before it are committed. A text's ids come out as soon as they are certain, in memory that does not grow with
-the text.
+The best segmentation of a text maximises the sum of its pieces' scores. A search takes a text bit by bit and keeps
+scores of the last ``longest piece`` positions and backpointers since the last boundary that every surviving path
+shares: a position can still matter while it lies within the longest piece of the end, so whenever the paths from all
+those positions meet in one boundary, the ids before it are committed. A text's ids come out as soon as they are
+certain, in memory that does not grow with the text.
 
-Where no piece of the model holds a space after another character, all paths meet before every space that follows
-another character. ``encode`` uses that: each such word is a short stream of its own, equal words of a slice are searched
-once, and the search runs over all of them in step with numpy. Words longer than ``LONGEST`` bytes, and models whose
-pieces cross words, go through ``Stream``. Ties go to the longest last piece, in either way.
+``search`` runs many such streams in step with numpy; ``Stream`` is one that takes bytes as they come. Where no piece of
+the model holds a space after another character, all paths meet before every space that follows another character:
+``encode`` begins a stream at each such boundary, searches equal streams of a slice once, and cuts long texts there into
+slices. Models whose pieces cross words have a stream for each text. Ties go to the longest last piece.
 
 Pieces and scores are read from a model file, whose path on every machine is a parameter; the search treats the scores as
 those of a unigram model, whatever the file was trained as. Characters that are no piece become byte pieces. As usual,
-spaces are written as U+2581 and a text gets one space in front, which decoding takes off again; a text that holds
-U+2581 itself decodes with a space there. Decoding is exact otherwise, white space included.
+spaces are written as U+2581 and a text gets one space in front, which decoding takes off again. A U+2581 of the text
+itself becomes byte pieces, so decoding is exact for every text.
 
 Null texts have null ids, empty ones none. Repeated rows are treated alike; other columns are passed over, whatever
-their names; an empty table gives no rows. No shuffle: memory is one slice of rows and its distinct words.
+their names; an empty table gives no rows. No shuffle: memory is one slice of rows, its distinct streams, and the ids of
+its longest text.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 
 from ._text import _BASE, _BYTE, _INVERSE, Lookup, _power, mix, ragged, slices, utf8
 
-#: Bytes of a word that the search in step takes; longer ones are streamed.
-LONGEST = 48
+#: Bytes of text that are searched together.
+SLICE = 4 << 20
 #: How much worse than the worst piece a character without a piece is; fixed by the format.
 UNKNOWN_PENALTY = 10.0
 MARK = "▁".encode()
@@ -156,93 +157,158 @@ def stream_ids(model: Model, data: bytes) -> list[int]:
     return stream.feed(data) + stream.close()
 
 
-def _in_step(model: Model, data: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of words of ``size`` bytes at ``start``: joined, and how many each has."""
-    n = len(start)
-    text = data[start[:, None] + np.arange(size)]
-    total = np.zeros((n, size + 1), np.uint64)
-    np.cumsum(_BYTE[text] * _power(_BASE, size), axis=1, out=total[:, 1:])
-    inverse = _power(_INVERSE, size + 1)
-    inner = (text & 0xC0) == 0x80
-    best = np.full((n, size + 1), -np.inf)
-    best[:, 0] = 0.0
-    step, token = np.ones((n, size + 1), np.int64), np.zeros((n, size + 1), np.int32)
-    token[:, 1:] = model.bytes_at[text]
+class _Streams:
+    """Searches over many byte runs in step, longest first: a window of scores and the backpointers not committed yet."""
+
+    def __init__(self, model: Model, n: int):
+        self.model, self.window = model, max(model.longest, 4)
+        self.best = np.full((n, self.window + 1), -np.inf)
+        self.best[:, 0] = 0.0
+        self.origin = 0
+        self.step, self.token = np.zeros((n, 2 * self.window), np.int32), np.zeros((n, 2 * self.window), np.int32)
+        self.base = np.zeros(n, np.int64)
+        self.rows: list[np.ndarray] = []
+        self.ids: list[np.ndarray] = []
+
+    def make_room(self, end: int, active: int) -> None:
+        """Columns for backpointers up to ``end``; those before what every active stream has committed are let go."""
+        width = self.step.shape[1]
+        if end - self.origin < width:
+            return
+        least = int(self.base[:active].min())
+        gone = least - self.origin
+        more = max(0, end - least + self.window - width)
+        for name in ("step", "token"):
+            held = getattr(self, name)[:active, gone:]
+            setattr(self, name, np.concatenate([held, np.zeros((active, gone + more), np.int32)], axis=1))
+        self.origin = least
+
+    def meeting(self, end: int, row: np.ndarray) -> np.ndarray:
+        """For each of ``row`` the last boundary that the paths from all positions of the window share."""
+        ends = np.arange(end - self.window + 1, end + 1)
+        live = np.isfinite(self.best[row][:, ends % (self.window + 1)]) & (ends >= 0)
+        paths = np.where(live, ends, np.where(live, ends, -1).max(axis=1)[:, None])
+        todo = np.arange(len(row))
+        while len(todo):
+            high, low = paths[todo].max(axis=1), paths[todo].min(axis=1)
+            apart = high > low
+            todo, high = todo[apart], high[apart]
+            before = high - self.step[row[todo], high - self.origin]
+            paths[todo] = np.where(paths[todo] == high[:, None], before[:, None], paths[todo])
+        return paths[:, 0]
+
+    def commit(self, row: np.ndarray, upto: np.ndarray) -> None:
+        """Give out the ids of the paths of ``row`` to ``upto``."""
+        row, upto = row[upto > self.base[row]], upto[upto > self.base[row]]
+        if not len(row):
+            return
+        least = int(self.base[row].min())
+        out = np.full((len(row), int(upto.max()) - least), -1, np.int32)
+        at, todo = upto.copy(), np.arange(len(row))
+        while len(todo):
+            column = at[todo] - self.origin
+            out[todo, at[todo] - 1 - least] = self.token[row[todo], column]
+            at[todo] -= self.step[row[todo], column]
+            todo = todo[at[todo] > self.base[row[todo]]]
+        used = out >= 0
+        self.rows.append(np.repeat(row, used.sum(axis=1)))
+        self.ids.append(out[used])
+        self.base[row] = upto
+
+
+def search(model: Model, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the runs of ``size`` bytes at ``start``: joined, and how many each has."""
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    many, n = int(size[0]) if len(size) else 0, len(start)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=total[1:])
+    inverse = _power(_INVERSE, len(data) + 1)
+    inner = np.append((data & 0xC0) == 0x80, False)
+    streams = _Streams(model, n)
+    best, ring = streams.best, streams.window + 1
     lead = np.zeros(n, np.int64)
-    for end in range(1, size + 1):
-        lead = np.where(inner[:, end - 1], lead, end - 1)
-        ends_here = np.ones(n, bool) if end == size else ~inner[:, end]
-        rows = np.flatnonzero(ends_here)
-        known = np.zeros(n, bool)
+    active = n
+    for end in range(1, many + 1):
+        while size[active - 1] < end:
+            active -= 1
+        streams.make_room(end, active)
+        step, token, column = streams.step, streams.token, end - streams.origin
+        own = data[start[:active] + end - 1]
+        lead[:active] = np.where((own & 0xC0) == 0x80, lead[:active], end - 1)
+        best[:active, end % ring] = -np.inf
+        step[:active, column], token[:active, column] = 1, model.bytes_at[own]
+        row = np.flatnonzero((size[:active] == end) | ~inner[start[:active] + end])
+        known = np.zeros(active, bool)
         for length in range(min(end, model.longest), 0, -1):
-            at = rows[np.isfinite(best[rows, end - length])]
+            at = row[np.isfinite(best[row, (end - length) % ring])]
             if not len(at):
                 continue
-            keys = mix((total[at, end] - total[at, end - length]) * inverse[end - length] + np.uint64(length))
-            found = model.lookup.find(keys)
+            first = start[at] + end - length
+            found = model.lookup.find(mix((total[first + length] - total[first]) * inverse[first] + np.uint64(length)))
             hit = found >= 0
             at, found = at[hit], found[hit]
             known[at[lead[at] == end - length]] = True
-            score = best[at, end - length] + model.score_of[found]
-            better = score > best[at, end]
+            score = best[at, (end - length) % ring] + model.score_of[found]
+            better = score > best[at, end % ring]
             at, found = at[better], found[better]
-            best[at, end], step[at, end], token[at, end] = score[better], length, model.id_of[found]
-        at = rows[~known[rows]]
-        score = best[at, lead[at]] + model.unknown
-        better = score > best[at, end]
+            best[at, end % ring], step[at, column], token[at, column] = score[better], length, model.id_of[found]
+        at = row[~known[row]]
+        score = best[at, lead[at] % ring] + model.unknown
+        better = score > best[at, end % ring]
         at = at[better]
-        best[at, end], step[at, end], token[at, end] = score[better], 1, model.bytes_at[text[at, end - 1]]
-    out = np.full((n, size), -1, np.int32)
-    position, row = np.full(n, size), np.arange(n)
-    for k in range(size - 1, -1, -1):
-        out[row, k] = token[row, position[row]]
-        position[row] -= step[row, position[row]]
-        row = row[position[row] > 0]
-        if not len(row):
-            break
-    used = out >= 0
-    return out[used], used.sum(axis=1)
-
-
-def encode(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of every text of a column (null: none), joined, and where each text's begin (one more at the end)."""
-    prefixed = [b"" if not t else b" " + t.encode().replace(MARK, b" ") for t in column.to_pylist()]
-    data, rows = utf8(pa.array(prefixed, pa.binary()).cast(pa.string()))
-    if not len(data) or model.crossing:
-        own = [stream_ids(model, t) for t in prefixed]
-        return np.array([i for ids in own for i in ids], np.int32), np.cumsum([0, *map(len, own)])
-    space = data == 0x20
+        best[at, end % ring], step[at, column], token[at, column] = score[better], 1, model.bytes_at[own[at]]
+        done = np.arange(int(np.searchsorted(-size[:active], -end)), active)
+        streams.commit(done, np.full(len(done), end))
+        if end % streams.window == 0 and len(done) < active:
+            row = np.arange(active - len(done))
+            streams.commit(row, streams.meeting(end, row))
+    row = order[np.concatenate([np.zeros(0, np.int64), *streams.rows])]
+    place = np.argsort(row, kind="stable")
+    return np.concatenate([np.zeros(0, np.int32), *streams.ids])[place], np.bincount(row, minlength=n)
+
+
+def _boundaries(data: np.ndarray, rows: np.ndarray, crossing: bool) -> np.ndarray:
+    """Where streams begin: at each text, and where all paths meet in any case."""
     begins = np.zeros(len(data), bool)
-    begins[1:] = space[1:] & ~space[:-1]
+    if not crossing:
+        begins[1:] = (data[1:] == 0x20) & (data[:-1] != 0x20)
     begins[rows[:-1][np.diff(rows) > 0]] = True
-    start = np.flatnonzero(begins)
+    return np.flatnonzero(begins)
+
+
+def _encode_slice(data: np.ndarray, rows: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts with their spaces in front, and where each text's begin."""
+    start = _boundaries(data, rows, model.crossing)
     end = np.append(start[1:], len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=total[1:])
     keys = mix((total[end] - total[start]) * _power(_INVERSE, len(data))[start] + (end - start).astype(np.uint64))
-    _, where, word = np.unique(keys, return_index=True, return_inverse=True)
-    sizes = (end - start)[where]
-    ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(where)
-    flat, place, counts = [], [], []
-    for size in np.unique(sizes):
-        at = np.flatnonzero(sizes == size)
-        if size > LONGEST:
-            own = [np.array(stream_ids(model, data[start[where[k]] : end[where[k]]].tobytes()), np.int32) for k in at]
-            flat.append(np.concatenate(own))
-            counts.append(np.array([len(x) for x in own]))
-        else:
-            joined, many = _in_step(model, data, start[where[at]], int(size))
-            flat.append(joined)
-            counts.append(many)
-        place.append(at)
-    del ids
-    order = np.argsort(np.concatenate(place), kind="stable")
-    first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-    by_word, first_of = ragged(np.concatenate(flat), first, order)
-    out, ends = ragged(by_word, first_of, word)
+    _, where, stream = np.unique(keys, return_index=True, return_inverse=True)
+    ids, counts = search(model, data, start[where], (end - start)[where])
+    out, ends = ragged(ids, np.concatenate([[0], np.cumsum(counts)]), stream)
     return out, ends[np.searchsorted(start, rows)]
 
 
+def encode(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of every text of a column (null: none), joined, and where each text's begin (one more at the end)."""
+    prefixed = pa.array([b"" if not t else b" " + t.encode() for t in column.to_pylist()], pa.binary()).cast(pa.string())
+    data, rows = utf8(prefixed)
+    if not len(data):
+        return np.zeros(0, np.int32), np.zeros(len(rows), np.int64)
+    if len(rows) > 2 or len(data) <= SLICE or model.crossing:
+        return _encode_slice(data, rows, model)
+    out, at = [], 0
+    while at < len(data):  # one long text: slices that end where all paths meet
+        meets = _boundaries(data[at : at + 2 * SLICE], np.array([0, 1]), False)
+        later = meets[meets >= SLICE]
+        upto = at + (int(later[0]) if len(later) and at + 2 * SLICE < len(data) else len(data) - at)
+        out.append(_encode_slice(data[at:upto], np.array([0, upto - at]), model)[0])
+        at = upto
+    ids = np.concatenate(out)
+    return ids, np.array([0, len(ids)])
+
+
 def decode(ids: np.ndarray, first: np.ndarray, model: Model) -> list[bytes]:
     """The texts of joined ids, as UTF-8."""
     data, ends = ragged(model.bytes, model.first, ids)
@@ -252,7 +318,7 @@ def decode(ids: np.ndarray, first: np.ndarray, model: Model) -> list[bytes]:
 def _encode(path: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model = load(path)
     for whole in batches:
-        for batch in slices(whole, "text", 4 << 20):
+        for batch in slices(whole, "text", SLICE):
             ids, first = encode(batch.column("text"), model)
             lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()), mask=batch.column("text").is_null())
             yield pa.record_batch([batch.column("id"), lists], names=["id", "ids"])
@@ -287,7 +353,7 @@ def decode_ids(encoded: DataFrame, id_column: str = "doc_id", ids_column: str =
 def _digest(path: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model = load(path)
     for whole in batches:
-        for batch in slices(whole, "text", 4 << 20):
+        for batch in slices(whole, "text", SLICE):
             ids, first = encode(batch.column("text"), model)
             back = decode(ids, first, model)
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
