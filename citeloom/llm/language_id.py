@@ -7,8 +7,10 @@ the probability c / (n + d) and the escape to the next shorter context d / (n +
 bytes of -log2 of those products. The language of the shortest code wins; the score is its share of the posterior
 under equal priors.
 
-Training counts are a Spark aggregation over a bounded sample, about ``rows_per_language`` documents of each language
-picked by a hash of the id; prediction covers every whole text and reads the text alone. The frozen tables hold at most
+Training counts are a Spark aggregation over a bounded sample, about ``rows_per_language`` documents and
+``bytes_per_language`` bytes of each language picked by a hash of the id; prediction covers every whole text and reads the
+text alone. ``usual_bits`` tells how many bits a byte the sample's own documents take, so that text of none of the
+languages can be told by its length. The frozen tables hold at most
 one row for each distinct n-gram of the sample and are broadcast; scoring looks up n-grams of a slice of documents at
 once with numpy.
 
@@ -32,7 +34,14 @@ from pyspark.sql import functions as F
 from ._text import mix, slices, utf8
 
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_NEAR_LETTER = re.compile(r"[^\W\d_]")
+#: Bits over a language's usual length that any text may have, so that short ones pass.
+SLACK_BITS = 256
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode category L; the pattern also finds other numbers, such as fractions."""
+    return any(m[0].isalpha() for m in _NEAR_LETTER.finditer(text))
 
 
 def grams(data: np.ndarray, rows: np.ndarray, length: int) -> np.ndarray:
@@ -161,18 +170,14 @@ def freeze(languages: list[str], lang: np.ndarray, length: np.ndarray, gram: np.
     return Model(languages, codes, escapes)
 
 
-def train(rows: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", rows_per_language: int = 800, order: int = 4) -> Model:
-    """A model of the languages of ``rows``, from about ``rows_per_language`` of the rows of each.
+def train(rows: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", rows_per_language: int = 800, order: int = 4, bytes_per_language: int = 4 << 20) -> Model:
+    """A model of the languages of ``rows``, from about ``rows_per_language`` of the rows of each and so many bytes.
 
-    A language with more rows is thinned by a hash of the id, at a rate that follows from its count.
+    A language with more is thinned by a hash of the id, at a rate that follows from its count and size.
     """
-    known = rows.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).dropna(subset=["text", "lang"])
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
+    picked, languages = training_rows(rows, id_column, text_column, lang_column, rows_per_language, bytes_per_language)
     if not languages:
         return Model([], [], [])
-    rate = F.create_map(*(F.lit(x) for name in languages for x in (name, min(1.0, rows_per_language / sizes[name]))))
-    picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
     counts = picked.select("lang", "text").mapInArrow(partial(_count, order), "lang string, length int, gram long, n long")
     found = counts.groupBy("lang", "length", "gram").agg(F.sum("n").alias("n")).toArrow()
     number = {name: i for i, name in enumerate(languages)}
@@ -180,13 +185,41 @@ def train(rows: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return freeze(languages, lang, *(found.column(c).to_numpy().astype(np.int64) for c in ("length", "gram", "n")), order)
 
 
+def training_rows(rows: DataFrame, id_column: str, text_column: str, lang_column: str, rows_per_language: int, bytes_per_language: int) -> tuple[DataFrame, list[str]]:
+    """The sample that ``train`` reads (id, text, lang) and its languages."""
+    known = rows.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).dropna(subset=["text", "lang"])
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()
+    share = {r["lang"]: min(1.0, rows_per_language / r["n"], bytes_per_language / max(r["size"], 1)) for r in sizes}
+    if not share:
+        return known, []
+    rate = F.create_map(*(F.lit(x) for name in sorted(share) for x in (name, share[name])))
+    return known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20)), sorted(share)
+
+
+def usual_bits(rows: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", rows_per_language: int = 800, bytes_per_language: int = 4 << 20) -> dict[str, float]:
+    """By language, the most bits a byte that a text of it takes: half over what 99 % of the sample's documents take."""
+    if not model.languages:
+        return {}
+    picked, _ = training_rows(rows, id_column, text_column, lang_column, rows_per_language, bytes_per_language)
+    found = predict(picked, model, "id", "text").where(F.col("lang_pred") != UNDETERMINED)
+    return {r["lang_pred"]: 1.5 * r["most"] for r in found.groupBy("lang_pred").agg(F.percentile("bits_per_byte", F.lit(0.99)).alias("most")).collect()}
+
+
+def fits(usual: dict[str, float], text_column: str = "text") -> Column:
+    """Whether a predicted text is not longer in code than texts of its language are, but for ``SLACK_BITS``."""
+    if not usual:
+        return F.lit(True)
+    most = F.create_map(*(F.lit(x) for pair in sorted(usual.items()) for x in pair))[F.col("lang_pred")]
+    return F.coalesce((F.col("bits_per_byte") - most) * F.octet_length(text_column) <= SLACK_BITS, F.lit(True))
+
+
 def _predict(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     for whole in batches:
         for batch in slices(whole, "text", 1 << 19):
             data, rows = utf8(batch.column("text"))
             texts = batch.column("text").to_pylist()
-            named = np.array([t is not None and _LETTER.search(t) is not None for t in texts], bool) & bool(model.languages)
+            named = np.array([t is not None and has_letter(t) for t in texts], bool) & bool(model.languages)
             size = np.maximum(np.diff(rows), 1)
             if model.languages:
                 bits = model.lengths(data, rows)
