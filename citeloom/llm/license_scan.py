@@ -4,8 +4,9 @@ DataFrame functions only. Words are runs of ``[a-z0-9]`` of the lower-cased text
 row. Templates are put in classes by length: those of at most S words meet windows of 2 S words that begin every S
 words, so an occurrence lies whole in one window at least. For a template whose share ``LEAST`` of shingles is in a
 window, the Jaccard similarity is at least ``LEAST * |T| / (|W| + (1 - LEAST) * |T|)``; a class has as many bands of one
-MinHash value as bring the chance to miss its shortest template under ``MISS``. A window without any shingle of a
-template contains nothing of it, so only windows with one are hashed; that test drops no match.
+MinHash value as bring the chance to miss its shortest template under ``MISS``. Templates may be of any length: classes
+go on by halves again. A band agrees where the least hash of the window is that of a shingle of the template, so a window
+without any shingle of a template meets none; only windows with one are hashed, which changes nothing in what is retrieved.
 
 Retrieved pairs are verified by exact containment: the share of the template's shingles that the window has.
 
@@ -50,10 +51,47 @@ TEMPLATES = {
     "BSD text": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
     ),
+    "MIT full text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the"
+        " Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,"
+        " distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to"
+        " the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions"
+        " of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE"
+        " WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE"
+        " LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN"
+        " CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC full text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the"
+        " above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL"
+        " WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE"
+        " LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,"
+        " WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS"
+        " SOFTWARE."
+    ),
+    "BSD-2-Clause full text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are"
+        " met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2."
+        " Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the"
+        " documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS"
+        " AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A"
+        " PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,"
+        " SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,"
+        " DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT"
+        " (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
-#: Most words of the templates of a class.
-CLASSES = (6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
+#: Most words of the templates of the first two classes; each further one has twice those of the one but one before it.
+CLASSES = (6, 8)
+
+
+def class_of(words: int) -> int:
+    """Most words of the class that a template of ``words`` words is in: 6, 8, 12, 16, 24, 32 and so on."""
+    a, b = CLASSES
+    while words > a:
+        a, b = b, 2 * a
+    return a
 
 
 def _words(text: str) -> list[str]:
@@ -72,9 +110,9 @@ def templates(spark, texts: dict[str, str] | None = None) -> tuple[DataFrame, di
     rows, shortest = [], {}
     for name, text in sorted((TEMPLATES if texts is None else texts).items()):
         found = _words(text)
-        if not SIZE <= len(found) <= CLASSES[-1]:
-            raise ValueError(f"{name}: a template has {SIZE} to {CLASSES[-1]} words")
-        size = next(s for s in CLASSES if len(found) <= s)
+        if len(found) < SIZE:
+            raise ValueError(f"{name}: a template has {SIZE} words at least")
+        size = class_of(len(found))
         rows.append((name, size, found))
         shortest[size] = min(shortest.get(size, len(found)), len(found))
     table = spark.createDataFrame(rows, "license string, size int, words array<string>")
