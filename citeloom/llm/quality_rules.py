@@ -6,7 +6,8 @@ grown by information gain on two thirds of the sample, pruned on the rest, and a
 so that clean documents stay. Covered rows leave, and the next rule is learned from what is left.
 
 The learning sample is bounded by ``sample_rows`` labelled rows (chosen by a hash of the id, so the same on every run);
-the statistics and the verdict cover all documents.
+the statistics and the verdict cover all documents. Thresholds are on nine features, ``features``: the words, and ratios
+of the counts to words, characters or lines. Ids may be of any type that has an order.
 
 Nulls and empty texts: no words, so all statistics are 0. A label row with a null id or label is ignored; of several
 labels of one id the worst counts. Without usable labels, or with labels of one class only, the list is empty and keeps
@@ -194,7 +195,7 @@ def sequential_covering(values: dict[str, np.ndarray], bad: np.ndarray, held: np
         if not rule:
             break
         inside = covers(rule, values, len(bad)) & left
-        p, n = (bad & inside).sum(), (~bad & inside).sum()
+        p, n = (bad & inside & held).sum(), (~bad & inside & held).sum()
         if p < support or p < precision * (p + n):
             break
         rules.append(rule)
@@ -217,13 +218,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     known = sampled(known, F.col("id"), sample_rows)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(known), "id")
     measured = text_statistics(rows, "id", "text").join(F.broadcast(known), "id")
-    sample = measured.select("id", "label", *(c.alias(n) for n, c in features().items())).dropDuplicates(["id"]).orderBy("id").toArrow()
+    back = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 0
+    sample = measured.select("id", "label", back.alias("held"), *(c.alias(n) for n, c in features().items())).dropDuplicates(["id"]).orderBy("id").toArrow()
     bad = sample.column("label").to_numpy() == 0
     if bad.all() or not bad.any():
         return []
     values = {n: sample.column(n).to_numpy() for n in features()}
-    held = mix(sample.column("id").to_numpy().astype(np.uint64)) % np.uint64(3) == 0
-    return sequential_covering(values, bad, held)
+    return sequential_covering(values, bad, sample.column("held").to_numpy(zero_copy_only=False))
 
 
 def judge(docs: DataFrame, rules: list[Rule], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
