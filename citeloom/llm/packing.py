@@ -8,10 +8,10 @@ tightest gap that takes them.
 Only lengths matter to that plan, and there are no more lengths than the capacity. So the driver plans on the counts
 of pieces by length (at most ``capacity`` numbers, whatever the input): runs of sequences that are filled alike. A
 piece then finds its place from its length and its rank among the pieces of that length; ranks come from counts by
-length and hash bucket, so the pieces of a hot length are spread over many tasks.
+length and hash bucket, so the pieces of a hot length are spread over many tasks, equal rows among them.
 
-Null and empty texts are the end id alone. Ties (equal length) are ranked by bucket, id, piece, start and checksum;
-repeated rows each get a place. Null ids are packed as any other. An empty table gives no rows. Other columns are
+Null and empty texts are the end id alone. Ties (equal length) are ranked by bucket, id, piece, start, checksum and
+place in the written pieces; repeated rows each get a place. Null ids are packed as any other. An empty table gives no rows. Other columns are
 ignored, whatever their names.
 """
 
@@ -67,6 +67,7 @@ def token_ids(text: str, vocabulary: str | None = None) -> list[int]:
 
 
 def _pieces(vocabulary: str | None, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made = 0
     for whole in batches:
         for batch in slices(whole, "text"):
             owner, piece, start, length, crc = [], [], [], [], []
@@ -80,7 +81,9 @@ def _pieces(vocabulary: str | None, capacity: int, batches: Iterator[pa.RecordBa
                     length.append(edges[k + 1] - edges[k])
                     crc.append(zlib.crc32(ids[edges[k] : edges[k + 1]].tobytes()))
             ids_of = batch.column("id").take(pa.array(owner, pa.int64()))
-            yield pa.record_batch([ids_of, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["id", "piece", "start", "length", "ids_crc32"])
+            turn = np.arange(made, made + len(owner))
+            made += len(owner)
+            yield pa.record_batch([ids_of, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(turn, pa.int64())], names=["id", "piece", "start", "length", "ids_crc32", "turn"])
 
 
 @dataclass
@@ -168,14 +171,14 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     chosen = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
     columns = f"id {kind}, piece int, start long, length long, ids_crc32 long"
-    pieces = materialise(chosen.mapInArrow(partial(_pieces, vocabulary, capacity), columns), shared_dir(spark), "pieces")
+    pieces = materialise(chosen.mapInArrow(partial(_pieces, vocabulary, capacity), f"{columns}, turn long"), shared_dir(spark), "pieces")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(buckets)))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32", "turn"), F.lit(buckets)))
     cells = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     planned = plan({r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = cells.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "bucket").orderBy("id", "piece", "start", "ids_crc32")
+    own = Window.partitionBy("length", "bucket").orderBy("id", "piece", "start", "ids_crc32", "turn")
     ranked = pieces.withColumn("own", F.row_number().over(own)).join(base, ["length", "bucket"])
     ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("own") - 1).alias("rank"))
     shared = spark.sparkContext.broadcast(planned)
