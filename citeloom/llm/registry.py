@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_extract, language_id, license_scan, lm_score, media, ngram_join, packing, pieces, quality_rules, warc
-from ._shared import bounded_batches
+from ._shared import bounded_batches, materialise, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +46,9 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document stored as an image, read back and hashed."""
-    docs = table(spark, sf_dir, "documents")
-    return media.media_features(media.to_media(docs))
+    """Every document stored as an image in a binary column of a written table, read back and hashed."""
+    stored = materialise(media.to_media(table(spark, sf_dir, "documents")), shared_dir(spark), "media")
+    return media.media_features(stored)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
