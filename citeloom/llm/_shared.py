@@ -34,8 +34,8 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def sampled(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """At most ``rows`` rows, those of least hash of ``key``, the same on every run.
+def sampled(df: DataFrame, key: Column, rows: int, distinct: bool = False) -> DataFrame:
+    """At most ``rows`` rows, those of least hash of ``key``, the same on every run; with ``distinct``, of unequal rows.
 
     A filter on the hash, at a rate from the row count, leaves little over ``rows`` rows before they are put in order, so
     what meets in one place does not grow with the tasks.
@@ -43,6 +43,7 @@ def sampled(df: DataFrame, key: Column, rows: int) -> DataFrame:
     n = df.count()
     if n > rows:
         df = df.where(F.pmod(F.xxhash64(key, F.lit(0)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, (rows + 4 * rows**0.5) / n)))
+    df = df.distinct() if distinct else df
     return df.orderBy(F.xxhash64(key, F.lit(0)), key).limit(rows)
 
 

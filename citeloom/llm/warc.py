@@ -184,9 +184,9 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def train_dictionary(pages: DataFrame, payload_column: str = "html", sample_rows: int = 200, size: int = 32 << 10) -> bytes:
-    """A Zstandard dictionary trained on at most ``sample_rows`` payloads; empty if they are too few to train on."""
+    """A Zstandard dictionary trained on at most ``sample_rows`` different payloads; empty if they are too few to train on."""
     filled = pages.where(F.length(payload_column) > 0).select(payload_column)
-    rows = sampled(filled, F.col(payload_column), sample_rows).collect()
+    rows = sampled(filled, F.col(payload_column), sample_rows, distinct=True).collect()
     try:
         return zstandard.train_dictionary(size, [r[0].encode() for r in rows]).as_bytes()
     except zstandard.ZstdError:
@@ -199,7 +199,8 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", ur
     payload = F.encode("text", "UTF-8")
     digested = chosen.select("id", "url", payload.alias("html"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
     twice = digested.where(F.col("size") >= LEAST).groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1 and least is not null").select("digest", "least")
-    joined = digested.join(twice, "digest", "left").withColumn("refers_to", F.when(~F.col("id").eqNullSafe(F.col("least")), F.col("least")))
+    met = F.when(F.col("size") >= LEAST, F.col("digest")).otherwise(F.xxhash64("id", "url").cast("string"))  # small ones meet nothing
+    joined = digested.withColumn("met", met).join(twice.withColumnRenamed("digest", "met"), "met", "left").withColumn("refers_to", F.when(~F.col("id").eqNullSafe(F.col("least")), F.col("least")))
     rows = joined.select("id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "digest", "size", "refers_to")
     names = rows.mapInArrow(partial(_write, f"{folder}/archives", train_dictionary(chosen, "text"), most), "name string")
     return materialise(names, folder, "manifest").select(F.concat(F.lit(f"{folder}/archives/"), "name").alias("path"))
