@@ -143,7 +143,12 @@ def lotka_histogram(r: Roles) -> DataFrame:
     return descriptive.lotka(r.authors(), "author").select("papers", "authors", "observed")
 
 
-@query()
+@query("""
+, c AS (SELECT papers, count(*) AS authors FROM (SELECT keyword, count(*) AS papers FROM keywords GROUP BY keyword) GROUP BY papers), t AS (SELECT sum(authors) AS n, sum(authors * ln(papers)) AS logs FROM c),
+g AS (SELECT CAST(1.01 AS DOUBLE) + i * CAST(0.01 AS DOUBLE) AS alpha, (SELECT sum(exp(-ln(k) * (CAST(1.01 AS DOUBLE) + i * CAST(0.01 AS DOUBLE)))) FROM range(1, 1001) r(k)) AS zeta FROM range(0, 400) q(i)),
+b AS (SELECT arg_max(alpha, -alpha * logs - n * ln(zeta)) AS alpha, arg_max(zeta, -alpha * logs - n * ln(zeta)) AS zeta, any_value(n) AS n FROM g, t),
+f AS (SELECT papers, authors, authors / n AS observed, pow(papers, -alpha) / zeta AS expected, alpha FROM c, b), h AS (SELECT *, abs(sum(observed) OVER (ORDER BY papers) - sum(expected) OVER (ORDER BY papers)) AS gap FROM f)
+SELECT papers, authors, round(observed, 6) AS observed, round(expected, 6) AS expected, round(alpha, 6) AS alpha, round(max(gap) OVER (), 6) AS ks FROM h""")
 def lotka_fit(r: Roles) -> DataFrame:
     return descriptive.lotka(r.keywords(), "keyword")
 
@@ -454,7 +459,10 @@ def country_outliers(r: Roles) -> DataFrame:
     return countries.outliers(countries.summary(_panel(r)))
 
 
-@query()
+@query(_PANEL + _PAIRS + """
+, st AS (SELECT country, sum(weight) AS strength FROM (SELECT a AS country, weight FROM pairs UNION ALL SELECT b, weight FROM pairs) GROUP BY country),
+j AS (SELECT country, articles, citations / CAST(articles AS DOUBLE) AS cited, coalesce(strength, 0) AS strength FROM totals LEFT JOIN st USING (country)), q AS (SELECT quantile_cont(articles, 0.8) AS qa, quantile_cont(cited, 0.8) AS qc, quantile_cont(strength, 0.8) AS qs FROM j)
+SELECT country, CASE WHEN articles >= qa AND cited >= qc THEN 'leader' WHEN articles >= qa THEN 'producer' WHEN cited >= qc THEN 'influencer' WHEN strength >= qs THEN 'connector' ELSE 'follower' END AS role FROM j, q""")
 def country_roles(r: Roles) -> DataFrame:
     return countries.roles(countries.summary(_panel(r)), countries.partners(r.countries()))
 
@@ -521,12 +529,18 @@ def source_specialization(r: Roles) -> DataFrame:
     return venues.specialization(r.records(), r.keywords())
 
 
-@query()
+@query("""
+, p AS (SELECT source, year, count(*) AS articles FROM records WHERE source IS NOT NULL GROUP BY ALL), g AS (SELECT source, min(year) AS f, max(year) AS l, arg_min(articles, year) AS fv, arg_max(articles, year) AS lv, CASE WHEN count(*) > 1 THEN regr_slope(articles, year) END AS s FROM p GROUP BY source),
+c AS (SELECT *, CASE WHEN l > f THEN pow(lv / CAST(fv AS DOUBLE), 1.0 / (l - f)) - 1 END AS cagr, max(l) OVER () AS e FROM g)
+SELECT source, CASE WHEN e - l > 2 THEN 'dormant' WHEN cagr > 0.10 AND s > 0 THEN 'emerging' WHEN s > 0 THEN 'growing' WHEN s < 0 THEN 'declining' ELSE 'mature' END AS stage, round(greatest(0, lv + coalesce(s, 0)), 6) AS forecast FROM c""")
 def source_lifecycle(r: Roles) -> DataFrame:
     return venues.lifecycle(venues.growth_table(venues.panel(r.records())))
 
 
-@query()
+@query("""
+, s AS (SELECT source, count(*) AS tp, avg(citations) AS cpp FROM records WHERE source IS NOT NULL GROUP BY source), m AS (SELECT median(tp) AS p, median(cpp) AS c FROM s),
+d AS (SELECT *, sqrt(pow((tp - avg(tp) OVER ()) / stddev_samp(tp) OVER (), 2) + pow((cpp - avg(cpp) OVER ()) / stddev_samp(cpp) OVER (), 2)) AS distance FROM s), q AS (SELECT quantile_cont(distance, 0.9) AS cut FROM d)
+SELECT source, CASE WHEN tp >= p AND cpp >= c THEN 'flagship' WHEN tp >= p THEN 'volume' WHEN cpp >= c THEN 'niche' ELSE 'peripheral' END AS archetype, round(distance, 6) AS distance, distance >= cut AS outlier FROM d, m, q""")
 def source_archetypes(r: Roles) -> DataFrame:
     return venues.archetypes(venues.summary(r.records()))
 
@@ -572,7 +586,7 @@ def coauthor_clustering(r: Roles) -> DataFrame:
     return networks.clustering(_coauthors(r))
 
 
-@query()
+@query(_COAUTHORS + ", reach(node, other) AS (SELECT node, node FROM d UNION SELECT reach.node, w.other FROM reach JOIN w ON reach.other = w.node) SELECT node, min(other) AS component FROM reach GROUP BY node")
 def coauthor_components(r: Roles) -> DataFrame:
     return networks.components(_coauthors(r))
 
@@ -593,15 +607,21 @@ def keyword_eigenvector(r: Roles) -> DataFrame:
     return networks.eigenvector(networks.cooccurrence(r.keywords(), "keyword"))
 
 
-@query()
+_HOPS = _EDGES + ", r(s, n, h) AS (SELECT node, node, 0 FROM d UNION SELECT s, other, h + 1 FROM r JOIN w ON n = node WHERE h < 12), m AS (SELECT s, n, min(h) AS h FROM r GROUP BY ALL)"
+
+
+@query(_HOPS + " SELECT s AS node, count(*) AS reached, round(avg(h), 6) AS mean_distance, round(count(*) / sum(h), 6) AS closeness FROM m WHERE h > 0 GROUP BY s")
 def keyword_closeness(r: Roles) -> DataFrame:
     edges = networks.cooccurrence(r.keywords(), "keyword")
     return networks.closeness(edges, networks.degrees(edges).select("node"))
 
 
-@query()
+@query(_HOPS + """
+, p(s, n, h, c) AS (SELECT node, node, 0, CAST(1 AS DOUBLE) FROM d UNION ALL SELECT p.s, w.other, p.h + 1, sum(p.c) FROM p JOIN w ON p.n = w.node JOIN m ON m.s = p.s AND m.n = w.other AND m.h = p.h + 1 GROUP BY p.s, w.other, p.h + 1),
+b AS (SELECT v.n AS node, sum(v.c * u.c / t.c) / 2 AS b FROM p v JOIN p u ON u.s = v.n JOIN p t ON t.s = v.s AND t.n = u.n AND t.h = v.h + u.h WHERE v.s <> v.n AND u.s <> u.n AND v.s <> u.n GROUP BY v.n)
+SELECT node, round(coalesce(b, 0), 6) AS betweenness FROM d LEFT JOIN b USING (node)""")
 def keyword_betweenness(r: Roles) -> DataFrame:
-    edges = networks.cooccurrence(r.keywords(), "keyword").where("weight >= 20")
+    edges = networks.cooccurrence(r.keywords(), "keyword")
     return networks.betweenness(edges, networks.degrees(edges).select("node"))
 
 
@@ -667,12 +687,20 @@ def series_pettitt(r: Roles) -> DataFrame:
     return series.pettitt(_series(r), ["doc_type"])
 
 
-@query()
+_SHIFT = _SERIES + ", x AS (SELECT *, row_number() OVER w AS i, count(*) OVER v AS n, CAST(sum(articles) OVER w AS DOUBLE) AS r, CAST(sum(articles) OVER v AS DOUBLE) AS a, sum(articles * articles) OVER v AS q FROM s WINDOW w AS (PARTITION BY doc_type ORDER BY year), v AS (PARTITION BY doc_type)), g AS (SELECT *, r * r / i + (a - r) * (a - r) / (n - i) - a * a / n AS gain FROM x WHERE i < n), b AS (SELECT *, row_number() OVER (PARTITION BY doc_type ORDER BY round(gain, 9) DESC, year) AS p FROM g)"
+
+
+@query(_SHIFT + " SELECT doc_type, year, round(gain, 6) AS gain, round(gain * (n - 2) / (q - a * a / n - gain), 6) AS f FROM b WHERE p = 1")
 def series_mean_shift(r: Roles) -> DataFrame:
     return series.mean_shift(_series(r), ["doc_type"])
 
 
-@query()
+@query(_SHIFT + """
+, pv AS (SELECT a.doc_type, a.year, sum(sign(a.articles - b.articles)) AS v FROM s a JOIN s b ON a.doc_type = b.doc_type GROUP BY ALL), pu AS (SELECT *, abs(sum(v) OVER (PARTITION BY doc_type ORDER BY year)) AS u FROM pv),
+cd AS (SELECT *, articles - avg(articles) OVER (PARTITION BY doc_type) AS d FROM s), cu AS (SELECT *, abs(sum(d) OVER (PARTITION BY doc_type ORDER BY year)) AS u FROM cd), cs AS (SELECT c.doc_type, c.year, round(u / (stddev_samp(articles) OVER (PARTITION BY c.doc_type) * sqrt(count(*) OVER (PARTITION BY c.doc_type))), 9) AS u FROM cu c),
+found AS (SELECT doc_type, year, 'mean_shift' AS method FROM b WHERE p = 1 UNION ALL SELECT doc_type, arg_max(year, u * 10000 - year), 'pettitt' FROM pu GROUP BY doc_type
+          UNION ALL SELECT doc_type, year, 'cusum' FROM (SELECT *, row_number() OVER (PARTITION BY doc_type ORDER BY u DESC, year) AS p FROM cs) WHERE p = 1)
+SELECT f.doc_type, f.method, f.year, count(*) AS votes, count(*) >= 2 AS consensus FROM found f JOIN found o ON f.doc_type = o.doc_type AND abs(f.year - o.year) <= 2 GROUP BY ALL""")
 def series_change_consensus(r: Roles) -> DataFrame:
     return series.change_consensus(_series(r), ["doc_type"])
 
@@ -692,12 +720,20 @@ def series_residual_checks(r: Roles) -> DataFrame:
     return series.residual_checks(_series(r), ["doc_type"])
 
 
-@query()
+@query(_SERIES + """
+, x AS (SELECT *, lag(articles) OVER w AS l, row_number() OVER w - 1 AS n, avg(articles) OVER (PARTITION BY doc_type ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m, first_value(articles) OVER w AS f FROM s WINDOW w AS (PARTITION BY doc_type ORDER BY year)),
+y AS (SELECT doc_type, n, abs(articles - l) AS step, articles, 'naive' AS model, CAST(l AS DOUBLE) AS p FROM x UNION ALL SELECT doc_type, n, abs(articles - l), articles, 'mean', m FROM x UNION ALL SELECT doc_type, n, abs(articles - l), articles, 'drift', l + CASE WHEN n <> 1 THEN (l - f) / CAST(n - 1 AS DOUBLE) ELSE 0 END FROM x)
+SELECT doc_type, model, count(*) FILTER (n >= 3) AS folds, round(avg(abs(articles - p)) FILTER (n >= 3), 6) AS mae, round(sqrt(avg((articles - p) * (articles - p)) FILTER (n >= 3)), 6) AS rmse, round(avg(abs(articles - p)) FILTER (n >= 3) / avg(step), 6) AS mase FROM y GROUP BY doc_type, model""")
 def series_rolling_baselines(r: Roles) -> DataFrame:
     return series.rolling_baselines(_series(r), ["doc_type"], 3)
 
 
-@query()
+@query(_SERIES + """
+, v AS (SELECT doc_type, CAST(articles AS DOUBLE) AS y, row_number() OVER (PARTITION BY doc_type ORDER BY year) AS i FROM s),
+h(doc_type, i, l, b) AS (SELECT a.doc_type, CAST(1 AS BIGINT), a.y, o.y - a.y FROM v a JOIN v o ON a.doc_type = o.doc_type AND a.i = 1 AND o.i = 2
+   UNION ALL SELECT h.doc_type, v.i, 0.3 * y + 0.7 * (l + b), 0.1 * (0.3 * y + 0.7 * (l + b) - l) + 0.9 * b FROM h JOIN v ON v.doc_type = h.doc_type AND v.i = h.i + 1),
+e AS (SELECT doc_type, arg_max(l, i) AS l, arg_max(b, i) AS b FROM h GROUP BY doc_type), z AS (SELECT doc_type, max(year) AS y FROM s GROUP BY doc_type)
+SELECT doc_type, CAST(y + k AS INTEGER) AS year, round(l + k * b, 6) AS forecast FROM e JOIN z USING (doc_type), range(1, 6) r(k)""")
 def series_holt_forecast(r: Roles) -> DataFrame:
     return series.holt_forecast(_series(r), ["doc_type"])
 
@@ -707,7 +743,10 @@ def series_curves(r: Roles) -> DataFrame:
     return series.fit_curves(_series(r), ["doc_type"]).select("doc_type", "model", "r2", "adj_r2", "rmse", "mae", "aic", "bic", "weight", "rank")
 
 
-@query()
+@query(_SERIES + """
+, l AS (SELECT doc_type, regr_slope(articles, year) AS b, regr_intercept(articles, year) AS a FROM s GROUP BY doc_type), e AS (SELECT doc_type, articles - a - b * year AS e, row_number() OVER (PARTITION BY doc_type ORDER BY year) - 1 AS t, count(*) OVER (PARTITION BY doc_type) AS n FROM s JOIN l USING (doc_type)),
+f AS (SELECT doc_type, k AS frequency, n, sum(e * cos(2 * pi() * k * t / n)) AS c, sum(e * sin(2 * pi() * k * t / n)) AS q FROM e, range(1, 1000) r(k) WHERE n >= 4 AND k <= n // 2 GROUP BY ALL), w AS (SELECT doc_type, frequency, n / frequency AS period, (c * c + q * q) / n AS power FROM f)
+SELECT doc_type, CAST(frequency AS INTEGER) AS frequency, round(period, 6) AS period, round(power, 6) AS power, round(power / sum(power) OVER (PARTITION BY doc_type), 6) AS share FROM w""")
 def series_spectrum(r: Roles) -> DataFrame:
     return series.spectrum(_series(r), ["doc_type"])
 
@@ -769,12 +808,15 @@ def citations_bootstrap(r: Roles) -> DataFrame:
 # Text functions over documents
 
 
-@query("SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(lower(translate(substr(text, 1, 200), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝß', 'aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUYs')), '&amp;|&', ' and ', 'g'), '[^a-z0-9]+', ' ', 'g')), '') AS title_key FROM documents")
+@query("SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(lower(translate(text, 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝß', 'aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUYs')), '&amp;|&', ' and ', 'g'), '[^a-z0-9]+', ' ', 'g')), '') AS title_key FROM documents")
 def title_keys(r: Roles) -> DataFrame:
     return r.table("documents").select("doc_id", T.title_key(F.col("text")).alias("title_key"))
 
 
-@query()
+@query("""
+, p AS (SELECT lang, text, ' ' || regexp_replace(lower(text), '[^\\p{L}]+', '  ', 'g') || ' ' AS w FROM documents),
+h AS (SELECT lang, text, """ + ", ".join(f"len(regexp_extract_all(w, ' ({'|'.join(words)}) ')) AS {name}" for name, words in T.STOP_WORDS.items()) + """, len(regexp_extract_all(text, '[一-鿿]')) AS ideographs FROM p), m AS (SELECT *, greatest(en, es, fr, de) AS most FROM h)
+SELECT lang, CASE WHEN ideographs > 0.3 * length(text) THEN 'chinese' WHEN most = 0 THEN 'unknown' WHEN en = most THEN 'en' WHEN es = most THEN 'es' WHEN fr = most THEN 'fr' WHEN de = most THEN 'de' END AS found, count(*) AS documents FROM m GROUP BY ALL""")
 def language_by_stop_words(r: Roles) -> DataFrame:
     found = r.table("documents").select("lang", T.language(F.col("text")).alias("found"))
     return found.groupBy("lang", "found").agg(F.count("*").alias("documents"))
@@ -811,16 +853,26 @@ def screening_kappa(r: Roles) -> DataFrame:
     return screening.cohens_kappa(screening.standardise(_ledger(r))).drop("level")
 
 
-@query()
+@query(_LEDGER + """
+, k AS (SELECT doc, decision, count(*) AS n FROM l GROUP BY ALL), g AS (SELECT doc, sum(n) AS m, sum(n * (n - 1)) AS same FROM k GROUP BY doc HAVING sum(n) > 1), o AS (SELECT avg(same / (m * (m - 1))) AS observed, count(*) AS documents FROM g),
+e AS (SELECT decision, sum(n) AS n FROM k JOIN g USING (doc) GROUP BY decision), c AS (SELECT sum(p * p) AS chance FROM (SELECT n / sum(n) OVER () AS p FROM e))
+SELECT 'screening' AS stage, round(observed, 6) AS observed, documents, round(chance, 6) AS chance, round(CASE WHEN chance < 1 THEN (observed - chance) / (1 - chance) ELSE 1 END, 6) AS kappa FROM o, c""")
 def screening_fleiss(r: Roles) -> DataFrame:
     return screening.fleiss_kappa(_ledger(r))
 
 
-@query()
+@query(_LEDGER + """
+, k AS (SELECT doc, decision, count(*) AS n FROM l GROUP BY ALL), g AS (SELECT *, sum(n) OVER (PARTITION BY doc) AS m FROM k), u AS (SELECT * FROM g WHERE m > 1), d AS (SELECT sum(n * (m - n) / (m - 1)) AS differ, sum(n) AS ratings FROM u), t AS (SELECT sum(n) * sum(n) - sum(n * n) AS pairs FROM (SELECT decision, sum(n) AS n FROM u GROUP BY decision))
+SELECT 'screening' AS stage, CAST(ratings AS BIGINT) AS ratings, round(CASE WHEN pairs > 0 THEN 1 - differ / (pairs / (ratings - 1)) ELSE 1 END, 6) AS alpha FROM d, t""")
 def screening_alpha(r: Roles) -> DataFrame:
     return screening.krippendorff_alpha(_ledger(r))
 
 
-@query()
+@query(_LEDGER + """
+, c AS (SELECT count(DISTINCT doc) AS screened, count(DISTINCT CASE WHEN x > i THEN doc END) AS excluded FROM v), i AS (SELECT count(*) AS identified FROM documents)
+SELECT identified, screened, excluded AS screening_excluded, 0 AS assessed, 0 AS eligibility_excluded, 0 AS included, identified >= screened AS monotone FROM i, c""")
 def screening_prisma(r: Roles) -> DataFrame:
     return screening.prisma(screening.consensus(screening.standardise(_ledger(r))), r.table("documents"))
+
+
+from . import catalog_more  # noqa: E402, F401  registers further queries

@@ -31,9 +31,26 @@ def normal_two_sided(z: Column) -> Column:
 
 
 def chi_square_tail(x: Column, df: Column) -> Column:
-    """Upper tail of chi-square by Wilson and Hilferty's cube-root normal approximation."""
+    """Upper tail of chi-square: the finite series for whole ``df`` up to 200, else Wilson and Hilferty's approximation."""
+    half, whole = x / 2, df.cast("int")
+    terms = F.greatest(F.floor(whole / 2), F.lit(1)).cast("int")
+    start = F.struct(F.lit(1.0).cast("double").alias("term"), F.lit(0.0).cast("double").alias("sum"))
+
+    def series(first: Column, step: float) -> Column:
+        """Sum of ``whole / 2`` (rounded down) terms: ``first``, each next one times half / (place + step)."""
+        def add(acc: Column, i: Column) -> Column:
+            term = F.when(i == 1, first).otherwise(acc["term"] * half / (i - 1 + step))
+            on = i <= F.floor(whole / 2)
+            return F.struct(F.when(on, term).otherwise(acc["term"]).alias("term"), F.when(on, acc["sum"] + term).otherwise(acc["sum"]).alias("sum"))
+
+        return F.aggregate(F.sequence(F.lit(1), terms), start, add)["sum"]
+
+    even = F.exp(-half) * series(F.lit(1.0), 0.0)
+    odd = erfc(F.sqrt(half)) + F.exp(-half) * series(F.sqrt(half) * (2 / math.sqrt(math.pi)), 0.5)
     h = 2.0 / (9.0 * df)
-    return F.when(x <= 0, F.lit(1.0)).otherwise(1 - normal_cdf((F.pow(x / df, 1.0 / 3) - (1 - h)) / F.sqrt(h)))
+    rough = 1 - normal_cdf((F.pow(x / df, 1.0 / 3) - (1 - h)) / F.sqrt(h))
+    exact = F.when(whole % 2 == 0, even).otherwise(odd)
+    return F.when(x <= 0, F.lit(1.0)).when((df == whole) & (df <= 200), F.least(F.lit(1.0), exact)).otherwise(rough)
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p_value", groups: tuple[str, ...] = ()) -> DataFrame:
@@ -76,17 +93,36 @@ def average_ranks(df: DataFrame, value: str, groups: tuple[str, ...] = (), out:
     return df.join(places, same, "left").drop("_x", *(f"_{g}" for g in groups))
 
 
+def rank_table(counted: DataFrame, value: str, n: str, out: str) -> DataFrame:
+    """``value`` and its average rank ``out`` in a table of values with counts ``n``; one row a distinct value."""
+    of = counted.groupBy(value).agg(F.sum(n).alias("_t"))
+    before = F.coalesce(F.sum("_t").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return of.select(value, "_t", (before + (F.col("_t") + 1) / 2).alias(out))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Spearman's rho with average ranks, n, and the large-sample z of rho * sqrt(n - 1)."""
-    both = average_ranks(average_ranks(df.select(x, y).dropna(), x, out="_rx"), y, out="_ry")
-    return both.agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n")).withColumn("z", F.col("rho") * F.sqrt(F.col("n") - 1.0))
+    """Spearman's rho with average ranks, n, and the large-sample z of rho * sqrt(n - 1). Rows are counted by pair of values
+    first, so a value that many rows have is one row of the joins."""
+    pairs = df.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna().groupBy("x", "y").agg(F.count("*").alias("c"))
+    both = pairs.join(rank_table(pairs, "x", "c", "rx").drop("_t"), "x").join(rank_table(pairs, "y", "c", "ry").drop("_t"), "y")
+    c, rx, ry = F.col("c"), F.col("rx"), F.col("ry")
+    sums = both.agg(F.sum("c").alias("n"), F.sum(c * rx).alias("_x"), F.sum(c * ry).alias("_y"), F.sum(c * rx * rx).alias("_xx"), F.sum(c * ry * ry).alias("_yy"), F.sum(c * rx * ry).alias("_xy"))
+    n = F.col("n").cast("double")
+    spread = F.sqrt((n * F.col("_xx") - F.col("_x") * F.col("_x")) * (n * F.col("_yy") - F.col("_y") * F.col("_y")))
+    rho = F.when(spread > 0, (n * F.col("_xy") - F.col("_x") * F.col("_y")) / spread)
+    return sums.select(rho.alias("rho"), F.coalesce("n", F.lit(0)).alias("n")).withColumn("z", F.col("rho") * F.sqrt(F.col("n") - 1.0))
+
+
+def _tie_sum(ranks: DataFrame) -> DataFrame:
+    return ranks.agg(F.sum(F.col("_t").cast("double") * F.col("_t") * F.col("_t") - F.col("_t")).alias("_ties"))
 
 
 def rank_sum(df: DataFrame, value: str, first: Column) -> DataFrame:
-    """Wilcoxon rank-sum (Mann-Whitney) of rows where ``first`` holds against the rest: U, tie-corrected z, p."""
-    marked = average_ranks(df.select(F.col(value).alias("v"), first.alias("g")).dropna(), "v")
-    ties = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("_ties"))
-    sums = marked.agg(F.sum(F.col("g").cast("int")).alias("n1"), F.sum((~F.col("g")).cast("int")).alias("n2"), F.sum(F.when(F.col("g"), F.col("rank"))).alias("_w")).crossJoin(ties)
+    """Wilcoxon rank-sum (Mann-Whitney) of rows where ``first`` holds against the rest: U, tie-corrected z, p. Ranks weight the
+    histogram of values; no row meets its rank."""
+    counted = df.select(F.col(value).alias("v"), first.alias("g")).dropna().groupBy("v").agg(F.count_if("g").alias("f"), F.count("*").alias("c"))
+    ranks = rank_table(counted, "v", "c", "rank")
+    sums = counted.join(ranks, "v").agg(F.sum("f").alias("n1"), F.sum(F.col("c") - F.col("f")).alias("n2"), F.sum(F.col("f") * F.col("rank")).alias("_w")).crossJoin(_tie_sum(ranks))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = F.col("_w") - n1 * (n1 + 1) / 2
@@ -96,13 +132,14 @@ def rank_sum(df: DataFrame, value: str, first: Column) -> DataFrame:
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Kruskal-Wallis H over groups with tie correction, degrees of freedom, p and epsilon squared."""
-    ranked = average_ranks(df.select(F.col(value).alias("v"), F.col(group).alias("g")).dropna(), "v")
-    sums = ranked.groupBy("g").agg(F.sum("rank").alias("r"), F.count("*").alias("k")).agg(F.sum(F.col("r") * F.col("r") / F.col("k")).alias("_s"), F.sum("k").alias("n"), (F.count("*") - 1).alias("df"))
-    ties = ranked.groupBy("v").agg(F.count("*").alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("_ties"))
+    """Kruskal-Wallis H over groups with tie correction, degrees of freedom, p and epsilon squared, from the histogram of
+    (value, group)."""
+    counted = df.select(F.col(value).alias("v"), F.col(group).alias("g")).dropna().groupBy("v", "g").agg(F.count("*").alias("c"))
+    ranks = rank_table(counted, "v", "c", "rank")
+    sums = counted.join(ranks, "v").groupBy("g").agg(F.sum(F.col("c") * F.col("rank")).alias("r"), F.sum("c").alias("k")).agg(F.sum(F.col("r") * F.col("r") / F.col("k")).alias("_s"), F.sum("k").alias("n"), (F.count("*") - 1).alias("df"))
     n = F.col("n").cast("double")
     h = (12 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)) / (1 - F.col("_ties") / (n * n * n - n))
-    return sums.crossJoin(ties).select("n", "df", h.alias("h"), chi_square_tail(h, F.col("df").cast("double")).alias("p_value"), (h / (n - 1)).alias("epsilon_squared"))
+    return sums.crossJoin(_tie_sum(ranks)).select("n", "df", h.alias("h"), chi_square_tail(h, F.col("df").cast("double")).alias("p_value"), (h / (n - 1)).alias("epsilon_squared"))
 
 
 def benford(df: DataFrame, value: str) -> DataFrame:
@@ -129,21 +166,71 @@ def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     return sums.select((F.col("k") - 1).alias("df1"), (F.col("n") - F.col("k")).alias("df2"), F.when(within > 0, between / within).alias("f"))
 
 
-def bootstrap_mean(df: DataFrame, value: str, rounds: int = 500, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean by a Poisson bootstrap: each row counts a Poisson(1) number of times in a round.
+def poisson(mean: Column, u: Column, z: Column) -> Column:
+    """A Poisson draw from a uniform ``u``: the quantile by summing the distribution for means up to 50, and by the rounded
+    normal one from ``z`` beyond."""
+    most = (mean + 9 * F.sqrt(mean) + 10).cast("int")
+    start = F.struct(F.exp(-mean).alias("p"), F.lit(0.0).alias("below"), F.lit(0).alias("k"))
 
-    Counts follow from a hash of (row value position-free key, round), so every row of the table takes part, nothing is
-    gathered, and a run repeats. Rows with equal values are weighted through their histogram, by a normal draw for
-    frequent values.
+    def step(acc: Column, j: Column) -> Column:
+        below = acc["below"] + acc["p"]
+        return F.struct((acc["p"] * mean / j).alias("p"), below.alias("below"), (acc["k"] + (u > below).cast("int")).alias("k"))
+
+    few = F.aggregate(F.sequence(F.lit(1), F.least(most, F.lit(130))), start, step)["k"]
+    return F.when(mean <= 50, few.cast("double")).otherwise(F.greatest(F.lit(0.0), F.round(mean + F.sqrt(mean) * z)))
+
+
+def bootstrap_draws(df: DataFrame, value: str, rounds: int = 500, seed: int = 42) -> DataFrame:
+    """``r`` (1 to ``rounds``), ``x`` and ``w``: how often each distinct value is drawn in a round of a Poisson bootstrap.
+
+    Each row counts a Poisson(1) number of times, so n equal rows count Poisson(n) times: a row of the histogram for them
+    all. Draws follow from a hash of value and round: a run repeats, every row takes part and nothing is gathered.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").cast("double").alias("n"))
     unit = lambda salt: (F.pmod(F.xxhash64("x", "r", F.lit(seed + salt)), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
     normal = F.sqrt(-2 * F.log(unit(0))) * F.cos(2 * math.pi * unit(1))
-    drawn = counted.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", F.greatest(F.lit(0.0), F.col("n") + F.sqrt(F.col("n").cast("double")) * normal))
-    means = drawn.groupBy("r").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("mean"))
+    drawn = counted.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    return drawn.select("r", "x", poisson(F.col("n"), unit(2), normal).alias("w"))
+
+
+def interval(estimates: DataFrame, column: str, level: float = 0.95) -> DataFrame:
+    """Percentile interval ``low`` to ``high`` of ``column`` over rounds."""
     tail = (1 - level) / 2
-    point = counted.agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("estimate"))
-    return point.crossJoin(means.agg(F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high")))
+    return estimates.agg(F.percentile(column, F.lit(tail)).alias("low"), F.percentile(column, F.lit(1 - tail)).alias("high"))
+
+
+def bootstrap_mean(df: DataFrame, value: str, rounds: int = 500, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """The mean and its percentile interval by ``bootstrap_draws``."""
+    means = bootstrap_draws(df, value, rounds, seed).groupBy("r").agg((F.sum(F.col("x") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("mean"))
+    return df.agg(F.avg(F.col(value).cast("double")).alias("estimate")).crossJoin(interval(means, "mean", level))
+
+
+def bootstrap_proportion(df: DataFrame, test: Column, rounds: int = 500, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """The share of rows (with a non-null test) that pass, and its percentile interval."""
+    return bootstrap_mean(df.select(test.cast("double").alias("x")), "x", rounds, level, seed)
+
+
+def bootstrap_median(df: DataFrame, value: str, rounds: int = 500, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """The median and its percentile interval: in each round the least value at which half the draws are reached."""
+    drawn = bootstrap_draws(df, value, rounds, seed).where("w > 0")
+    up = Window.partitionBy("r").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    reached = drawn.withColumn("c", F.sum("w").over(up)).withColumn("all", F.sum("w").over(Window.partitionBy("r")))
+    low = F.min(F.when(2 * F.col("c") >= F.col("all"), F.col("x")))
+    high = F.min(F.when(2 * F.col("c") > F.col("all"), F.col("x")))
+    medians = reached.groupBy("r").agg(((low + high) / 2).alias("median"))
+    return df.agg(F.median(F.col(value).cast("double")).alias("estimate")).crossJoin(interval(medians, "median", level))
+
+
+def bootstrap_gini(df: DataFrame, value: str, rounds: int = 500, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """The Gini coefficient (of values of 0 and more) and its percentile interval."""
+    def gini(weighted: DataFrame, groups: list[str]) -> DataFrame:
+        before = F.coalesce(F.sum("w").over(Window.partitionBy(*groups).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        ranked = weighted.withColumn("ranked", F.col("w") * before + F.col("w") * (F.col("w") + 1) / 2)
+        sums = ranked.groupBy(*groups).agg(F.sum("w").alias("n"), F.sum(F.col("x") * F.col("w")).alias("s"), F.sum(F.col("x") * F.col("ranked")).alias("q"))
+        return sums.select(*groups, F.when(F.col("s") > 0, 2 * F.col("q") / (F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n")).otherwise(0.0).alias("gini"))
+
+    own = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").cast("double").alias("w"))
+    return gini(own, []).withColumnRenamed("gini", "estimate").crossJoin(interval(gini(bootstrap_draws(df, value, rounds, seed).where("w > 0"), ["r"]), "gini", level))
 
 
 def cohens_d(df: DataFrame, value: str, first: Column) -> DataFrame:

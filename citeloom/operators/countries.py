@@ -250,3 +250,38 @@ def region_weights(regions: DataFrame) -> DataFrame:
     """Weight 1 for ordered pairs of countries of one region."""
     a, b = regions.select("region", F.col("country").alias("a")), regions.select("region", F.col("country").alias("b"))
     return a.join(b, "region").where("a <> b").select("a", "b", F.lit(1.0).alias("w"))
+
+
+def local_statistics(values: DataFrame, weights: DataFrame) -> DataFrame:
+    """Per country of ``values`` (country, x) under ``weights`` (a, b, w): local Moran's ``moran``, Getis and Ord's ``g_star`` (its own
+    weight 1 included, as a z score), and the ``quadrant`` of its value and its neighbours' mean (high or low each)."""
+    every = Window.partitionBy()
+    centred = values.select("country", F.col("x").cast("double").alias("x"), (F.col("x") - F.avg("x").over(every)).alias("d"), F.count("*").over(every).alias("n"), F.avg("x").over(every).alias("mean"), F.sqrt(F.var_pop("x").over(every)).alias("s"))
+    around = weights.join(centred.select(F.col("country").alias("b"), F.col("d").alias("db"), F.col("x").alias("xb")), "b").groupBy(F.col("a").alias("country")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("ww"), F.sum(F.col("w") * F.col("db")).alias("wd"), F.sum(F.col("w") * F.col("xb")).alias("wx"))
+    joined = centred.join(around, "country", "left").fillna(0.0, ["w", "ww", "wd", "wx"])
+    n, s, w, ww = F.col("n"), F.col("s"), F.col("w") + 1, F.col("ww") + 1
+    below = s * F.sqrt((n * ww - w * w) / (n - 1))
+    side = lambda x: F.when(x >= 0, "high").otherwise("low")
+    return joined.select("country", ratio(F.col("d") * F.col("wd"), s * s).alias("moran"), ratio(F.col("wx") + F.col("x") - F.col("mean") * w, below).alias("g_star"), F.concat(side(F.col("d")), F.lit("-"), side(F.col("wd"))).alias("quadrant"))
+
+
+def gravity(pairs: DataFrame, totals: DataFrame) -> DataFrame:
+    """The line of ln joint documents (``pairs``: a, b, weight) on the sum of the logs of both countries' articles."""
+    mass = totals.select("country", F.log("articles").alias("_m"))
+    both = pairs.join(mass.withColumnsRenamed({"country": "a", "_m": "_ma"}), "a").join(mass.withColumnsRenamed({"country": "b", "_m": "_mb"}), "b")
+    logged = both.where("weight > 0").select((F.col("_ma") + F.col("_mb")).alias("x"), F.log("weight").alias("y"))
+    return trend(logged, [], "x", "y")
+
+
+def small_world(edges: DataFrame) -> DataFrame:
+    """Mean clustering and mean distance of a network against those of a random one with as many nodes and edges (degree over
+    nodes, and ln nodes over ln degree), and ``sigma``, the ratio of the two ratios. For small networks: all distances."""
+    from . import networks
+
+    of = networks.network_summary(edges).select("nodes", "mean_degree")
+    clustered = networks.transitivity(edges).select("mean_clustering")
+    far = networks.distances(edges, networks.degrees(edges).select("node")).where("hops > 0").agg(F.avg("hops").alias("mean_distance"))
+    joined = of.crossJoin(clustered).crossJoin(far)
+    random_clustering = ratio(F.col("mean_degree"), F.col("nodes"))
+    random_distance = ratio(F.log("nodes"), F.log("mean_degree"))
+    return joined.select("nodes", "mean_degree", "mean_clustering", "mean_distance", random_clustering.alias("random_clustering"), random_distance.alias("random_distance"), ratio(F.col("mean_clustering") / random_clustering, F.col("mean_distance") / random_distance).alias("sigma"))

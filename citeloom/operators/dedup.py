@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import text as T
 from .networks import components
@@ -36,12 +37,9 @@ def prepare(records: DataFrame, priority: tuple[str, ...] = PRIORITY) -> DataFra
     return keyed.withColumn("order", F.struct("rank", (-F.col("filled")).alias("f"), (-F.coalesce(F.length("title"), F.lit(0))).alias("t"), F.coalesce("doi_key", F.lit("")).alias("d"), row.alias("h")))
 
 
-def _merged(column: str, kind: str):
-    """Survivor of a field in a group; ``_row`` structs carry order and fields."""
+def _merged(column: str):
+    """Survivor of a single-valued field in a group."""
     value = F.col(column)
-    if column in UNION:
-        in_order = F.transform(F.array_sort(F.collect_list(F.struct("order", value.alias("v")))), lambda s: F.coalesce(s["v"], F.array().cast(kind)))
-        return F.array_distinct(F.flatten(in_order))
     if column in LARGEST:
         return F.max(value)
     if column in LONGEST:
@@ -49,29 +47,43 @@ def _merged(column: str, kind: str):
     return F.min_by(value, F.when(value.isNotNull() & (value.cast("string") != ""), F.col("order")))
 
 
+def _united(keyed: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """``key`` and arrays of the distinct values of multi-valued fields, and of ``sources``, in order of first occurrence.
+
+    Values are reduced to one row each (map-side) before arrays are made, so a key with a great many rows, such as a
+    bare "editorial" of a year, gathers its distinct values only.
+    """
+    entries = F.array(*(F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("array<string>"), F.array().cast("array<string>")).alias("values")) for c in [*fields, "sources"]))
+    each = keyed.select(F.col(key).alias("_k"), "order", F.explode(entries).alias("e")).select("_k", "order", "e.field", F.posexplode("e.values").alias("place", "value"))
+    first = each.groupBy("_k", "field", "value").agg(F.min(F.struct("order", "place")).alias("at"))
+    arrays = first.groupBy("_k").agg(*(F.array_sort(F.collect_list(F.when(F.col("field") == c, F.struct("at", "value")))).alias(f"_u_{c}") for c in [*fields, "sources"]))
+    return arrays.select("_k", *(F.transform(f"_u_{c}", lambda s: s["value"]).alias(f"_u_{c}") for c in fields), F.array_sort(F.transform("_u_sources", lambda s: s["value"])).alias("_u_sources"))
+
+
 def collapse(keyed: DataFrame, key: str, method: str) -> DataFrame:
     """One row for each value of ``key``: union, largest, longest or best source's value by field, with provenance.
 
-    Groups are copies of one publication over the sources, a few rows each. ``sources`` maps a source to its rows;
-    ``conflicts`` lists the fields in which rows differ; ``merged_by`` is ``method`` for groups of two or more.
+    ``sources`` lists the sources of its rows, ``n_merged`` counts the rows; ``conflicts`` lists the fields in which rows
+    differ (the least and the greatest filled value are not the same); ``merged_by`` is ``method`` for two rows or more.
     """
     helpers = {"doi_key", "title_key", "rank", "filled", "order", "sources", "n_merged", "conflicts", "merged_by"}
     fields = [c for c in keyed.columns if c not in helpers and c != key]
-    kinds = {c: keyed.schema[c].dataType.simpleString() for c in fields}
+    union = [c for c in fields if c in UNION]
     plain = [c for c in fields if c not in UNION and c not in LARGEST]
-    conflicts = F.filter(F.array(*(F.when(F.col(f"_d_{c}") > 1, F.lit(c)) for c in plain)), lambda c: c.isNotNull())
+    conflicts = F.filter(F.array(*(F.when(F.col(f"_d_{c}"), F.lit(c)) for c in plain)), lambda c: c.isNotNull())
     out = keyed.groupBy(key).agg(
-        *(_merged(c, kinds[c]).alias(c) for c in fields),
+        *(_merged(c).alias(c) for c in fields if c not in UNION),
         *(F.min(c).alias(c) for c in ("doi_key", "title_key") if c != key),
         F.min("rank").alias("rank"),
         F.max("filled").alias("filled"),
         F.min("order").alias("order"),
-        F.sort_array(F.flatten(F.collect_list("sources"))).alias("sources"),
         F.sum("n_merged").alias("n_merged"),
         F.max("merged_by").alias("_before"),
         F.count("*").alias("_n"),
-        *(F.count_distinct(F.col(c).cast("string")).alias(f"_d_{c}") for c in plain),
+        *((F.min(F.col(c).cast("string")) != F.max(F.col(c).cast("string"))).alias(f"_d_{c}") for c in plain),
     )
+    out = out.join(_united(keyed, key, union), F.col(key) == F.col("_k"), "left").drop("_k")
+    out = out.withColumns({**{c: F.coalesce(F.col(f"_u_{c}"), F.array().cast("array<string>")).cast(ArrayType(keyed.schema[c].dataType.elementType)) for c in union}, "sources": F.col("_u_sources")})
     out = out.withColumn("conflicts", conflicts).withColumn("merged_by", F.when(F.col("_n") > 1, F.lit(method)).otherwise(F.col("_before")))
     return out.select(*keyed.columns)
 
@@ -79,8 +91,9 @@ def collapse(keyed: DataFrame, key: str, method: str) -> DataFrame:
 def deduplicate(records: DataFrame, fuzzy: float | None = None, priority: tuple[str, ...] = PRIORITY) -> DataFrame:
     """Records merged by exact DOI, then rows without a DOI by title key and year, then optionally by similar titles.
 
-    A row with a DOI never merges with one without by title, as the keys of the passes say. Adds ``doc`` (from 1, in input
-    order of the survivors, by a content key), ``sources``, ``n_merged``, ``merged_by`` and ``conflicts``.
+    A row with a DOI never merges with one without by title, as the keys of the passes say. Adds ``doc`` (a hash of keys and
+    content, and of the number among equal rows where there is neither key), ``sources``, ``n_merged``, ``merged_by`` and
+    ``conflicts``.
     """
     keyed = prepare(records, priority).withColumns(
         {"sources": F.array(F.coalesce("source_db", F.lit("GENERIC"))), "n_merged": F.lit(1).cast("long"), "conflicts": F.array().cast("array<string>"), "merged_by": F.lit(None).cast("string")}
@@ -89,10 +102,13 @@ def deduplicate(records: DataFrame, fuzzy: float | None = None, priority: tuple[
     rest = keyed.where("doi_key is null")
     titled = rest.where("title_key is not null").withColumn("_key", F.concat_ws("|", "title_key", F.coalesce(F.col("year").cast("string"), F.lit(""))))
     by_title = collapse(titled, "_key", "title_year_normalized").drop("_key")
-    out = with_doi.unionByName(by_title).unionByName(rest.where("title_key is null"))
+    keyless = rest.where("title_key is null").withColumn("_again", F.row_number().over(Window.partitionBy("order").orderBy("order")))
+    out = with_doi.unionByName(by_title).withColumn("_again", F.lit(1)).unionByName(keyless)
     if fuzzy is not None:
-        out = merge_similar_titles(out, fuzzy)
-    return out.withColumn("doc", F.xxhash64(F.coalesce("doi_key", F.lit("")), F.coalesce("title_key", F.lit("")), F.coalesce("year", F.lit(-1)), F.col("order.h"))).drop("order", "rank", "filled")
+        merged = merge_similar_titles(out.where("title_key is not null").drop("_again"), fuzzy)
+        out = merged.withColumn("_again", F.lit(1)).unionByName(out.where("title_key is null"))
+    doc = F.xxhash64(F.coalesce("doi_key", F.lit("")), F.coalesce("title_key", F.lit("")), F.coalesce("year", F.lit(-1)), F.col("order.h"), "_again")
+    return out.withColumn("doc", doc).drop("order", "rank", "filled", "_again")
 
 
 def similar_titles(keyed: DataFrame, least: float = 0.9) -> DataFrame:

@@ -137,8 +137,8 @@ def collaboration_by(authors: DataFrame, records: DataFrame, group: str) -> Data
 def lotka(items: DataFrame, item: str) -> DataFrame:
     """Papers-per-author histogram with observed and expected shares under the fitted inverse power law.
 
-    The exponent is the maximum likelihood one, found by bisection of the derivative on [1.01, 5] over the bounded sums of
-    the histogram; the constant is 1 over the sum of k^-alpha for k to 1000.
+    The exponent is the most likely of 400 values from 1.01 to 5, a hundredth apart, over the bounded sums of the histogram;
+    the constant is 1 over the sum of k^-alpha for k to 1000.
     """
     papers = items.groupBy(item).agg(F.count("*").alias("papers"))
     return fit_lotka(papers.groupBy("papers").agg(F.count("*").alias("authors")))

@@ -12,8 +12,6 @@ from ..plans.storage import materialise, shared_dir
 from .primitives import pair_counts, ratio
 
 
-
-
 def cooccurrence(items: DataFrame, item: str, top: int | None = None) -> DataFrame:
     """Documents that two items share; with ``top``, between the ``top`` most frequent items only (part of the measure)."""
     if top is not None:
@@ -24,7 +22,7 @@ def cooccurrence(items: DataFrame, item: str, top: int | None = None) -> DataFra
 
 def coupling(references: DataFrame) -> DataFrame:
     """Bibliographic coupling: document pairs by shared references (``doc, reference``, each once)."""
-    return pair_counts(references, "reference", "doc")
+    return pair_counts(references, "reference", "doc", blocked=True)
 
 
 def cocitation(references: DataFrame) -> DataFrame:
@@ -50,7 +48,10 @@ def network_summary(edges: DataFrame) -> DataFrame:
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """Per node the triangles it is in. Edges point from the end of lower (degree, name), so a hub opens few wedges."""
+    """Per node the triangles it is in. Edges point from the end of lower (degree, name), so a hub opens few wedges.
+
+    ``edges`` is read several times; callers whose edges are costly write them first, as ``clustering`` does.
+    """
     d = degrees(edges).select("node", "degree")
     placed = edges.select("a", "b").join(d.withColumnsRenamed({"node": "a", "degree": "da"}), "a").join(d.withColumnsRenamed({"node": "b", "degree": "db"}), "b")
     forward = F.struct("da", "a") < F.struct("db", "b")
@@ -63,6 +64,7 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 def clustering(edges: DataFrame) -> DataFrame:
     """Local clustering coefficient per node: triangles over possible ones, 0 for degree under 2."""
+    edges = materialise(edges.select("a", "b", "weight"), shared_dir(edges.sparkSession), "edges")
     joined = degrees(edges).join(triangles(edges), "node", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
     return joined.select("node", "degree", "triangles", ratio(2 * F.col("triangles"), F.col("degree") * (F.col("degree") - 1), 0.0).alias("clustering"))
 
@@ -72,48 +74,62 @@ def transitivity(edges: DataFrame) -> DataFrame:
     return clustering(edges).agg(ratio(2 * F.sum("triangles"), F.sum(F.col("degree") * (F.col("degree") - 1)), 0.0).alias("transitivity"), F.avg("clustering").alias("mean_clustering"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (smallest node that it reaches), by least labels with doubling jumps."""
-    folder = shared_dir(edges.sparkSession)
-    around = materialise(both_ways(edges).select("node", "other").distinct(), folder, "around")
-    labels = materialise(around.groupBy("node").agg(F.min("other").alias("_m")).select("node", F.least("node", "_m").alias("component")), folder, "labels-0")
-    turn = 0
+def connected(edges: DataFrame, folder: str, name: str) -> DataFrame:
+    """Connected components of ``edges`` (columns ``u``, ``v``): one row ``node, label`` per node with an edge.
+
+    ``label`` is the smallest node of the component. Alternates large-star and small-star steps (Kiveris et al.,
+    2014): every step is a map-side combined minimum and an equi-join whose skew AQE can split, and rounds grow with
+    the logarithm of the longest path. Each round is written to ``folder``.
+    """
+    both = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = materialise(both, folder, f"{name}-0")
+    state, turn = None, 0
     while True:
         turn += 1
-        heard = around.join(labels.select(F.col("node").alias("other"), F.col("component").alias("_c")), "other").groupBy("node").agg(F.min("_c").alias("_c"))
-        nearer = labels.join(heard, "node").select("node", F.least("component", "_c").alias("component"))
-        jumps = labels.select(F.col("node").alias("component"), F.col("component").alias("_j"))
-        after = nearer.join(jumps, "component", "left").select("node", F.least("component", F.coalesce("_j", "component")).alias("component"))
-        after = materialise(after, folder, f"labels-{turn}")
-        changed = after.join(labels.withColumnRenamed("component", "_old"), "node").where("component <> _old")
-        labels = after
-        if changed.isEmpty():
-            return labels
+        around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = around.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialise(large, folder, f"{name}-{turn}-large")
+        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        edges = materialise(small, folder, f"{name}-{turn}")
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        if now == state or now[0] == 0:
+            break
+        state = now
+    leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    return leaves.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """``node, community``: label propagation in a fixed order of ties, ``rounds`` at most.
+def components(edges: DataFrame) -> DataFrame:
+    """``node, component`` (smallest node that it reaches)."""
+    pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return connected(pairs, shared_dir(edges.sparkSession), "components").withColumnRenamed("label", "component")
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """``node, community``: label propagation until every node has a best label.
 
     Each round a node takes the label of the greatest summed weight among its neighbours and itself (its own strongest
-    edge's weight), smallest label first; nodes change in alternate halves by a hash, which prevents swapping for ever.
+    edge's weight), smallest label first; in a round only a half of the nodes moves, another one by hash each time, which
+    prevents swapping for ever.
     """
     folder = shared_dir(edges.sparkSession)
     around = materialise(both_ways(edges), folder, "around")
     own = around.groupBy("node").agg(F.max("weight").alias("weight")).select("node", F.col("node").alias("other"), "weight")
     heard_from = materialise(around.unionByName(own), folder, "with-self")
-    labels = materialise(around.select("node", F.col("node").alias("community")).distinct(), folder, "community-0")
-    still = 0
-    for turn in range(1, rounds + 1):
+    labels, turn = materialise(around.select("node", F.col("node").alias("community")).distinct(), folder, "community-0"), 0
+    while True:
+        turn += 1
         votes = heard_from.join(labels.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("weight").alias("_w"))
         best = votes.groupBy("node").agg(F.max("_w").alias("_m"))
         least = votes.join(best, "node").where("_w = _m").groupBy("node").agg(F.min("community").alias("_best"))
-        moves = F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2
-        after = materialise(labels.join(least, "node").select("node", F.when(moves, F.col("_best")).otherwise(F.col("community")).alias("community")), folder, f"community-{turn}")
-        changed = after.join(labels.withColumnRenamed("community", "_old"), "node").where("community <> _old").isEmpty()
-        labels, still = after, still + 1 if changed else 0
-        if still == 2:
-            break
-    return labels
+        moves = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
+        voted = materialise(labels.join(least, "node"), folder, f"votes-{turn}")
+        if voted.where("community <> _best").isEmpty():
+            return labels
+        labels = voted.select("node", F.when(moves, F.col("_best")).otherwise(F.col("community")).alias("community"))
 
 
 def modularity(edges: DataFrame, membership: DataFrame, label: str) -> DataFrame:
@@ -127,69 +143,90 @@ def modularity(edges: DataFrame, membership: DataFrame, label: str) -> DataFrame
     return each.agg(F.sum(part).alias("modularity"), F.count("*").alias("communities"))
 
 
-def pagerank(arcs: DataFrame, damping: float = 0.85, rounds: int = 15) -> DataFrame:
-    """PageRank of directed ``src, dst`` arcs after ``rounds`` joins; the rank of sinks is spread over all nodes."""
+def pagerank(arcs: DataFrame, damping: float = 0.85, tolerance: float = 1e-10) -> DataFrame:
+    """PageRank of directed ``src, dst`` arcs, until the ranks move by at most ``tolerance`` in sum; the rank of sinks is
+    spread over all nodes. The change shrinks by ``damping`` a round, so the rounds are bounded by the tolerance."""
     folder = shared_dir(arcs.sparkSession)
     out = arcs.groupBy("src").agg(F.count("*").alias("out"))
     arcs = materialise(arcs.join(out, "src"), folder, "arcs")
     nodes = arcs.select(F.col("src").alias("node")).unionByName(arcs.select(F.col("dst").alias("node"))).distinct().join(out.withColumnRenamed("src", "node"), "node", "left")
     nodes = materialise(nodes, folder, "nodes")
     n = nodes.count()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for turn in range(rounds):
+    ranks, turn = nodes.withColumn("rank", F.lit(1.0 / max(n, 1))), 0
+    while n:
+        turn += 1
         sent = arcs.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        fresh = F.lit((1 - damping) / max(n, 1)) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.lit(max(n, 1)))
-        ranks = materialise(nodes.join(sent, "node", "left").crossJoin(F.broadcast(lost)).select("node", "out", fresh.alias("rank")), folder, f"ranks-{turn}")
+        fresh = F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.lit(n))
+        moved = materialise(ranks.withColumnRenamed("rank", "old").join(sent, "node", "left").crossJoin(F.broadcast(lost)).select("node", "out", "old", fresh.alias("rank")), folder, f"ranks-{turn}")
+        ranks = moved.select("node", "out", "rank")
+        if moved.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] <= tolerance:
+            break
     return ranks.select("node", "rank")
 
 
-def eigenvector(edges: DataFrame, rounds: int = 15) -> DataFrame:
-    """Eigenvector centrality by power iteration on weights plus the identity, scaled to a greatest value of 1."""
+def eigenvector(edges: DataFrame, tolerance: float = 1e-9, rounds: int = 1000) -> DataFrame:
+    """Eigenvector centrality by power iteration on weights plus the identity, scaled to a greatest value of 1, until no
+    score moves by more than ``tolerance``; an error after ``rounds`` without that (two equal leading eigenvalues)."""
     folder = shared_dir(edges.sparkSession)
     around = materialise(both_ways(edges), folder, "around")
     scores = around.select("node", F.lit(1.0).alias("score")).distinct()
     for turn in range(rounds):
         got = around.join(scores.select(F.col("node").alias("other"), F.col("score").alias("_s")), "other").groupBy("node").agg(F.sum(F.col("weight") * F.col("_s")).alias("_got"))
-        raw = scores.join(got, "node").select("node", (F.col("score") + F.col("_got")).alias("score"))
-        most = raw.agg(F.max("score").alias("_most"))
-        scores = materialise(raw.crossJoin(F.broadcast(most)).select("node", (F.col("score") / F.col("_most")).alias("score")), folder, f"scores-{turn}")
-    return scores
+        raw = materialise(scores.join(got, "node").select("node", F.col("score").alias("old"), (F.col("score") + F.col("_got")).alias("score")), folder, f"scores-{turn}")
+        most = raw.agg(F.max("score")).first()[0]
+        scaled = raw.select("node", "old", (F.col("score") / F.lit(most)).alias("score"))
+        scores = scaled.select("node", "score")
+        if most is None or scaled.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] <= tolerance:
+            return scores
+    raise ArithmeticError(f"no convergence in {rounds} rounds")
+
 
+def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """``source, node, hops`` for every node that each source reaches, breadth first by joins until a layer is empty.
 
-def distances(edges: DataFrame, sources: DataFrame, most: int = 10) -> DataFrame:
-    """``source, node, hops`` for every node within ``most`` unweighted steps of each source, breadth first by joins."""
+    The table has a row for each source and node: all nodes as sources are for small networks; of large ones a sample of
+    sources gives estimates (see ``sampled_sources``).
+    """
     folder = shared_dir(edges.sparkSession)
     around = materialise(both_ways(edges).select("node", "other").distinct(), folder, "around")
     found = materialise(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops")), folder, "hops-0")
-    edge = found
-    for hops in range(1, most + 1):
+    edge, hops = found, 0
+    while True:
+        hops += 1
         steps = edge.select("source", "node").join(around, "node").select("source", F.col("other").alias("node")).distinct()
         edge = materialise(steps.join(found, ["source", "node"], "left_anti").withColumn("hops", F.lit(hops)), folder, f"hops-{hops}")
         if edge.isEmpty():
-            break
+            return found
         found = found.unionByName(edge)
-    return found
 
 
-def closeness(edges: DataFrame, sources: DataFrame, most: int = 10) -> DataFrame:
-    """Per source: nodes reached, mean distance and closeness (reached over summed distance)."""
-    far = distances(edges, sources, most).where("hops > 0")
+def closeness(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """Per source: nodes reached, mean distance and closeness (reached over summed distance), exact for each source."""
+    far = distances(edges, sources).where("hops > 0")
     return far.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("reached"), F.avg("hops").alias("mean_distance"), ratio(F.count("*"), F.sum("hops")).alias("closeness"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, most: int = 10) -> DataFrame:
+def sampled_sources(edges: DataFrame, many: int, seed: int = 42) -> DataFrame:
+    """About ``many`` nodes picked by a hash, as sources of ``betweenness`` on large networks: n / many times its result is an
+    unbiased estimate, whose relative error falls with the square root of ``many``."""
+    nodes = both_ways(edges).select("node").distinct()
+    n = nodes.count()
+    return nodes.where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, many / max(n, 1))))
+
+
+def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Brandes' betweenness over the shortest paths from ``sources``, by breadth-first layers and back-propagation.
 
-    With all nodes as sources it is exact; each unordered pair counts once. Paths are at most ``most`` steps.
+    With all nodes as sources it is exact; each unordered pair counts once. Layers end where one is empty.
     """
     folder = shared_dir(edges.sparkSession)
     around = materialise(both_ways(edges).select("node", "other").distinct(), folder, "around")
     layer = materialise(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops"), F.lit(1.0).alias("paths")), folder, "layer-0")
     layers, found = [layer], layer.select("source", "node")
-    for hops in range(1, most + 1):
+    while True:
         steps = layers[-1].join(around, "node").groupBy("source", F.col("other").alias("node")).agg(F.sum("paths").alias("paths"))
-        layer = materialise(steps.join(found, ["source", "node"], "left_anti").withColumn("hops", F.lit(hops)).select("source", "node", "hops", "paths"), folder, f"layer-{hops}")
+        layer = materialise(steps.join(found, ["source", "node"], "left_anti").withColumn("hops", F.lit(len(layers))).select("source", "node", "hops", "paths"), folder, f"layer-{len(layers)}")
         if layer.isEmpty():
             break
         layers.append(layer)

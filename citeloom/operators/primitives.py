@@ -158,12 +158,15 @@ def square_root_law(df: DataFrame, value: str) -> DataFrame:
 def bradford(df: DataFrame, source: str, value: str) -> DataFrame:
     """Sources by descending ``value`` (ties by name) with ``rank``, ``cumulative`` and ``zone``.
 
-    Zone 1 while the cumulative count stays within a third of the total, 2 within two thirds, then 3. The table is an
-    aggregate with a row a source.
+    Zone 1 while the cumulative count stays within a third of the total, 2 within two thirds, then 3. Ranks run inside each
+    value and go on from the histogram of values, so no window holds all sources; one holds those of equal value.
     """
-    order = Window.orderBy(F.desc(value), source)
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    out = df.select(source, value, F.row_number().over(order).alias("rank"), F.sum(value).over(running).alias("cumulative"), F.sum(value).over(Window.partitionBy()).alias("_all"))
+    down = Window.orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, -1)
+    amount = F.col("x") * F.col("n")
+    counted = histogram(df, [], value).select("x", F.coalesce(F.sum("n").over(down), F.lit(0)).alias("_before"), F.coalesce(F.sum(amount).over(down), F.lit(0)).alias("_sum"), F.sum(amount).over(Window.partitionBy()).alias("_all"))
+    own = F.row_number().over(Window.partitionBy(value).orderBy(source))
+    placed = df.where(F.col(value).isNotNull()).select(source, value, own.alias("_own")).join(counted, F.col(value) == F.col("x"))
+    out = placed.select(source, value, (F.col("_before") + F.col("_own")).cast("int").alias("rank"), (F.col("_sum") + F.col("_own") * F.col(value)).alias("cumulative"), "_all")
     zone = F.when(3 * F.col("cumulative") <= F.col("_all"), 1).when(3 * F.col("cumulative") <= 2 * F.col("_all"), 2).otherwise(3)
     return out.withColumn("zone", zone).drop("_all")
 
@@ -176,11 +179,14 @@ def bradford_zones(zoned: DataFrame, value: str) -> DataFrame:
 
 
 def trend(df: DataFrame, groups: Sequence[str], x: str, y: str) -> DataFrame:
-    """Least-squares line of ``y`` on ``x`` a group: ``slope``, ``intercept``, ``r2``, ``points``."""
+    """Least-squares line of ``y`` on ``x`` a group: ``slope``, ``intercept``, ``r2``, ``points``.
+
+    Without spread in ``x`` slope, intercept and r2 are null; a constant ``y`` over different ``x`` is met exactly, r2 1.
+    """
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     moments = known.groupBy(*groups).agg(F.count("*").alias("points"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"), F.covar_pop(F.col(x).cast("double"), F.col(y).cast("double")).alias("_xy"), F.var_pop(x).alias("_xx"), F.var_pop(y).alias("_yy"))
     slope = ratio(F.col("_xy"), F.col("_xx"))
-    return moments.select(*groups, slope.alias("slope"), (F.col("_my") - slope * F.col("_mx")).alias("intercept"), ratio(F.col("_xy") * F.col("_xy"), F.col("_xx") * F.col("_yy")).alias("r2"), "points")
+    return moments.select(*groups, slope.alias("slope"), (F.col("_my") - slope * F.col("_mx")).alias("intercept"), F.when(F.col("_xx") == 0, None).when(F.col("_yy") == 0, 1.0).otherwise(ratio(F.col("_xy") * F.col("_xy"), F.col("_xx") * F.col("_yy"))).alias("r2"), "points")
 
 
 def growth(df: DataFrame, groups: Sequence[str], year: str, value: str) -> DataFrame:
@@ -196,14 +202,29 @@ def growth(df: DataFrame, groups: Sequence[str], year: str, value: str) -> DataF
     return ends.withColumn("cagr", F.when((span > 0) & (F.col("first_value") > 0), F.pow(factor, 1.0 / span) - 1))
 
 
-def pair_counts(df: DataFrame, group: str, item: str) -> DataFrame:
+#: Items of a group in a block; a pair of blocks is the most that one task of a pair count holds.
+PAIR_BLOCK = 1000
+
+
+def pair_counts(df: DataFrame, group: str, item: str, blocked: bool = False) -> DataFrame:
     """``a``, ``b`` (a before b) and ``weight``: in how many groups both items occur; df has each (group, item) once.
 
-    An item-pair join on the group: a group of k items gives k (k - 1) / 2 rows, so groups are documents and items what a
-    document lists. Counts are combined map-side.
+    An item-pair join on the group: a group of k items gives k (k - 1) / 2 pairs, which is the result itself, and counts
+    are combined map-side. Groups are documents as a rule, and items what one lists. ``blocked`` is for groups of any
+    size: one of over ``PAIR_BLOCK`` items is cut into blocks by a hash and joined as pairs of blocks, so no task holds
+    it whole.
     """
-    left, right = df.select(group, F.col(item).alias("a")), df.select(group, F.col(item).alias("b"))
-    return left.join(right, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    if not blocked:
+        left, right, keys = df.select(group, F.col(item).alias("a")), df.select(group, F.col(item).alias("b")), [group]
+    else:
+        sizes = df.groupBy(group).agg(F.ceil(F.count("*") / F.lit(PAIR_BLOCK)).cast("int").alias("_blocks")).where("_blocks > 1")
+        placed = df.join(sizes, group, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+        own = placed.withColumn("_own", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int"))
+        dealt = own.select(group, item, "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+        left = dealt.select(group, F.col(item).alias("a"), F.col("_own").alias("_i"), F.col("_other").alias("_j"))
+        right = dealt.select(group, F.col(item).alias("b"), F.col("_other").alias("_i"), F.col("_own").alias("_j"))
+        keys = [group, "_i", "_j"]
+    return left.join(right, keys).where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
 def pair_similarity(pairs: DataFrame, totals: DataFrame, item: str, total: str) -> DataFrame:

@@ -58,7 +58,7 @@ class Roles:
 
 #: The same roles as common table expressions, for the SQL that checks queries.
 PRELUDE = """
-WITH lines AS (SELECT l_orderkey AS doc, l_suppkey, l_quantity, p_brand, p_name, p_type FROM lineitem JOIN part ON l_partkey = p_partkey),
+WITH RECURSIVE lines AS (SELECT l_orderkey AS doc, l_suppkey, l_quantity, p_brand, p_name, p_type FROM lineitem JOIN part ON l_partkey = p_partkey),
 cited AS (SELECT doc, CAST(floor(sum(l_quantity)) AS BIGINT) AS citations, min(p_brand) AS source FROM lines GROUP BY doc),
 records AS (SELECT o_orderkey AS doc, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority AS doc_type, coalesce(citations, 0) AS citations, source
             FROM orders LEFT JOIN cited ON o_orderkey = doc),

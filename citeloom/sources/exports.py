@@ -7,6 +7,8 @@ answers are landed as JSON lines and mapped here.
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,12 +55,34 @@ def page_range(df: DataFrame) -> Column:
     return F.coalesce(F.when(T.present(first) & T.present(last), F.concat(first, F.lit("-"), last)), pick(df, ("Page range", "Pages", "Art. No.", "Article Number", "AR")))
 
 
+def csv_files(spark: SparkSession, paths: str | list[str], **options: object) -> list[tuple[list[str], list[str]]]:
+    """The files of ``paths`` by their header: (column names, files). Reads the first line of each file, some at a time."""
+    listed = spark.read.format("binaryFile").load(paths).select("path").collect()  # names only: no content is read
+    files = sorted(r["path"] for r in listed)
+
+    def header(file: str) -> tuple[str, ...]:
+        return tuple(spark.read.csv(file, header=True, **options).columns)
+
+    with ThreadPoolExecutor(8) as pool:
+        found = list(pool.map(header, files))
+    return [(list(names), [f for f, h in zip(files, found, strict=True) if h == names]) for names in dict.fromkeys(found)]
+
+
 def read_csv(spark: SparkSession, paths: str | list[str], kind: str = "generic", delimiter: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """Records of CSV exports; ``kind``: scopus, wos or generic. Quoted fields may span lines; repeated headers go."""
-    raw = spark.read.csv(paths, header=True, sep=delimiter, encoding=encoding, multiLine=True, escape='"', quote='"', mode="PERMISSIVE").withColumn("_file", F.col("_metadata.file_name"))
-    files = raw.select("_file", *[F.col(f"`{c}`") for c in raw.columns if c != "_file"])
-    plain = without_header_rows(files.drop("_file")) if len(raw.columns) == 1 else files.where(~_is_header(files))
-    return map_export(plain, {"scopus": SCOPUS, "wos": WOS}.get(kind, GENERIC), kind.upper())
+    """Records of CSV exports; ``kind``: scopus, wos or generic. Quoted fields may span lines; repeated headers go.
+
+    Files may have different columns or the same in another order: those of each header are read by themselves, and a
+    record's fields come from its own file's columns.
+    """
+    options = {"sep": delimiter, "encoding": encoding, "multiLine": True, "escape": '"', "quote": '"', "mode": "PERMISSIVE"}
+    parts = []
+    for _, files in csv_files(spark, paths, **options):
+        raw = spark.read.csv(files, header=True, enforceSchema=False, **options)
+        named = raw.withColumn("_file", F.col("_metadata.file_name"))
+        parts.append(map_export(named.where(~_is_header(named)), {"scopus": SCOPUS, "wos": WOS}.get(kind, GENERIC), kind.upper()))
+    if not parts:
+        return conform(spark.range(0).drop("id"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _is_header(df: DataFrame) -> Column:

@@ -10,10 +10,10 @@ from ..functions import text as T
 
 
 def first_seen(stream: DataFrame, time_column: str, delay: str = "1 day") -> DataFrame:
-    """A record stream without rows whose DOI key was seen within the watermark; rows without a DOI all pass."""
-    keyed = stream.withColumn("doi_key", T.doi_key(F.col("doi")))
-    unkeyed = F.concat(F.lit("row-"), F.xxhash64(*stream.columns).cast("string"))
-    return keyed.withColumn("_key", F.coalesce("doi_key", unkeyed)).withWatermark(time_column, delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+    """A record stream without rows whose DOI key was seen within the watermark; rows without a DOI all pass, equal ones too."""
+    keyed = stream.withColumn("doi_key", T.doi_key(F.col("doi"))).withWatermark(time_column, delay)
+    known = keyed.where("doi_key is not null").dropDuplicatesWithinWatermark(["doi_key"])
+    return known.unionByName(keyed.where("doi_key is null"))
 
 
 def windowed_counts(stream: DataFrame, time_column: str, key: str, width: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:

@@ -260,9 +260,6 @@ def test_stream_drops_repeats(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
 
 
-    return Roles(spark, "/root/testdata/sf0.001")
-
-
 def test_topics(spark):
     from citeloom.operators import topics
 
