@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .catalog import _EDGES, _LEDGER, _PAIRS, _PANEL, _SERIES, _ledger, _panel, _series, query
 from .functions import stats
 from .functions import text as T
-from .operators import adjust, countries, dedup, descriptive, fits, institutions, matching, networks, organise, screening, series, topics, venues
+from .operators import adjust, countries, dedup, descriptive, fits, hypotheses, institutions, matching, networks, organise, screening, series, topics, venues
 from .plans.roles import Roles
 
 # Adjusted records
@@ -341,7 +341,7 @@ def affiliation_parts(r: Roles) -> DataFrame:
 # Matching: names are "Word, I" of each turn's first two words, titles the turns
 
 _NAMES = ", names AS (SELECT DISTINCT string_split(text, ' ')[1] || ', ' || upper(string_split(text, ' ')[2][1]) AS value FROM conversations WHERE text IS NOT NULL AND len(string_split(text, ' ')) > 1)"
-_PARTS = _NAMES + ", parts AS (SELECT value, regexp_replace(lower(translate(string_split(value, ',')[1], 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝß', 'aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUYs')), '[^a-z]', '', 'g') AS last, list_distinct(list_filter(string_split(regexp_replace(lower(translate(string_split(value, ',')[2], 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝß', 'aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUYs')), '[^a-z]+', '', 'g'), ''), lambda c: c <> '')) AS initials FROM names WHERE value <> '')"
+_PARTS = _NAMES + ", parts AS (SELECT value, regexp_replace(lower(translate(string_split(value, ',')[1], 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝß', 'aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUYs')), '[^a-z]', '', 'g') AS last, list_distinct(list_filter(string_split(regexp_replace(lower(translate(string_split(value, ',')[-1], 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝß', 'aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUYs')), '[^a-z]+', '', 'g'), ''), lambda c: c <> '')) AS initials FROM names WHERE value <> '')"
 
 
 def _names(r: Roles) -> DataFrame:
@@ -470,3 +470,91 @@ def merged_records(r: Roles) -> DataFrame:
 def merge_summary(r: Roles) -> DataFrame:
     library = _library(r).drop("doc")
     return dedup.summary(library, dedup.deduplicate(library))
+
+
+# Hypotheses
+
+_SLOPES = _PANEL + ", sl AS (SELECT country, regr_slope(articles, year) AS s FROM panel GROUP BY country)"
+
+
+@query(_SLOPES + """
+, z AS (SELECT articles, s, rank() OVER (ORDER BY articles) + (count(*) OVER (PARTITION BY articles) - 1) / 2.0 AS x, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS y FROM totals JOIN sl USING (country)),
+cv AS (SELECT year, stddev_samp(articles) / avg(articles) AS cv FROM panel GROUP BY year), m AS (SELECT region, sum(citations) / sum(articles) AS m FROM totals JOIN regions USING (country) GROUP BY region),
+h AS (SELECT 'growing_countries' AS id, avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END) AS v, avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END) > 0.5 AS supported FROM sl UNION ALL SELECT 'size_growth', corr(x, y), corr(x, y) > 0 FROM z UNION ALL SELECT 'dominance', max(articles) / sum(articles), max(articles) / sum(articles) > 0.2 FROM totals
+      UNION ALL SELECT 'sigma_convergence', regr_slope(cv, year), regr_slope(cv, year) < 0 FROM cv UNION ALL SELECT 'regional_gap', max(m) / min(m), max(m) / min(m) > 1.2 FROM m)
+SELECT id, round(v, 6) AS statistic, supported FROM h""")
+def hypotheses_of_countries(r: Roles) -> DataFrame:
+    return hypotheses.places(_panel(r), r.regions()).select("id", "statistic", "supported")
+
+
+@query("""
+, s AS (SELECT source, count(*) AS tp, sum(citations) / count(*) AS cpp, max(year) - min(year) + 1 AS span FROM records WHERE source IS NOT NULL GROUP BY source), p AS (SELECT source, year, count(*) AS a FROM records WHERE source IS NOT NULL GROUP BY ALL), g AS (SELECT source, CASE WHEN count(*) > 1 THEN regr_slope(a, year) END AS s FROM p GROUP BY source),
+z AS (SELECT rank() OVER (ORDER BY tp) + (count(*) OVER (PARTITION BY tp) - 1) / 2.0 AS t, rank() OVER (ORDER BY cpp) + (count(*) OVER (PARTITION BY cpp) - 1) / 2.0 AS c, rank() OVER (ORDER BY span) + (count(*) OVER (PARTITION BY span) - 1) / 2.0 AS l FROM s),
+o AS (SELECT tp, row_number() OVER (ORDER BY tp DESC) AS i, count(*) OVER () AS n FROM s), u AS (SELECT avg(cpp) FILTER (g.s > 0) - avg(cpp) FILTER (g.s <= 0) AS gap FROM s JOIN g USING (source)),
+r2 AS (SELECT CASE WHEN count(DISTINCT l) > 1 THEN corr(l, t) END AS v FROM z),
+h AS (SELECT 'source_concentration' AS id, sum(tp) FILTER (i <= ceil(round(0.2 * n, 9))) / sum(tp) AS v, sum(tp) FILTER (i <= ceil(round(0.2 * n, 9))) / sum(tp) >= 0.5 AS supported FROM o UNION ALL SELECT 'output_quality', corr(t, c), corr(t, c) > 0 FROM z
+      UNION ALL SELECT 'growing_sources', avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END) > 0.5 FROM g UNION ALL SELECT 'longevity', v, v > 0 FROM r2 UNION ALL SELECT 'growth_impact', gap, gap > 0 FROM u)
+SELECT id, round(v, 6) AS statistic, supported FROM h""")
+def hypotheses_of_sources(r: Roles) -> DataFrame:
+    return hypotheses.venues(venues.summary(r.records()), venues.growth_table(venues.panel(r.records()))).select("id", "statistic", "supported")
+
+
+@query(_SERIES + """
+, q AS (SELECT doc_type, quantile_cont(articles, 0.25) AS q1, quantile_cont(articles, 0.75) AS q3 FROM s GROUP BY doc_type), o AS (SELECT doc_type, CAST(sum(CASE WHEN articles < q1 - 1.5 * (q3 - q1) OR articles > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END) AS DOUBLE) AS v FROM s JOIN q USING (doc_type) GROUP BY doc_type),
+pv AS (SELECT a.doc_type, a.year, sum(sign(a.articles - b.articles)) AS v FROM s a JOIN s b ON a.doc_type = b.doc_type GROUP BY ALL), pu AS (SELECT *, abs(sum(v) OVER (PARTITION BY doc_type ORDER BY year)) AS u FROM pv), pc AS (SELECT doc_type, arg_max(year, u * 10000 - year) AS cut FROM pu GROUP BY doc_type),
+rd AS (SELECT doc_type, (avg(articles) FILTER (year > cut) - avg(articles) FILTER (year <= cut)) / stddev_samp(articles) AS v FROM s JOIN pc USING (doc_type) GROUP BY doc_type),
+fa AS (SELECT s.doc_type, s.year, s.articles AS y, count(*) AS n, arg_max(b.articles, b.year) AS last, arg_min(b.articles, b.year) AS first, avg(b.articles) AS m, avg(b.year) AS x, regr_slope(b.articles, b.year) AS slope FROM s JOIN s b ON s.doc_type = b.doc_type AND b.year < s.year GROUP BY ALL HAVING count(*) >= 4),
+fe AS (SELECT doc_type, avg(abs(y - last)) - least(avg(abs(y - last - (last - first) / (n - 1))), avg(abs(y - m)), avg(abs(y - m - slope * (year - x)))) AS v FROM fa GROUP BY doc_type),
+cg AS (SELECT doc_type, articles - lag(articles) OVER w AS d, row_number() OVER w AS i, count(*) OVER (PARTITION BY doc_type) AS n FROM s WINDOW w AS (PARTITION BY doc_type ORDER BY year)), ac AS (SELECT doc_type, avg(d) FILTER (2 * i > n + 1) - avg(d) FILTER (2 * i <= n + 1) AS v FROM cg GROUP BY doc_type),
+x AS (SELECT *, row_number() OVER w AS i, count(*) OVER v AS n, CAST(sum(articles) OVER w AS DOUBLE) AS r, CAST(sum(articles) OVER v AS DOUBLE) AS a FROM s WINDOW w AS (PARTITION BY doc_type ORDER BY year), v AS (PARTITION BY doc_type)), gn AS (SELECT doc_type, max(r * r / i + (a - r) * (a - r) / (n - i) - a * a / n) AS gain FROM x WHERE i < n GROUP BY doc_type),
+ln AS (SELECT doc_type, regr_r2(articles, year) AS r2, var_pop(articles) * count(*) AS ss, regr_slope(articles, year) AS b, regr_intercept(articles, year) AS a0 FROM s GROUP BY doc_type), gc AS (SELECT doc_type, r2 - gain / ss AS v FROM gn JOIN ln USING (doc_type)),
+e AS (SELECT doc_type, articles - a0 - b * year AS e, lag(articles - a0 - b * year) OVER (PARTITION BY doc_type ORDER BY year) AS e1 FROM s JOIN ln USING (doc_type)), ps AS (SELECT doc_type, sum(e * e1) / sum(e * e) AS v FROM e GROUP BY doc_type),
+h AS (SELECT doc_type, 'outliers' AS id, v, v > 0 AS supported FROM o UNION ALL SELECT doc_type, 'regime_difference', v, abs(v) > 0.5 FROM rd UNION ALL SELECT doc_type, 'forecast_superiority', v, v > 0 FROM fe UNION ALL SELECT doc_type, 'acceleration', v, v > 0 FROM ac UNION ALL SELECT doc_type, 'gradual_change', v, v > 0 FROM gc UNION ALL SELECT doc_type, 'persistence', v, v > 0 FROM ps)
+SELECT doc_type, id, round(v, 6) AS statistic, supported FROM h""")
+def hypotheses_of_series(r: Roles) -> DataFrame:
+    return hypotheses.dynamics(_series(r), ["doc_type"])
+
+
+@query("SELECT 'records' AS check, CAST(count(*) AS DOUBLE) AS value, CAST(100 AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high, count(*) >= 100 AS passed FROM records UNION ALL SELECT 'mean_citations', round(avg(citations), 6), NULL, 1, avg(citations) <= 1 FROM records")
+def quality_gate(r: Roles) -> DataFrame:
+    measured = r.records().agg(F.count("*").alias("records"), F.avg("citations").alias("mean_citations"))
+    return hypotheses.quality_gate(measured, {"records": (100.0, None), "mean_citations": (None, 1.0)})
+
+
+# More of the star schema
+
+@query(_LIBRARY + " SELECT 'Smith J' AS first_author, count(*) AS mentions, count(DISTINCT doc) AS citing, 1 AS rank FROM library")
+def library_reference_authors(r: Roles) -> DataFrame:
+    return organise.reference_authors(organise.references(_library(r)))
+
+
+@query(_LIBRARY + ", w AS (SELECT DISTINCT doc, 'author' AS kind, unnest(keywords) AS k FROM library UNION SELECT doc, 'index', lower(p_name) FROM library) SELECT doc, count(*) AS keywords, count(DISTINCT k) AS different_keywords, 0 AS affiliations, 0 AS institutions, 1 AS references, 1 AS dated_references FROM w GROUP BY doc")
+def library_document_summaries(r: Roles) -> DataFrame:
+    return organise.document_summaries(_library(r))
+
+
+@query("SELECT p_partkey, p_brand || CASE WHEN p_size % 2 = 0 THEN ', Smith J' ELSE '' END AS x, 2 AS references, 1 + CAST(p_size % 2 = 0 AS INTEGER) AS own, round((1 + CAST(p_size % 2 = 0 AS INTEGER)) / 2, 6) AS share FROM part")
+def self_citations(r: Roles) -> DataFrame:
+    even = F.col("p_size") % 2 == 0
+    part = r.table("part").withColumn("x", F.concat("p_brand", F.when(even, ", Smith J").otherwise("")))
+    records = part.select(F.col("p_partkey").alias("doc"), F.when(even, F.array(F.lit("Smith, J"), "p_brand")).otherwise(F.array("p_brand")).alias("authors"), F.array(F.lit("SMITH J, 2001"), F.concat(F.lit("with "), "p_brand")).alias("references"))
+    return organise.self_citations(records).join(part.select(F.col("p_partkey").alias("doc"), "x"), "doc").withColumnRenamed("doc", "p_partkey")
+
+
+@query("SELECT p_partkey, (CASE WHEN length(p_name || ' ' || p_type) > 20 THEN rtrim(substr(p_name || ' ' || p_type, 1, 17)) || '...' ELSE p_name || ' ' || p_type END) || ', ' || p_brand || ', ' || (1990 + p_size) AS label FROM part")
+def display_labels(r: Roles) -> DataFrame:
+    title = F.concat_ws(" ", "p_name", "p_type")
+    return r.table("part").select("p_partkey", organise.display_label(title, F.col("p_brand"), (1990 + F.col("p_size")), F.lit(None).cast("string"), 20).alias("label"))
+
+
+@query(", c AS (SELECT p_name, min(p_size) % 4 AS cluster FROM part GROUP BY p_name), v AS (SELECT p_brand, cluster, count(*) AS n FROM (SELECT DISTINCT p_brand, p_name FROM part) JOIN c USING (p_name) GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, cluster) AS p, sum(n) OVER (PARTITION BY p_brand) AS every FROM v) SELECT p_brand AS doc, cluster, n AS votes, round(n / every, 6) AS share FROM b WHERE p = 1")
+def majority_clusters(r: Roles) -> DataFrame:
+    part = r.table("part")
+    clusters = part.groupBy(F.col("p_name").alias("reference")).agg((F.min("p_size") % 4).alias("cluster"))
+    return organise.majority_cluster(part.select(F.col("p_brand").alias("doc"), F.col("p_name").alias("reference")).distinct(), clusters)
+
+
+@query(_PANEL + ", p AS (SELECT n_name AS country, count(*) AS people FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name), a AS (SELECT rank() OVER (ORDER BY articles) + (count(*) OVER (PARTITION BY articles) - 1) / 2.0 AS x, rank() OVER (ORDER BY people) + (count(*) OVER (PARTITION BY people) - 1) / 2.0 AS y FROM totals JOIN p USING (country)) SELECT round(corr(x, y), 6) AS rho, count(*) AS n, round(corr(x, y) * sqrt(count(*) - 1), 6) AS z FROM a")
+def country_output_and_people(r: Roles) -> DataFrame:
+    people = r.table("customer").join(r.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("country")).agg(F.count("*").alias("people"))
+    return stats.spearman(adjust.match_indicators(countries.summary(_panel(r)), people), "articles", "people")

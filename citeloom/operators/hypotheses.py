@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from . import countries, descriptive, primitives, series
+from . import countries, descriptive, fits, primitives, series
 
 
 def _row(df: DataFrame, key: str, statement: str, statistic: Column, supported: Column, p: Column | None = None) -> DataFrame:
@@ -90,3 +90,66 @@ def claims(table: DataFrame) -> DataFrame:
     """Supported hypotheses as claims with the strength of their p (rule: by rule alone)."""
     strength = F.when(F.col("p_value").isNull(), "rule").otherwise(stats.claim_strength(F.col("p_value")))
     return table.where("supported").select("id", "statement", "statistic", "p_value", strength.alias("strength"))
+
+
+def venues(summary: DataFrame, growth_: DataFrame) -> DataFrame:
+    """Sources (``venues.summary`` and ``venues.growth_table``): concentration, quality, growth, age and life cycle."""
+    share = primitives.top_share(summary, "tp", [0.2])
+    rho = stats.spearman(summary, "tp", "cpp")
+    aged = summary.withColumn("span", F.col("last_year") - F.col("first_year") + 1)
+    old = stats.spearman(aged, "span", "tp")
+    slopes = growth_.agg(F.avg((F.col("slope") > 0).cast("double")).alias("up"))
+    staged = summary.join(growth_.select("source", "slope"), "source").agg((F.avg(F.when(F.col("slope") > 0, F.col("cpp"))) - F.avg(F.when(F.col("slope") <= 0, F.col("cpp")))).alias("gap"))
+    rows = [
+        _row(share, "source_concentration", "a fifth of the sources has half of the articles", F.col("share"), F.col("share") >= 0.5),
+        _row(rho, "output_quality", "sources with more articles are cited more an article", F.col("rho"), F.col("rho") > 0),
+        _row(slopes, "growing_sources", "over half of the sources grow", F.col("up"), F.col("up") > 0.5),
+        _row(old, "longevity", "sources of more years have more articles", F.col("rho"), F.col("rho") > 0),
+        _row(staged, "growth_impact", "growing sources are cited more an article than others", F.col("gap"), F.col("gap") > 0),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def places(panel: DataFrame, regions: DataFrame) -> DataFrame:
+    """Countries (``countries.panel``) and their regions: growth, size, dominance, convergence and regional gaps."""
+    totals = countries.summary(panel)
+    slopes = primitives.trend(panel, ["country"], "year", "articles").select("country", "slope")
+    growing = slopes.agg(F.avg((F.col("slope") > 0).cast("double")).alias("up"))
+    size = stats.spearman(totals.join(slopes, "country"), "articles", "slope")
+    largest = totals.agg(F.max("share").alias("share"))
+    spread = primitives.trend(countries.sigma_convergence(panel), [], "year", "cv")
+    means = totals.join(regions, "country").groupBy("region").agg((F.sum("citations") / F.sum("articles")).alias("m")).agg(primitives.ratio(F.max("m"), F.min("m")).alias("ratio"))
+    rows = [
+        _row(growing, "growing_countries", "over half of the countries grow", F.col("up"), F.col("up") > 0.5),
+        _row(size, "size_growth", "larger countries grow by more articles a year", F.col("rho"), F.col("rho") > 0),
+        _row(largest, "dominance", "one country has over a fifth of all articles", F.col("share"), F.col("share") > 0.2),
+        _row(spread, "sigma_convergence", "the yearly spread over countries falls", F.col("slope"), F.col("slope") < 0),
+        _row(means, "regional_gap", "a region is cited over a fifth more an article than another", F.col("ratio"), F.col("ratio") > 1.2),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def dynamics(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Per series ``id, statistic, supported``: outliers, regimes, forecasts, acceleration, shape and persistence."""
+    own = Window.partitionBy(*keys)
+    order = own.orderBy("year")
+    flagged = series.anomalies(df, keys).groupBy(*keys).agg(F.sum(F.col("outlier").cast("int")).cast("double").alias("s"))
+    cut = series.pettitt(df, keys).select(*keys, F.col("year").alias("_cut"))
+    sides = df.join(cut, keys).groupBy(*keys).agg(primitives.ratio(F.avg(F.when(F.col("year") > F.col("_cut"), F.col("articles"))) - F.avg(F.when(F.col("year") <= F.col("_cut"), F.col("articles"))), F.stddev_samp("articles")).alias("s"))
+    errors = fits.expanding_errors(df, keys).groupBy(*keys).agg((F.min(F.when(F.col("model") == "naive", F.col("mae"))) - F.min(F.when(F.col("model") != "naive", F.col("mae")))).alias("s"))
+    changes = df.select(*keys, (F.col("articles") - F.lag("articles").over(order)).alias("d"), F.row_number().over(order).alias("i"), F.count("*").over(own).alias("n"))
+    faster = changes.groupBy(*keys).agg((F.avg(F.when(2 * F.col("i") > F.col("n") + 1, F.col("d"))) - F.avg(F.when(2 * F.col("i") <= F.col("n") + 1, F.col("d")))).alias("s"))
+    line = primitives.trend(df, keys, "year", "articles").select(*keys, "r2")
+    total = df.groupBy(*keys).agg((F.var_pop("articles") * F.count("*")).alias("_ss"))
+    shape = series.mean_shift(df, keys).join(line, keys).join(total, keys).select(*keys, (F.col("r2") - primitives.ratio(F.col("gain"), F.col("_ss"))).alias("s"))
+    lagged = series.residual_checks(df, keys).select(*keys, F.col("lag1").alias("s"))
+    named = [(flagged, "outliers", F.col("s") > 0), (sides, "regime_difference", F.abs("s") > 0.5), (errors, "forecast_superiority", F.col("s") > 0), (faster, "acceleration", F.col("s") > 0), (shape, "gradual_change", F.col("s") > 0), (lagged, "persistence", F.col("s") > 0)]
+    return reduce(DataFrame.unionByName, (t.select(*keys, F.lit(k).alias("id"), F.col("s").alias("statistic"), ok.alias("supported")) for t, k, ok in named))
+
+
+def quality_gate(measured: DataFrame, limits: dict[str, tuple[float | None, float | None]]) -> DataFrame:
+    """``check, value, low, high, passed`` for columns of the one row of ``measured``; a null value does not pass."""
+    rows = F.array(*(F.struct(F.lit(c).alias("check"), F.col(c).cast("double").alias("value"), F.lit(low).cast("double").alias("low"), F.lit(high).cast("double").alias("high")) for c, (low, high) in limits.items()))
+    out = measured.select(F.explode(rows).alias("r")).select("r.*")
+    inside = F.coalesce(F.col("value") >= F.coalesce("low", F.lit(float("-inf"))), F.lit(False)) & F.coalesce(F.col("value") <= F.coalesce("high", F.lit(float("inf"))), F.lit(False))
+    return out.withColumn("passed", inside)

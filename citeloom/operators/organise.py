@@ -118,3 +118,52 @@ def organise(records: DataFrame) -> dict[str, DataFrame]:
         "documents": documents(records), "author_documents": author_documents(records), "authors": authors(records), "country_documents": country_documents(records), "affiliations": places, "locations": locations(places),
         "keywords_long": long, "keywords": keywords(long), "references": cited, "abstracts": abstracts(records), "funding": funding(records), "collaborations": collaborations(records), "doc_types": doc_types(records), "sources": sources(records),
     }
+
+
+def reference_journals(references_: DataFrame, journal: str = "journal") -> DataFrame:
+    """Per cited journal (column ``journal`` of the references): mentions, citing documents, rank by mentions (ties by name)."""
+    return _cited(references_, journal)
+
+
+def reference_authors(references_: DataFrame) -> DataFrame:
+    """Per first author of references: mentions, citing documents, rank by mentions (ties by name)."""
+    return _cited(references_, "first_author")
+
+
+def _cited(references_: DataFrame, column: str) -> DataFrame:
+    counted = references_.where(T.present(F.col(column))).groupBy(F.trim(column).alias(column)).agg(F.count("*").alias("mentions"), F.count_distinct("doc").alias("citing"))
+    sizes = counted.groupBy("mentions").agg(F.count("*").alias("_n"))
+    before = sizes.select("mentions", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("mentions")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("mentions").orderBy(column))
+    return counted.withColumn("_own", own).join(before, "mentions").select(column, "mentions", "citing", (F.col("_before") + F.col("_own")).alias("rank"))
+
+
+def document_summaries(records: DataFrame) -> DataFrame:
+    """Per document: keywords (author and index), affiliations, institutions, references and references with a year."""
+    words = keywords_long(records).groupBy("doc").agg(F.count("*").alias("keywords"), F.count_distinct("keyword").alias("different_keywords"))
+    places = affiliations(records).groupBy("doc").agg(F.count("*").alias("affiliations"), F.count_distinct("institution").alias("institutions"))
+    cited = references(records).groupBy("doc").agg(F.count("*").alias("references"), F.count("year").alias("dated_references"))
+    return records.select("doc").join(words, "doc", "left").join(places, "doc", "left").join(cited, "doc", "left").fillna(0)
+
+
+def self_citations(records: DataFrame) -> DataFrame:
+    """Per document with references: references, those that name the last name (over two letters) of one of its authors, share."""
+    last = F.transform("authors", lambda a: F.upper(F.trim(F.when(F.contains(a, F.lit(",")), F.substring_index(a, ",", 1)).otherwise(F.substring_index(a, " ", -1)))))
+    rows = records.select("doc", F.filter(last, lambda a: F.length(a) > 2).alias("last"), F.explode("references").alias("raw"))
+    own = F.exists("last", lambda a: F.contains(F.upper("raw"), a))
+    return rows.groupBy("doc").agg(F.count("*").alias("references"), F.count_if(own).alias("own")).withColumn("share", ratio(F.col("own"), F.col("references")))
+
+
+def display_label(title, source, year, doi, most: int = 60):
+    """A short label of a document: its title, cut at ``most`` letters, source and year; its DOI where it has no title."""
+    short = F.when(F.length(title) > most, F.concat(F.rtrim(F.substring(title, 1, most - 3)), F.lit("..."))).otherwise(title)
+    named = F.concat_ws(", ", short, F.nullif(F.trim(source), F.lit("")), year.cast("string"))
+    return F.when(T.present(title), named).when(T.present(doi), doi).otherwise(F.lit("Untitled"))
+
+
+def majority_cluster(references_: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Per document the cluster (``reference, cluster``) of most of its references (``doc, reference``; the smallest of several),
+    how many, and their share."""
+    votes = references_.join(clusters, "reference").groupBy("doc", "cluster").agg(F.count("*").alias("n"))
+    best = votes.groupBy("doc").agg(F.max(F.struct("n", -F.col("cluster"))).alias("b"), F.sum("n").alias("all"))
+    return best.select("doc", (-F.col("b.col2")).alias("cluster"), F.col("b.n").alias("votes"), ratio(F.col("b.n"), F.col("all")).alias("share"))

@@ -6,6 +6,7 @@ answers are landed as JSON lines and mapped here.
 
 from __future__ import annotations
 
+import json
 import re
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -234,3 +235,46 @@ def coverage(records: DataFrame) -> DataFrame:
     counted = records.agg(F.count("*").alias("_n"), *(F.sum(F.coalesce(k.cast("long"), F.lit(0))).alias(c) for c, k in known.items()))
     long = counted.select("_n", F.explode(F.create_map(*(x for c in known for x in (F.lit(c), F.col(c))))).alias("field", "present"))
     return long.select("field", "present", F.when(F.col("_n") > 0, F.col("present") / F.col("_n")).alias("share"))
+
+
+def orcid_profiles(landed: DataFrame) -> DataFrame:
+    """``orcid, name, works`` of landed ORCID records (``orcid-identifier``, ``person``, ``activities-summary``)."""
+    name = F.col("person.name")
+    return landed.select(
+        F.col("`orcid-identifier`.path").alias("orcid"),
+        T.squeeze(F.concat_ws(" ", name["given-names"]["value"], name["family-name"]["value"])).alias("name"),
+        F.coalesce(F.size(F.col("`activities-summary`.works.group")), F.lit(0)).alias("works"),
+    )
+
+
+def ror_organisations(landed: DataFrame) -> DataFrame:
+    """``ror, name, country, city`` of landed ROR organisations (version 1 answers)."""
+    return landed.select(F.regexp_extract("id", "([^/]+)$", 1).alias("ror"), "name", F.upper("country.country_name").alias("country"), F.get("addresses", F.lit(0))["city"].alias("city"))
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """A screening ledger of CSV or JSON lines (by the file's ending): doc, stage, reviewer, decision, reason, is_final."""
+    raw = spark.read.json(path) if path.endswith((".json", ".jsonl")) else spark.read.csv(path, header=True, multiLine=True, escape='"')
+    names = {"doc": ("doc", "document_id", "record_id", "id"), "stage": ("stage", "phase"), "reviewer": ("reviewer", "screener"), "decision": ("decision", "status"), "reason": ("reason", "exclusion_reason"), "is_final": ("is_final", "final")}
+    columns = [pick(raw, found).cast("string").alias(name) for name, found in names.items()]
+    return raw.select(columns).withColumn("is_final", F.lower("is_final").isin("true", "1", "yes"))
+
+
+def read_spec(spark: SparkSession, path: str, base: dict | None = None) -> dict:
+    """A JSON file of settings (a flow specification, say) as a dict, over those of ``base``."""
+    from ..operators.adjust import merged_spec
+
+    text = spark.read.text(path, wholetext=True).first()
+    return merged_spec(base or {}, json.loads(text[0]) if text else {})
+
+
+def sample_records(spark: SparkSession, many: int = 500, seed: int = 42) -> DataFrame:
+    """``many`` made-up records in the record schema, the same for a seed: for trials and tests."""
+    at = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(n))
+    number = lambda x: x.cast("string")
+    rows = spark.range(many).select(
+        F.concat(F.lit("Sample record "), number(F.col("id"))).alias("title"), F.transform(F.sequence(F.lit(0), at(1, 4).cast("int")), lambda k: F.concat(F.lit("Author "), number(F.pmod(F.xxhash64("id", k, F.lit(seed)), F.lit(60))))).alias("authors"),
+        (2005 + at(2, 20)).cast("int").alias("year"), F.concat(F.lit("Journal "), number(at(3, 25))).alias("source"), F.floor(F.pow(at(4, 1000) / 100.0, 2)).cast("long").alias("citations"), F.concat(F.lit("10.5555/sample."), number(F.col("id"))).alias("doi"),
+        F.when(at(5, 5) == 0, "Review").otherwise("Article").alias("doc_type"), F.transform(F.sequence(F.lit(0), at(6, 4).cast("int")), lambda k: F.concat(F.lit("topic "), number(F.pmod(F.xxhash64("id", k, F.lit(seed + 1)), F.lit(40))))).alias("keywords"), F.lit("SAMPLE").alias("source_db"),
+    )
+    return conform(rows)

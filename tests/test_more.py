@@ -33,7 +33,7 @@ def edits(a, b):
 @pytest.mark.parametrize("least", [0.7, 0.85])
 def test_edit_join_loses_no_pair(spark, least):
     rng = np.random.default_rng(3)
-    words = {"li", "lee", "wu", "hahahaha", "hahahaho", "hahaha", "aaaaaaa", "aaaaaa", "bbbbb", "bbbb", "abababab", "babababa"}
+    words = {"aning", "aningth", "abcde", "xabcdey", "li", "lee", "wu", "hahahaha", "hahahaho", "hahaha", "aaaaaaa", "aaaaaa", "bbbbb", "bbbb", "abababab", "babababa"}
     while len(words) < 260:
         base = "".join(rng.choice(list("aeioulnrst"), rng.integers(2, 12)))
         words.add(base)
@@ -257,3 +257,24 @@ def test_queries_without_sql(spark):
         best.setdefault(r["doc_type"], []).append(r)
     assert all(sum(r["weight"] for r in rows if r["weight"] is not None) == pytest.approx(1, abs=1e-4) and min(rows, key=lambda r: r["rank"])["aic"] == min(r["aic"] for r in rows if r["aic"] is not None) for rows in best.values())
     assert {r["source"] for r in run["source_clusters"]} == {r["source"] for r in roles.records().where("source is not null").select("source").distinct().collect()} and len({r["cluster"] for r in run["source_clusters"]}) <= 3
+
+
+def test_landed_profiles_and_ledgers(spark, tmp_path):
+    import json
+
+    (tmp_path / "orcid.json").write_text(json.dumps({"orcid-identifier": {"path": "0000-0002-1825-0097"}, "person": {"name": {"given-names": {"value": "Ana"}, "family-name": {"value": "García"}}}, "activities-summary": {"works": {"group": [{"x": 1}, {"x": 2}]}}}))
+    assert one(exports.orcid_profiles(spark.read.json(f"{tmp_path}/orcid.json"))) == ("0000-0002-1825-0097", "Ana García", 2)
+    (tmp_path / "ror.json").write_text(json.dumps({"id": "https://ror.org/05gq02987", "name": "A University", "country": {"country_name": "Spain"}, "addresses": [{"city": "Vigo"}]}))
+    assert one(exports.ror_organisations(spark.read.json(f"{tmp_path}/ror.json"))) == ("05gq02987", "A University", "SPAIN", "Vigo")
+    (tmp_path / "ledger.csv").write_text("Document ID,Phase,Screener,Status,Final\n7,title,r1,Include,TRUE\n8,title,r1,Exclude,\n")
+    ledger = exports.read_ledger(spark, f"{tmp_path}/ledger.csv").collect()
+    assert [(r["doc"], r["stage"], r["decision"], r["is_final"]) for r in ledger] == [("7", "title", "Include", True), ("8", "title", "Exclude", None)]
+    (tmp_path / "spec.json").write_text('{"flow": {"screened": 5}}')
+    assert exports.read_spec(spark, f"{tmp_path}/spec.json", {"flow": {"screened": 1, "found": 9}}) == {"flow": {"screened": 5, "found": 9}}
+
+
+def test_sample_records_are_whole_and_repeatable(spark):
+    sample = exports.sample_records(spark, 60)
+    assert sample.count() == 60 and sample.where("title is null or size(authors) = 0 or citations < 0 or year not between 2005 and 2024").count() == 0
+    assert sorted(map(str, sample.collect())) == sorted(map(str, exports.sample_records(spark, 60).repartition(7).collect()))
+    assert str(exports.sample_records(spark, 60, seed=1).collect()) != str(sample.collect())
