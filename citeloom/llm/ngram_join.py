@@ -11,8 +11,9 @@ Spark deals the work out so that no task holds an unbounded group:
    of ``h + 1 + s`` parts that a hash cuts all shingles into, they agree in ``s + 1`` at least. A set's keys are its
    parts, several shingles each, so that unrelated sets hardly ever meet; parts without a rare shingle are passed over
    where the set has ``s`` of them at most (so that one of the ``s + 1`` remains). ``h`` follows from the larger set's
-   size; sizes up to ``SHORT`` use the prefix filter instead. Which shingles are rare, and which keys so many sets hold
-   that they skip the exchange, comes from a bounded sample and affects speed only.
+   size; sizes up to ``SHORT``, and thresholds at which parts would be small, use the prefix filter instead, rare
+   shingles first. Which shingles are rare, and which keys so many sets hold that they skip the exchange, comes from a
+   bounded sample and affects speed only.
 3. ``stars``: each bucket's smallest member is compared with the others, first by the bound of their points, then, one
    partner for each set, shingle by shingle. A group of copies ends here, in work linear in its size.
 4. ``candidates``: buckets that are not of one class by then go through the R-tree join, which links points whose bound
@@ -54,8 +55,9 @@ HEAVY = 8
 SEEN = 1 << 18
 #: Bits for each chosen id, and at most, of the table by which texts are passed over before the join; broadcast.
 BITS_EACH, MOST_BITS = 16, 1 << 28
-#: Up to this size sets meet by shared shingles of their prefix; beyond, levels of parts grow by half.
-SHORT = 64
+#: Up to this size sets meet by shared shingles of their prefix; beyond, levels of parts grow by half. Thresholds at which
+#: parts would have fewer shingles than PART on average have no levels.
+SHORT, PART = 64, 4
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -209,8 +211,14 @@ class Level:
 
 
 def levels(num: int, den: int, most: int = 1 << 40) -> list[Level]:
-    """Levels for sizes up to ``most``; ``spare`` is what the smallest sets of a level have of empty parts, and a margin."""
+    """Levels for sizes up to ``most``; ``spare`` is what the smallest sets of a level have of empty parts, and a margin.
+
+    None if parts are too small to tell sets apart much better than single shingles, of which a prefix has far fewer: at a
+    threshold of 0.9 the smallest sets of a level have over five shingles a part, at 0.8 about two.
+    """
     out, under = [], SHORT
+    if num * (num + den) < 3 * PART * den * (den - num):  # least / apart in what follows, for large sets
+        return out
     while under < most:
         upto = under + under // 2
         apart, least = (den - num) * 2 * upto // (num + den), -(-num * (under + 1) // den)
@@ -230,7 +238,7 @@ def keys_of(s: np.ndarray, num: int, den: int, frequent: np.ndarray, steps: list
     at = np.searchsorted(frequent, s)
     at[at == len(frequent)] = 0
     rare = frequent[at] != s if len(frequent) else np.ones(n, bool)
-    if n <= SHORT:
+    if n <= SHORT or not steps:
         length = prefix_length(n, num, den)
         found.append(mix(np.concatenate([s[rare], s[~rare]])[:length] + np.uint64(0x51ED270B)))
     total = np.zeros(n + 1, np.uint64)

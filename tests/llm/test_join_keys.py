@@ -17,6 +17,7 @@ def test_sets_at_the_threshold_share_a_key(seed, threshold):
     rng = np.random.default_rng(seed)
     num, den = threshold
     steps = ngram_join.levels(num, den, 1 << 20)
+    assert bool(steps) == (num / den > 0.85)
     n = int(rng.choice([3, 20, 60, 64, 65, 70, 96, 97, 150, 700, 3000]))
     base = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
     gone = int(rng.integers(0, 1 + len(base) * (den - num) // den))
