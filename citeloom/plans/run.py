@@ -8,10 +8,11 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import countries, dedup, descriptive, hypotheses, networks, organise, series, venues
+from ..operators import countries, dedup, descriptive, fits, hypotheses, institutions, networks, organise, series, venues
 from ..sources import exports
+from . import storage
 
-MODULES = ("documents", "description", "growth", "countries", "sources", "networks", "hypotheses")
+MODULES = ("documents", "description", "growth", "institutions", "countries", "sources", "networks", "hypotheses")
 
 
 @dataclass
@@ -57,17 +58,21 @@ def analyse(records: DataFrame, settings: Settings) -> dict[str, DataFrame]:
             "overview": descriptive.overview(records, authors), "annual": annual, "author_productivity": descriptive.productivity(authors, records, "author"), "author_indices": descriptive.author_indices(authors, records, "author"),
             "most_cited": descriptive.most_cited(records, settings.top), "citation_profile": descriptive.citation_profile(records), "lotka": descriptive.lotka(authors, "author"), "keyword_frequency": descriptive.shares(keywords, "keyword"),
         },
-        "growth": {"series": series.describe(one_series, ["series"]), "trend_tests": series.with_p_values(series.mann_kendall(one_series, ["series"])), "breaks": series.change_consensus(one_series, ["series"]), "curves": series.fit_curves(one_series, ["series"], settings.horizon), "forecast": series.holt_forecast(one_series, ["series"], settings.horizon)},
+        "growth": {"series": series.describe(one_series, ["series"]), "trend_tests": series.with_p_values(series.mann_kendall(one_series, ["series"])), "breaks": series.change_consensus(one_series, ["series"]), "curves": series.fit_curves(one_series, ["series"], settings.horizon), "forecast": series.holt_forecast(one_series, ["series"], settings.horizon), "forecasts": fits.forecasts(one_series, ["series"], settings.horizon), "model_table": fits.model_table(one_series, ["series"])},
+        "institutions": {"institution_production": institutions.production(star["affiliations"], records), "institution_sectors": institutions.sectors(star["affiliations"], records), "institution_pairs": institutions.collaboration(star["affiliations"])},
         "countries": {"country_summary": countries.summary(panel), "country_growth": countries.growth_dynamics(panel), "country_ranks": countries.yearly_ranks(panel), "country_collaboration": countries.collaboration(places), "country_papers": descriptive.country_table(places, records)},
         "sources": {"source_summary": venues.summary(records), "source_growth": venues.growth_table(venues.panel(records)), "source_specialization": venues.specialization(records, keywords)},
         "networks": {"keyword_pairs": networks.cooccurrence(keywords, "keyword", 50), "author_pairs": networks.cooccurrence(authors, "author", 1000)},
-        "hypotheses": {"corpus_hypotheses": hypotheses.corpus(records, authors, places, keywords), "growth_hypotheses": hypotheses.growth(one_series, ["series"])},
+        "hypotheses": {"corpus_hypotheses": hypotheses.corpus(records, authors, places, keywords), "growth_hypotheses": hypotheses.growth(one_series, ["series"]), "source_hypotheses": hypotheses.venues(venues.summary(records), venues.growth_table(venues.panel(records)))},
     }
     return {name: table for module in settings.modules for name, table in by_module[module].items()}
 
 
 def run(spark: SparkSession, settings: Settings, out: str) -> dict:
-    """Read, merge, analyse and write every table as Parquet under ``out``; the manifest, which is written there too."""
+    """Read, merge, analyse and write every table as Parquet under ``out``; the manifest, which is written there too.
+
+    Intermediate tables are deleted at the end, those of lazy results made before in this process included.
+    """
     settings.check()
     raw = exports.read_sources(spark, settings.sources)
     merged = dedup.deduplicate(raw, settings.fuzzy_titles, settings.priority)
@@ -78,4 +83,5 @@ def run(spark: SparkSession, settings: Settings, out: str) -> dict:
         table.write.mode("overwrite").parquet(f"{out}/{name}")
     manifest = {"settings": json.loads(settings.to_json()), "tables": {"records": records.columns} | {name: table.columns for name, table in tables.items()}}
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/manifest")
+    storage.clean(spark)
     return manifest

@@ -287,7 +287,7 @@ def test_run_from_files_to_tables(spark, tmp_path):
     head = "Authors,Title,Year,Source title,Cited by,DOI,Affiliations,Author Keywords,Index Keywords,Document Type,References\n"
     rows = [f'"A{i % 3} B;C{i % 2} D",Title number {i} of it,{2010 + i % 6},J{i % 2},{i},10.1/a{i},"U, Boston, USA; V, Paris, France",alpha; w{i % 4},,Article,' for i in range(18)]
     (tmp_path / "a.csv").write_text(head + "\n".join(rows) + "\n" + rows[0] + "\n")
-    settings = Settings(sources=[{"format": "csv", "paths": f"{tmp_path}/a.csv", "kind": "scopus"}], modules=("documents", "description", "countries", "hypotheses"))
+    settings = Settings(sources=[{"format": "csv", "paths": f"{tmp_path}/a.csv", "kind": "scopus"}], modules=("documents", "description", "growth", "institutions", "countries", "hypotheses"))
     assert Settings.from_json(settings.to_json()) == settings
     manifest = run(spark, settings, f"{tmp_path}/out")
     assert one(spark.read.parquet(f"{tmp_path}/out/merge_summary"))["removed"] == 1
