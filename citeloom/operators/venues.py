@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .primitives import citation_indices, concentration, growth, pair_counts, ratio, trend
+from .primitives import citation_indices, concentration, growth, pair_counts, ranked, ratio, trend
 
 
 
@@ -20,9 +20,11 @@ def summary(records: DataFrame) -> DataFrame:
     known = records.where(F.col("source").isNotNull())
     totals = known.groupBy("source").agg(F.count("*").alias("tp"), F.sum("citations").alias("tc"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
     indexed = totals.join(citation_indices(known, ["source"], "citations").select("source", "h_index", "g_index"), "source")
-    cpp = ratio(F.col("tc"), F.col("tp"))
-    by = lambda c: F.rank().over(Window.orderBy(F.desc(c)))
-    return indexed.withColumn("cpp", cpp).withColumns({"share": ratio(F.col("tp"), F.sum("tp").over(Window.partitionBy())), "rank_tp": by("tp"), "rank_tc": by("tc"), "rank_cpp": by("cpp")})
+    every = totals.agg(F.sum("tp").alias("_all"))
+    out = indexed.withColumn("cpp", ratio(F.col("tc"), F.col("tp"))).crossJoin(F.broadcast(every)).withColumn("share", ratio(F.col("tp"), F.col("_all"))).drop("_all")
+    for column in ("tp", "tc", "cpp"):
+        out = ranked(out, column, f"rank_{column}")
+    return out
 
 
 def growth_table(panel_: DataFrame, recent: int = 3) -> DataFrame:
@@ -34,9 +36,10 @@ def growth_table(panel_: DataFrame, recent: int = 3) -> DataFrame:
 
 def source_concentration(summary_: DataFrame) -> DataFrame:
     """Gini, HHI and entropy of output over sources and the share of the five and ten largest."""
+    first = summary_.orderBy(F.desc("tp"), "source").select("tp", "source").limit(10)
     place = F.row_number().over(Window.orderBy(F.desc("tp"), "source"))
-    top = summary_.select("tp", place.alias("_r")).agg(*(ratio(F.sum(F.when(F.col("_r") <= k, F.col("tp")).otherwise(0)), F.sum("tp")).alias(f"top{k}") for k in (5, 10)))
-    return concentration(summary_, [], "tp").crossJoin(top)
+    top = first.select("tp", place.alias("_r")).agg(F.sum(F.when(F.col("_r") <= 5, F.col("tp"))).alias("_5"), F.sum("tp").alias("_10"))
+    return concentration(summary_, [], "tp").crossJoin(top).withColumns({"top5": ratio(F.col("_5"), F.col("total")), "top10": ratio(F.col("_10"), F.col("total"))}).drop("_5", "_10")
 
 
 def source_keywords(records: DataFrame, keywords: DataFrame, top: int = 5) -> DataFrame:
@@ -89,8 +92,8 @@ def archetypes(summary_: DataFrame) -> DataFrame:
 
     An outlier is at or over the 90th percentile of the length of (z of output, z of impact).
     """
-    z = lambda c: ratio(F.col(c) - F.avg(c).over(Window.partitionBy()), F.stddev_samp(c).over(Window.partitionBy()), 0.0)
-    cuts = summary_.agg(F.median("tp").alias("_p"), F.median("cpp").alias("_c"))
+    z = lambda c: ratio(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}"), 0.0)
+    cuts = summary_.agg(F.median("tp").alias("_p"), F.median("cpp").alias("_c"), *(f(c).alias(f"_{n}_{c}") for c in ("tp", "cpp") for n, f in (("m", F.avg), ("s", F.stddev_samp))))
     big, cited = F.col("tp") >= F.col("_p"), F.col("cpp") >= F.col("_c")
     label = F.when(big & cited, "flagship").when(big, "volume").when(cited, "niche").otherwise("peripheral")
     scored = summary_.crossJoin(F.broadcast(cuts)).withColumns({"archetype": label, "distance": F.sqrt(F.pow(z("tp"), 2) + F.pow(z("cpp"), 2))})
@@ -139,4 +142,4 @@ def high_impact_classifier(features_: DataFrame, columns: list[str], label: str,
 def coupling(records: DataFrame, keywords: DataFrame) -> DataFrame:
     """Source pairs by shared distinct keywords."""
     held = keywords.join(records.select("doc", "source"), "doc").where(F.col("source").isNotNull()).select("keyword", "source").distinct()
-    return pair_counts(held, "keyword", "source")
+    return pair_counts(held, "keyword", "source", blocked=True)
