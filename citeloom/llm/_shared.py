@@ -1,31 +1,14 @@
-"""Where operators keep intermediate tables, and connected components over an edge table."""
+"""What several operators share: intermediate tables and components of the core, small Arrow batches, bounded samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.networks import connected as components
+from ..plans.storage import materialise, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session has no such setting (tests on one machine) a temporary folder serves.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="citeloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/citeloom-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["bounded_batches", "components", "materialise", "sampled", "shared_dir"]
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -45,35 +28,3 @@ def sampled(df: DataFrame, key: Column, rows: int, distinct: bool = False) -> Da
         df = df.where(F.pmod(F.xxhash64(key, F.lit(0)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, (rows + 4 * rows**0.5) / n)))
     df = df.distinct() if distinct else df
     return df.orderBy(F.xxhash64(key, F.lit(0)), key).limit(rows)
-
-
-def _min_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
-
-
-def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
-    """Connected components of ``edges`` (columns ``u``, ``v``): one row ``node, label`` per node with an edge.
-
-    ``label`` is the smallest node of the component. Alternates large-star and small-star steps (Kiveris et al.,
-    2014): every step is a map-side combined minimum and an equi-join whose skew AQE can split, and rounds grow with
-    the logarithm of the longest path. Each round is written to ``folder``.
-    """
-    both = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = materialise(both, folder, f"{name}-0")
-    state, turn = None, 0
-    while True:
-        turn += 1
-        around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = around.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large, folder, f"{name}-{turn}-large")
-        joined = large.join(_min_neighbour(large), "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialise(small, folder, f"{name}-{turn}")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == state or now[0] == 0:
-            break
-        state = now
-    leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return leaves.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -539,7 +539,8 @@ def ngram_jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_colum
     members = met.unionByName(often.select(F.col("key").alias("bucket"), "rep", "sid", F.lit(False).alias("pair"))).distinct()
     members = materialise(members, folder, "members")
     held = members.select("sid").union(members.select("rep")).distinct()
-    points = rows.where("sid is not null").join(held, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("point").alias("point"))
+    first = described.where("keys is not null").select("id", "n", "sid", "point")  # of a set, one row a task: not its copies
+    points = first.join(held, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("point").alias("point"))
     points = materialise(points, folder, "points")
 
     stars = points.select(F.col("sid").alias("rep"), F.col("n").alias("m"), F.col("point").alias("other"))
