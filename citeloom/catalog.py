@@ -496,7 +496,7 @@ def spatial_autocorrelation(r: Roles) -> DataFrame:
 , p AS (SELECT source, citations, year, row_number() OVER (PARTITION BY source ORDER BY citations DESC) AS rn, sum(citations) OVER (PARTITION BY source ORDER BY citations DESC ROWS UNBOUNDED PRECEDING) AS run FROM records WHERE source IS NOT NULL),
 s AS (SELECT source, count(*) AS tp, CAST(sum(citations) AS BIGINT) AS tc, min(year) AS first_year, max(year) AS last_year, count(*) FILTER (citations >= rn) AS h_index, count(*) FILTER (run >= rn * rn) AS g_index, sum(citations) / CAST(count(*) AS DOUBLE) AS cpp FROM p GROUP BY source)
 SELECT source, tp, tc, first_year, last_year, h_index, g_index, round(cpp, 6) AS cpp, round(tp / sum(tp) OVER (), 6) AS share, CAST(rank() OVER (ORDER BY tp DESC) AS INTEGER) AS rank_tp, CAST(rank() OVER (ORDER BY tc DESC) AS INTEGER) AS rank_tc,
-       CAST(rank() OVER (ORDER BY cpp DESC) AS INTEGER) AS rank_cpp FROM s""")
+       CAST(rank() OVER (ORDER BY round(cpp, 9) DESC) AS INTEGER) AS rank_cpp FROM s""")
 def source_summary(r: Roles) -> DataFrame:
     return venues.summary(r.records())
 

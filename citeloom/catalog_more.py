@@ -58,7 +58,7 @@ def years_by_mode(r: Roles) -> DataFrame:
 
 @query(_PANEL + """
 , p AS (SELECT n_name AS country, count(*) AS people FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name), j AS (SELECT country, articles, people, CAST(articles * 1000.0 / people AS DOUBLE) AS v FROM totals JOIN p USING (country))
-SELECT country, articles, people, round(v, 6) AS articles_per_people, rank() OVER (ORDER BY v DESC) AS rank_articles_per_people FROM j""")
+SELECT country, articles, people, round(v, 6) AS articles_per_people, rank() OVER (ORDER BY round(v, 9) DESC) AS rank_articles_per_people FROM j""")
 def country_output_per_head(r: Roles) -> DataFrame:
     customers, nations = r.table("customer"), r.table("nation")
     people = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.lower("n_name").alias("country")).agg(F.count("*").alias("people"))
@@ -88,7 +88,7 @@ def institution_production(r: Roles) -> DataFrame:
 
 
 @query(_PRODUCTION + """
-, k2 AS (SELECT institution, documents, citations, mean_citations, rank() OVER (ORDER BY documents DESC) AS rank_documents, rank() OVER (ORDER BY citations DESC) AS rank_citations, rank() OVER (ORDER BY mean_citations DESC) AS rank_mean_citations FROM t),
+, k2 AS (SELECT institution, documents, citations, mean_citations, rank() OVER (ORDER BY documents DESC) AS rank_documents, rank() OVER (ORDER BY citations DESC) AS rank_citations, rank() OVER (ORDER BY round(mean_citations, 9) DESC) AS rank_mean_citations FROM t),
 s AS (SELECT *, (rank_documents + rank_citations + rank_mean_citations) / 3 AS mean_rank FROM k2)
 SELECT institution, documents, citations, round(mean_citations, 6) AS mean_citations, rank_documents, rank_citations, rank_mean_citations, round(mean_rank, 6) AS mean_rank, row_number() OVER (ORDER BY mean_rank, institution) AS place FROM s""")
 def institution_ranking(r: Roles) -> DataFrame:
@@ -478,7 +478,7 @@ _SLOPES = _PANEL + ", sl AS (SELECT country, regr_slope(articles, year) AS s FRO
 
 
 @query(_SLOPES + """
-, z AS (SELECT articles, s, rank() OVER (ORDER BY articles) + (count(*) OVER (PARTITION BY articles) - 1) / 2.0 AS x, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS y FROM totals JOIN sl USING (country)),
+, z AS (SELECT articles, s, rank() OVER (ORDER BY articles) + (count(*) OVER (PARTITION BY articles) - 1) / 2.0 AS x, rank() OVER (ORDER BY round(s, 9)) + (count(*) OVER (PARTITION BY round(s, 9)) - 1) / 2.0 AS y FROM totals JOIN sl USING (country)),
 cv AS (SELECT year, stddev_samp(articles) / avg(articles) AS cv FROM panel GROUP BY year), m AS (SELECT region, sum(citations) / sum(articles) AS m FROM totals JOIN regions USING (country) GROUP BY region),
 h AS (SELECT 'growing_countries' AS id, avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END) AS v, avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END) > 0.5 AS supported FROM sl UNION ALL SELECT 'size_growth', corr(x, y), corr(x, y) > 0 FROM z UNION ALL SELECT 'dominance', max(articles) / sum(articles), max(articles) / sum(articles) > 0.2 FROM totals
       UNION ALL SELECT 'sigma_convergence', regr_slope(cv, year), regr_slope(cv, year) < 0 FROM cv UNION ALL SELECT 'regional_gap', max(m) / min(m), max(m) / min(m) > 1.2 FROM m)
@@ -489,7 +489,7 @@ def hypotheses_of_countries(r: Roles) -> DataFrame:
 
 @query("""
 , s AS (SELECT source, count(*) AS tp, sum(citations) / count(*) AS cpp, max(year) - min(year) + 1 AS span FROM records WHERE source IS NOT NULL GROUP BY source), p AS (SELECT source, year, count(*) AS a FROM records WHERE source IS NOT NULL GROUP BY ALL), g AS (SELECT source, CASE WHEN count(*) > 1 THEN regr_slope(a, year) END AS s FROM p GROUP BY source),
-z AS (SELECT rank() OVER (ORDER BY tp) + (count(*) OVER (PARTITION BY tp) - 1) / 2.0 AS t, rank() OVER (ORDER BY cpp) + (count(*) OVER (PARTITION BY cpp) - 1) / 2.0 AS c, rank() OVER (ORDER BY span) + (count(*) OVER (PARTITION BY span) - 1) / 2.0 AS l FROM s),
+z AS (SELECT rank() OVER (ORDER BY tp) + (count(*) OVER (PARTITION BY tp) - 1) / 2.0 AS t, rank() OVER (ORDER BY round(cpp, 9)) + (count(*) OVER (PARTITION BY round(cpp, 9)) - 1) / 2.0 AS c, rank() OVER (ORDER BY span) + (count(*) OVER (PARTITION BY span) - 1) / 2.0 AS l FROM s),
 o AS (SELECT tp, row_number() OVER (ORDER BY tp DESC) AS i, count(*) OVER () AS n FROM s), u AS (SELECT avg(cpp) FILTER (g.s > 0) - avg(cpp) FILTER (g.s <= 0) AS gap FROM s JOIN g USING (source)),
 r2 AS (SELECT CASE WHEN count(DISTINCT l) > 1 THEN corr(l, t) END AS v FROM z),
 h AS (SELECT 'source_concentration' AS id, sum(tp) FILTER (i <= ceil(round(0.2 * n, 9))) / sum(tp) AS v, sum(tp) FILTER (i <= ceil(round(0.2 * n, 9))) / sum(tp) >= 0.5 AS supported FROM o UNION ALL SELECT 'output_quality', corr(t, c), corr(t, c) > 0 FROM z

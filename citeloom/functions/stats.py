@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbers import steady
+
 #: Coefficients of the complementary error function's rational approximation (Numerical Recipes, relative error 1.2e-7).
 _ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
@@ -83,11 +85,11 @@ def claim_strength(p: Column) -> Column:
 
 
 def average_ranks(df: DataFrame, value: str, groups: tuple[str, ...] = (), out: str = "rank") -> DataFrame:
-    """Ranks from 1 with ties averaged, inside ``groups``, through the histogram of values."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_x")).agg(F.count("*").alias("_n"))
+    """Ranks from 1 with ties averaged, inside ``groups``, through the histogram of values (``numbers.steady``)."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, steady(df, value).alias("_x")).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*groups).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     places = counted.select(*(F.col(g).alias(f"_{g}") for g in groups), "_x", (before + (F.col("_n") + 1) / 2).alias(out))
-    same = F.col(value) == F.col("_x")
+    same = steady(df, value) == F.col("_x")
     for g in groups:
         same = same & (F.col(g) == F.col(f"_{g}"))
     return df.join(places, same, "left").drop("_x", *(f"_{g}" for g in groups))
@@ -102,8 +104,8 @@ def rank_table(counted: DataFrame, value: str, n: str, out: str) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Spearman's rho with average ranks, n, and the large-sample z of rho * sqrt(n - 1). Rows are counted by pair of values
-    first, so a value that many rows have is one row of the joins."""
-    pairs = df.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna().groupBy("x", "y").agg(F.count("*").alias("c"))
+    first, so a value that many rows have is one row of the joins; values equal to nine places are ties."""
+    pairs = df.select(steady(df, x).alias("x"), steady(df, y).alias("y")).dropna().groupBy("x", "y").agg(F.count("*").alias("c"))
     both = pairs.join(rank_table(pairs, "x", "c", "rx").drop("_t"), "x").join(rank_table(pairs, "y", "c", "ry").drop("_t"), "y")
     c, rx, ry = F.col("c"), F.col("rx"), F.col("ry")
     sums = both.agg(F.sum("c").alias("n"), F.sum(c * rx).alias("_x"), F.sum(c * ry).alias("_y"), F.sum(c * rx * rx).alias("_xx"), F.sum(c * ry * ry).alias("_yy"), F.sum(c * rx * ry).alias("_xy"))

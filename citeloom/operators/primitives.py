@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import steady
+
 
 def ratio(numerator: Column, denominator: Column, default: float | None = None) -> Column:
     """A double quotient; ``default`` where the denominator is zero or null."""
@@ -124,10 +126,12 @@ def lorenz(df: DataFrame, value: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
-    """Competition rank by descending ``value`` (1, 2, 2, 4), through the histogram of values; nulls have none."""
+    """Competition rank by descending ``value`` (1, 2, 2, 4), through the histogram of values; nulls have none. Doubles
+    equal to nine places are ties."""
     down = Window.orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, -1)
-    places = histogram(df, [], value).select("x", (F.coalesce(F.sum("n").over(down), F.lit(0)) + 1).alias(out))
-    return df.join(places, F.col(value) == F.col("x"), "left").drop("x")
+    kept = df.select(steady(df, value).alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("n"))
+    places = kept.select("x", (F.coalesce(F.sum("n").over(down), F.lit(0)) + 1).alias(out))
+    return df.join(places, steady(df, value) == F.col("x"), "left").drop("x")
 
 
 def top_share(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
