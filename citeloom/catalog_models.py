@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import _PANEL, _SERIES, _panel, _series, query
-from .operators import regression
+from .operators import regression, segments
 from .plans.roles import Roles
 
 
@@ -155,3 +155,89 @@ def unit_roots(r: Roles) -> DataFrame:
 def cointegrated_output(r: Roles) -> DataFrame:
     """Output and citations of a country: Engle and Granger."""
     return regression.cointegration(_panel(r), ["country"], "articles", "citations").withColumn("n", F.col("n").cast("double"))
+
+
+# Break points of monthly series
+
+_MONTHS = ", s AS (SELECT o_orderpriority AS doc_type, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS year, count(*) AS articles FROM orders GROUP BY ALL)"
+_PREFIX = """
+, mn AS (SELECT doc_type, avg(articles) AS m, count(*) AS n FROM s GROUP BY doc_type),
+pr AS (SELECT doc_type, year, row_number() OVER w AS i, sum(articles - m) OVER w AS s, sum((articles - m) ** 2) OVER w AS q FROM s JOIN mn USING (doc_type) WINDOW w AS (PARTITION BY doc_type ORDER BY year)),
+ar AS (SELECT doc_type, any_value(n) AS n, list_prepend(0.0, list(pr.s ORDER BY i)) AS s, list_prepend(0.0, list(pr.q ORDER BY i)) AS q, list(year ORDER BY i) AS years FROM pr JOIN mn USING (doc_type) GROUP BY doc_type)"""
+_SQUARES = "greatest(0.0, q[{b}+1] - q[{a}+1] - (s[{b}+1] - s[{a}+1]) ** 2 / ({b} - {a}))"
+
+
+def _months(r: Roles) -> DataFrame:
+    month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
+    return r.table("orders").groupBy(F.col("o_orderpriority").alias("doc_type"), month.alias("year")).agg(F.count("*").alias("articles"))
+
+
+def _partition_sql() -> str:
+    """The same partition by a programme over all cuts, none given up: ``pt(doc_type, n, cost, cuts)``."""
+    squares = _SQUARES.format(a="c", b="(t + 1)")
+    cost = f"(t + 1 - c) / 2.0 * (ln(2 * pi()) + ln(greatest({squares} / (t + 1 - c), 1.0 / 12)) + {squares} / (t + 1 - c) / greatest({squares} / (t + 1 - c), 1.0 / 12))"
+    return _PREFIX + f"""
+, dp AS (SELECT doc_type, n, s, q, years, 0 AS t, [-ln(n)] AS f, [0] AS back FROM ar UNION ALL
+  SELECT doc_type, n, s, q, years, t + 1, list_append(f, coalesce(b.v, 'inf'::DOUBLE)), list_append(back, coalesce(b.c, 0)) FROM (
+    SELECT *, list_min(list_transform(range(0, t), lambda c: {{'v': round(f[c + 1] + {cost} + ln(n), 9), 'c': CAST(c AS INTEGER)}})) AS b FROM dp WHERE t < n)),
+bt AS (SELECT doc_type, n, years, back, f[n + 1] AS cost, back[n + 1] AS cut, CAST([] AS INTEGER[]) AS cuts FROM dp WHERE t = n UNION ALL SELECT doc_type, n, years, back, cost, back[cut + 1], list_prepend(cut, cuts) FROM bt WHERE cut > 0),
+pt AS (SELECT doc_type, n, cost, cuts, list_transform(cuts, lambda c: years[c]) AS breaks FROM bt WHERE cut = 0)"""
+
+
+@query(_MONTHS + _partition_sql() + "SELECT doc_type, CAST(n AS INTEGER) AS n, round(cost, 6) AS cost, array_to_string(breaks, ',') AS breaks FROM pt")
+def monthly_partitions(r: Roles) -> DataFrame:
+    out = segments.optimal_partition(_months(r), ["doc_type"])
+    return out.select("doc_type", "n", "cost", F.array_join("breaks", ",").alias("breaks"))
+
+
+@query(_MONTHS + _partition_sql() + """
+, nb AS (SELECT s.doc_type, year, articles, 1 + len(list_filter(breaks, lambda b: b < year)) AS segment FROM s JOIN pt USING (doc_type)),
+a AS (SELECT doc_type, segment, min(year) AS start_year, max(year) AS end_year, count(*) AS n, avg(articles) AS mean, stddev_samp(articles) AS sd, regr_slope(articles, year) AS slope, regr_r2(articles, year) AS r2 FROM nb GROUP BY ALL)
+SELECT doc_type, CAST(segment AS INTEGER) AS segment, start_year, end_year, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(slope, 6) AS slope, round(r2, 6) AS r2, round(100 * slope / mean, 6) AS growth_rate,
+       CASE WHEN slope / mean > 0.1 THEN 'rapid_growth' WHEN slope / mean > 0.03 THEN 'growth' WHEN slope / mean < -0.03 THEN 'decline' ELSE 'stagnation' END AS phase FROM a""")
+def monthly_phases(r: Roles) -> DataFrame:
+    months = _months(r)
+    return segments.segment_phases(months, ["doc_type"], segments.optimal_partition(months, ["doc_type"]))
+
+
+def _breaks_sql(most: int = 5) -> str:
+    """Least squares of a given number of breaks by layers: a table a layer."""
+    parts = [_PREFIX, ", hh AS (SELECT *, CAST(ceil(round(0.15 * n, 9)) AS INTEGER) AS h FROM ar), g0 AS (SELECT doc_type, t, " + _SQUARES.format(a="0", b="t") + " AS v, CAST([] AS INTEGER[]) AS cuts FROM hh, range(1, 10000) r(t) WHERE t <= n AND t >= h)"]
+    for m in range(1, most + 1):
+        parts.append(f", g{m} AS (SELECT doc_type, t, x.v AS v, list_append(x.cuts, CAST(x.c AS INTEGER)) AS cuts FROM (SELECT hh.doc_type, r.t, min({{'v': round(g.v + {_SQUARES.format(a='g.t', b='r.t')}, 9), 'c': g.t, 'cuts': g.cuts}}) AS x FROM hh JOIN g{m - 1} g ON g.doc_type = hh.doc_type JOIN range(1, 10000) r(t) ON r.t <= hh.n AND r.t - g.t >= hh.h GROUP BY ALL))")
+    every = " UNION ALL ".join(f"SELECT hh.doc_type, {m} AS m, n, v AS ssr, list_transform(cuts, lambda c: years[c]) AS breaks FROM g{m} JOIN hh ON hh.doc_type = g{m}.doc_type AND t = n" for m in range(most + 1))
+    return "".join(parts) + f", br AS ({every})"
+
+
+@query(_MONTHS + _breaks_sql() + """
+, z AS (SELECT b.doc_type, b.m, b.n, b.ssr, b.breaks, o.ssr AS none, b.n * ln(b.ssr / b.n) + (2 * b.m + 1) * ln(b.n) AS bic FROM br b JOIN br o ON o.doc_type = b.doc_type AND o.m = 0)
+SELECT doc_type, m, round(ssr, 6) AS ssr, round(CASE WHEN m > 0 THEN (none - ssr) / m / (ssr / (n - m - 1)) END, 6) AS f, round(bic, 6) AS bic, array_to_string(breaks, ',') AS breaks, row_number() OVER (PARTITION BY doc_type ORDER BY round(bic, 9), m) = 1 AS best FROM z""")
+def monthly_mean_breaks(r: Roles) -> DataFrame:
+    out = segments.mean_breaks(_months(r), ["doc_type"])
+    return out.withColumn("breaks", F.array_join("breaks", ",")).drop("p_value")
+
+
+def _binary_sql(levels: int = 5, least: int = 5) -> str:
+    parts = [", r0 AS (SELECT doc_type, year, articles::DOUBLE AS y, row_number() OVER (PARTITION BY doc_type ORDER BY year) AS i, 1 AS seg FROM s)"]
+    for k in range(levels):
+        parts.append(f"""
+, w{k} AS (SELECT *, count(*) OVER run AS k, count(*) OVER own AS n, var_pop(y) OVER run AS v1, var_pop(y) OVER rest AS v2, var_pop(y) OVER own AS v FROM r{k} WINDOW own AS (PARTITION BY doc_type, seg), run AS (PARTITION BY doc_type, seg ORDER BY i), rest AS (PARTITION BY doc_type, seg ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+b{k} AS (SELECT doc_type, seg, i AS cut, year, n * ln(v + 1) - round(k * ln(v1 + 1) + (n - k) * ln(v2 + 1), 9) AS gain, {k} AS level FROM w{k} WHERE n > {2 * least} AND k > {least} AND n - k >= {least} QUALIFY row_number() OVER (PARTITION BY doc_type, seg ORDER BY round(k * ln(v1 + 1) + (n - k) * ln(v2 + 1), 9), i) = 1),
+r{k + 1} AS (SELECT doc_type, r.year, y, i, 2 * seg + CAST(i > cut AS INTEGER) AS seg FROM r{k} r JOIN b{k} USING (doc_type, seg))""")
+    return "".join(parts) + ", bs AS (" + " UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(levels)) + "), bo AS (SELECT *, row_number() OVER (PARTITION BY doc_type ORDER BY level, cut) AS break_no FROM bs)"
+
+
+@query(_MONTHS + _binary_sql() + "SELECT doc_type, CAST(break_no AS INTEGER) AS break_no, year, round(gain, 6) AS gain FROM bo WHERE break_no <= 5")
+def monthly_binary_segments(r: Roles) -> DataFrame:
+    return segments.binary_segmentation(_months(r), ["doc_type"])
+
+
+@query(_MONTHS + _partition_sql() + _binary_sql() + """
+, cd AS (SELECT doc_type, year, sum(articles - m) OVER (PARTITION BY doc_type ORDER BY year) AS c, sd, n FROM s JOIN (SELECT doc_type, avg(articles) AS m, stddev_samp(articles) AS sd, count(*) AS n FROM s GROUP BY doc_type) USING (doc_type)),
+cu AS (SELECT doc_type, year FROM cd WHERE abs(c) / (sd * sqrt(n)) > 1.143 QUALIFY row_number() OVER (PARTITION BY doc_type ORDER BY round(abs(c / (sd * sqrt(n))), 9) DESC, year) = 1),
+sg AS (SELECT a.doc_type, a.year, sum(sign(a.articles - b.articles)) AS v FROM s a JOIN s b ON a.doc_type = b.doc_type GROUP BY ALL), pu AS (SELECT doc_type, year, abs(sum(v) OVER (PARTITION BY doc_type ORDER BY year)) AS u, count(*) OVER (PARTITION BY doc_type) AS n FROM sg),
+pe AS (SELECT doc_type, year FROM pu WHERE least(1.0, 2 * exp(-6 * u * u / (n ** 3 + n ** 2))) < 0.05 QUALIFY row_number() OVER (PARTITION BY doc_type ORDER BY u DESC, year) = 1),
+ev AS (SELECT doc_type, unnest(breaks) AS year, 'pelt' AS method FROM pt UNION ALL SELECT doc_type, year, 'binseg' FROM bo WHERE break_no <= 5 UNION ALL SELECT doc_type, year, 'cusum' FROM cu UNION ALL SELECT doc_type, year, 'pettitt' FROM pe)
+SELECT a.doc_type, a.method, a.year, count(DISTINCT b.method) AS votes, count(DISTINCT b.method) >= 2 AS consensus FROM ev a JOIN ev b ON a.doc_type = b.doc_type AND abs(a.year - b.year) <= 2 GROUP BY ALL""")
+def monthly_change_points(r: Roles) -> DataFrame:
+    return segments.change_points(_months(r), ["doc_type"])
