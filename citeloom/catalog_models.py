@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import _PANEL, _SERIES, _panel, _series, query
-from .operators import regression, segments
+from .operators import networks, permutation, regression, segments
 from .plans.roles import Roles
 
 
@@ -241,3 +241,50 @@ ev AS (SELECT doc_type, unnest(breaks) AS year, 'pelt' AS method FROM pt UNION A
 SELECT a.doc_type, a.method, a.year, count(DISTINCT b.method) AS votes, count(DISTINCT b.method) >= 2 AS consensus FROM ev a JOIN ev b ON a.doc_type = b.doc_type AND abs(a.year - b.year) <= 2 GROUP BY ALL""")
 def monthly_change_points(r: Roles) -> DataFrame:
     return segments.change_points(_months(r), ["doc_type"])
+
+
+# Networks by permutation
+
+_NETWORKS = """
+, ce AS (SELECT a.country AS a, b.country AS b, count(*)::DOUBLE AS w FROM countries a JOIN countries b USING (doc) WHERE a.country < b.country GROUP BY ALL),
+tr AS (SELECT least(c.n_name, s.n_name) AS a, greatest(c.n_name, s.n_name) AS b, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation c ON c.n_nationkey = c_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation s ON s.n_nationkey = s_nationkey WHERE c.n_name <> s.n_name GROUP BY ALL),
+sr AS (SELECT a.country AS a, b.country AS b, 1.0::DOUBLE AS w FROM regions a JOIN regions b USING (region) WHERE a.country < b.country),
+nd AS (SELECT n_name AS node FROM nation), pl AS (SELECT r, node, row_number() OVER (PARTITION BY r ORDER BY CASE WHEN r = 0 THEN '' ELSE md5(r || '-42-' || node) END, node) AS place FROM nd, range(201) t(r)),
+mv AS (SELECT p.r, o.node, p.node AS target FROM pl p JOIN pl o ON o.r = 0 AND o.place = p.place), n AS (SELECT count(*) * (count(*) - 1) / 2 AS d FROM nd),
+pe AS (SELECT x.r, least(x.target, y.target) AS a, greatest(x.target, y.target) AS b, w FROM ce JOIN mv x ON x.node = ce.a JOIN mv y ON y.node = ce.b AND y.r = x.r)"""
+
+
+def _networks(r: Roles) -> dict[str, DataFrame]:
+    """Countries that write together, that trade, and that share a region; and all countries."""
+    nation = r.table("nation").select("n_nationkey", "n_name")
+    side = lambda c, key: nation.select(F.col("n_nationkey").alias(key), F.col("n_name").alias(c))
+    line = r.table("lineitem").select("l_orderkey", "l_suppkey").join(r.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    line = line.join(r.table("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(r.table("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    trade = line.groupBy("c_nationkey", "s_nationkey").agg(F.count("*").alias("weight")).join(side("a", "c_nationkey"), "c_nationkey").join(side("b", "s_nationkey"), "s_nationkey").select("a", "b", "weight")
+    region = r.regions()
+    same = region.select(F.col("country").alias("a"), "region").join(region.select(F.col("country").alias("b"), "region"), "region").where("a < b").select("a", "b", F.lit(1.0).alias("weight"))
+    return {"together": networks.cooccurrence(r.countries(), "country"), "trade": trade, "region": same, "nodes": nation.select(F.col("n_name").alias("node"))}
+
+
+@query(_NETWORKS + """
+, xy AS (SELECT r, sum(pe.w * tr.w) AS xy FROM pe JOIN tr USING (a, b) GROUP BY r), sx AS (SELECT sum(w) AS s, sum(w * w) AS q FROM ce), sy AS (SELECT sum(w) AS s, sum(w * w) AS q FROM tr),
+c AS (SELECT g.r, (d * coalesce(xy, 0) - sx.s * sy.s) / sqrt((d * sx.q - sx.s * sx.s) * (d * sy.q - sy.s * sy.s)) AS v FROM range(201) g(r) LEFT JOIN xy USING (r), n, sx, sy), o AS (SELECT v AS o FROM c WHERE r = 0)
+SELECT (SELECT count(*) FROM nd) AS nodes, count(*) AS rounds, round(any_value(o), 6) AS correlation, avg(CASE WHEN round(v, 9) >= round(o, 9) THEN 1.0 ELSE 0.0 END) AS p_one,
+       least(1.0, 2 * least(avg(CASE WHEN round(v, 9) >= round(o, 9) THEN 1.0 ELSE 0.0 END), avg(CASE WHEN round(v, 9) <= round(o, 9) THEN 1.0 ELSE 0.0 END))) AS p_two, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd FROM c, o WHERE r > 0""")
+def networks_correlated(r: Roles) -> DataFrame:
+    """Do countries write with those that they trade with."""
+    of = _networks(r)
+    return permutation.qap(of["together"], of["trade"], 200, nodes=of["nodes"])
+
+
+@query(_NETWORKS + """
+, gr AS (SELECT sum(t) AS s1, sum(g) AS s2, sum(t * t) AS q11, sum(t * g) AS q12, sum(g * g) AS q22 FROM (SELECT coalesce(tr.w, 0) AS t, coalesce(sr.w, 0) AS g FROM tr FULL JOIN sr USING (a, b))), yy AS (SELECT sum(w) AS ys, sum(w * w) AS yq FROM ce),
+x1 AS (SELECT r, sum(pe.w * tr.w) AS x FROM pe JOIN tr USING (a, b) GROUP BY r), x2 AS (SELECT r, sum(pe.w * sr.w) AS x FROM pe JOIN sr USING (a, b) GROUP BY r),
+c AS (SELECT g.r, q11 - s1 * s1 / d AS a, q12 - s1 * s2 / d AS b, q22 - s2 * s2 / d AS e, coalesce(x1.x, 0) - s1 * ys / d AS u, coalesce(x2.x, 0) - s2 * ys / d AS v, yq - ys * ys / d AS t, s1, s2, ys, d FROM range(201) g(r) LEFT JOIN x1 USING (r) LEFT JOIN x2 USING (r), gr, yy, n),
+f AS (SELECT r, (u * e - v * b) / (a * e - b * b) AS b1, (v * a - u * b) / (a * e - b * b) AS b2, u, v, t, s1, s2, ys, d FROM c), h AS (SELECT *, (b1 * u + b2 * v) / t AS r2, (ys - b1 * s1 - b2 * s2) / d AS b0 FROM f),
+l AS (SELECT r, r2, 'constant' AS term, b0 AS x FROM h UNION ALL SELECT r, r2, 'trade', b1 FROM h UNION ALL SELECT r, r2, 'region', b2 FROM h), o AS (SELECT term, x AS o, r2 AS fit FROM l WHERE r = 0)
+SELECT term, round(any_value(o), 6) AS coefficient, round(stddev_samp(x), 6) AS std_error, least(1.0, 2 * least(avg(CASE WHEN round(x, 9) >= round(o, 9) THEN 1.0 ELSE 0.0 END), avg(CASE WHEN round(x, 9) <= round(o, 9) THEN 1.0 ELSE 0.0 END))) AS p_value, round(any_value(fit), 6) AS r2 FROM l JOIN o USING (term) WHERE r > 0 GROUP BY term""")
+def networks_regressed(r: Roles) -> DataFrame:
+    """Writing together by trade and region."""
+    of = _networks(r)
+    return permutation.mrqap(of["together"], {"trade": of["trade"], "region": of["region"]}, 200, nodes=of["nodes"])
