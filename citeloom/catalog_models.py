@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import _PANEL, _SERIES, _panel, _series, query
-from .operators import networks, permutation, regression, segments
+from .functions import stats
+from .operators import goodness, modularity, networks, permutation, regression, segments
 from .plans.roles import Roles
 
 
@@ -288,3 +289,79 @@ def networks_regressed(r: Roles) -> DataFrame:
     """Writing together by trade and region."""
     of = _networks(r)
     return permutation.mrqap(of["together"], {"trade": of["trade"], "region": of["region"]}, 200, nodes=of["nodes"])
+
+
+# Communities, distributions and tails
+
+
+@query()
+def keyword_modularity_communities(r: Roles) -> DataFrame:
+    return modularity.communities(networks.cooccurrence(r.keywords(), "keyword"))
+
+
+def _normal_sql(source: str, keep: str) -> str:
+    """Table ``<source>_p`` of ``keep`` and ``p``, the normal distribution function at the column ``z``, by the same approximation of erfc."""
+    c = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+    power = repr(c[-1])
+    for x in c[-2::-1]:
+        power = f"({x} + k * {power})"
+    return f"""
+, {source}_t AS (SELECT *, -z / sqrt(2) AS u, 1.0 / (1.0 + 0.5 * abs(z) / sqrt(2)) AS k FROM {source}),
+{source}_p AS (SELECT {keep}, 0.5 * CASE WHEN u >= 0 THEN k * exp(-u * u + {power}) ELSE 2 - k * exp(-u * u + {power}) END AS p FROM {source}_t)"""
+
+
+_PLACED = """
+, h AS (SELECT doc_type, citations::DOUBLE AS x, count(*) AS n FROM records WHERE citations > 0 GROUP BY ALL), pc AS (SELECT doc_type, x, n, sum(n) OVER w - n AS b, sum(n) OVER (PARTITION BY doc_type) AS t FROM h WINDOW w AS (PARTITION BY doc_type ORDER BY x))"""
+
+
+@query(_PLACED + """
+, m AS (SELECT doc_type, count(*) AS rows, avg(citations) AS m, stddev_pop(citations) AS s, avg(ln(citations)) AS ml, stddev_pop(ln(citations)) AS sl, stddev_samp(ln(citations)) AS sn FROM records WHERE citations > 0 GROUP BY doc_type),
+z AS (SELECT pc.*, 'normal' AS family, m AS first, s AS second, (x - m) / s AS z FROM pc JOIN m USING (doc_type) UNION ALL SELECT pc.*, 'log_normal', ml, sl, (ln(x) - ml) / sl FROM pc JOIN m USING (doc_type))""" + _normal_sql("z", "doc_type, n, b, t, family, first, second") + """
+, f AS (SELECT doc_type, family, first, second, n, b, t, p FROM z_p UNION ALL SELECT doc_type, 'exponential', 1 / m, NULL, n, b, t, 1 - exp(-x / m) FROM pc JOIN m USING (doc_type)
+      UNION ALL SELECT doc_type, 'weibull', pi() / (sn * sqrt(6)), exp(ml + 0.5772156649015329 * sn * sqrt(6) / pi()), n, b, t, 1 - exp(-((x / exp(ml + 0.5772156649015329 * sn * sqrt(6) / pi())) ** (pi() / (sn * sqrt(6))))) FROM pc JOIN m USING (doc_type))
+SELECT doc_type, family, CAST(max(t) AS BIGINT) AS n, round(any_value(first), 6) AS first, round(any_value(second), 6) AS second, round(max(greatest(abs((b + n) / t - p), abs(b / t - p))), 6) AS statistic FROM f GROUP BY doc_type, family""")
+def citations_by_family(r: Roles) -> DataFrame:
+    """Kolmogorov-Smirnov distances of citations to the families that SQL can say (not gamma)."""
+    return goodness.ks_families(r.records(), ["doc_type"], "citations").where("family <> 'gamma'").drop("p_value")
+
+
+@query(_PLACED + ", m AS (SELECT doc_type, avg(citations) AS m, stddev_samp(citations) AS s FROM records WHERE citations > 0 GROUP BY doc_type), z AS (SELECT pc.*, (x - m) / s AS z FROM pc JOIN m USING (doc_type))" + _normal_sql("z", "doc_type, x") + ", y AS (SELECT doc_type, x, -z AS z FROM z)" + _normal_sql("y", "doc_type, x") + """
+, a AS (SELECT doc_type, any_value(t) AS n, -any_value(t) - sum(n * (2 * b + n) * ln(z_p.p) + n * (2 * (t - b) - n) * ln(y_p.p)) / any_value(t) AS a FROM pc JOIN z_p USING (doc_type, x) JOIN y_p USING (doc_type, x) GROUP BY doc_type)
+SELECT doc_type, CAST(n AS BIGINT) AS n, round(a, 4) AS statistic, round(a * (1 + 0.75 / n + 2.25 / (n * n)), 4) AS adjusted FROM a""")
+def citations_normality(r: Roles) -> DataFrame:
+    out = goodness.anderson_darling(r.records().where("citations > 0"), ["doc_type"], "citations")
+    return out.select("doc_type", "n", F.round("statistic", 4).alias("statistic"), F.round("adjusted", 4).alias("adjusted"))
+
+
+@query(""", k AS (SELECT doc, count(*) > 1 AS many FROM countries GROUP BY doc), v AS (SELECT citations AS x, many FROM k JOIN records USING (doc)), n AS (SELECT count(*) FILTER (many) AS n1, count(*) FILTER (NOT many) AS n2 FROM v),
+h AS (SELECT x, count(*) FILTER (many) AS a, count(*) FILTER (NOT many) AS b FROM v GROUP BY x), c AS (SELECT sum(a) OVER (ORDER BY x) AS a, sum(b) OVER (ORDER BY x) AS b FROM h) SELECT any_value(n1) AS n1, any_value(n2) AS n2, round(max(abs(a / n1 - b / n2)), 6) AS statistic FROM c, n""")
+def citations_of_one_and_many_countries(r: Roles) -> DataFrame:
+    many = r.countries().groupBy("doc").agg((F.count("*") > 1).alias("many"))
+    return goodness.ks_two_samples(r.records().join(many, "doc"), "citations", F.col("many")).drop("p_value")
+
+
+@query(", c AS (SELECT doc_type, count(*) AS n FROM records GROUP BY doc_type), t AS (SELECT sum(n) AS a, count(*) AS k FROM c) SELECT CAST(any_value(a) AS BIGINT) AS n, round(sum((n - a / k) ** 2 / (a / k)), 6) AS statistic, CAST(any_value(k) - 1 AS BIGINT) AS df FROM c, t")
+def document_types_even(r: Roles) -> DataFrame:
+    return goodness.chi_square_fit(r.records(), "doc_type").drop("p_value")
+
+
+@query(""", h AS (SELECT citations::DOUBLE AS x, count(*) AS n FROM records WHERE citations > 0 GROUP BY ALL), p AS (SELECT x, n, sum(n) OVER (ORDER BY x) - n AS b, sum(n) OVER () AS t FROM h),
+c AS (SELECT a.x AS x_min, any_value(a.t - a.b) AS k, any_value(a.b) AS b, sum(p.n * ln(p.x / a.x)) AS l FROM p a JOIN p ON p.x >= a.x WHERE a.t - a.b >= 10 GROUP BY a.x HAVING sum(p.n * ln(p.x / a.x)) > 1e-12), d AS (SELECT *, 1 + k / l AS alpha FROM c),
+e AS (SELECT x_min, any_value(k) AS k, any_value(alpha) AS alpha, max(abs((p.b + p.n - d.b) / k - (1 - (x_min / x) ** (alpha - 1)))) AS ks FROM d JOIN p ON x >= x_min GROUP BY x_min)
+SELECT x_min, CAST(k AS BIGINT) AS n_tail, round(alpha, 6) AS alpha, round(ks, 6) AS ks, row_number() OVER (ORDER BY round(ks, 9), x_min) = 1 AS best FROM e""")
+def citations_power_law(r: Roles) -> DataFrame:
+    """Every number of citations as the least value of a power law."""
+    return goodness.power_law_scan(r.records(), "citations", candidates=100_000)
+
+
+@query(", v AS (SELECT citations AS x, row_number() OVER (ORDER BY citations DESC) AS i FROM records WHERE citations > 0) SELECT count(*) AS n, round(regr_slope(ln(x), ln(i)), 6) AS slope, round(regr_r2(ln(x), ln(i)), 6) AS r2, abs(regr_slope(ln(x), ln(i)) + 1) <= 0.5 AS power_law FROM v")
+def citations_rank_size(r: Roles) -> DataFrame:
+    return goodness.rank_size_slope(r.records(), "citations")
+
+
+@query()
+def citations_bca(r: Roles) -> DataFrame:
+    """Bias-corrected and accelerated intervals of mean, median and Gini of citations."""
+    records = r.records()
+    parts = [stats.bca(records, "citations", kind, 400).withColumn("statistic", F.lit(kind)) for kind in stats.BCA]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

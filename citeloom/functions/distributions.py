@@ -47,6 +47,30 @@ def log_gamma(x: Column) -> Column:
     return (x + 0.5) * F.log(high) - high + F.log(math.sqrt(2 * math.pi) * total / x)
 
 
+def _risen(x: Column) -> Column:
+    return F.when(x < 8, x + 8.0).otherwise(x)
+
+
+def digamma(x: Column) -> Column:
+    """Derivative of ``log_gamma`` for x > 0: the asymptotic series, from 8 places further up for small x."""
+    y = _risen(x)
+    series = F.log(y) - 1 / (2 * y) - 1 / (12 * F.pow(y, 2)) + 1 / (120 * F.pow(y, 4)) - 1 / (252 * F.pow(y, 6))
+    return series - F.when(x < 8, F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0.0), lambda acc, k: acc + 1.0 / (x + k))).otherwise(0.0)
+
+
+def trigamma(x: Column) -> Column:
+    """Derivative of ``digamma``."""
+    y = _risen(x)
+    series = 1 / y + 1 / (2 * F.pow(y, 2)) + 1 / (6 * F.pow(y, 3)) - 1 / (30 * F.pow(y, 5)) + 1 / (42 * F.pow(y, 7))
+    return series + F.when(x < 8, F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0.0), lambda acc, k: acc + 1.0 / ((x + k) * (x + k)))).otherwise(0.0)
+
+
+def gamma_shape(s: Column) -> Column:
+    """The shape k of a gamma distribution with ln k - digamma(k) = s (ln of the mean less the mean of logs), by Newton steps."""
+    start = (3 - s + F.sqrt((s - 3) * (s - 3) + 24 * s)) / (12 * s)
+    return F.when(s > 0, F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, lambda k, _: k - (F.log(k) - digamma(k) - s) / (1 / k - trigamma(k))))
+
+
 def gamma_lower(a: Column, x: Column) -> Column:
     """Regularised lower incomplete gamma P(a, x): by its series for x < a + 1, by the continued fraction of Q beyond."""
 
