@@ -875,4 +875,4 @@ def screening_prisma(r: Roles) -> DataFrame:
     return screening.prisma(screening.consensus(screening.standardise(_ledger(r))), r.table("documents"))
 
 
-from . import catalog_models, catalog_more  # noqa: E402, F401  registers further queries
+from . import catalog_models, catalog_more, catalog_profiles  # noqa: E402, F401  registers further queries

@@ -26,7 +26,7 @@ def _fold(start: Column, step, terms: int = TERMS) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step)
 
 
-def _let(value: Column, then) -> Column:
+def let(value: Column, then) -> Column:
     """``then`` of ``value``, which is worked out once."""
     return F.transform(F.array(value), then)[0]
 
@@ -134,7 +134,7 @@ def beta_lower(a: Column, b: Column, x: Column) -> Column:
 
 def f_tail(f: Column, df1: Column, df2: Column) -> Column:
     """Upper tail of Fisher's F; null where f or a degree of freedom is missing or not positive."""
-    p = _let(F.struct(f.cast("double").alias("f"), df1.cast("double").alias("a"), df2.cast("double").alias("b")), lambda v: beta_lower(v["b"] / 2.0, v["a"] / 2.0, v["b"] / (v["b"] + v["a"] * v["f"])))
+    p = let(F.struct(f.cast("double").alias("f"), df1.cast("double").alias("a"), df2.cast("double").alias("b")), lambda v: beta_lower(v["b"] / 2.0, v["a"] / 2.0, v["b"] / (v["b"] + v["a"] * v["f"])))
     return F.when((df1 > 0) & (df2 > 0) & f.isNotNull(), F.when(f <= 0, F.lit(1.0)).otherwise(p))
 
 
