@@ -10,7 +10,9 @@ that of all their other edges keep their side in a minimum cut and are settled b
 
 Names of classes and ids that tell of menus, adverts, notices and the like count for what they enclose, but not for an
 ``article`` or ``main`` inside them, nor for the holder of the page's heading and most of its text: themes put such
-names on wrappers of whole pages. Names of reader comments, and nav, aside and footer elements, count for all they
+names on wrappers of whole pages. In a name of other words too (``market-share``) they are no more than a hint, which counts
+against short and linked blocks. Readers' comments are also told by their build: like parts, each with a short line of a date or
+time and more below it. Names of reader comments, and nav, aside and footer elements, count for all they
 enclose. Only text inside script, style, title, textarea, select, template, iframe and the like is no block at all.
 Character references are decoded, white space inside a block becomes one space, empty blocks vanish, and blocks are
 joined by one line feed. Nothing else is dropped. Malformed pages are read in one pass: every step is linear in the
@@ -76,14 +78,23 @@ _JUNK = re.compile(
 )
 _COMMENT = re.compile(r"(?<![a-z])(?:comments?|commentlist|disqus|replies|reply|respond|discussion)(?![a-z])", re.IGNORECASE)
 _BODY = re.compile(r"(?<![a-z])(?:article|body|content|entry|main|post|story|text)(?![a-z])", re.IGNORECASE)
+#: Words that say where or what kind of element a name's other words are of, and nothing of what it holds.
+_PLACE = frozenset(
+    "area bar block bottom box btn button buttons center col column container fixed group holder inner item items left link links list"
+    " mobile module outer page panel primary right row secondary section site sticky sub top unit widget wrap wrapper".split()
+)
 _HIDDEN = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
+_LETTERS = re.compile(r"[^a-z]+")
 _MARKS = re.compile(r"[.!?,;:]")
+#: A line that says when: a year, a date, a time of day, so long ago. SIGNED: length up to which it heads an item; LEVELS: how far up.
+_WHEN = re.compile(r"\b(?:19|20)\d\d\b|\b\d{1,2}[:.]\d\d\b|\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b|\b\d+\s+\w+\s+ago\b")
+SIGNED, LEVELS = 90, 4
 #: Capacities of smoothness edges: neighbours in page order, by DECAY for each element more than siblings have between
 #: them; blocks of one element; blocks of sibling elements. BORDER: what is left of them where one end is inside an
 #: aside, notice, comment or hidden element and the other is not.
 NEXT, DECAY, SIBLING, COUSIN, BORDER = 1.2, 0.45, 0.6, 0.2, 0.2
-FEATURES = ("bias", "frame", "aside", "notice", "comment", "hidden", "named", "linked", "long", "marks", "heading", "outside")
+FEATURES = ("bias", "frame", "aside", "notice", "comment", "hidden", "named", "linked", "long", "marks", "heading", "outside", "hint", "hint_linked", "hint_long", "thread")
 
 
 @dataclass(slots=True)
@@ -102,6 +113,28 @@ class Element:
     named: bool = False
     hidden: bool = False
     heading: bool = False
+    hint: bool = False
+    #: The block-level element around it.
+    above: Element | None = None
+
+
+def told(word: str) -> tuple[bool, bool, bool, bool]:
+    """What a class or id says: a notice or the like, reader comments, main text, and a hint of a notice.
+
+    Words of notices tell of one where the name has none but them, words of places and of main text (``cookie-notice``,
+    ``post-share-buttons``). Beside any other word they may be the subject (``market-share``, ``copyright-law``), and beside a
+    word of main text a header may hold the title, so then they are a hint, which counts with what the block is like.
+    """
+    if _QUALIFIED.match(word):
+        return False, False, False, False
+    parts = [part for part in _LETTERS.split(word.lower()) if len(part) > 1]
+    junk = [_JUNK.fullmatch(part) is not None for part in parts]
+    comment, body = any(map(_COMMENT.fullmatch, parts)), any(map(_BODY.fullmatch, parts))
+    if not any(junk):
+        return False, comment, body, False
+    alone = all(j or part in _PLACE or _COMMENT.fullmatch(part) or (_BODY.fullmatch(part) and part != "text") for part, j in zip(parts, junk, strict=True))
+    titled = body and parts[-1] in ("header", "head")
+    return alone and not titled, comment, False, not alone or titled
 
 
 @dataclass(slots=True)
@@ -172,23 +205,21 @@ class _Reader:
             return
         above = self.stack[-1]
         self.made += 1
-        named = junk = comment = hidden = False
+        named = junk = comment = hidden = hint = False
         if rest and not rest.isspace():
             for name, value in _NAMES.findall(rest):
                 name, value = name.lower(), value.strip("\"'").replace("_", "-")
                 if name in ("class", "id", "role"):
                     for word in value.split():
-                        if not _QUALIFIED.match(word):
-                            junk |= _JUNK.search(word) is not None
-                            comment |= _COMMENT.search(word) is not None
-                            named |= _BODY.search(word) is not None
+                        of = told(word)
+                        junk, comment, named, hint = junk | of[0], comment | of[1], named | of[2], hint | of[3]
                 elif name == "style":
                     hidden |= _HIDDEN.search(value) is not None
                 else:
                     hidden |= name == "hidden" or value.lower() == "true"
         frame = tag in FRAME
         whole = tag in ("html", "body")
-        named &= not (junk or comment)
+        named &= not (junk or comment or hint)
         notice = self.made if (junk and not whole and not frame) or (tag in NOTICE and not (tag == "header" and above.frame)) else 0 if frame else above.notice
         clean = not notice and not (above.aside or tag in ASIDE) and not (above.comment or comment and not whole)
         element = Element(
@@ -204,6 +235,8 @@ class _Reader:
             clean and (above.named or named),
             above.hidden or hidden,
             above.heading or tag in HEADINGS,
+            not frame and (above.hint or hint and not whole),
+            above if above.tag in BLOCK else above.above,
         )
         self.places.setdefault(tag, []).append(len(self.stack))
         if block:
@@ -267,6 +300,41 @@ def blocks(page: str) -> tuple[list[Block], set[int]]:
     return reader.blocks, reader.headed
 
 
+def _around(at: Element) -> Iterator[Element]:
+    """Block-level elements around a block, from the inside, ``LEVELS`` of them."""
+    element = at if at.tag in BLOCK else at.above
+    for _ in range(LEVELS):
+        if element is None or not element.number:
+            return
+        yield element
+        element = element.above
+
+
+def threads(found: list[Block]) -> list[bool]:
+    """Which blocks belong to a thread: an element of two and more like parts, most of which say shortly who wrote when and go on
+    with other blocks; and the heading before it. So readers' comments are known whatever their names."""
+    blocks_of: dict[int, int] = {}
+    parts: dict[int, dict[int, str]] = {}
+    signed: dict[int, set[int]] = {}
+    for block in found:
+        dated = len(block.text) <= SIGNED and _WHEN.search(block.text) is not None
+        chain = list(_around(block.at))
+        for part in chain:
+            blocks_of[part.number] = blocks_of.get(part.number, 0) + 1
+            if part.above is not None:
+                parts.setdefault(part.above.number, {})[part.number] = part.tag
+                if dated:
+                    signed.setdefault(part.above.number, set()).add(part.number)
+    holders = set()
+    for holder, items in signed.items():
+        items = {k for k in items if blocks_of[k] > 1}
+        tags = {parts[holder][k] for k in items}
+        if len(items) > 1 and len(tags) == 1 and 3 * len(items) > 2 * sum(t in tags for t in parts[holder].values()):
+            holders.add((holder, tags.pop()))
+    inside = [any(part.above is not None and (part.above.number, part.tag) in holders for part in _around(block.at)) for block in found] if holders else [False] * len(found)
+    return [own or (block.at.heading and k + 1 < len(found) and inside[k + 1]) for k, (own, block) in enumerate(zip(inside, found, strict=True))]
+
+
 def features(found: list[Block], headed: set[int]) -> np.ndarray:
     """A row of ``FEATURES`` for each block; length and punctuation speak only where no enclosing element does."""
     total, under, framed = 0, {}, False
@@ -278,12 +346,14 @@ def features(found: list[Block], headed: set[int]) -> np.ndarray:
             under[at.notice] = under.get(at.notice, 0) + len(block.text)
     wrapper = {k for k in headed if 2 * under.get(k, 0) > total}
     rows = []
-    for block in found:
+    for block, thread in zip(found, threads(found), strict=True):
         at, size = block.at, len(block.text)
         notice = at.notice > 0 and at.notice not in wrapper
         linked, plain = min(block.linked / size, 1.0) * (not at.frame), not (at.aside or notice or at.comment or at.hidden)
         marked = plain and _MARKS.search(block.text) is not None
-        rows.append((1.0, at.frame, at.aside, notice, at.comment, at.hidden, at.named, linked, plain * min(size / 200, 1.0), marked, at.heading, framed and not at.frame))
+        hint = at.hint and plain
+        hinted = (hint, hint * min(block.linked / size, 1.0), hint * min(size / 100, 1.0))
+        rows.append((1.0, at.frame, at.aside, notice, at.comment, at.hidden, at.named, linked, plain * min(size / 200, 1.0), marked, at.heading, framed and not at.frame, *hinted, thread))
     return np.array(rows, np.float64).reshape(-1, len(FEATURES))
 
 

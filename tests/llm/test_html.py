@@ -92,3 +92,37 @@ def test_hostile_pages_take_linear_time(name):
     began = time.process_time()
     html_extract.main_text(HOSTILE[name])
     assert time.process_time() - began < 12
+
+
+PLAIN = "<p>" + "Plain words of the story, one after another. " * 6 + "</p>"
+LAW = "<h2>Head of it</h2><p>" + "The law of the land is long and old, so they say. " * 4 + "</p>"
+LINKS = '<ul><li><a href="/a">Tweet it</a></li><li><a href="/b">Mail it</a></li></ul>'
+
+
+@pytest.mark.parametrize("name", ["market-share", "social-policy", "text-header", "copyright-law", "entry-header", "our_banner", "searchLight-menu"])
+def test_names_of_subjects_lose_nothing(name):
+    page = f'<body><nav><a href="/">x</a></nav><article><h1>T here</h1>{PLAIN}<section class="{name}">{LAW}</section>{PLAIN}</article></body>'
+    text = html_extract.main_text(page)
+    assert "Head of it" in text and "The law" in text and text.count("Plain words of the story") == 12
+    assert "Tweet" not in html_extract.main_text(f'<body><article><h1>T here</h1>{PLAIN}<div class="{name}">{LINKS}</div>{PLAIN}</article></body>')
+
+
+@pytest.mark.parametrize("name", ["cookie-notice", "post-share-buttons", "nav-bar", "footer", "widget-area", "sidebar_right", "main-menu"])
+def test_names_of_notices_alone_drop(name):
+    text = html_extract.main_text(f'<body><article><h1>T here</h1>{PLAIN}<section class="{name}">{LAW}</section>{PLAIN}</article></body>')
+    assert "The law" not in text and text.count("Plain words of the story") == 12
+
+
+@pytest.mark.parametrize("item", ["li", "div", "article"])
+def test_threads_are_told_by_their_build(item):
+    parts = "".join(f"<{item}><b>{who}</b> {when}<p>I think that this is a fine story, and long enough to look like one. Really it is.</p></{item}>" for who, when in (("Ann", "3 May 2020"), ("Bob", "2 hours ago"), ("Cy", "12:40")))
+    holder = "ul" if item == "li" else "div"
+    page = f'<body><article><h1>T here</h1>{PLAIN}{PLAIN}<h2>Discussion</h2><{holder} id="thread">{parts}</{holder}></article></body>'
+    text = html_extract.main_text(page)
+    assert "I think" not in text and "Discussion" not in text and text.count("Plain words of the story") == 12
+
+
+def test_dated_parts_of_an_article_stay():
+    items = "<li>1990: it began, so they say, in a small town.</li><li>1995: it went on in a larger town, and so on.</li>"
+    text = html_extract.main_text(f"<body><article><h1>T here</h1>{PLAIN}<ul>{items}</ul><h2>In 1999</h2>{PLAIN}<h2>In 2003</h2>{PLAIN}</article></body>")
+    assert all(x in text for x in ("1990", "1995", "In 1999", "In 2003")) and text.count("Plain words of the story") == 18
