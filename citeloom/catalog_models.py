@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from .catalog import _PANEL, _SERIES, _panel, _series, query
 from .functions import stats
-from .operators import goodness, modularity, networks, permutation, regression, segments
+from .operators import goodness, hypotheses, modularity, networks, permutation, regression, segments
 from .plans.roles import Roles
 
 
 def ols_sql(name: str, source: str, keys: list[str], y: str, xs: list[str]) -> str:
     """Common table expressions ``<name>`` with the normal equations of ``source`` solved by elimination: per key ``n, my`` and ``mx``
-    (means), ``sst``, ``sse``, ``m`` (the eliminated [C | c | I], so m[i][p + 1] is the i-th coefficient)."""
+    (means), ``sst``, ``sse``, ``m`` (the eliminated [C | c | I], so m[i][p + 1] is the i-th coefficient), ``used`` (which predictors do
+    not depend on those before them) and ``rank`` (how many)."""
     p, by = len(xs), ", ".join(keys)
     known = " AND ".join(f"{c} IS NOT NULL" for c in (y, *xs))
     d = [f"(r.{x} - mx[{i}])" for i, x in enumerate(xs, 1)]
@@ -25,19 +26,20 @@ def ols_sql(name: str, source: str, keys: list[str], y: str, xs: list[str]) -> s
 , {name}_r AS (SELECT {by}, {y}::DOUBLE AS {y}, {", ".join(f"{x}::DOUBLE AS {x}" for x in xs)} FROM {source} WHERE {known}),
 {name}_a AS (SELECT {by}, count(*) AS n, avg({y}) AS my, [{", ".join(f"avg({x})" for x in xs)}] AS mx FROM {name}_r GROUP BY {by}),
 {name}_g AS (SELECT {by}, any_value(n) AS n, any_value(my) AS my, any_value(mx) AS mx, sum((r.{y} - my) ** 2) AS sst, [{rows}] AS m FROM {name}_r r JOIN {name}_a USING ({by}) GROUP BY {by}),
-{name}_e AS (SELECT {by}, n, my, mx, sst, m AS g, 0 AS k, m FROM {name}_g UNION ALL
-  SELECT {by}, n, my, mx, sst, g, k + 1, list_transform(m, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda v: v / row[k + 1]) ELSE list_transform(row, lambda v, j: v - row[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM {name}_e WHERE k < {p}),
-{name} AS (SELECT {by}, n, my, mx, sst, m, sst - {" - ".join(f"m[{i}][{p + 1}] * g[{i}][{p + 1}]" for i in range(1, p + 1))} AS sse FROM {name}_e WHERE k = {p})"""
+{name}_e AS (SELECT {by}, n, my, mx, sst, m AS g, 0 AS k, m, CAST([] AS BOOLEAN[]) AS used FROM {name}_g UNION ALL
+  SELECT {by}, n, my, mx, sst, g, k + 1, CASE WHEN m[k + 1][k + 1] > 1e-10 * g[k + 1][k + 1] THEN list_transform(m, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda v: v / row[k + 1]) ELSE list_transform(row, lambda v, j: v - row[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) ELSE m END,
+    list_append(used, m[k + 1][k + 1] > 1e-10 * g[k + 1][k + 1]) FROM {name}_e WHERE k < {p}),
+{name} AS (SELECT {by}, n, my, mx, sst, m, used, len(list_filter(used, lambda u: u)) AS rank, sst - {" - ".join(f"CASE WHEN used[{i}] THEN m[{i}][{p + 1}] * g[{i}][{p + 1}] ELSE 0 END" for i in range(1, p + 1))} AS sse FROM {name}_e WHERE k = {p})"""
 
 
 def coefficients_sql(name: str, keys: list[str], xs: list[str]) -> str:
     """A SELECT of ``keys, term, coefficient, std_error, t`` from ``ols_sql``'s table."""
     p, by = len(xs), ", ".join(keys)
-    s2 = f"sse / (n - {p} - 1)"
-    quad = " + ".join(f"mx[{i}] * mx[{j}] * m[{i}][{p + 1 + j}]" for i in range(1, p + 1) for j in range(1, p + 1))
-    constant = "my - " + " - ".join(f"m[{i}][{p + 1}] * mx[{i}]" for i in range(1, p + 1))
+    s2 = "sse / (n - rank - 1)"
+    quad = " + ".join(f"CASE WHEN used[{i}] AND used[{j}] THEN mx[{i}] * mx[{j}] * m[{i}][{p + 1 + j}] ELSE 0 END" for i in range(1, p + 1) for j in range(1, p + 1))
+    constant = "my - " + " - ".join(f"CASE WHEN used[{i}] THEN m[{i}][{p + 1}] * mx[{i}] ELSE 0 END" for i in range(1, p + 1))
     terms = [f"SELECT {by}, 'constant' AS term, {constant} AS b, sqrt({s2} * (1.0 / n + {quad})) AS e FROM {name}"]
-    terms += [f"SELECT {by}, '{x}', m[{i}][{p + 1}], sqrt({s2} * m[{i}][{p + 1 + i}]) FROM {name}" for i, x in enumerate(xs, 1)]
+    terms += [f"SELECT {by}, '{x}', CASE WHEN used[{i}] THEN m[{i}][{p + 1}] END, CASE WHEN used[{i}] THEN sqrt({s2} * m[{i}][{p + 1 + i}]) END FROM {name}" for i, x in enumerate(xs, 1)]
     return f"SELECT {by}, term, round(b, 6) AS coefficient, round(e, 6) AS std_error, round(b / e, 6) AS t FROM ({' UNION ALL '.join(terms)})"
 
 
@@ -64,13 +66,13 @@ def regression_by_region(r: Roles) -> DataFrame:
 
 
 @query(_FEATURES + ols_sql("o", "ft", ["region"], "citations", _XS) + """
-SELECT region, n, 4 AS df1, n - 5 AS df2, round(sse, 4) AS sse, round(1 - sse / sst, 6) AS r2, round(1 - sse / sst * (n - 1) / (n - 5), 6) AS adjusted_r2, round(sqrt(sse / (n - 5)), 6) AS sigma, round((sst - sse) / 4 / (sse / (n - 5)), 6) AS f FROM o""")
+SELECT region, n, CAST(rank AS INTEGER) AS df1, n - rank - 1 AS df2, round(sse, 4) AS sse, round(1 - sse / sst, 6) AS r2, round(1 - sse / sst * (n - 1) / (n - rank - 1), 6) AS adjusted_r2, round(sqrt(sse / (n - rank - 1)), 6) AS sigma, round((sst - sse) / rank / (sse / (n - rank - 1)), 6) AS f FROM o""")
 def regression_fits_by_region(r: Roles) -> DataFrame:
     return regression.summary(_features(r), ["region"], "citations", _XS).drop("p_value").withColumn("sse", F.round("sse", 4))
 
 
 @query(_FEATURES + ols_sql("o", "ft", ["region"], "citations", ["authors", "keywords"]) + ols_sql("l", "ft", ["region"], "citations", ["authors", "keywords", "places", "year"]) + """
-SELECT o.region, o.n, round(o.sse, 4) AS sse_small, round(l.sse, 4) AS sse_large, 2 AS df1, o.n - 5 AS df2, round((o.sse - l.sse) / 2 / (l.sse / (o.n - 5)), 6) AS f FROM o JOIN l USING (region)""")
+SELECT o.region, o.n, round(o.sse, 4) AS sse_small, round(l.sse, 4) AS sse_large, CAST(l.rank - o.rank AS INTEGER) AS df1, o.n - l.rank - 1 AS df2, round((o.sse - l.sse) / (l.rank - o.rank) / (l.sse / (o.n - l.rank - 1)), 6) AS f FROM o JOIN l USING (region)""")
 def nested_regressions(r: Roles) -> DataFrame:
     """Do countries and year say more of citations than authors and keywords do."""
     out = regression.nested_f(_features(r), ["region"], "citations", ["authors", "keywords"], ["places", "year"])
@@ -365,3 +367,29 @@ def citations_bca(r: Roles) -> DataFrame:
     records = r.records()
     parts = [stats.bca(records, "citations", kind, 400).withColumn("statistic", F.lit(kind)) for kind in stats.BCA]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_TESTED = _MONTHS + ", b AS (SELECT doc_type, year, articles AS y, year - min(year) OVER (PARTITION BY doc_type) AS x1, (year - min(year) OVER (PARTITION BY doc_type)) ** 2 AS x2, lag(articles) OVER (PARTITION BY doc_type ORDER BY year) AS y1 FROM s)" + ols_sql("l", "b", ["doc_type"], "y", ["x1"]) + ols_sql("q", "b", ["doc_type"], "y", ["x1", "x2"]) + ols_sql("g", "b", ["doc_type"], "y", ["y1"]) + _breaks_sql(1) + """
+, sg AS (SELECT a.doc_type, a.year, sum(sign(a.articles - b.articles)) AS v, count(*) AS n FROM s a JOIN s b ON a.doc_type = b.doc_type GROUP BY ALL), pu AS (SELECT doc_type, n, abs(sum(v) OVER (PARTITION BY doc_type ORDER BY year)) AS u FROM sg), pk AS (SELECT doc_type, any_value(n) AS n, max(u) AS k FROM pu GROUP BY doc_type),
+mp AS (SELECT a.doc_type, sum(sign(b.articles - a.articles)) AS s FROM s a JOIN s b ON a.doc_type = b.doc_type AND a.year < b.year GROUP BY ALL), ti AS (SELECT doc_type, sum(t) AS n, sum(t * (t - 1) * (2 * t + 5)) AS ties FROM (SELECT doc_type, articles, count(*) AS t FROM s GROUP BY ALL) GROUP BY doc_type),
+mk AS (SELECT doc_type, n, s, (s - sign(s)) / sqrt((n * (n - 1) * (2 * n + 5) - ties) / 18.0) AS z FROM mp JOIN ti USING (doc_type)),
+h AS (SELECT doc_type, articles::DOUBLE AS x, count(*) AS n FROM s GROUP BY ALL), pc AS (SELECT doc_type, x, n, sum(n) OVER w - n AS b, sum(n) OVER (PARTITION BY doc_type) AS t FROM h WINDOW w AS (PARTITION BY doc_type ORDER BY x)), m AS (SELECT doc_type, avg(articles) AS m, stddev_samp(articles) AS s FROM s GROUP BY doc_type), z AS (SELECT pc.*, (x - m) / s AS z FROM pc JOIN m USING (doc_type))""" + _normal_sql("z", "doc_type, x") + ", y AS (SELECT doc_type, x, -z AS z FROM z)" + _normal_sql("y", "doc_type, x") + """
+, a AS (SELECT doc_type, any_value(t) AS n, -any_value(t) - sum(n * (2 * b + n) * ln(z_p.p) + n * (2 * (t - b) - n) * ln(y_p.p)) / any_value(t) AS a FROM pc JOIN z_p USING (doc_type, x) JOIN y_p USING (doc_type, x) GROUP BY doc_type),
+r AS (SELECT doc_type, 'trend' AS id, z AS statistic, 2 * s / (n * (n - 1)) AS effect FROM mk UNION ALL SELECT doc_type, 'line', (sst - sse) / (sse / (n - 2)), 1 - sse / sst FROM l UNION ALL SELECT q.doc_type, 'curve', (l.sse - q.sse) / (q.sse / (q.n - 3)), (l.sse - q.sse) / l.sse FROM q JOIN l USING (doc_type)
+      UNION ALL SELECT doc_type, 'regime', k, 4 * k / (n * n) FROM pk UNION ALL SELECT x.doc_type, 'mean_break', (o.ssr - x.ssr) / (x.ssr / (x.n - 2)), 1 - x.ssr / o.ssr FROM br x JOIN br o ON o.doc_type = x.doc_type AND o.m = 0 WHERE x.m = 1
+      UNION ALL SELECT doc_type, 'persistence', (sst - sse) / (sse / (n - 2)), 1 - sse / sst FROM g UNION ALL SELECT doc_type, 'normal_values', a * (1 + 0.75 / n + 2.25 / (n * n)), a * (1 + 0.75 / n + 2.25 / (n * n)) FROM a)
+SELECT doc_type, id, round(statistic, 4) AS statistic, round(effect, 4) AS effect FROM r"""
+
+
+@query(_TESTED)
+def hypotheses_measured(r: Roles) -> DataFrame:
+    """Statistics and effects of the tests of monthly series."""
+    out = hypotheses.tested(_months(r), ["doc_type"])
+    return out.select("doc_type", "id", F.round("statistic", 4).alias("statistic"), F.round("effect", 4).alias("effect"))
+
+
+@query()
+def hypotheses_corrected(r: Roles) -> DataFrame:
+    """The same with their p values, corrected together."""
+    out = stats.benjamini_hochberg(hypotheses.tested(_months(r), ["doc_type"]))
+    return out.withColumn("decision", stats.decision(F.col("p_bh")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from . import countries, descriptive, fits, primitives, series
+from . import countries, descriptive, fits, goodness, primitives, regression, segments, series
 
 
 def _row(df: DataFrame, key: str, statement: str, statistic: Column, supported: Column, p: Column | None = None) -> DataFrame:
@@ -147,6 +147,39 @@ def dynamics(df: DataFrame, keys: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, (t.select(*keys, F.lit(k).alias("id"), F.col("s").alias("statistic"), ok.alias("supported")) for t, k, ok in named))
 
 
+def tested(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Per series (``keys, year, articles``) the hypotheses that have a test: ``id, statistic, effect, p_value``.
+
+    ``trend``: Mann-Kendall z, tau. ``line``: F of the line over years, r2. ``curve``: F of the square beyond the line, its share of
+    what the line leaves. ``regime``: Pettitt's K, its share of n**2 / 4. ``mean_break``: F of the best split into two means, share
+    of the variance it takes. ``persistence``: F of the year before, r2. ``normal_values``: Anderson-Darling's adjusted statistic,
+    which is also the effect. The null is no trend, no line and so on; a series too short for a test has no row of it.
+    ``stats.benjamini_hochberg`` corrects all of them together.
+    """
+    years = df.groupBy(*keys).agg(F.min("year").alias("_first"))
+    base = regression.with_powers(df.join(years, keys).withColumn("t", F.col("year") - F.col("_first")), "t", 2)
+    out = lambda t, name, statistic, effect, p: t.select(*keys, F.lit(name).alias("id"), statistic.cast("double").alias("statistic"), effect.cast("double").alias("effect"), p.cast("double").alias("p_value"))
+    ranked = series.mann_kendall(df, keys)
+    line = regression.summary(base, keys, "articles", ["x1"])
+    curve = regression.nested_f(base, keys, "articles", ["x1"], ["x2"])
+    regime = series.pettitt(df, keys)
+    broken = segments.mean_breaks(df, keys, most=1)
+    none = broken.where("m = 0").select(*keys, F.col("ssr").alias("_all"))
+    split = broken.where("m = 1").join(none, keys)
+    past = regression.summary(regression.lagged(df, keys, ["articles"]), keys, "articles", ["articles_lag1"])
+    shape = goodness.anderson_darling(df, keys, "articles")
+    rows = [
+        out(ranked, "trend", F.col("z"), primitives.ratio(2 * F.col("s"), F.col("n") * (F.col("n") - 1)), stats.normal_two_sided(F.col("z"))),
+        out(line, "line", F.col("f"), F.col("r2"), F.col("p_value")),
+        out(curve, "curve", F.col("f"), primitives.ratio(F.col("sse_small") - F.col("sse_large"), F.col("sse_small")), F.col("p_value")),
+        out(regime, "regime", F.col("k"), primitives.ratio(4 * F.col("k"), F.col("n") * F.col("n")), F.col("p_value")),
+        out(split, "mean_break", F.col("f"), 1 - primitives.ratio(F.col("ssr"), F.col("_all")), F.col("p_value")),
+        out(past, "persistence", F.col("f"), F.col("r2"), F.col("p_value")),
+        out(shape, "normal_values", F.col("adjusted"), F.col("adjusted"), F.col("p_value")),
+    ]
+    return reduce(DataFrame.unionByName, rows).where("statistic is not null")
+
+
 def quality_gate(measured: DataFrame, limits: dict[str, tuple[float | None, float | None]]) -> DataFrame:
     """``check, value, low, high, passed`` for columns of the one row of ``measured``; a null value does not pass."""
     rows = F.array(*(F.struct(F.lit(c).alias("check"), F.col(c).cast("double").alias("value"), F.lit(low).cast("double").alias("low"), F.lit(high).cast("double").alias("high")) for c, (low, high) in limits.items()))
