@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .catalog import query
 from .catalog_models import _MONTHS, _months
 from .functions.text import _ACCENTED, _PLAIN
-from .operators import clusters, dictionary, factor, seasonal
+from .operators import clusters, dictionary, factor, seasonal, series
 from .plans.roles import Roles
 
 _FEATURES = ["articles", "citations", "average", "single", "several"]
@@ -89,3 +89,24 @@ def daily_event_seasons(r: Roles) -> DataFrame:
     day = F.datediff(F.to_date("ts"), F.to_date(F.lit("2000-01-01")))
     counted = r.table("events").groupBy("event_type", day.alias("year")).agg(F.count("*").alias("articles"))
     return seasonal.decompose(counted, ["event_type"], 7, 9, 15)
+
+
+@query(_MONTHS + """
+, c AS (SELECT doc_type, articles - avg(articles) OVER (PARTITION BY doc_type) AS y, row_number() OVER (PARTITION BY doc_type ORDER BY year) - 1 AS t, count(*) OVER (PARTITION BY doc_type) AS n FROM s),
+w AS (SELECT doc_type, n, k, sum(y * cos(2 * pi() * k * t / n)) ** 2 + sum(y * sin(2 * pi() * k * t / n)) ** 2 AS p FROM c, range(1, 1000) r(k) WHERE k <= (n - 1) // 2 GROUP BY ALL)
+SELECT doc_type, n, count(*) AS m, CAST(arg_max(k, round(p, 9)) AS INTEGER) AS harmonic, round(max(p) / sum(p), 6) AS g FROM w GROUP BY doc_type, n""")
+def monthly_hidden_periods(r: Roles) -> DataFrame:
+    out = series.fisher_g(_months(r), ["doc_type"])
+    return out.select("doc_type", "n", F.floor((F.col("n") - 1) / 2).alias("m"), "harmonic", "g")
+
+
+@query(r"""
+, tx AS (SELECT p_partkey, 'Dept. of ' || p_type || ', ' || CASE WHEN p_partkey % 3 = 0 THEN 'c/o ' || p_brand || ' and ' ELSE '' END || upper(p_brand) || ' (' || p_name || ')' AS x, p_brand FROM part)
+SELECT p_partkey, p_brand AS ror, CAST(len(list_filter(string_split(regexp_replace(split_part(upper(x), upper(p_brand), 1), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')) + 1 AS INTEGER) AS place, 2 AS size FROM tx""")
+def organisations_of_parts(r: Roles) -> DataFrame:
+    """Brands as organisations, found in addresses made of a part's type, brand and name."""
+    part = r.table("part")
+    twice = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("c/o "), "p_brand", F.lit(" and "))).otherwise("")
+    text = F.concat(F.lit("Dept. of "), "p_type", F.lit(", "), twice, F.upper("p_brand"), F.lit(" ("), "p_name", F.lit(")"))
+    names = part.select(F.col("p_brand").alias("ror"), F.col("p_brand").alias("alias")).distinct()
+    return dictionary.match_organisations(part.withColumn("address", text), ["p_partkey"], "address", names)

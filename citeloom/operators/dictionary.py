@@ -83,3 +83,11 @@ def countries_in_text(df: DataFrame, keys: Sequence[str], text: str, aliases: Da
     """Distinct ``keys, country`` of the countries that ``text`` names."""
     known = table(country_aliases(df.sparkSession) if aliases is None else aliases)
     return scan(df, keys, text, known).select(*keys, F.col("target").alias("country")).distinct()
+
+
+def match_organisations(affiliations: DataFrame, keys: Sequence[str], text: str, names: DataFrame) -> DataFrame:
+    """``keys, ror, place, size``: the organisation that each affiliation names, by ``names`` (``ror, alias``). Of several names in one
+    affiliation the longest counts, the first of equals."""
+    hits = scan(affiliations, keys, text, table(names, "alias", "ror"))
+    best = hits.groupBy(*keys).agg(F.max_by(F.struct("target", "place", "size"), F.struct("size", -F.col("place"))).alias("b"))
+    return best.select(*keys, F.col("b.target").alias("ror"), F.col("b.place").alias("place"), F.col("b.size").alias("size"))

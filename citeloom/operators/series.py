@@ -7,6 +7,7 @@ group is bounded by the span of years.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions.distributions import log_gamma
 from .primitives import growth, ratio, trend
 
 
@@ -235,6 +237,9 @@ CURVES: dict[str, tuple[Callable, Callable]] = {
     "bertalanffy": (lambda t, k, b, r: k * np.power(np.clip(1 - b * np.exp(np.clip(-r * t, -50, 50)), 0, None), 3), lambda t, y: (1.5 * max(y.max(), 1e-3), 0.8, 0.1)),
     "hill": (lambda t, k, h, n: k * np.power(t + 1, n) / (np.power(abs(h), n) + np.power(t + 1, n)), lambda t, y: (1.5 * max(y.max(), 1e-3), t.mean() + 1, 1.5)),
     "gaussian": (lambda t, a, m, s: a * np.exp(-np.clip((t - m) ** 2 / (2 * s * s + 1e-9), 0, 50)), lambda t, y: (max(y.max(), 1e-3), float(t[y.argmax()]), max(t[-1] / 4, 1.0))),
+    "weibull": (lambda t, k, a, b: k * (1 - np.exp(-np.clip(np.power(t / max(abs(a), 1e-9), abs(b)), 0, 50))), lambda t, y: (1.5 * max(y.max(), 1e-3), max(t.mean(), 1.0), 1.5)),
+    "richards": (lambda t, k, r, m, v: k / np.power(1 + max(abs(v), 1e-6) * np.exp(np.clip(-r * (t - m), -50, 50)), 1 / max(abs(v), 1e-6)), lambda t, y: (1.5 * max(y.max(), 1e-3), 0.3, t.mean(), 1.0)),
+    "bass": (lambda t, k, p, q: k * (1 - np.exp(-np.clip((p + q) * t, -50, 50))) / (1 + q / (np.sign(p) * max(abs(p), 1e-9)) * np.exp(-np.clip((p + q) * t, -50, 50))), lambda t, y: (1.5 * max(y.max(), 1e-3), 0.03, 0.3)),
     "harmonic": (lambda t, a, b, c, w: a + b * np.sin(w * t) + c * np.cos(w * t), lambda t, y: (y.mean(), y.std(), 0.0, 2 * np.pi / max(len(t) / 2, 2))),
 }
 
@@ -316,3 +321,25 @@ def spectrum(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def with_p_values(df: DataFrame, z: str = "z") -> DataFrame:
     """``df`` with the two-sided normal ``p_value`` of column ``z``."""
     return df.withColumn("p_value", stats.normal_two_sided(F.col(z)))
+
+
+def fisher_g(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fisher's test for one hidden period: per series ``n, harmonic`` (how often the strongest wave goes through), ``period, g`` (its
+    share of the periodogram) and ``p_value``, from the values less their mean.
+
+    Waves are those of 1 to (n - 1) // 2 turns; each is two sums over the series. Series of under five values, and constant ones,
+    have no rows. p sums Fisher's alternating terms that count, in logs of binomials.
+    """
+    own = Window.partitionBy(*keys)
+    y = F.col("articles").cast("double")
+    rows = df.where("articles is not null").select(*keys, (y - F.avg(y).over(own)).alias("y"), (F.row_number().over(own.orderBy("year")) - 1).alias("t"), F.count("*").over(own).alias("n")).where("n >= 5")
+    waves = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.floor((F.col("n") - 1) / 2).cast("int"))))
+    angle = 2 * math.pi * F.col("k") * F.col("t") / F.col("n")
+    power = waves.groupBy(*keys, "n", "k").agg((F.pow(F.sum(F.col("y") * F.cos(angle)), 2) + F.pow(F.sum(F.col("y") * F.sin(angle)), 2)).alias("p"))
+    best = power.groupBy(*keys, "n").agg(F.sum("p").alias("_all"), F.count("*").alias("m"), F.max("p").alias("_top"), F.max_by("k", F.struct(F.round("p", 9), -F.col("k"))).alias("harmonic")).where("_all > 1e-9")
+    found = best.withColumn("g", F.col("_top") / F.col("_all"))
+    m = F.col("m").cast("double")
+    logs = lambda j: log_gamma(m + 1) - log_gamma(j + 1.0) - log_gamma(m - j + 1.0) + (m - 1) * F.log(1 - j * F.col("g"))
+    term = lambda j: F.when(j * F.col("g") < 1, F.when(j % 2 == 1, 1.0).otherwise(-1.0) * F.exp(logs(j))).otherwise(0.0)
+    p = F.aggregate(F.sequence(F.lit(1), F.least(F.col("m").cast("int"), F.floor(1 / F.col("g")).cast("int"))), F.lit(0.0), lambda acc, j: acc + term(j))
+    return found.select(*keys, "n", "harmonic", (F.col("n") / F.col("harmonic")).alias("period"), "g", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p_value"))

@@ -8,7 +8,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import countries, dedup, descriptive, fits, hypotheses, institutions, networks, organise, series, venues
+from ..functions import stats
+from ..operators import clusters, countries, dedup, descriptive, fits, hypotheses, institutions, networks, organise, regression, seasonal, segments, series, venues
 from ..sources import exports
 from . import storage
 
@@ -25,6 +26,9 @@ class Settings:
     fractional: bool = False
     top: int = 20
     horizon: int = 5
+    #: Nodes of the keyword and author networks, the most frequent ones; None: all.
+    keyword_nodes: int | None = None
+    author_nodes: int | None = None
     priority: tuple[str, ...] = dedup.PRIORITY
 
     def check(self) -> None:
@@ -34,6 +38,8 @@ class Settings:
             raise ValueError("fuzzy_titles lies over 0.5 and at most at 1")
         if self.top < 1 or self.horizon < 1:
             raise ValueError("top and horizon are at least 1")
+        if any(n is not None and n < 2 for n in (self.keyword_nodes, self.author_nodes)):
+            raise ValueError("a network has at least two nodes")
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
@@ -44,6 +50,9 @@ class Settings:
         return cls(**{**held, "modules": tuple(held["modules"]), "priority": tuple(held["priority"])})
 
 
+_PROFILE = ["articles", "citations", "average", "single", "several"]
+
+
 def analyse(records: DataFrame, settings: Settings) -> dict[str, DataFrame]:
     """All tables of the chosen modules over merged records, by name and lazily."""
     settings.check()
@@ -58,12 +67,12 @@ def analyse(records: DataFrame, settings: Settings) -> dict[str, DataFrame]:
             "overview": descriptive.overview(records, authors), "annual": annual, "author_productivity": descriptive.productivity(authors, records, "author"), "author_indices": descriptive.author_indices(authors, records, "author"),
             "most_cited": descriptive.most_cited(records, settings.top), "citation_profile": descriptive.citation_profile(records), "lotka": descriptive.lotka(authors, "author"), "keyword_frequency": descriptive.shares(keywords, "keyword"),
         },
-        "growth": {"series": series.describe(one_series, ["series"]), "trend_tests": series.with_p_values(series.mann_kendall(one_series, ["series"])), "breaks": series.change_consensus(one_series, ["series"]), "curves": series.fit_curves(one_series, ["series"], settings.horizon), "forecast": series.holt_forecast(one_series, ["series"], settings.horizon), "forecasts": fits.forecasts(one_series, ["series"], settings.horizon), "model_table": fits.model_table(one_series, ["series"])},
+        "growth": {"series": series.describe(one_series, ["series"]), "trend_tests": series.with_p_values(series.mann_kendall(one_series, ["series"])), "breaks": series.change_consensus(one_series, ["series"]), "curves": series.fit_curves(one_series, ["series"], settings.horizon), "forecast": series.holt_forecast(one_series, ["series"], settings.horizon), "forecasts": fits.forecasts(one_series, ["series"], settings.horizon), "model_table": fits.model_table(one_series, ["series"]), "partitions": segments.optimal_partition(one_series, ["series"]), "mean_breaks": segments.mean_breaks(one_series, ["series"]), "change_points": segments.change_points(one_series, ["series"]), "phases": segments.segment_phases(one_series, ["series"], segments.optimal_partition(one_series, ["series"])), "dynamic_trend": regression.dynamic_trend(one_series, ["series"]), "hidden_period": series.fisher_g(one_series, ["series"]), "smooth": seasonal.loess(one_series, ["series"])},
         "institutions": {"institution_production": institutions.production(star["affiliations"], records), "institution_sectors": institutions.sectors(star["affiliations"], records), "institution_pairs": institutions.collaboration(star["affiliations"])},
-        "countries": {"country_summary": countries.summary(panel), "country_growth": countries.growth_dynamics(panel), "country_ranks": countries.yearly_ranks(panel), "country_collaboration": countries.collaboration(places), "country_papers": descriptive.country_table(places, records)},
+        "countries": {"country_summary": countries.summary(panel), "country_growth": countries.growth_dynamics(panel), "country_ranks": countries.yearly_ranks(panel), "country_collaboration": countries.collaboration(places), "country_papers": descriptive.country_table(places, records), "country_trends": regression.polynomial_trends(panel, ["country"]), "country_similarity": clusters.distances(clusters.standardised(clusters.country_features(places, records), "country", _PROFILE), "country", _PROFILE)},
         "sources": {"source_summary": venues.summary(records), "source_growth": venues.growth_table(venues.panel(records)), "source_specialization": venues.specialization(records, keywords)},
-        "networks": {"keyword_pairs": networks.cooccurrence(keywords, "keyword", 50), "author_pairs": networks.cooccurrence(authors, "author", 1000)},
-        "hypotheses": {"corpus_hypotheses": hypotheses.corpus(records, authors, places, keywords), "growth_hypotheses": hypotheses.growth(one_series, ["series"]), "source_hypotheses": hypotheses.venues(venues.summary(records), venues.growth_table(venues.panel(records)))},
+        "networks": {"keyword_pairs": networks.cooccurrence(keywords, "keyword", settings.keyword_nodes), "author_pairs": networks.cooccurrence(authors, "author", settings.author_nodes)},
+        "hypotheses": {"corpus_hypotheses": hypotheses.corpus(records, authors, places, keywords), "growth_hypotheses": hypotheses.growth(one_series, ["series"]), "tested_hypotheses": stats.benjamini_hochberg(hypotheses.tested(one_series, ["series"])), "source_hypotheses": hypotheses.venues(venues.summary(records), venues.growth_table(venues.panel(records)))},
     }
     return {name: table for module in settings.modules for name, table in by_module[module].items()}
 

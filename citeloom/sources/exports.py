@@ -252,6 +252,12 @@ def ror_organisations(landed: DataFrame) -> DataFrame:
     return landed.select(F.regexp_extract("id", "([^/]+)$", 1).alias("ror"), "name", F.upper("country.country_name").alias("country"), F.get("addresses", F.lit(0))["city"].alias("city"))
 
 
+def ror_names(landed: DataFrame) -> DataFrame:
+    """``ror, alias``: names, aliases and acronyms of landed ROR organisations, for ``dictionary.match_organisations``."""
+    listed = [F.array("name"), *(F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("aliases", "acronyms") if c in landed.columns)]
+    return landed.select(F.regexp_extract("id", "([^/]+)$", 1).alias("ror"), F.explode(F.array_distinct(F.concat(*listed))).alias("alias")).where("alias is not null")
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """A screening ledger of CSV or JSON lines (by the file's ending): doc, stage, reviewer, decision, reason, is_final."""
     raw = spark.read.json(path) if path.endswith((".json", ".jsonl")) else spark.read.csv(path, header=True, multiLine=True, escape='"')

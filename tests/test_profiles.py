@@ -181,3 +181,61 @@ def test_a_season_and_a_trend_come_apart(spark):
     assert found.where("g = 'flat'").agg(F.max(F.abs("remainder")).alias("m")).first()["m"] < 1e-9
     with pytest.raises(ValueError):
         seasonal.decompose(frame, ["g"], 1)
+
+
+# Organisations, hidden periods, curves, tested hypotheses
+
+
+def test_the_longest_organisation_of_an_affiliation(spark):
+    from citeloom.sources import exports
+
+    landed = spark.createDataFrame([("https://ror.org/1", "University of York", ["York Univ"], None), ("https://ror.org/2", "York", None, ["YK"]), ("https://ror.org/3", "Max Planck Institute", None, None)], "id string, name string, aliases array<string>, acronyms array<string>")
+    names = exports.ror_names(landed)
+    assert {(r["ror"], r["alias"]) for r in names.collect()} == {("1", "University of York"), ("1", "York Univ"), ("2", "York"), ("2", "YK"), ("3", "Max Planck Institute")}
+    texts = ["Dept. X, University of York, York", "YK, York Univ.", "York", "Max-Planck-Institute; York", "nowhere", None]
+    found = dictionary.match_organisations(spark.createDataFrame(list(enumerate(texts)), "id int, a string"), ["id"], "a", names)
+    assert {r["id"]: r["ror"] for r in found.collect()} == {0: "1", 1: "1", 2: "2", 3: "3"}
+
+
+def test_hidden_periods(spark):
+    import math
+
+    from citeloom.operators import series
+
+    rng = np.random.default_rng(6)
+    t = np.arange(21)
+    rows = [("wave", int(i), float(5 + 3 * np.sin(2 * np.pi * 3 * i / 21) + e)) for i, e in zip(t, rng.normal(size=21) * 0.3, strict=True)] + [("noise", int(i), float(v)) for i, v in zip(t, rng.normal(size=21), strict=True)] + [("flat", i, 1.0) for i in range(9)] + [("few", i, float(i)) for i in range(4)]
+    found = {r["name"]: r for r in series.fisher_g(spark.createDataFrame(rows, "name string, year int, articles double"), ["name"]).collect()}
+    assert set(found) == {"wave", "noise"} and found["wave"]["harmonic"] == 3 and found["wave"]["period"] == 7 and found["wave"]["p_value"] < 1e-6
+    g = found["noise"]["g"]
+    exact = sum((-1) ** (j - 1) * math.comb(10, j) * (1 - j * g) ** 9 for j in range(1, 11) if j * g < 1)
+    assert found["noise"]["p_value"] == pytest.approx(exact, abs=1e-8)
+
+
+def test_curves_of_diffusion(spark):
+    from citeloom.operators import series
+
+    t = np.arange(30.0)
+    weibull, richards, bass = (series.CURVES[c][0] for c in ("weibull", "richards", "bass"))
+    assert weibull(t, 10.0, 5.0, 2.0)[0] == 0 and bass(t, 10.0, 0.03, 0.4)[0] == 0
+    assert weibull(t, 10.0, 5.0, 2.0) == pytest.approx(10 * (1 - np.exp(-((t / 5) ** 2))))
+    assert richards(t, 9.0, 0.4, 12.0, 1.0) == pytest.approx(9 / (1 + np.exp(-0.4 * (t - 12))))
+    e = np.exp(-0.43 * t)
+    assert bass(t, 10.0, 0.03, 0.4) == pytest.approx(10 * (1 - e) / (1 + 0.4 / 0.03 * e))
+    frame = spark.createDataFrame([("b", 1990 + int(i), float(v)) for i, v in enumerate(100 * bass(t, 10.0, 0.01, 0.4))], "g string, year int, articles double")
+    fit = {r["model"]: r for r in series.fit_curves(frame, ["g"]).collect()}
+    assert fit["bass"]["r2"] > 0.999 and fit["richards"]["r2"] > 0.99 and len(fit) == 16
+
+
+def test_hypotheses_have_p_and_effect(spark):
+    from citeloom.functions import stats
+    from citeloom.operators import hypotheses
+
+    rng = np.random.default_rng(7)
+    rows = [("up", 1990 + i, int(10 + 3 * i + rng.integers(0, 4))) for i in range(30)] + [("noise", 1990 + i, int(rng.integers(0, 50))) for i in range(30)] + [("few", 1990 + i, 5) for i in range(3)]
+    found = {(r["g"], r["id"]): r for r in stats.benjamini_hochberg(hypotheses.tested(spark.createDataFrame(rows, "g string, year int, articles long"), ["g"])).collect()}
+    names = {"trend", "line", "curve", "regime", "mean_break", "persistence", "normal_values"}
+    assert {k for g, k in found if g == "up"} == names == {k for g, k in found if g == "noise"}
+    assert all(0 <= r["p_value"] <= 1 and r["p_bh"] >= r["p_value"] - 1e-12 for r in found.values() if r["p_value"] is not None)
+    assert found["up", "trend"]["p_bh"] < 1e-6 and found["up", "trend"]["effect"] > 0.95 and found["up", "line"]["effect"] > 0.99
+    assert found["noise", "line"]["p_value"] > 0.01 and found["noise", "trend"]["p_value"] > 0.01
