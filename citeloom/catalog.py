@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import stats
 from .functions import text as T
-from .operators import countries, descriptive, networks, primitives, screening, series, venues
+from .operators import countries, descriptive, modularity, networks, primitives, screening, series, venues
 from .plans.roles import PRELUDE, Roles
 
 FLAGSHIP = "annual_production"
@@ -599,7 +599,7 @@ def keyword_communities(r: Roles) -> DataFrame:
 @query()
 def keyword_thematic_map(r: Roles) -> DataFrame:
     edges = networks.cooccurrence(r.keywords(), "keyword")
-    return networks.thematic_map(edges, networks.communities(edges))
+    return networks.thematic_map(edges, modularity.communities(edges))
 
 
 @query()

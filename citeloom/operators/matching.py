@@ -161,27 +161,58 @@ def name_score(last_a: Column, initials_a: Column, last_b: Column, initials_b: C
     return F.when(last < 0.7, 0.3 * last).otherwise(0.6 * last) + 0.4 * overlap(initials_a, initials_b)
 
 
+def _author_groups(names: DataFrame) -> DataFrame:
+    """``value, last, initials`` of names (column ``value``), initials in order; names without letters in the last name go."""
+    last, initials = author_parts(F.col("value"))
+    return names.select("value", last.alias("last"), F.array_sort(initials).alias("initials")).where("last <> ''")
+
+
+def _alike_groups(parts: DataFrame, least: float) -> DataFrame:
+    """``la, ia, lb, ib, score`` of groups (last name and initials) whose score is ``least`` or more, each pair once and each group with
+    itself.
+
+    Scores over 0.7 need last names alike to 0.7 and a common initial. So distinct last names meet by their letters, and groups by
+    alike last names and an initial: a last name that very many bear has as many groups as it has different sets of initials.
+    """
+    groups = parts.select("last", "initials").distinct()
+    lasts = groups.select(F.col("last").alias("id"), F.col("last").alias("value")).distinct()
+    alike = similar_by_edits(lasts, 0.7).select("a", "b").unionByName(lasts.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    spread = groups.select("last", "initials", F.explode("initials").alias("i"))
+    a = spread.select(F.col("last").alias("a"), F.col("initials").alias("ia"), "i")
+    b = spread.select(F.col("last").alias("b"), F.col("initials").alias("ib"), "i")
+    once = (F.col("a") != F.col("b")) | (F.array_join("ia", "") <= F.array_join("ib", ""))
+    both = alike.join(a, "a").join(b, ["b", "i"]).where(once).select("a", "ia", "b", "ib").distinct()
+    score = name_score(F.col("a"), F.col("ia"), F.col("b"), F.col("ib"))
+    return both.select(F.col("a").alias("la"), "ia", F.col("b").alias("lb"), "ib", score.alias("score")).where(F.col("score") >= least)
+
+
 def similar_authors(names: DataFrame, least: float = 0.85) -> DataFrame:
     """``a, b, score`` of author names (column ``value``) whose score is ``least`` or more, over 0.7.
 
-    Scores over 0.7 need last names alike to 0.7, so distinct last names are joined first, by their letters.
+    Names of one last name and initials are scored once, and only then made pairs of names, which are the result.
     """
-    last, initials = author_parts(F.col("value"))
-    parts = names.select("value", last.alias("last"), initials.alias("initials")).where("last <> ''")
-    lasts = parts.select(F.col("last").alias("id"), F.col("last").alias("value")).distinct()
-    alike = similar_by_edits(lasts, 0.7).select("a", "b")
-    alike = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(lasts.select(F.col("id").alias("a"), F.col("id").alias("b")))
-    a = parts.select(F.col("value").alias("x"), F.col("last").alias("a"), F.col("initials").alias("ia"))
-    b = parts.select(F.col("value").alias("y"), F.col("last").alias("b"), F.col("initials").alias("ib"))
-    both = alike.join(a, "a").join(b, "b").where("x < y")
-    score = name_score(F.col("a"), F.col("ia"), F.col("b"), F.col("ib"))
-    return both.select(F.col("x").alias("a"), F.col("y").alias("b"), score.alias("score")).where(F.col("score") >= least)
+    parts = _author_groups(names)
+    own = lambda value, last, initials: parts.select(F.col("value").alias(value), F.col("last").alias(last), F.col("initials").alias(initials))
+    met = _alike_groups(parts, least).join(own("x", "la", "ia"), ["la", "ia"]).join(own("y", "lb", "ib"), ["lb", "ib"])
+    same = (F.col("la") == F.col("lb")) & (F.col("ia") == F.col("ib"))
+    kept = met.where((~same & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y")))
+    return kept.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score").distinct()
 
 
 def disambiguate_authors(df: DataFrame, column: str, least: float = 0.85) -> DataFrame:
-    """``value, canonical`` of author names: classes of names with a score of ``least`` or more."""
+    """``value, canonical`` of author names: classes of names with a score of ``least`` or more.
+
+    Names of a group are linked to its first name and groups by their first names, so links grow with the names.
+    """
     names = _distinct(df, column)
-    return classes(names, similar_authors(names, least))
+    parts = _author_groups(names)
+    first = parts.groupBy("last", "initials").agg(F.min("value").alias("first"))
+    alike = _alike_groups(parts, least)
+    own = lambda name, last, initials: first.select(F.col("first").alias(name), F.col("last").alias(last), F.col("initials").alias(initials))
+    between = alike.join(own("a", "la", "ia"), ["la", "ia"]).join(own("b", "lb", "ib"), ["lb", "ib"]).where("a <> b").select("a", "b")
+    itself = alike.where((F.col("la") == F.col("lb")) & (F.col("ia") == F.col("ib"))).select(F.col("la").alias("last"), F.col("ia").alias("initials"))
+    inside = parts.join(itself, ["last", "initials"]).join(first, ["last", "initials"]).where("value <> first").select(F.col("value").alias("a"), F.col("first").alias("b"))
+    return classes(names, between.unionByName(inside))
 
 
 def match_authors(left: DataFrame, right: DataFrame) -> DataFrame:
