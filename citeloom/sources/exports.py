@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import json
 import re
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,16 +57,20 @@ def page_range(df: DataFrame) -> Column:
 
 
 def csv_files(spark: SparkSession, paths: str | list[str], **options: object) -> list[tuple[list[str], list[str]]]:
-    """The files of ``paths`` by their header: (column names, files). Reads the first line of each file, some at a time."""
-    listed = spark.read.format("binaryFile").load(paths).select("path").collect()  # names only: no content is read
-    files = sorted(r["path"] for r in listed)
+    """The files of ``paths`` by their header: (column names, files).
 
-    def header(file: str) -> tuple[str, ...]:
-        return tuple(spark.read.csv(file, header=True, **options).columns)
-
-    with ThreadPoolExecutor(8) as pool:
-        found = list(pool.map(header, files))
-    return [(list(names), [f for f, h in zip(files, found, strict=True) if h == names]) for names in dict.fromkeys(found)]
+    One job takes the first line of every file; files of equal first lines have one header, which the first of them is asked for.
+    A header that goes on over a line break (an odd number of quotes) is asked for file by file. Files without a line are left out.
+    """
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at")).where("at = 0")
+    first = lines.withColumn("turn", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "turn").alias("line")).collect()
+    files: dict[tuple[str, str], list[str]] = {}
+    for path, line in sorted((unquote(r["path"]), r["line"]) for r in first):
+        files.setdefault((line, path if line.count('"') % 2 else ""), []).append(path)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for group in files.values():
+        by_header.setdefault(tuple(spark.read.csv(group[0], header=True, **options).columns), []).extend(group)
+    return [(list(names), sorted(group)) for names, group in by_header.items()]
 
 
 def read_csv(spark: SparkSession, paths: str | list[str], kind: str = "generic", delimiter: str = ",", encoding: str = "UTF-8") -> DataFrame:
