@@ -548,4 +548,4 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in registry.QUERIES) == list(range(1, 14))
