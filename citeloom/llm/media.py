@@ -135,6 +135,8 @@ def read_png(data: bytes) -> np.ndarray:
         if header is None and kind != b"IHDR":
             raise MediaError("the header is not first")
         if kind == b"IHDR":
+            if len(content) != 13 or header is not None:
+                raise MediaError("not one header of 13 bytes")
             header = struct.unpack(">IIBBBBB", content)
         elif kind == b"IDAT":
             packed.append(content)
@@ -143,6 +145,8 @@ def read_png(data: bytes) -> np.ndarray:
     if header is None or header[2:] != (8, 0, 0, 0, 0):
         raise MediaError("not a plain 8-bit grey-scale image")
     width, height = header[:2]
+    if not width or not height:
+        raise MediaError("an image without samples")
     size, inflate = height * (width + 1), zlib.decompressobj()
     try:
         raw = inflate.decompress(b"".join(packed), size + 1)  # no more than the header says, whatever the chunks hold
@@ -161,15 +165,15 @@ def _cosines() -> np.ndarray:
 
 
 def cosine_hash(samples: np.ndarray) -> str:
-    """16 hex digits: which low-frequency coefficients exceed their median."""
-    height, width = samples.shape
-    rows = np.arange(GRID) * height // GRID
-    counts = np.diff(np.append(rows, height))
-    if height >= GRID:
-        cells = np.add.reduceat(samples, rows, axis=0, dtype=np.int64) / counts[:, None]
-    else:
-        cells = samples[rows].astype(float)
-    cells = cells.reshape(GRID, GRID, width // GRID).mean(axis=2)
+    """16 hex digits: which low-frequency coefficients exceed their median. Images of any size are pooled to ``GRID`` cells a side."""
+    cells = samples.astype(float)
+    for axis, size in enumerate(samples.shape):
+        at = np.arange(GRID) * size // GRID
+        if size >= GRID:
+            counts = np.diff(np.append(at, size))
+            cells = np.add.reduceat(cells, at, axis=axis) / (counts[:, None] if axis == 0 else counts)
+        else:
+            cells = cells.take(at, axis=axis)
     low = (_cosines() @ cells @ _cosines().T).ravel()
     bits = np.round(low, 6) > np.round(np.median(low), 6)
     return np.packbits(bits).tobytes().hex()

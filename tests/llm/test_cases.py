@@ -136,3 +136,34 @@ def test_small_pages_meet_in_no_hot_key(spark):
     assert all(out[1000 + i] == ("revisit", 1000) for i in range(1, 5))
     sample = warc.train_dictionary(spark.createDataFrame(rows[300:] * 100, "page_id long, url string, html string"))
     assert sample == b""  # copies of one page are one sample, too few to train on
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (3, 20), (40, 40), (7, 100), (100, 33), (64, 64)])
+def test_images_of_any_size_are_hashed(shape):
+    samples = np.random.default_rng(1).integers(0, 256, shape).astype(np.uint8)
+    assert (media.read_png(media.write_png(samples)) == samples).all()
+    cells = np.zeros((media.GRID, media.GRID))
+    edges = [[k * n // media.GRID for k in range(media.GRID)] + [n] for n in shape]
+    for i in range(media.GRID):
+        for j in range(media.GRID):
+            (a, b), (c, d) = edges[0][i : i + 2], edges[1][j : j + 2]
+            cells[i, j] = samples[a : max(b, a + 1), c : max(d, c + 1)].mean()
+    k, x = np.arange(media.LOW)[:, None], np.arange(media.GRID)[None, :]
+    basis = np.cos(np.pi * k * (2 * x + 1) / (2 * media.GRID))
+    low = (basis @ cells @ basis.T).ravel()
+    assert media.cosine_hash(samples) == np.packbits(np.round(low, 6) > np.round(np.median(low), 6)).tobytes().hex()
+
+
+def test_short_and_second_headers_are_refused():
+    import struct
+    import zlib
+
+    chunk = lambda kind, content: struct.pack(">I", len(content)) + kind + content + struct.pack(">I", zlib.crc32(kind + content))
+    image = media.write_png(np.zeros((2, 2), np.uint8))
+    sign = image[:8]
+    header = chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 0, 0, 0, 0))
+    data = chunk(b"IDAT", zlib.compress(bytes(6))) + chunk(b"IEND", b"")
+    assert media.read_png(sign + header + data).shape == (2, 2)
+    for broken in (sign + chunk(b"IHDR", b"\0\0\0\2") + data, sign + header + header + data, sign + chunk(b"IHDR", struct.pack(">IIBBBBB", 0, 2, 8, 0, 0, 0, 0)) + data):
+        with pytest.raises(media.MediaError):
+            media.read_png(broken)
