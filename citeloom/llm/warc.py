@@ -14,7 +14,7 @@ repeated attempt leaves at worst an unlisted file. Archives are read through Spa
 
 Null payloads are empty. Repeated rows: rows with the smallest id are all responses, and each row has its record. Rows
 with a null id never lend their id to a revisit; if a payload has no other rows, all of them are responses. An empty
-table gives no archives and no records. Other columns are passed over, whatever their names.
+table gives no archives and no records. Ids that are no whole numbers are refused. Other columns are passed over, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ._shared import materialise, sampled, shared_dir
 
@@ -38,6 +39,8 @@ LEAST = 100
 #: Fixed by the .warc.zst convention and the Zstandard format.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 VERSION = b"WARC/1.1"
+#: What a revisit record says of itself; fixed by the standard.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Date of records without one of their own: archives of equal pages are then equal.
 DATE = datetime(2000, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -61,7 +64,7 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, digest:
         ("Content-Length", str(len(block))),
     ]
     if payload is None:
-        headers.insert(2, ("WARC-Refers-To", f"<urn:page:{refers_to}>"))
+        headers[2:2] = [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", PROFILE)]
     return b"\r\n".join([VERSION, *(f"{k}: {v}".encode() for k, v in headers), b"", block, b"", b""])
 
 
@@ -79,6 +82,8 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
         headers[name.lower()] = value
     if missing := {"warc-type", "warc-record-id", "warc-date", "content-length"} - headers.keys():
         raise ArchiveError(f"headers are missing: {sorted(missing)}")
+    if headers["warc-type"] == "revisit" and headers.get("warc-profile") != PROFILE:
+        raise ArchiveError("a revisit without its profile")
     if not headers["content-length"].isdigit():
         raise ArchiveError("content length is no number")
     size = int(headers["content-length"])
@@ -194,12 +199,14 @@ def train_dictionary(pages: DataFrame, payload_column: str = "html", sample_rows
 
 
 def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", most: int = 16 << 20) -> DataFrame:
-    """Write a record per row into archives under ``folder``; their paths as the column ``path``."""
+    """Write a record per row into archives under ``folder``; their paths as the column ``path``. Ids are whole numbers."""
+    if not isinstance(pages.schema[id_column].dataType, IntegralType):
+        raise TypeError(f"ids are whole numbers, not {pages.schema[id_column].dataType.simpleString()}")
     chosen = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), F.coalesce(payload_column, F.lit("")).alias("text"))
     payload = F.encode("text", "UTF-8")
     digested = chosen.select("id", "url", payload.alias("html"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
     twice = digested.where(F.col("size") >= LEAST).groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1 and least is not null").select("digest", "least")
-    met = F.when(F.col("size") >= LEAST, F.col("digest")).otherwise(F.xxhash64("id", "url").cast("string"))  # small ones meet nothing
+    met = F.when(F.col("size") >= LEAST, F.col("digest")).otherwise(F.xxhash64("id", "url", "digest").cast("string"))  # small ones meet nothing
     joined = digested.withColumn("met", met).join(twice.withColumnRenamed("digest", "met"), "met", "left").withColumn("refers_to", F.when(~F.col("id").eqNullSafe(F.col("least")), F.col("least")))
     rows = joined.select("id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "digest", "size", "refers_to")
     names = rows.mapInArrow(partial(_write, f"{folder}/archives", train_dictionary(chosen, "text"), most), "name string")

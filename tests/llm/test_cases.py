@@ -167,3 +167,16 @@ def test_short_and_second_headers_are_refused():
     for broken in (sign + chunk(b"IHDR", b"\0\0\0\2") + data, sign + header + header + data, sign + chunk(b"IHDR", struct.pack(">IIBBBBB", 0, 2, 8, 0, 0, 0, 0)) + data):
         with pytest.raises(media.MediaError):
             media.read_png(broken)
+
+
+def test_revisits_have_their_profile_and_ids_are_whole(spark, tmp_path):
+    from citeloom.llm import warc
+
+    raw = warc.record(7, "http://a/", None, "0" * 64, 120, 3)
+    headers, block = warc.parse(raw)
+    assert headers["warc-profile"] == warc.PROFILE and headers["warc-refers-to"] == "<urn:page:3>" and block == b""
+    with pytest.raises(warc.ArchiveError):
+        warc.parse(raw.replace(b"WARC-Profile", b"WARC-Else"))
+    with pytest.raises(TypeError):
+        warc.write_archives(spark.createDataFrame([("x", "u", "h")], "page_id string, url string, html string"), f"file://{tmp_path}")
+    assert warc.archive_round_trip(spark.createDataFrame([(5, "u", "h" * 200), (6, "v", "h" * 200)], "page_id int, url string, html string")).where("record_type = 'revisit'").first()["refers_to"] == 5
