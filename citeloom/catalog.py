@@ -602,7 +602,11 @@ def keyword_thematic_map(r: Roles) -> DataFrame:
     return networks.thematic_map(edges, modularity.communities(edges))
 
 
-@query()
+@query(_EDGES + """
+, mx AS (SELECT a.node, list(coalesce(w.weight, 0)::DOUBLE ORDER BY b.node) AS row FROM d a CROSS JOIN d b LEFT JOIN w ON w.node = a.node AND w.other = b.node GROUP BY a.node), al AS (SELECT list(row ORDER BY node) AS m, list(node ORDER BY node) AS nodes FROM mx),
+pw AS (SELECT 0 AS i, m, nodes, list_transform(nodes, lambda x: 1.0::DOUBLE) AS v FROM al UNION ALL
+  SELECT i + 1, m, nodes, list_transform(z, lambda x: x / list_max(z)) FROM (SELECT i, m, nodes, list_transform(m, lambda r, k: list_dot_product(r, v) + v[k]) AS z FROM pw WHERE i < 300))
+SELECT unnest(nodes) AS node, round(unnest(v), 6) AS score FROM pw WHERE i = 300""")
 def keyword_eigenvector(r: Roles) -> DataFrame:
     return networks.eigenvector(networks.cooccurrence(r.keywords(), "keyword"))
 
@@ -625,7 +629,10 @@ def keyword_betweenness(r: Roles) -> DataFrame:
     return networks.betweenness(edges, networks.degrees(edges).select("node"))
 
 
-@query()
+@query("""
+, a AS (SELECT DISTINCT p_name, p_brand FROM lines), o AS (SELECT p_name, count(*) AS out FROM a GROUP BY p_name), k AS (SELECT (SELECT count(*) FROM o)::DOUBLE AS n, (SELECT count(DISTINCT p_brand) FROM a)::DOUBLE AS b),
+u AS (SELECT 0.15 / (n + b) / (1 - 0.85 * (b + 0.85 * n) / (n + b)) AS u FROM k)
+SELECT p_name AS node, round(u, 6) AS rank FROM o, u UNION ALL SELECT p_brand, round(any_value(u) * (1 + 0.85 * sum(1.0 / out)), 6) FROM a JOIN o USING (p_name), u GROUP BY p_brand""")
 def brand_pagerank(r: Roles) -> DataFrame:
     arcs = r.lines().select(F.col("p_name").alias("src"), F.col("p_brand").alias("dst")).distinct()
     return networks.pagerank(arcs)
