@@ -7,12 +7,13 @@ the probability c / (n + d) and the escape to the next shorter context d / (n +
 bytes of -log2 of those products. The language of the shortest code wins; the score is its share of the posterior
 under equal priors.
 
-Training counts are a Spark aggregation over a bounded sample, about ``rows_per_language`` documents and
-``bytes_per_language`` bytes of each language picked by a hash of the id; prediction covers every whole text and reads the
-text alone. ``usual_bits`` tells how many bits a byte the sample's own documents take, so that text of none of the
-languages can be told by its length. The frozen tables hold at most
-one row for each distinct n-gram of the sample and are broadcast; scoring looks up n-grams of a slice of documents at
-once with numpy.
+Training counts cover every byte of every row given. A byte counts once, for the n-gram of ``order`` + 1 bytes that ends there
+(fewer at a row's beginning); counts of shorter ones are sums over those that end in them. Counts, code lengths and escapes are
+tables of Spark, one row an n-gram. An n-gram is a whole number, its bytes behind a leading 1, so dropping the last byte gives its
+context. The most frequent ones, at most ``CELLS`` numbers, are broadcast; every part of a frequent n-gram is as frequent, so a
+byte whose n-gram is among them is coded there. What the broadcast cannot tell is met by joins: each distinct n-gram once
+with the table, its code length with the rows that have it. Prediction covers every whole text and reads the text alone.
+``usual_bits`` tells how many bits a byte texts take, so that text of none of the languages can be told by its length.
 
 ``und``: the text is null or has no letter (no Unicode category L*); its score is 0. With no trainable row, every text
 is ``und``. Ties go to the alphabetically first language. Repeated rows are predicted alike; other columns are passed
@@ -21,22 +22,33 @@ over, whatever their names.
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import mix, slices, utf8
+from ._shared import materialise, shared_dir
+from ._text import slices, utf8
 
 UNDETERMINED = "und"
 _NEAR_LETTER = re.compile(r"[^\W\d_]")
 #: Bits over a language's usual length that any text may have, so that short ones pass.
 SLACK_BITS = 256
+#: Numbers that the broadcast code lengths may have: n-grams by languages.
+CELLS = 1 << 21
+#: Bytes that a task collects before it counts them, and distinct n-grams that it holds before it sends their counts.
+CHUNK, HELD = 1 << 22, 1 << 21
+#: Code lengths met by joins are summed as whole numbers of this part of a bit, in any order alike.
+FINE = 1 << 24
+#: Bits a byte are counted in steps of this part of a bit.
+STEPS = 1 << 10
 
 
 def has_letter(text: str) -> bool:
@@ -56,17 +68,67 @@ def grams(data: np.ndarray, rows: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def coded(data: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """The n-gram of at most ``size`` bytes that ends at each byte and begins in its row, behind a leading 1."""
+    out = np.zeros(len(data), np.int64)
+    for back in range(size - 1, -1, -1):
+        out <<= 8
+        out[back:] += data[: len(data) - back] if back else data
+    mark = np.left_shift(1, 8 * _reach(rows, size))
+    return (out & (mark - 1)) | mark
+
+
+def _reach(rows: np.ndarray, size: int) -> np.ndarray:
+    """For each byte how many bytes up to it are in its row, ``size`` at most."""
+    return np.minimum(np.arange(rows[-1]) - np.repeat(rows[:-1], np.diff(rows)) + 1, size)
+
+
+def _length(keys: np.ndarray) -> np.ndarray:
+    """Bytes of n-grams behind a leading 1."""
+    return sum((keys >= 1 << 8 * k).astype(np.int64) for k in range(1, 8))
+
+
+def _end(keys: np.ndarray, length: int) -> np.ndarray:
+    """The last ``length`` bytes behind a leading 1."""
+    return (keys & ((1 << 8 * length) - 1)) | (1 << 8 * length)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(place, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+
+
 def _count(order: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of n-grams of ``order`` + 1 bytes, and of shorter ones that begin a row, by language."""
+    fresh: dict[str, list[np.ndarray]] = {}
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    size = 0
+
+    def settle() -> None:
+        for name, keys in fresh.items():
+            now = np.unique(np.concatenate(keys), return_counts=True)
+            held[name] = _merged([held[name], now]) if name in held else now
+        fresh.clear()
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for name, (keys, n) in held.items():
+            yield pa.record_batch([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+        held.clear()
+
     for whole in batches:
         for batch in slices(whole, "text"):
             lang = np.array(batch.column("lang").to_pylist(), dtype=object)
             for name in sorted(set(lang)):
                 data, rows = utf8(batch.filter(pa.array(lang == name)).column("text"))
-                for length in range(1, order + 2):
-                    keys = grams(data, rows, length)
-                    keys, counts = np.unique(keys[keys >= 0], return_counts=True)
-                    size = len(keys)
-                    yield pa.record_batch([pa.array([name] * size, pa.string()), pa.array(np.full(size, length, np.int32)), pa.array(keys), pa.array(counts.astype(np.int64))], names=["lang", "length", "gram", "n"])
+                fresh.setdefault(name, []).append(coded(data, rows, order + 1))
+                size += len(data)
+            if size >= CHUNK:
+                settle()
+                size = 0
+                if sum(len(keys) for keys, _ in held.values()) >= HELD:
+                    yield from sent()
+    settle()
+    yield from sent()
 
 
 @dataclass
@@ -110,12 +172,45 @@ class Table:
 class Model:
     """For length k + 1 in ``codes``: bits of an n-gram's last byte after its k-byte context, escapes included, by language.
 
-    ``escapes`` has for each k-byte context the bits to leave it, 0 for a language that has not seen it.
+    ``escapes`` has for each k-byte context the bits to leave it, 0 for a language that has not seen it. Without ``rest``, these
+    are all n-grams; with it they are the frequent ones, and ``rest`` has the code lengths and escapes of every n-gram.
     """
 
     languages: list[str]
     codes: list[Table]
     escapes: list[Table]
+    rest: DataFrame | None = None
+
+    def told(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code length of what the tables can tell of each row, and n-grams of the bytes left over with where they end."""
+        size = len(self.codes)
+        keys = coded(data, rows, size)
+        bits = np.zeros((len(data), len(self.languages)), np.float32)
+        length = _reach(rows, size)
+        known = np.zeros(len(data), bool)
+        for k in range(size):
+            at = np.flatnonzero(length == k + 1)
+            row = self.codes[k].find(keys[at] - (1 << 8 * (k + 1)))
+            bits[at[row >= 0]] = self.codes[k].values[row[row >= 0]]
+            known[at[row >= 0]] = True
+        total = np.zeros((len(data) + 1, len(self.languages)))
+        np.cumsum(bits, axis=0, dtype=np.float64, out=total[1:])
+        left = np.flatnonzero(~known)
+        return total[rows[1:]] - total[rows[:-1]], keys[left], left
+
+    def steps(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """For distinct n-grams: the longest end in ``codes`` (its length), the bits there, and for each longer end which have it and whether ``escapes`` has its context, with the bits to leave that."""
+        length, deepest = _length(keys), np.zeros(len(keys), np.int64)
+        base = np.full((len(keys), len(self.languages)), 8.0, np.float32)
+        for k in range(len(self.codes)):
+            row = self.codes[k].find(np.where(length > k, _end(keys, k + 1) - (1 << 8 * (k + 1)), -1))
+            base[row >= 0], deepest[row >= 0] = self.codes[k].values[row[row >= 0]], k + 1
+        out = []
+        for k in range(len(self.codes)):
+            at = np.flatnonzero((deepest <= k) & (length > k))
+            row = self.escapes[k].find((_end(keys[at], k + 1) >> 8) - (1 << 8 * k))
+            out.append((at, row >= 0, self.escapes[k].values[row] if len(self.escapes[k].keys) else np.zeros((len(at), len(self.languages)), np.float32)))
+        return deepest, base, out
 
     def lengths(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Code length in bits of each row under each language."""
@@ -138,51 +233,64 @@ class Model:
         return total[rows[1:]] - total[rows[:-1]]
 
 
-def freeze(languages: list[str], lang: np.ndarray, length: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int) -> Model:
-    """Code lengths from counts: arrays of language number, n-gram length, n-gram and count."""
-    size = len(languages)
+def freeze(languages: list[str], keys: np.ndarray, own: np.ndarray, leave: np.ndarray, order: int, rest: DataFrame | None = None) -> Model:
+    """Tables of n-grams behind a leading 1 with their own bits (NaN: a language has not seen it) and the bits to leave them as contexts.
+
+    With an n-gram, its end and its beginning must be there; the empty one is the empty context.
+    """
+    length = _length(keys)
     codes, escapes = [], []
     lower = None
     for k in range(order + 1):
-        at = length == k + 1
-        keys, place = np.unique(gram[at], return_inverse=True)
-        count = np.zeros((len(keys), size))
-        count[place, lang[at]] = n[at]
-        contexts, inside = np.unique(keys >> 8, return_inverse=True)
-        total, kinds = np.zeros((len(contexts), size)), np.zeros((len(contexts), size))
-        np.add.at(total, inside, count)
-        np.add.at(kinds, inside, count > 0)
-        leave = np.zeros_like(total)
-        seen = total > 0
-        leave[seen] = -np.log2(kinds[seen] / (total + kinds)[seen])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            own = -np.log2(count / (total + kinds)[inside])
-        if lower is None:
-            below = np.full_like(count, 8.0)
-        else:
-            row = lower.find(keys & ((1 << (8 * k)) - 1))
-            below = np.where((row >= 0)[:, None], lower.values[row], 0.0)
-            # an n-gram's end starts a row nowhere without being counted there too, so each has its row
-        bits = np.where(count > 0, own, leave[inside] + below)
-        lower = Table(keys, bits.astype(np.float32))
+        at = np.flatnonzero(length == k)
+        context = Table(keys[at] - (1 << 8 * k), leave[at].astype(np.float32))
+        escapes.append(context)
+        at = np.flatnonzero(length == k + 1)
+        gram = keys[at] - (1 << 8 * (k + 1))
+        below = np.full((len(at), len(languages)), 8.0) if lower is None else lower.values[lower.find(gram & ((1 << (8 * k)) - 1))]
+        bits = np.where(np.isnan(own[at]), context.values[context.find(gram >> 8)] + below, own[at]) if len(at) else own[at]
+        lower = Table(gram, bits.astype(np.float32))
         codes.append(lower)
-        escapes.append(Table(contexts, leave.astype(np.float32)))
-    return Model(languages, codes, escapes)
-
+    return Model(languages, codes, escapes, rest)
 
-def train(rows: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", rows_per_language: int = 800, order: int = 4, bytes_per_language: int = 4 << 20) -> Model:
-    """A model of the languages of ``rows``, from about ``rows_per_language`` of the rows of each and so many bytes.
 
-    A language with more is thinned by a hash of the id, at a rate that follows from its count and size.
-    """
-    picked, languages = training_rows(rows, id_column, text_column, lang_column, rows_per_language, bytes_per_language)
+def train(rows: DataFrame, text_column: str = "text", lang_column: str = "lang", order: int = 4) -> Model:
+    """A model of the languages of ``rows``, from all of them."""
+    spark = rows.sparkSession
+    known = rows.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).dropna()
+    folder = shared_dir(spark)
+    counted = materialise(known.mapInArrow(partial(_count, order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), folder, "counts")
+    languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
     if not languages:
         return Model([], [], [])
-    counts = picked.select("lang", "text").mapInArrow(partial(_count, order), "lang string, length int, gram long, n long")
-    found = counts.groupBy("lang", "length", "gram").agg(F.sum("n").alias("n")).toArrow()
-    number = {name: i for i, name in enumerate(languages)}
-    lang = np.array([number[x] for x in found.column("lang").to_pylist()], np.int64)
-    return freeze(languages, lang, *(found.column(c).to_numpy().astype(np.int64) for c in ("length", "gram", "n")), order)
+    whole = range(len(languages))
+    ends = F.explode(F.array(*(F.when(F.col("gram") >= (1 << 8 * k), F.col("gram").bitwiseAND((1 << 8 * k) - 1).bitwiseOR(1 << 8 * k)) for k in range(1, order + 2))))
+    seen = counted.select("lang", ends.alias("key"), "n").where("key IS NOT NULL").groupBy("key").agg(*(F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{i}") for i, name in enumerate(languages)))
+    seen = materialise(seen, folder, "seen")
+    context = F.shiftright("key", 8).alias("context")
+    contexts = materialise(seen.groupBy(context).agg(*(F.sum(f"n{i}").alias(f"t{i}") for i in whole), *(F.sum(F.signum(f"n{i}")).alias(f"d{i}") for i in whole)), folder, "contexts")
+    leave = F.array(*(F.when(F.col(f"d{i}") > 0, -F.log2(F.col(f"d{i}") / (F.col(f"t{i}") + F.col(f"d{i}")))).otherwise(0.0) for i in whole))
+    own = F.array(*(F.when(F.col(f"n{i}") > 0, -F.log2(F.col(f"n{i}") / (F.col(f"t{i}") + F.col(f"d{i}")))) for i in whole))
+    coded_rows = seen.withColumn("context", context).join(contexts, "context").select("key", reduce(operator.add, (F.col(f"n{i}") for i in whole)).alias("n"), own.alias("own"))
+    rest = coded_rows.join(contexts.select(F.col("context").alias("key"), leave.alias("leave")), "key", "left")
+    rest = materialise(rest, folder, "rest")
+
+    # An n-gram is no more frequent than its parts, so those from a count on have all their parts.
+    level = F.floor(F.log2("n") * 16)
+    most, left = max(CELLS // len(languages), 1), 0
+    levels = sorted(((r["level"], r["count"]) for r in rest.groupBy(level.alias("level")).count().collect()), reverse=True)
+    least = None
+    for at, n in levels:
+        left += n
+        if left > most:
+            break
+        least = at
+    broadcast = rest.where(level >= least) if least is not None else rest.where("false")
+    empty = contexts.where("context = 1").select(F.lit(1).cast("long").alias("key"), F.array(*(F.lit(None).cast("double") for _ in whole)).alias("own"), leave.alias("leave"))
+    none = F.array(*(F.lit(0.0) for _ in whole))
+    found = broadcast.select("key", "own", "leave").unionByName(empty).select("key", "own", F.coalesce("leave", none).alias("leave")).toArrow()
+    square = lambda c: pc.fill_null(pc.list_flatten(found.column(c)), float("nan")).to_numpy().reshape(-1, len(languages))
+    return freeze(languages, found.column("key").to_numpy(), square("own"), square("leave"), order, rest if left > most else None)
 
 
 def training_rows(rows: DataFrame, id_column: str, text_column: str, lang_column: str, rows_per_language: int, bytes_per_language: int) -> tuple[DataFrame, list[str]]:
@@ -196,22 +304,37 @@ def training_rows(rows: DataFrame, id_column: str, text_column: str, lang_column
     return known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20)), sorted(share)
 
 
-def usual_bits(rows: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", rows_per_language: int = 800, bytes_per_language: int = 4 << 20) -> dict[str, float]:
-    """By language, the most bits a byte that a text of it takes: twice what 99 % of the sample's documents take, which leaves
-    room for passages in another language."""
-    if not model.languages:
-        return {}
-    picked, _ = training_rows(rows, id_column, text_column, lang_column, rows_per_language, bytes_per_language)
-    found = predict(picked, model, "id", "text").where(F.col("lang_pred") != UNDETERMINED)
-    return {r["lang_pred"]: 2.0 * r["most"] for r in found.groupBy("lang_pred").agg(F.percentile("bits_per_byte", F.lit(0.99)).alias("most")).collect()}
+def usual_bits(found: DataFrame) -> dict[str, float]:
+    """By language, the most bits a byte that a text of it takes: twice what 99 % of the predicted rows take, which leaves
+    room for passages in another language. Rows are counted in steps of 1 / ``STEPS`` bits."""
+    steps = found.where(F.col("lang_pred") != UNDETERMINED).groupBy("lang_pred", F.round(F.col("bits_per_byte") * STEPS).alias("step")).count()
+    return {r["lang_pred"]: 2.0 * r["most"] / STEPS for r in steps.groupBy("lang_pred").agg(F.percentile("step", F.lit(0.99), F.col("count")).alias("most")).collect()}
 
 
-def fits(usual: dict[str, float], text_column: str = "text") -> Column:
-    """Whether a predicted text is not longer in code than texts of its language are, but for ``SLACK_BITS``."""
+def fits(usual: dict[str, float], size: Column) -> Column:
+    """Whether a predicted text of ``size`` bytes is not longer in code than texts of its language are, but for ``SLACK_BITS``."""
     if not usual:
         return F.lit(True)
     most = F.create_map(*(F.lit(x) for pair in sorted(usual.items()) for x in pair))[F.col("lang_pred")]
-    return F.coalesce((F.col("bits_per_byte") - most) * F.octet_length(text_column) <= SLACK_BITS, F.lit(True))
+    return F.coalesce((F.col("bits_per_byte") - most) * size <= SLACK_BITS, F.lit(True))
+
+
+def _verdicts(languages: list[str], ids: pa.Array, named: np.ndarray, size: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    if languages:
+        best = bits.argmin(axis=1)
+        least = bits.min(axis=1)
+        score = 1.0 / np.exp2(np.clip(least[:, None] - bits, -1000, 0)).sum(axis=1)
+    else:
+        named, best, least, score = named & False, np.zeros(len(ids), int), np.zeros(len(ids)), np.zeros(len(ids))
+    names = [languages[b] if ok else UNDETERMINED for b, ok in zip(best, named, strict=True)]
+    return pa.record_batch(
+        [ids, pa.array(names, pa.string()), pa.array(np.where(named, score, 0.0)), pa.array(np.where(named, least / np.maximum(size, 1), 0.0))],
+        names=["id", "lang_pred", "score", "bits_per_byte"],
+    )
+
+
+def _named(batch: pa.RecordBatch) -> np.ndarray:
+    return np.array([t is not None and has_letter(t) for t in batch.column("text").to_pylist()], bool)
 
 
 def _predict(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,28 +342,75 @@ def _predict(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for whole in batches:
         for batch in slices(whole, "text", 1 << 19):
             data, rows = utf8(batch.column("text"))
-            texts = batch.column("text").to_pylist()
-            named = np.array([t is not None and has_letter(t) for t in texts], bool) & bool(model.languages)
-            size = np.maximum(np.diff(rows), 1)
-            if model.languages:
-                bits = model.lengths(data, rows)
-                best = bits.argmin(axis=1)
-                least = bits.min(axis=1)
-                score = 1.0 / np.exp2(np.clip(least[:, None] - bits, -1000, 0)).sum(axis=1)
-            else:
-                best, least, score = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts))
-            names = [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, named, strict=True)]
-            yield pa.record_batch(
-                [batch.column("id"), pa.array(names, pa.string()), pa.array(np.where(named, score, 0.0)), pa.array(np.where(named, least / size, 0.0))],
-                names=["id", "lang_pred", "score", "bits_per_byte"],
-            )
+            bits = model.lengths(data, rows) if model.languages else np.zeros((len(batch), 0))
+            yield _verdicts(model.languages, batch.column("id"), _named(batch), np.diff(rows), bits)
+
+
+def _tell(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the broadcast tells of each row, and the n-grams that it cannot tell with their counts."""
+    model: Model = shared.value
+    for whole in batches:
+        for batch in slices(whole, "text", 1 << 19):
+            data, rows = utf8(batch.column("text"))
+            bits, keys, at = model.told(data, rows)
+            row = np.searchsorted(rows, at, "right") - 1
+            order = np.lexsort((keys, row))
+            keys, row = keys[order], row[order]
+            cut = np.flatnonzero(np.concatenate([[True], (np.diff(keys) != 0) | (np.diff(row) != 0)])) if len(keys) else np.zeros(0, np.int64)
+            n = np.diff(np.concatenate([cut, [len(keys)]]))
+            first = pa.array(np.searchsorted(row[cut], np.arange(len(rows))), pa.int32())
+            told = pa.ListArray.from_arrays(pa.array(np.arange(len(rows)) * len(model.languages), pa.int32()), pa.array(bits.ravel()))
+            lists = [pa.ListArray.from_arrays(first, x) for x in (pa.array(keys[cut]), pa.array(n.astype(np.int64)))]
+            yield pa.record_batch([batch.column("row"), batch.column("id"), pa.array(_named(batch)), pa.array(np.diff(rows)), told, *lists], names=["row", "id", "named", "size", "bits", "keys", "counts"])
+
+
+def _ask(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each n-gram and each end of it that the broadcast lacks: that end, and its context or the bits to leave it."""
+    model: Model = shared.value
+    size = len(model.languages)
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * size, pa.int32()), pa.array(x.astype(np.float64).ravel()))
+    for batch in batches:
+        keys = batch.column("key").to_numpy()
+        _, base, steps = model.steps(keys)
+        for k, (at, known, leave) in enumerate(steps):
+            end = _end(keys[at], k + 1)
+            told = lists(leave)
+            told = pc.if_else(pa.array(known), told, pa.nulls(len(at), told.type))
+            yield pa.record_batch([pa.array(keys[at]), lists(base[at]), pa.array(np.full(len(at), k, np.int32)), pa.array(end), pa.array(end >> 8, mask=known), told], names=["key", "base", "step", "end", "context", "leave"])
+
+
+def _judge(languages: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bits, more = (pc.list_flatten(batch.column(c)).to_numpy().reshape(-1, len(languages)) for c in ("bits", "more"))
+        yield _verdicts(languages, batch.column("id"), batch.column("named").to_numpy(zero_copy_only=False), batch.column("size").to_numpy(), bits + more / FINE)
+
+
+def _predict_by_joins(chosen: DataFrame, model: Model, kind: str) -> DataFrame:
+    spark, rest, size = chosen.sparkSession, model.rest, len(model.languages)
+    shared = spark.sparkContext.broadcast(Model(model.languages, model.codes, model.escapes))
+    told = chosen.withColumn("row", F.monotonically_increasing_id()).mapInArrow(partial(_tell, shared), f"row long, id {kind}, named boolean, size long, bits array<double>, keys array<long>, counts array<long>")
+    told = materialise(told, shared_dir(spark), "told")
+    missed = told.select("row", F.explode(F.arrays_zip("keys", "counts")).alias("m")).select("row", F.col("m.keys").alias("key"), F.col("m.counts").alias("n"))
+    asked = missed.select("key").distinct().mapInArrow(partial(_ask, shared), "key long, base array<double>, step int, end long, context long, leave array<double>")
+    asked = asked.join(rest.select(F.col("key").alias("end"), "own"), "end", "left")
+    open_, done = asked.where("context IS NOT NULL").drop("leave"), asked.where("context IS NULL")
+    open_ = open_.join(rest.select(F.col("key").alias("context"), "leave"), "context", "left")
+    steps = open_.unionByName(done).groupBy("key").agg(F.first("base").alias("base"), F.sort_array(F.collect_list(F.struct("step", "own", "leave"))).alias("steps"))
+    code = F.aggregate("steps", F.col("base"), lambda below, s: F.transform(below, lambda b, i: F.coalesce(F.get(s["own"], i), b + F.coalesce(F.get(s["leave"], i), F.lit(0.0)))))
+    codes = steps.select("key", F.transform(code, lambda x: F.round(x * FINE).cast("long")).alias("code"))
+    sums = missed.join(codes, "key").groupBy("row").agg(F.array(*(F.sum(F.col("n") * F.col("code")[i]) for i in range(size))).alias("more"))
+    none = F.array(*(F.lit(0).cast("long") for _ in range(size)))
+    summed = told.drop("keys", "counts").join(sums, "row", "left").withColumn("more", F.coalesce("more", none)).drop("row")
+    return summed.mapInArrow(partial(_judge, model.languages), f"id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
 def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``id_column``, ``lang_pred``, ``score`` (0 to 1) and ``bits_per_byte`` (of the winner) for every row."""
     chosen = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = chosen.schema["id"].dataType.simpleString()
+    if model.rest is not None:
+        return _predict_by_joins(chosen, model, kind).withColumnRenamed("id", id_column)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     out = chosen.mapInArrow(partial(_predict, shared), f"id {kind}, lang_pred string, score double, bits_per_byte double")
     return out.withColumnRenamed("id", id_column)
 

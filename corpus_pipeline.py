@@ -24,12 +24,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents of a language: those without a letter (or null), those of no clear winner (score under 0.5) and those
     that take far more bits than texts of the winner do (no learned language, or none at all) go."""
     bounded_batches(spark)
-    learned = docs.where(~language_id.held_out())
-    model = language_id.train(learned)
-    usual = language_id.usual_bits(learned, model)
-    found = language_id.predict(_whole(docs), model, "row")
+    learned = ~language_id.held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()
+    model = language_id.train(docs.where(learned))
+    same = ("doc_id", F.xxhash64("text").alias("same"), F.octet_length("text").alias("size"))
+    rows = docs.select(F.struct(*same, learned.alias("learned")).alias("row"), "text")
+    found = materialise(language_id.predict(rows, model, "row"), shared_dir(spark), "languages")
+    usual = language_id.usual_bits(found.where("row.learned"))
     named = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= 0.5)
-    return found.where(named & language_id.fits(usual, "row.text")).select("row.*")
+    stay = found.where(named & language_id.fits(usual, F.col("row.size"))).select("row.doc_id", "row.same", "row.size").distinct()
+    keys = docs.withColumns({"same": same[1], "size": same[2]})
+    return keys.join(stay, keys["doc_id"].eqNullSafe(stay["doc_id"]) & (keys["same"] == stay["same"]) & (keys["size"] == stay["size"]), "left_semi").select(docs.columns)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
