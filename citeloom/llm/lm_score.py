@@ -10,7 +10,8 @@ The loss of word w after v is log2(c(v) + strength) - log2(c(v w) + strength * u
 frequent words with their counts and a matrix of counts of pairs of the ``PAIRED`` most frequent, both of a fixed size, and
 broadcasts them: tasks work out what these say by themselves. Everything else goes through one exchange: pairs that end in a
 word not listed by that word's hash, other pairs by their own. A place gets every occurrence of a pair, and of a word that is
-not listed, so it counts them exactly and sends each row its part of the losses. Places grow in number with the corpus. What
+not listed, so it counts them exactly and sends each row its part of the losses. Pairs of two listed words travel as their numbers,
+others as hashes. Places grow in number with the corpus. What
 meets in one is bounded by the share of the corpus that words beyond the listed, and pairs with a word beyond the paired,
 have; no group is one of frequent words.
 
@@ -47,6 +48,10 @@ LISTED, PAIRED = 1 << 16, 1 << 10
 HOME = 12
 #: What a packed record counts for: background and score, target, background only, score only.
 BOTH, TARGET, BACKGROUND, SCORED = range(4)
+#: What a packed record knows of its pairs: a word that is not listed, a listed word after one that is not, two listed words (or a start).
+WORD_OPEN, PAIR_OPEN, NUMBERED = range(3)
+#: Bits of the map that tells most documents without a good label before their texts are dealt.
+MAPPED = 1 << 26
 
 
 def _sent(keys: list[np.ndarray], weights: list[np.ndarray]) -> pa.RecordBatch:
@@ -200,6 +205,19 @@ class WholeModels:
     tokens: int
 
 
+def _perhaps(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose id is not marked, and with all that are; the map's size is fixed, whatever the rows."""
+    kinds = {x.schema[0].dataType.simpleString() for x in (rows, marked)}
+    if len(kinds) > 1 or kinds - {"tinyint", "smallint", "int", "bigint", "string"}:
+        return rows
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAPPED))
+    at = marked.select(place("label_id").alias("place")).select(F.shiftright("place", 15).alias("part"), F.col("place").bitwiseAND(32767).alias("bit"))
+    maps = at.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map"))
+    there = F.expr("shiftright(CAST(conv(hex(substring(map, CAST(shiftright(place, 3) & 4095 AS INT) + 1, 1)), 16, 10) AS INT), CAST(place & 7 AS INT)) & 1") == 1
+    placed = rows.withColumn("place", place("id")).withColumn("part", F.shiftright("place", 15))
+    return placed.join(F.broadcast(maps), "part").where(there).select(rows.columns)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: int | None = None, strength: float = 32.0, good: str = "quality = 1 AND coalesce(toxic, 0) = 0") -> Models | WholeModels:
     """Models of the documents with labels that are all ``good`` and of all documents."""
     if vocabulary is not None:
@@ -208,7 +226,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     chosen = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     marked = labels.select(F.col(id_column).alias("label_id"), F.expr(good).alias("good")).dropna().groupBy("label_id").agg(F.min("good").alias("good"))
     marked = marked.where("good").select("label_id").hint("shuffle_hash")
-    target = materialise(chosen.join(marked, F.col("id") == F.col("label_id"), "left_semi").select("text"), shared_dir(spark), "target")
+    # Each marked id is there once. A left semi join would be put before the map.
+    target = materialise(_perhaps(chosen, marked).join(marked, F.col("id") == F.col("label_id")).select("text"), shared_dir(spark), "target")
     rows = chosen.select("text", F.lit(False).alias("target")).unionByName(target.select("text", F.lit(True).alias("target")))
 
     columns = ("n", "follow", "target_n", "target_follow")
@@ -273,20 +292,20 @@ def _flat(planes: bytes, kind: type) -> np.ndarray:
 def _packed(shared, places: int, kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records of pairs for each place, and with each row that is scored what the listed words say of it."""
     listed: Listed = shared.value
-    names = ["place", "role", "listed", "rows", "pairs", "words", "follow", "ids", "n", "target_loss", "background_loss"]
+    names = ["place", "role", "known", "rows", "pairs", "words", "follow", "ids", "n", "target_loss", "background_loss"]
     held, size = [], 0
 
     def sent(role: int):
         place, of, pair, word, follow, known = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(place * 2 + known, kind="stable")
+        order = np.argsort(place * 3 + known, kind="stable")
         place, of, pair, word, follow, known = (x[order] for x in (place, of, pair, word, follow, known))
-        cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], np.diff(place * 2 + known) != 0])), [len(place)]])
+        cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], np.diff(place * 3 + known) != 0])), [len(place)]])
         runs = list(zip(cuts[:-1], cuts[1:], strict=True))
-        packed = lambda x: pa.array([x[i:j].tobytes() for i, j in runs], pa.binary())
         steps = [_planes(np.diff(of[i:j], prepend=0)) for i, j in runs]
+        pairs_of = [_planes(pair[i:j].astype(np.int32)) if known[i] == NUMBERED else pair[i:j].tobytes() for i, j in runs]
         names_of = [_planes(word[i:j].astype(np.int32)) if known[i] else word[i:j].tobytes() for i, j in runs]
         first, none = cuts[:-1], pa.nulls(len(runs), pa.binary())
-        return pa.record_batch([pa.array(place[first].astype(np.int32)), pa.array(np.full(len(runs), role, np.int32)), pa.array(known[first]), pa.array(steps, pa.binary()), packed(pair), pa.array(names_of, pa.binary()), pa.array([b"" if known[i] else follow[i:j].tobytes() for i, j in runs], pa.binary()), pa.nulls(len(runs), pa.list_(kind)), none, none, none], names=names)
+        return pa.record_batch([pa.array(place[first].astype(np.int32)), pa.array(np.full(len(runs), role, np.int32)), pa.array(known[first].astype(np.int32)), pa.array(steps, pa.binary()), pa.array(pairs_of, pa.binary()), pa.array(names_of, pa.binary()), pa.array([b"" if known[i] else follow[i:j].tobytes() for i, j in runs], pa.binary()), pa.nulls(len(runs), pa.list_(kind)), none, none, none], names=names)
 
     role = BOTH
     for whole in batches:
@@ -309,13 +328,14 @@ def _packed(shared, places: int, kind: pa.DataType, batches: Iterator[pa.RecordB
                     losses_of.append((total[first[1:]] - total[first[:-1]]).tobytes())
                 ids = pa.ListArray.from_arrays(pa.array([0, len(row)], pa.int32()), batch.column("id"))
                 blank = pa.nulls(1, pa.binary())
-                alone = [pa.array([int(row[0]) % places], pa.int32()), pa.array([role], pa.int32()), pa.nulls(1, pa.bool_()), pa.array([_planes(row)]), blank, blank, blank]
+                alone = [pa.array([int(row[0]) % places], pa.int32()), pa.array([role], pa.int32()), pa.nulls(1, pa.int32()), pa.array([_planes(row)]), blank, blank, blank]
                 yield pa.record_batch([*alone, ids, *(pa.array([x]) for x in (np.diff(first).astype(np.int64).tobytes(), *losses_of))], names=names)
             go = ~inside
-            known = number[go] >= 0
+            known = np.where(number[go] < 0, WORD_OPEN, np.where(before[go] < 0, PAIR_OPEN, NUMBERED))
             pair = mix(before_hash[go] * _PLACE[0] + hashes[go] * _PLACE[1])
-            word = np.where(known, number[go], hashes[go].astype(np.int64))
-            place = (np.where(known, pair, mix(hashes[go])) % np.uint64(places)).astype(np.int64)
+            word = np.where(known != WORD_OPEN, number[go], hashes[go].astype(np.int64))
+            place = (np.where(known != WORD_OPEN, pair, mix(hashes[go])) % np.uint64(places)).astype(np.int64)
+            pair = np.where(known == NUMBERED, before[go].astype(np.uint64), pair)
             held.append((place, np.repeat(row, np.diff(first))[go], pair, word, follow[go], known))
             size += int(go.sum())
             if size >= SENT:
@@ -340,20 +360,21 @@ def _placed(shared, kind: pa.DataType, table: pa.Table) -> pa.Table:
     """What the pairs of one place add to each row's losses."""
     listed: Listed = shared.value
     out = []
-    told = table.filter(pc.is_null(table.column("listed")))
+    told = table.filter(pc.is_null(table.column("known")))
     if told.num_rows:
         rows = np.concatenate([_flat(x, np.int64) for x in told.column("rows").to_pylist()])
         order = np.argsort(rows)
         n, *losses_of = (np.concatenate([np.frombuffer(x, t) for x in told.column(c).to_pylist()])[order] for c, t in (("n", np.int64), ("target_loss", np.float64), ("background_loss", np.float64)))
         out.append(_homeward(kind, rows[order], losses_of, pc.list_flatten(told.column("ids").combine_chunks()).take(pa.array(order)), n))
-    for known in (False, True):
-        part = table.filter(pc.fill_null(pc.equal(table.column("listed"), known), False))
+    for known in (WORD_OPEN, PAIR_OPEN, NUMBERED):
+        part = table.filter(pc.fill_null(pc.equal(table.column("known"), known), False))
         if not part.num_rows:
             continue
         joined = lambda c, kind, p=part: np.concatenate([np.frombuffer(x, kind) for x in p.column(c).to_pylist()])
-        pair = joined("pairs", np.uint64)
-        word = np.concatenate([_flat(x, np.int32) for x in part.column("words").to_pylist()]) if known else joined("words", np.int64)
-        sizes = np.array(pc.binary_length(part.column("pairs")).to_pylist()) // 8
+        numbers = lambda c, p=part: np.concatenate([_flat(x, np.int32) for x in p.column(c).to_pylist()])
+        word = numbers("words") if known else joined("words", np.int64)
+        pair = numbers("pairs").astype(np.int64) * listed.n + word if known == NUMBERED else joined("pairs", np.uint64)
+        sizes = np.array(pc.binary_length(part.column("pairs")).to_pylist()) // (4 if known == NUMBERED else 8)
         role = np.repeat(part.column("role").to_numpy().astype(np.int8), sizes)
         counts_for = [role == TARGET, (role == BOTH) | (role == BACKGROUND)]
         scored = np.flatnonzero((role == BOTH) | (role == SCORED))
@@ -399,7 +420,7 @@ def _score_whole(docs: DataFrame, models: WholeModels, id_column: str, text_colu
         parts.append((models.docs.select(none, F.col(models.text_column).alias("text")), BACKGROUND))
     shared = spark.sparkContext.broadcast(models.listed)
     places = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-models.tokens // HELD))
-    schema = f"place int, role int, listed boolean, rows binary, pairs binary, words binary, follow binary, ids array<{kind}>, n binary, target_loss binary, background_loss binary"
+    schema = f"place int, role int, known int, rows binary, pairs binary, words binary, follow binary, ids array<{kind}>, n binary, target_loss binary, background_loss binary"
     packed = [part.select("id", "text", F.monotonically_increasing_id().alias("row"), F.lit(role).alias("role")).mapInArrow(partial(_packed, shared, places, arrow), schema) for part, role in parts]
     met = reduce(DataFrame.unionByName, packed)
 
