@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.networks import connected as components
 from ..plans.storage import materialise, shared_dir
 
-__all__ = ["bounded_batches", "components", "materialise", "sampled", "shared_dir"]
+__all__ = ["bounded_batches", "components", "give_back", "materialise", "sampled", "shared_dir"]
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -17,6 +21,13 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def give_back() -> None:
+    """Hand what this process has freed back to the system; Arrow's pool and the C library would keep it for later."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def sampled(df: DataFrame, key: Column, rows: int, distinct: bool = False) -> DataFrame:
     """At most ``rows`` rows, those of least hash of ``key``, the same on every run; with ``distinct``, of unequal rows.
 

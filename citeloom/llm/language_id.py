@@ -288,9 +288,16 @@ def train(rows: DataFrame, text_column: str = "text", lang_column: str = "lang",
     broadcast = rest.where(level >= least) if least is not None else rest.where("false")
     empty = contexts.where("context = 1").select(F.lit(1).cast("long").alias("key"), F.array(*(F.lit(None).cast("double") for _ in whole)).alias("own"), leave.alias("leave"))
     none = F.array(*(F.lit(0.0) for _ in whole))
-    found = broadcast.select("key", "own", "leave").unionByName(empty).select("key", "own", F.coalesce("leave", none).alias("leave")).toArrow()
-    square = lambda c: pc.fill_null(pc.list_flatten(found.column(c)), float("nan")).to_numpy().reshape(-1, len(languages))
-    return freeze(languages, found.column("key").to_numpy(), square("own"), square("leave"), order, rest if left > most else None)
+    short = [F.col("own").cast("array<float>").alias("own"), F.coalesce("leave", none).cast("array<float>").alias("leave")]  # as the tables hold them
+    keys, own, leave = _columns(broadcast.select("key", "own", "leave").unionByName(empty).select("key", *short), len(languages))
+    return freeze(languages, keys, own, leave, order, rest if left > most else None)
+
+
+def _columns(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (key, own, leave) on the driver, the lists as matrices of ``size`` columns; the answer of Spark is not kept beside them."""
+    found = rows.toArrow()
+    square = lambda c: pc.fill_null(pc.list_flatten(found.column(c)), float("nan")).to_numpy().reshape(-1, size)
+    return found.column("key").to_numpy(), square("own"), square("leave")
 
 
 def training_rows(rows: DataFrame, id_column: str, text_column: str, lang_column: str, rows_per_language: int, bytes_per_language: int) -> tuple[DataFrame, list[str]]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import alignment, divergence, html_extract, language_id, license_scan, line_dedup, lm_score, media, ngram_join, packing, pieces, quality_rules, warc
-from ._shared import bounded_batches, materialise, shared_dir
+from ._shared import bounded_batches, give_back, materialise, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose crc32(doc_id) is not 2 modulo 4."""
     docs = table(spark, sf_dir, "documents")
-    model = language_id.train(docs.where(~language_id.held_out()))
-    return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
+    told = language_id.predict(docs, language_id.train(docs.where(~language_id.held_out())))
+    give_back()
+    return told.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

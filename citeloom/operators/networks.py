@@ -78,13 +78,14 @@ def connected(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """Connected components of ``edges`` (columns ``u``, ``v``): one row ``node, label`` per node with an edge.
 
     ``label`` is the smallest node of the component. Alternates large-star and small-star steps (Kiveris et al.,
-    2014): every step is a map-side combined minimum and an equi-join whose skew AQE can split, and rounds grow with
-    the logarithm of the longest path. Each round is written to ``folder``.
+    2014) until all edges go from a leaf to the centre of its star: every step is a map-side combined minimum and an
+    equi-join whose skew AQE can split, and rounds grow with the logarithm of the longest path. Each round is written to
+    ``folder``.
     """
     both = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialise(both, folder, f"{name}-0")
-    state, turn = None, 0
-    while True:
+    turn = 0
+    while not _stars(edges):
         turn += 1
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -94,14 +95,18 @@ def connected(edges: DataFrame, folder: str, name: str) -> DataFrame:
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = materialise(small, folder, f"{name}-{turn}")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == state or now[0] == 0:
-            break
-        state = now
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return leaves.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node of ``edges`` (distinct, ``u > v``) has two edges down, or one down and one up."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    each = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not each.where("down > 1 OR down = 1 AND up = 1").agg(F.count("*")).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (smallest node that it reaches)."""
     pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))

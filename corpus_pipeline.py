@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import language_id, ngram_join, packing, quality_rules
-from citeloom.llm._shared import bounded_batches, materialise, shared_dir
+from citeloom.llm._shared import bounded_batches, give_back, materialise, shared_dir
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -25,10 +25,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     that take far more bits than texts of the winner do (no learned language, or none at all) go."""
     bounded_batches(spark)
     learned = ~language_id.held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()
-    model = language_id.train(docs.where(learned))
     same = ("doc_id", F.xxhash64("text").alias("same"), F.octet_length("text").alias("size"))
     rows = docs.select(F.struct(*same, learned.alias("learned")).alias("row"), "text")
-    found = materialise(language_id.predict(rows, model, "row"), shared_dir(spark), "languages")
+    told = language_id.predict(rows, language_id.train(docs.where(learned)), "row")
+    give_back()  # the model is broadcast, and the driver has no other use for it
+    found = materialise(told, shared_dir(spark), "languages")
     usual = language_id.usual_bits(found.where("row.learned"))
     named = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= 0.5)
     stay = found.where(named & language_id.fits(usual, F.col("row.size"))).select("row.doc_id", "row.same", "row.size").distinct()
