@@ -347,7 +347,7 @@ _PARTS = _NAMES + ", parts AS (SELECT value, regexp_replace(lower(translate(stri
 def _names(r: Roles) -> DataFrame:
     words = F.split("text", " ")
     cut = r.table("conversations").where(F.col("text").isNotNull() & (F.size(words) > 1))
-    return cut.select(F.concat(F.get(words, F.lit(0)), F.lit(", "), F.upper(F.substring(F.get(words, F.lit(1)), 1, 1))).alias("value")).distinct()
+    return cut.select(F.concat(F.get(words, F.lit(0)), F.lit(", "), T.capital(F.substring(F.get(words, F.lit(1)), 1, 1))).alias("value")).distinct()
 
 
 @query(_PARTS + """

@@ -6,7 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from citeloom import catalog_more
+from citeloom.functions import text as T
 from citeloom.operators import matching
+from citeloom.plans.roles import Roles
 
 
 def test_pairs_match_every_pair(spark):
@@ -30,3 +33,13 @@ def test_a_last_name_of_very_many(spark):
     frame = many.unionByName(spark.createDataFrame([("Smith, A",), ("Smith",), ("Jones, J",)], "name string"))
     found = matching.disambiguate_authors(frame, "name").groupBy("canonical").agg(F.count("*").alias("n")).collect()
     assert sorted(r["n"] for r in found) == [1, 1, 1, 20_000]
+
+
+def test_initials_are_one_character(spark, tmp_path):
+    row = spark.createDataFrame([(c,) for c in "aßéᾀŉﬁ1"], "c string").select("c", T.capital(F.col("c")).alias("u"))
+    assert {r["c"]: r["u"] for r in row.collect()} == {"a": "A", "ß": "ẞ", "é": "É", "ᾀ": "ᾈ", "ŉ": "ŉ", "ﬁ": "ﬁ", "1": "1"}
+    turns = [(1, "Und so weiter"), (2, "Und ßo weiter"), (3, "Und ﬁnis"), (4, "Und finis"), (5, "Und"), (6, None)]
+    spark.createDataFrame(turns, "conv_id long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    names = catalog_more._names(Roles(spark, str(tmp_path)))
+    assert {r["value"] for r in names.collect()} == {"Und, S", "Und, ẞ", "Und, ﬁ", "Und, F"}
+    assert matching.similar_authors(names).count() == 0
