@@ -12,9 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.storage import shared_dir
+from ..plans.storage import materialise, shared_dir
+from . import blocks
 from .networks import connected
 
+#: Pairs of two blocks that cost as much as one meeting of two rows by a token.
+BLOCKED = 100
+
 
 def overlap(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays as sets; 0 for two empty ones."""
@@ -45,15 +49,27 @@ def tfidf(titles: DataFrame) -> DataFrame:
     return raw.select("id", "token", "df", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))).alias("weight"))
 
 
+def _pairs_cost_less(prefix: DataFrame, n: int) -> bool:
+    """Whether all pairs of ``n`` rows, compared in blocks, are cheaper than the meetings of ``prefix``, joined and shuffled."""
+    met = prefix.groupBy("token").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1.0) / 2)).first()[0] or 0.0
+    return n * (n - 1) / 2 < BLOCKED * met
+
+
 def similar_by_terms(titles: DataFrame, least: float = 0.8) -> DataFrame:
     """``a, b, cosine`` of titles (id, title) with a TF-IDF cosine of ``least`` or more.
 
     A pair's first common term, from the rarest on, lies where the weights from it on still have a length of ``least``:
-    what comes later cannot add up to it.
+    what comes later cannot add up to it. Where these prefixes are so long that most titles meet, blocks of titles are compared.
     """
-    weights = tfidf(titles)
+    folder = shared_dir(titles.sparkSession)
+    weights = materialise(tfidf(titles), folder, "weights")
     later = Window.partitionBy("id").orderBy("df", "token").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     prefix = weights.withColumn("left", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(later))).where(F.col("left") >= least - 1e-9).select("id", "token")
+    n = weights.agg(F.count_distinct("id")).first()[0]
+    if _pairs_cost_less(prefix, n):
+        rows = blocks.coded(weights.select("id", "token", "weight"), folder).groupBy("id").agg(F.collect_list(F.struct("code", "weight")).alias("cells"))
+        packed = blocks.blocks(rows, n, folder, "cells")
+        return blocks.crossed(packed, blocks.cosines(least), dict(rows.dtypes)["id"]).withColumnRenamed("value", "cosine")
     wa = weights.select(F.col("id").alias("a"), "token", F.col("weight").alias("wa"))
     wb = weights.select(F.col("id").alias("b"), "token", F.col("weight").alias("wb"))
     both = _meeting(prefix).join(wa, "a").join(wb, ["b", "token"])
