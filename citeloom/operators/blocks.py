@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..plans.storage import materialise
 
 #: Rows and cells of a block at most (a row of more cells is a block), rows of a strip, and parts into which each side is dealt at most.
-ROWS, CELLS, STRIP, PARTS = 2048, 1 << 20, 256, 256
+ROWS, CELLS, STRIP, PARTS = 4096, 1 << 20, 128, 256
 #: Tokens that are columns of a dense matrix; rarer ones are met by their codes.
 TOP = 256
 #: Pairs that are added up exactly at once.
@@ -144,3 +144,17 @@ def cosines(least: float) -> Callable[[dict, dict], Pairs]:
                 yield first + r[good], c[good], value[good]
 
     return compare
+
+
+def overlaps(least: float) -> Callable[[dict, dict], Pairs]:
+    """Sets (cells of weight 1, ``k`` members) with a Jaccard similarity of ``least`` or more; all sums are whole numbers."""
+
+    def compare(x: dict, y: dict) -> Pairs:
+        p, q = (np.asarray(z["k"]).astype(np.float64) for z in (x, y))
+        for first, near, rare, *_ in products(x, y):
+            both = near + rare
+            share = both / (p[first : first + len(both), None] + q[None, :] - both)
+            i, j = np.nonzero(share >= least)
+            yield first + i, j, share[i, j]
+
+    return compare

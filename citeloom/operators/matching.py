@@ -85,12 +85,23 @@ def duplicate_titles(titles: DataFrame, least: float = 0.85) -> DataFrame:
 
 
 def similar_by_words(rows: DataFrame, least: float = 0.85) -> DataFrame:
-    """``a, b, jaccard`` of rows (id, words: array) whose sets of words have a Jaccard similarity of ``least`` or more."""
-    sets = rows.select("id", F.array_distinct("words").alias("words")).where(F.size("words") > 0)
-    placed = _by_rarity(sets.select("id", F.explode("words").alias("token")))
+    """``a, b, jaccard`` of rows (id, words: array) whose sets of words have a Jaccard similarity of ``least`` or more, every row by
+    itself. As with terms, blocks of rows are compared where most rows would meet."""
+    folder = shared_dir(rows.sparkSession)
+    distinct = rows.select("id", F.array_distinct("words").alias("words")).where("id is not null").where(F.size("words") > 0)
+    sets = materialise(distinct.withColumn("row", F.monotonically_increasing_id()), folder, "sets")
+    tokens = sets.select("row", F.explode("words").alias("token"))
+    placed = _by_rarity(tokens.withColumnRenamed("row", "id"))
     prefix = placed.where(F.col("place") <= F.col("k") - F.ceil(F.lit(least) * F.col("k") - 1e-9) + 1).select("id", "token")
-    both = _meeting(prefix).join(sets.withColumnsRenamed({"id": "a", "words": "wa"}), "a").join(sets.withColumnsRenamed({"id": "b", "words": "wb"}), "b")
-    return both.select("a", "b", overlap(F.col("wa"), F.col("wb")).alias("jaccard")).where(F.col("jaccard") >= least)
+    n = sets.count()
+    if _pairs_cost_less(prefix, n):
+        counted = sets.select("row", "id", F.size("words").alias("k"), F.explode("words").alias("token"))
+        cell = F.struct("code", F.lit(1.0).alias("weight"))
+        packed = blocks.blocks(blocks.coded(counted, folder).groupBy("row", "id", "k").agg(F.collect_list(cell).alias("cells")).drop("row"), n, folder, "cells")
+        return blocks.crossed(packed, blocks.overlaps(least), dict(sets.dtypes)["id"]).withColumnRenamed("value", "jaccard")
+    side = lambda p: sets.select(F.col("row").alias(p), F.col("id").alias(f"i{p}"), F.col("words").alias(f"w{p}"))
+    both = _meeting(prefix).join(side("a"), "a").join(side("b"), "b").where("ia <> ib")
+    return both.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), overlap(F.col("wa"), F.col("wb")).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def similar_by_edits(strings: DataFrame, least: float = 0.7) -> DataFrame:

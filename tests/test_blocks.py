@@ -33,6 +33,22 @@ def test_titles_by_terms_meet_as_all_pairs_do(spark, monkeypatch, blocked):
     assert sure <= set(pairs) and len(sure) > 1000 and all(cosine[k] >= 0.6 - 1e-9 and v == pytest.approx(cosine[k], abs=1e-12) for k, v in pairs.items())
 
 
+@pytest.mark.parametrize("blocked", [0, 100])
+def test_sets_of_words_meet_as_all_pairs_do(spark, monkeypatch, blocked):
+    """Rows of one id are rows of their own and make no pair."""
+    monkeypatch.setattr(matching, "BLOCKED", blocked)
+    found, counts = _titles(2300, 700, 2)
+    both = (counts > 0).astype(float) @ (counts > 0).T.astype(float)
+    own = np.diag(both)
+    share = both / (own[:, None] + own[None, :] - both)
+    ids = [f"t{k // 2}" for k in range(len(found))]
+    frame = spark.createDataFrame([(i, x) for i, x in zip(ids, found)] + [("none", None), ("empty", []), (None, ["w0"])], "id string, words array<string>")
+    expected = sorted((*sorted((ids[i], ids[j])), share[i, j]) for i, j in np.argwhere(np.triu(share >= 0.5, 1)) if ids[i] != ids[j])
+    out = matching.similar_by_words(frame, 0.5)
+    assert ("MapInArrow" in out._jdf.queryExecution().toString()) == (blocked > 0)
+    assert sorted(map(tuple, out.select("a", "b", "jaccard").collect())) == expected and len(expected) > 1000
+
+
 def test_blocks_end_by_rows_and_cells(monkeypatch):
     monkeypatch.setattr(blocks, "ROWS", 3)
     monkeypatch.setattr(blocks, "CELLS", 10)
