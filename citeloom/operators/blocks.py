@@ -52,22 +52,23 @@ def pack(batches: Iterator[pa.RecordBatch], parts: int, cells: str | None = None
         yield block(k, held)
 
 
-def blocks(rows: DataFrame, n: int, folder: str, cells: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """``rows``, about ``n``, packed and written: dealt by ranges of ``by``, or evenly."""
+def blocks(rows: DataFrame, n: int, folder: str, cells: str | None = None, by: str | None = None) -> DataFrame:
+    """``rows``, about ``n``, dealt evenly, packed in the order of ``by`` and written."""
     parts = max(1, -(-n // ROWS))
-    dealt = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by) if by else rows.repartition(parts)
+    dealt = rows.repartition(parts)
+    dealt = dealt.sortWithinPartitions(by) if by else dealt
     schema = "block long, " + ", ".join(f"`{c}` array<{kind}>" for c, kind in rows.dtypes)
     return materialise(dealt.mapInArrow(lambda batches: pack(batches, max(parts, 1 << 20), cells), schema), folder, "blocks")
 
 
-def crossed(packed: DataFrame, compare: Callable[[dict, dict], Pairs], kind: str, keep=None) -> DataFrame:
+def crossed(packed: DataFrame, compare: Callable[[dict, dict], Pairs], kind: str, also: tuple[str, ...] = ()) -> DataFrame:
     """``a, b, value`` of what ``compare`` finds between two blocks, given as dicts of their columns: places in each and values.
 
-    Columns ``a`` and ``b`` have ids of type ``kind``, the lesser first; rows of one id make no pair. ``keep`` is a condition on
-    columns of two blocks, named with the prefixes ``a_`` and ``b_``, without which they need not be compared.
+    Columns ``a`` and ``b`` have ids of type ``kind``, the lesser first; rows of one id make no pair. Strings
+    ``also`` of both rows come as ``a_`` and ``b_``, of which either may be the lesser's.
     """
     parts = max(1, min(packed.count(), PARTS))
-    side = lambda p: packed.repartitionByRange(parts, "block").select(*(F.col(c).alias(f"{p}_{c}") for c in packed.columns))
+    side = lambda p: packed.repartition(parts).select(*(F.col(c).alias(f"{p}_{c}") for c in packed.columns))
     one, two = F.col("a_block"), F.col("b_block")
     odd = (one + two) % 2 == 1
     pairs = side("a").crossJoin(side("b")).where((one == two) | ((one < two) & ~odd) | ((one > two) & odd))
@@ -82,10 +83,12 @@ def crossed(packed: DataFrame, compare: Callable[[dict, dict], Pairs], kind: str
                         i, j, value = i[upper], j[upper], value if value is None else value[upper]
                     if len(i):
                         known = pa.nulls(len(i), pa.float64()) if value is None else pa.array(value, pa.float64())
-                        yield pa.RecordBatch.from_arrays([x["id"].take(pa.array(i)), y["id"].take(pa.array(j)), known], ["a", "b", "value"])
+                        own = [z[c].take(pa.array(at)) for c in ("id", *also) for z, at in ((x, i), (y, j))]
+                        yield pa.RecordBatch.from_arrays([*own[:2], known, *own[2:]], ["a", "b", "value", *more])
 
-    found = (pairs if keep is None else pairs.where(keep)).mapInArrow(each, f"a {kind}, b {kind}, value double")
-    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "value")
+    more = [f"{p}_{c}" for c in also for p in "ab"]
+    found = pairs.mapInArrow(each, f"a {kind}, b {kind}, value double" + "".join(f", {c} string" for c in more))
+    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "value", *more)
 
 
 def coded(tokens: DataFrame, folder: str) -> DataFrame:
@@ -158,3 +161,46 @@ def overlaps(least: float) -> Callable[[dict, dict], Pairs]:
             yield first + i, j, share[i, j]
 
     return compare
+
+
+def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, value, n`` with 64 bits of a string's letters (first and second occurrences, letters modulo 32) and of its pairs of
+    neighbouring letters, ends included (modulo 64)."""
+    for batch in batches:
+        letters, pairs = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.uint64)
+        for k, text in enumerate(batch.column("value").to_pylist()):
+            codes = [ord(c) for c in text]
+            seen = twice = both = 0
+            for c in codes:
+                twice |= seen & (1 << c % 32)
+                seen |= 1 << c % 32
+            for c, d in zip([0, *codes], [*codes, 0]):
+                both |= 1 << (c * 31 + d) % 64
+            letters[k], pairs[k] = seen | twice << 32, both
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(letters.view(np.int64)), pa.array(pairs.view(np.int64))], [*batch.schema.names, "letters", "pairs"])
+
+
+def near_strings(least: float) -> Callable[[dict, dict], Pairs]:
+    """Strings (``masks``, in order of length) that may have an edit similarity of ``least`` or more: ``e`` edits take away or add ``e`` letters and
+    ``2 * e`` pairs of letters at most."""
+
+    def lengths(n: np.ndarray) -> list[tuple[int, int, int]]:
+        """Each length, its first place, and the place after its last."""
+        values, first = np.unique(n, return_index=True)
+        return list(zip(values.tolist(), first.tolist(), [*first.tolist()[1:], len(n)]))
+
+    def compare(x: dict, y: dict) -> Pairs:
+        (n, a, ap), (m, b, bp) = ((np.asarray(z["n"]), np.asarray(z["letters"]).view(np.uint64), np.asarray(z["pairs"]).view(np.uint64)) for z in (x, y))
+        for long, low, high in lengths(n):
+            for other, at, end in lengths(m):
+                most = int(np.floor((1 - least) * max(long, other) + 1e-9))
+                if abs(long - other) > most:
+                    continue
+                for first in range(low, high, STRIP):
+                    last = min(first + STRIP, high)
+                    i, j = np.nonzero(np.bitwise_count(a[first:last, None] & ~b[None, at:end]) <= most)
+                    i, j = i + first, j + at
+                    near = (np.bitwise_count(b[j] & ~a[i]) <= most) & (np.bitwise_count(ap[i] & ~bp[j]) <= 2 * most) & (np.bitwise_count(bp[j] & ~ap[i]) <= 2 * most)
+                    yield i[near], j[near], None
+
+    return compare

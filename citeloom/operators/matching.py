@@ -107,27 +107,17 @@ def similar_by_words(rows: DataFrame, least: float = 0.85) -> DataFrame:
 def similar_by_edits(strings: DataFrame, least: float = 0.7) -> DataFrame:
     """``a, b, similarity`` of strings (id, value) with an edit similarity of ``least`` or more; ``least`` is 0.7 to 1.
 
-    Of the different pairs of letters of a string of n letters, one at the threshold lacks 2 * (1 - least) * n + 1 at most,
-    so the strings meet in one of that many and one more, the rarest first. Strings of up to four letters differ from
-    others, of up to five, by one edit at most and meet in what is left without a letter. The few that have fewer different pairs of letters
-    (``hahahaha``) are compared with all strings of a length near theirs.
+    Strings are so short that most would meet by some pair of letters. So they are compared in blocks, length by length, by bits of their
+    letters and pairs of letters, and the edit distance is taken of the few that can be near enough.
     """
     if not 0.7 <= least <= 1:
         raise ValueError("the threshold is 0.7 to 1")
-    own = strings.where(T.present(F.col("value"))).select("id", "value", F.length("value").alias("n")).withColumn("lacks", 2 * F.floor((1 - least) * F.col("n") + 1e-9) + 1)
-    at = F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1)))
-    pairs_of = F.array_distinct(F.transform(at, lambda i: F.substring(F.col("value"), i, F.lit(2))))
-    own = own.withColumn("grams", pairs_of)
-    placed = _by_rarity(own.where("n > 4").select("id", F.explode("grams").alias("token"))).join(own.select("id", "lacks"), "id")
-    prefix = placed.where(F.col("place") <= F.col("lacks") + 1).select("id", "token")
-    within = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.substring(F.col("value"), F.lit(1), i - 1), F.substring(F.col("value"), i + 1, F.col("n"))))
-    less = F.explode(F.array_distinct(F.concat(F.array("value"), within)))
-    short = own.where("n <= 5").select("id", less.alias("token")).withColumn("token", F.concat(F.lit("~"), "token"))
-    odd = own.where((F.col("n") > 4) & (F.size("grams") <= F.col("lacks"))).select(F.col("id").alias("o"), F.explode(F.sequence(F.ceil(least * F.col("n") - 1e-9), F.floor(F.col("n") / least + 1e-9))).alias("n"))
-    beside = odd.join(own.select(F.col("id").alias("p"), F.col("n").cast("long").alias("n")), "n").where("o <> p").select(F.least("o", "p").alias("a"), F.greatest("o", "p").alias("b"))
-    pairs = _meeting(prefix.unionByName(short)).unionByName(beside).distinct()
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("value").alias("va")), "a").join(own.select(F.col("id").alias("b"), F.col("value").alias("vb")), "b")
-    return both.select("a", "b", T.edit_similarity(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= least)
+    folder, kind = shared_dir(strings.sparkSession), dict(strings.dtypes)["id"]
+    own = strings.where(T.present(F.col("value"))).select("id", "value", F.length("value").alias("n"))
+    own = materialise(own.mapInArrow(blocks.masks, f"id {kind}, value string, n int, letters long, pairs long"), folder, "strings")
+    packed = blocks.blocks(own, own.count(), folder, by="n")
+    found = blocks.crossed(packed, blocks.near_strings(least), kind, ("value",))
+    return found.select("a", "b", T.edit_similarity(F.col("a_value"), F.col("b_value")).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def classes(values: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -59,3 +59,30 @@ def test_blocks_end_by_rows_and_cells(monkeypatch):
     assert [x for _, ids in out for x in ids] == list(range(12))
     assert [k for k, _ in out] == [1 + 4 * k for k in range(len(out))]
     assert all(len(ids) <= 3 and (len(ids) == 1 or sum(sizes[i] for i in ids) <= 10) for _, ids in out)
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_strings_meet_as_all_pairs_do(spark):
+    """No pair of strings is shuffled by what they share; letters of any script and long strings are found."""
+    rng = np.random.default_rng(5)
+    words = {"ée", "éé", "日本語学", "日本文学", "日本語", "a" * 40, "a" * 30 + "b" * 10, "x", "y" * 70, "y" * 49}
+    while len(words) < 300:
+        base = "".join(rng.choice(["th", "an", "er", "tion", "é", "x"], rng.integers(1, 6)))
+        k = int(rng.integers(0, len(base)))
+        words |= {base, base[:k] + str(rng.choice(list("aqß"))) + base[k + int(rng.integers(0, 2)) :]}
+    words = sorted(words)
+    out = matching.similar_by_edits(spark.createDataFrame(list(enumerate(words)), "id long, value string"), 0.7)
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "hashpartitioning(token" not in plan
+    found = {(r["a"], r["b"]): r["similarity"] for r in out.collect()}
+    near = {(i, j): 1 - _edits(a, b) / max(len(a), len(b)) for i, a in enumerate(words) for j, b in enumerate(words) if i < j}
+    expected = {k: v for k, v in near.items() if v >= 0.7}
+    assert set(found) == set(expected) and len(expected) > 200 and all(found[k] == pytest.approx(v) for k, v in expected.items())
