@@ -239,3 +239,20 @@ def test_hypotheses_have_p_and_effect(spark):
     assert all(0 <= r["p_value"] <= 1 and r["p_bh"] >= r["p_value"] - 1e-12 for r in found.values() if r["p_value"] is not None)
     assert found["up", "trend"]["p_bh"] < 1e-6 and found["up", "trend"]["effect"] > 0.95 and found["up", "line"]["effect"] > 0.99
     assert found["noise", "line"]["p_value"] > 0.01 and found["noise", "trend"]["p_value"] > 0.01
+
+
+def test_few_terms_are_factorised_as_many_are(spark, monkeypatch):
+    """The same factors with the terms sent to the tasks, in as many jobs a round as there are sums, beyond a written round too."""
+    rng = np.random.default_rng(8)
+    rows = [(int(d), f"t{t}", float(w)) for d, t, w in zip(rng.integers(0, 60, 500), rng.integers(0, 25, 500), rng.random(500))]
+    cells = spark.createDataFrame(rows + [(1, None, 1.0), (None, "t1", 1.0), (2, "t2", 0.0)], "doc long, term string, weight double")
+    few = factor.nmf(cells, 3, factor.KEPT + 2, 0.0)
+    monkeypatch.setattr(factor, "_updated", lambda *a, **b: pytest.fail("cells are joined and shuffled in every half round"))
+    factor.nmf(cells, 3, 2)
+    monkeypatch.undo()
+    monkeypatch.setattr(factor, "FEW", 0)
+    many = factor.nmf(cells, 3, factor.KEPT + 2, 0.0)
+    assert few[2] == pytest.approx(many[2]) and len(few[2]) == factor.KEPT + 2
+    for a, b in zip(few[:2], many[:2]):
+        one, two = ({r[0]: r[1:] for r in x.collect()} for x in (a, b))
+        assert set(one) == set(two) and all(one[k] == pytest.approx(two[k]) for k in one)
